@@ -71,7 +71,7 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: str
     hot = groups.filter(F.col(count) >= floor).select(key, F.struct(*names).alias("_hot"))
     cold = groups.filter(F.col(count) < floor).select(key, F.lit(0).cast("int").alias("_salt"), F.struct(*names).alias("_cold"))
     left = rows.join(F.broadcast(hot), key, "left")
-    left = left.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
+    left = left.withColumn("_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
     out = left.join(cold, [key, "_salt"], "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in names])
 
