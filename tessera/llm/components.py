@@ -31,6 +31,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a != b")
     pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         pairs = materialise(_star(_star(pairs, True), False), "edges")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

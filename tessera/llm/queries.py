@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import op7_decontamination
+from tessera.llm.embeddings import op6_embeddings
 from tessera.llm.langid import op10_langid
 from tessera.llm.sharding import op1_sharding
 from tessera.llm.simhash import op5_simhash
@@ -11,6 +12,7 @@ from tessera.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op5_simhash": op5_simhash,
+    "op6_embeddings": op6_embeddings,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_langid": op10_langid,
