@@ -5,12 +5,14 @@ from __future__ import annotations
 from tessera.llm.decontaminate import op7_decontamination
 from tessera.llm.embeddings import op6_embeddings
 from tessera.llm.langid import op10_langid
+from tessera.llm.maxent import op2_lm_score
 from tessera.llm.sharding import op1_sharding
 from tessera.llm.simhash import op5_simhash
 from tessera.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_lm_score": op2_lm_score,
     "op5_simhash": op5_simhash,
     "op6_embeddings": op6_embeddings,
     "op7_decontamination": op7_decontamination,
