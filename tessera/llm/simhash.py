@@ -102,7 +102,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndar
         hit = same[_linked(f[same] ^ f[same + d])]
         a.append(f[hit]), b.append(f[hit + d])
     for s, n in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
-        if found := np.array(_grow(fps[s : s + n])):
+        if len(found := np.array(_grow(fps[s : s + n]))):
             a.append(fps[s + found[:, 0]]), b.append(fps[s + found[:, 1]])
     none = np.zeros(0, np.uint64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)

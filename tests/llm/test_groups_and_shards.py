@@ -89,7 +89,7 @@ def test_links_match_brute_force_at_every_key_width(spark):
                 g ^= 1 << rng.randrange(64)
             fps.append(g)
     centre = rng.getrandbits(64)
-    fps += [centre ^ (1 << i) for i in range(64)]  # a bucket above SMALL_BUCKET
+    fps += [centre, *(centre ^ (1 << i) for i in range(64)), *(centre ^ (3 << i) for i in range(62))]  # a bucket above SMALL_BUCKET
     fps = sorted(set(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want = slow_groups(fps)
