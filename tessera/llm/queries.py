@@ -9,10 +9,12 @@ from tessera.llm.maxent import op2_lm_score
 from tessera.llm.sharding import op1_sharding
 from tessera.llm.simhash import op5_simhash
 from tessera.llm.toxicity import op8_toxicity
+from tessera.llm.warc import op4_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_lm_score": op2_lm_score,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_embeddings": op6_embeddings,
     "op7_decontamination": op7_decontamination,
