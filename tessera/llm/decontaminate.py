@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import materialise, table
 
 WINDOW, KGRAM = 10, 5
 #: Benchmark text that one pass over the documents holds in each worker; a larger benchmark takes more passes.
@@ -133,11 +133,15 @@ def _index(name: str, items, window: int, k: int) -> Index:
     return _built[name]
 
 
+def _block_count(bench: DataFrame, id_col: str, text_col: str, most: int) -> int:
+    total = bench.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string")) + F.octet_length(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), F.lit(0))).first()[0]
+    return max(1, -(-total // most))
+
+
 def _blocks(bench: DataFrame, id_col: str, text_col: str, most: int) -> list[list[tuple[str, bytes | None]]]:
     """The benchmark's items in blocks of about ``most`` bytes; a benchmark within the bound is one block."""
     rows = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").cast("binary").alias("t")).filter("t is not null")
-    total = rows.agg(F.coalesce(F.sum(F.length("t") + F.length("i")), F.lit(0))).first()[0]
-    n = max(1, -(-total // most))
+    n = _block_count(bench, id_col, text_col, most)
     for b in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
         yield [(r.i, bytes(r.t)) for r in part.collect()]
@@ -158,7 +162,9 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
+    out, n_blocks = None, _block_count(bench, item_col, item_text, block_bytes)
+    if n_blocks > 1:
+        slim = materialise(slim, "decontaminate")  # so that row numbers are the same in each pass
     for n, items in enumerate(_blocks(bench, item_col, item_text, block_bytes)):
         sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
@@ -173,7 +179,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
         part = slim.mapInArrow(run, f"rid bigint, doc_id {kind}, n_words bigint, hits {SPANS}, items array<string>")
         out = part if out is None else out.unionByName(part)
-    if n == 0:
+    if n_blocks == 1:
         return out.drop("rid")
     whole = out.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # Sorted spans: a span opens a new one if it starts after all ends before it.

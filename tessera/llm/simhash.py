@@ -156,6 +156,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lookup(rows, groups, "fp", "n", "doc_id", counted[1]).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one document of each group, the one with the smallest id.
+
+    Rows that share an id and stay are one document: one row of them is kept. Rows without an id can't be named by
+    the decision and stay.
+    """
+    found = materialise(near_groups(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "near")
+    kept = docs.join(found.filter("goes").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    again = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_col))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(once)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

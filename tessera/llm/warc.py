@@ -16,8 +16,6 @@ from tessera.llm.common import lookup, materialise, scratch_path, table
 
 #: Bytes of content in a segment, and of a chunk of the chunked transfer coding.
 SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 8 << 10
-#: Payload bytes that an archive file is meant to hold.
-ARCHIVE_BYTES = 16 << 20
 #: Equal payloads of at least so many bytes are stored once.
 MIN_DEDUP_BYTES = 0
 DATE = "2020-01-01T00:00:00Z"
@@ -135,15 +133,19 @@ def _headers(pages: DataFrame) -> DataFrame:
     return pages.select("rid", "page_id", "html").mapInArrow(run, "rid bigint, page_id bigint, digest string, len bigint")
 
 
-def write_archives(pages: DataFrame, path: str, min_dedup: int = MIN_DEDUP_BYTES, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, row_id: str | None = None, min_dedup: int = MIN_DEDUP_BYTES, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes pages (page_id, url, html) as gzipped WARC files into the folder path, by Spark's own writer.
 
-    Of equal payloads of min_dedup bytes or more, the one with the smallest page_id (nulls last, then the first row)
-    is stored and the others become revisits of it. A block longer than segment_bytes is cut into continuation
-    records, which are dealt over all files, so files stay near archive_bytes whatever the pages' lengths. Null html
-    is an empty payload.
+    Of equal payloads of min_dedup bytes or more, the one with the smallest page_id (nulls last, then the smallest
+    row id) is stored and the others become revisits of it. A block longer than segment_bytes is cut into continuation
+    records. Null html is an empty payload. row_id names a long column that tells rows apart and stays the same when
+    pages is read again; without one, pages is written once with numbers. A file holds what one task has, so its size
+    is that of a scan or shuffle partition. Other columns aren't read; empty pages make empty archives.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    if row_id is None:
+        numbered = pages.select("page_id", "url", "html").withColumn("rid", F.monotonically_increasing_id())
+        pages, row_id = materialise(numbered, "warc-pages"), "rid"
+    rows = pages.select(F.col(row_id).alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     heads = materialise(_headers(rows), "warc-heads")
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("rid").alias("row"))
     groups = heads.filter(F.col("len") >= min_dedup).groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("first"))
@@ -156,20 +158,19 @@ def write_archives(pages: DataFrame, path: str, min_dedup: int = MIN_DEDUP_BYTES
 
     def run(batches):
         for b in batches:
-            out, spread = [], []
-            for rid, page, url, html, first_page, first_rid in zip(*(b.column(i).to_pylist() if i != 3 else b.column(i).cast(pa.binary()).to_pylist() for i in range(6)), strict=True):
+            out, size = [], 0
+            for rid, page, url, html, first_page, first_rid in zip(*(b.column(i).cast(pa.binary()).to_pylist() if i == 3 else b.column(i).to_pylist() for i in range(6)), strict=True):
                 found = records_of(page, rid, url, html or b"", None if first_rid is None else (first_page, first_rid), segment_bytes)
                 out += found
-                spread += [hash((rid, n)) for n in range(len(found))]
-                if sum(map(len, out[-len(found) :])) > 1 << 20 or len(out) > 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int64()), pa.array(out, pa.binary())], ["spread", "record"])
-                    out, spread = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int64()), pa.array(out, pa.binary())], ["spread", "record"])
-
-    files = max(1, -(-totals[1] // archive_bytes))
-    records = joined.select("rid", "page_id", "url", "html", "first_page", "first_rid").mapInArrow(run, "spread bigint, record binary")
+                size += sum(map(len, found))
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    records = joined.select("rid", "page_id", "url", "html", "first_page", "first_rid").mapInArrow(run, "record binary")
     # The text writer puts a row's bytes as they are, then the line end, which closes the record.
-    records.repartition(files, "spread").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -216,7 +217,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             raise WarcError(f"{r['origin']}: its payload has another digest")
         return pa.Table.from_batches([batch([(r["origin"], r["page_id"], r["rid"], r["record_type"], r["digest"], len(payload), r["refers_to"], None, None, payload)])])
 
-    found = materialise(spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema), "warc-records")
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
     parts = found.filter("segment is not null").groupBy("origin").applyInArrow(whole, schema)
     out = found.filter("segment is null").unionByName(parts)
     return out.select("page_id", "rid", "record_type", "digest", "len", F.col("data").alias("payload"), "refers_to")
@@ -224,6 +225,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    write_archives(table(spark, sf_dir, "pages"), path)
+    pages = table(spark, sf_dir, "pages")
+    write_archives(pages.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index")), path, "_row")
     found = read_archives(spark, path)
     return found.select("page_id", F.col("len").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
