@@ -37,7 +37,8 @@ def has_letter(text: bytes) -> bool:
 def _codes(texts: list[bytes]) -> np.ndarray:
     """Each byte with the three before it as one number; texts start after spaces."""
     s = _FOLD[np.frombuffer(_PAD + _PAD.join(texts), np.uint8)].astype(np.uint32)
-    return (s[:-3] << 24) | (s[1:-2] << 16) | (s[2:-1] << 8) | s[3:]
+    own = np.repeat(np.tile([True, False], len(texts)), np.c_[[len(t) for t in texts], [ORDER] * len(texts)].ravel())[: len(s) - 3]
+    return ((s[:-3] << 24) | (s[1:-2] << 16) | (s[2:-1] << 8) | s[3:])[own]
 
 
 @dataclass
