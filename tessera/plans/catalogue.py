@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import bags as bag_fn
 from tessera.functions import semver, text
 from tessera.operators import assign, bags, candidates, joins, pairing, peel, reports, topk
+from tessera.sources import pages, sinks
 from tessera.sources.tables import conversation_functions, functions, library_functions, lines, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -319,12 +320,12 @@ def resume_partial_key(spark, sf_dir):
     return joins.unfinished(table(spark, sf_dir, "customer"), done, ["c_custkey"]).select("c_custkey", "c_name")
 
 
-@query("analysed_files", "select d.doc_id, l.quality, l.toxic, b.item_id from documents d left join labels l using (doc_id) left join benchmark b on b.item_id = d.doc_id")
+@query("analysed_files", "select d.doc_id, coalesce(l.quality, -1)::int quality, coalesce(l.toxic, -1)::int toxic, coalesce(b.item_id, -1)::bigint item_id from documents d left join labels l using (doc_id) left join benchmark b on b.item_id = d.doc_id")
 def analysed_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
     labels = table(spark, sf_dir, "labels")
     item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "item_id")
-    return joins.analysed(docs, labels.select("doc_id", "quality"), labels.select("doc_id", "toxic"), item, ["doc_id"]).select("doc_id", "quality", "toxic", "item_id")
+    return joins.analysed(docs, labels.select("doc_id", "quality"), labels.select("doc_id", "toxic"), item, ["doc_id"]).fillna(-1).select("doc_id", "quality", "toxic", "item_id")
 
 
 @query("status_counts", "with pre as (select distinct o_custkey k from orders), ana as (select distinct o_custkey k from orders join lineitem on l_orderkey = o_orderkey) select c_mktsegment, count(*)::bigint as \"all\", count(pre.k)::bigint preprocessed, count(ana.k)::bigint analysed from customer left join pre on pre.k = c_custkey left join ana on ana.k = c_custkey group by all")
@@ -475,3 +476,26 @@ def bundle_peel(spark, sf_dir):
     libs = items.select(F.col("item_id").cast("string").alias("lib"), F.lit("1.0.0").alias("version"), F.lit("0000").alias("lib_file"), F.lit(1).alias("pos"), "idx", F.element_at(F.split("line", " "), 1).alias("name"), F.split("line", " ").alias("tokens"), F.array().cast("array<string>").alias("types"))
     chosen = candidate_libs(spark, sf_dir).select(F.col("doc_id").alias("file_key"), F.col("item_id").cast("string").alias("lib"), "val")
     return peel.peel_files(files, chosen, libs)
+
+
+@query("html_script_tags", "select page_id, unnest(range(len(s)))::int idx, unnest(s) content from (select page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) s from pages)")
+def html_script_tags(spark, sf_dir):
+    return pages.script_tags(table(spark, sf_dir, "pages")).select("page_id", "idx", "content")
+
+
+@query("extract_js_signature")
+def extract_js_signature(spark, sf_dir):
+    found = pages.extract(pages.script_tags(table(spark, sf_dir, "pages")).filter("content is not null"), ["page_id", "idx"])
+    each = F.transform("literals", lambda v: F.coalesce(v["s"], v["n"].cast("string")))
+    return found.select("page_id", "idx", F.size("functions").alias("n_functions"), F.array_join(each, "|").alias("literals"), "error")
+
+
+@query("sampled_files")
+def sampled_files(spark, sf_dir):
+    return reports.drawn(table(spark, sf_dir, "documents").select("doc_id", "source"), 500, 7, "doc_id")
+
+
+@query("formatted_table", "with x as (select source, count(*) n, count(*) filter (lang = 'en') k from documents group by all) select rpad(source, (select max(length(source)) from x)::int, ' ') || ' & ' || '\\dfrac{' || k || '}{' || n || '} (' || printf('%.1f', 100.0 * k / n) || '\\%)' as line from x")
+def formatted_table(spark, sf_dir):
+    x = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("k"))
+    return sinks.tex_rows(x, "source", "k", "n")
