@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm import oracle
 from tessera.llm.decontaminate import op7_decontamination
 from tessera.llm.embeddings import op6_embeddings
 from tessera.llm.langid import op10_langid
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_langid": op10_langid,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_warc": oracle.WARC,
+    "op6_embeddings": oracle.EMBEDDINGS,
+    "op7_decontamination": oracle.DECONTAMINATION,
+}
