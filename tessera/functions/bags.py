@@ -141,3 +141,20 @@ def reduced(num: Column, den: Column) -> Column:
     g = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda acc: F.greatest(acc["a"], F.lit(1).cast("long")))
     whole = lambda x: F.floor(x / g).cast("long")
     return F.struct(whole(num.cast("long")).alias("num"), whole(den).alias("den"))
+
+
+def first_position(a: Column, v: Column) -> Column:
+    """Position of the first equal element, from 0; -1 if there is none."""
+    return (F.array_position(a, v) - 1).cast("int")
+
+
+def last_position(a: Column, v: Column) -> Column:
+    """Position of the last equal element, from 0; -1 if there is none."""
+    back = F.array_position(F.reverse(a), v)
+    return F.when(back > 0, F.size(a) - back).otherwise(-1).cast("int")
+
+
+def chunks(a: Column, size: int) -> Column:
+    """The array cut into pieces of a length, the last one shorter; an empty array gives none."""
+    starts = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(a, i, size))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.bags import score
@@ -16,11 +16,13 @@ def counts(df: DataFrame, key: str, value: str) -> DataFrame:
 def bag_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, value: str) -> DataFrame:
     """(left_key, right_key, num, n_left, n_right) of all pairs of bags that share a value; pairs of empty bags share none.
 
-    left and right are count tables with a key each. Sizes ride on the counts as windows over the same keys.
+    left and right are count tables with a key each. Sizes are joined to the pairs, which are far fewer than the values;
+    the count tables' exchanges are reused for them.
     """
-    sized = lambda df, k, n: df.select(k, value, F.col("n").alias(n), F.sum("n").over(Window.partitionBy(k)).alias(f"size_{n}"))
-    joined = sized(left, left_key, "a").join(sized(right, right_key, "b"), value)
-    return joined.groupBy(left_key, right_key).agg(F.sum(F.least("a", "b")).cast("long").alias("num"), F.first("size_a").cast("long").alias("n_left"), F.first("size_b").cast("long").alias("n_right"))
+    num = left.withColumnRenamed("n", "_a").join(right.withColumnRenamed("n", "_b"), value).groupBy(left_key, right_key).agg(F.sum(F.least("_a", "_b")).cast("long").alias("num"))
+    n_left = left.groupBy(left_key).agg(F.sum("n").cast("long").alias("n_left"))
+    n_right = right.groupBy(right_key).agg(F.sum("n").cast("long").alias("n_right"))
+    return num.join(n_left, left_key).join(n_right, right_key).select(left_key, right_key, "num", "n_left", "n_right")
 
 
 def scored(overlap: DataFrame, kind: str) -> DataFrame:

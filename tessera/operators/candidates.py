@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.bags import bag_overlap, counts
-from tessera.operators.topk import top_k
 
 #: Candidates kept for a file, for a bundle, and without a limit given.
 PER_FILE, PER_BUNDLE, DEFAULT_LIMIT = 10, 50, 100
@@ -21,8 +20,11 @@ def candidate_libs(files: DataFrame, libs: DataFrame, file: str, lib: str, value
     """(file, lib, val, num, den, top). A file that libraries contain gets all of those, with the certain score; others
     get the limit's most similar ones, ties by library. Files without literals get none."""
     pairs = set_similarity(files, libs, file, lib, value)
-    within = pairs.filter(F.col("num") == F.col("n_left")).select(file, lib, F.lit(1.0).alias("val"), F.lit(-1).cast("long").alias("num"), F.lit(-1).cast("long").alias("den"))
-    den = F.col("n_left") + F.col("n_right") - F.col("num")
-    near = pairs.join(within.select(file).distinct(), file, "left_anti").select(file, lib, (F.col("num") / den).alias("val"), "num", den.alias("den"))
-    best = top_k(near, [file], [F.desc("val"), lib], limit)
-    return top_k(within, [file], [lib], 1 << 30).unionByName(best)
+    inside, den = F.col("num") == F.col("n_left"), F.col("n_left") + F.col("n_right") - F.col("num")
+    by = Window.partitionBy(file)
+    # One pass: whether any library contains the file decides which of its pairs count, and how.
+    marked = pairs.withColumn("_in", F.max(inside).over(by)).filter(inside | ~F.col("_in"))
+    pick = lambda certain, near, name: F.when(F.col("_in"), F.lit(certain)).otherwise(near).alias(name)
+    scored = marked.select(file, lib, "_in", pick(1.0, F.col("num") / den, "val"), pick(-1, F.col("num"), "num").cast("long"), pick(-1, den, "den").cast("long"))
+    ranked = scored.withColumn("top", F.row_number().over(by.orderBy(F.desc("val"), lib)))
+    return ranked.filter(F.col("_in") | (F.col("top") <= limit)).drop("_in")
