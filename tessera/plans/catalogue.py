@@ -460,13 +460,85 @@ def _assigned(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         unknown, lib = conversation_functions(spark, sf_dir)
         pairs = table(spark, sf_dir, "conversations").select("conv_id", F.col("conv_id").alias("lib_id")).distinct()
-        return assign.match_pairs(pairs, unknown, lib, "conv_id", "lib_id", name)
+        found = assign.match_pairs(pairs, unknown, lib, "conv_id", "lib_id", name)
+        joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+        return found.select("conv_id", "lib_id", "num", "den", "val", joined("unknown_idx"), joined("lib_idx"))
 
     return run
 
 
-for _name in assign.METHODS:
-    QUERIES["assign_" + _name.replace("-", "_")] = _assigned(_name)
+#: Turns of a conversation: user turns are the unknown side, others the library; r numbers each side from 0.
+_SIDED = """
+t as (select conv_id, role = 'user' side, turn::int idx, string_split(replace(text, chr(10), ' '), ' ') tokens, string_split(text, ' ')[1] name from conversations where text is not null),
+f as (select *, (row_number() over (partition by conv_id, side order by idx) - 1)::int r from t),
+c as (select conv_id, count(*) filter (side)::bigint nu, count(*) filter (not side)::bigint nl from f group by conv_id),
+every as (select c.* from (select distinct conv_id from conversations) e join c using (conv_id) union all select conv_id, 0, 0 from (select distinct conv_id from conversations) where conv_id not in (select conv_id from c))
+"""
+
+
+def _similar(token: str) -> str:
+    """Pairs (u, l, v) of turns with the bag Jaccard of their tokens, above 0."""
+    return f"""
+w as (select conv_id, side, r, {token} tok, count(*) n from (select conv_id, side, r, unnest(tokens) x from f) group by all),
+s as (select conv_id, side, r, len(tokens) s from f),
+o as (select a.conv_id, a.r u, b.r l, sum(least(a.n, b.n)) m from w a join w b on a.conv_id = b.conv_id and a.tok = b.tok and a.side and not b.side group by all),
+p as (select o.conv_id, u, l, m / (x.s + y.s - m) v from o join s x on x.conv_id = o.conv_id and x.side and x.r = u join s y on y.conv_id = o.conv_id and not y.side and y.r = l)
+"""
+
+
+def _in_turn(me: str, other: str) -> str:
+    """One side chooses in order: a recursion that carries who is taken."""
+    return f"""
+st as (
+  select conv_id, 0 step, []::int[] taken, null::int got from every
+  union all
+  select q.conv_id, q.step + 1, case when o is null then taken else list_append(taken, o) end, o
+  from (select st.conv_id, st.step, any_value(st.taken) taken, -(max({{'v': p.v, 'o': -p.{other}}})).o o
+        from st join (select conv_id, max({me}) last from p group by all) k on k.conv_id = st.conv_id and st.step <= k.last
+        left join p on p.conv_id = st.conv_id and p.{me} = st.step and not list_contains(st.taken, p.{other}) group by all) q
+),
+mapping as (select conv_id, {"step - 1 u, got l" if me == "u" else "got u, step - 1 l"} from st where got is not null)
+"""
+
+
+_BEST_FIRST = """
+st as (
+  select conv_id, 0 step, []::int[] tu, []::int[] tl, {'v': 0.0::double, 'u': 0, 'l': 0} b from every
+  union all
+  select conv_id, step + 1, list_append(tu, -b.u), list_append(tl, -b.l), b
+  from (select st.conv_id, st.step, any_value(st.tu) tu, any_value(st.tl) tl, max({'v': p.v, 'u': -p.u, 'l': -p.l}) b
+        from st join p on p.conv_id = st.conv_id and not list_contains(st.tu, p.u) and not list_contains(st.tl, p.l) group by all) q
+),
+mapping as (select conv_id, -b.u u, -b.l l from st where step > 0)
+"""
+_EXACT = "k as (select *, row_number() over (partition by conv_id, side, {key} order by r) q from (select *, list_sort(tokens) bag from f)), mapping as (select a.conv_id, a.r u, b.r l from k a join k b on a.conv_id = b.conv_id and a.{key} = b.{key} and a.q = b.q and a.side and not b.side)"
+_FIRST = "k as (select conv_id, side, name, min(r) r from f group by all), mapping as (select a.conv_id, a.r u, b.r l from k a join k b on a.conv_id = b.conv_id and a.name = b.name and a.side and not b.side)"
+
+
+def _assigned_sql(mapping: str, den: str = "nu + nl - m", empty: str = "1.0", counts: str = "every") -> str:
+    return f"""
+with recursive {_SIDED}, {mapping},
+g as (select mapping.conv_id, count(*)::bigint m, string_agg(x.idx::varchar, ',' order by x.idx) ui, string_agg(y.idx::varchar, ',' order by x.idx) li from mapping join f x on x.conv_id = mapping.conv_id and x.side and x.r = u join f y on y.conv_id = mapping.conv_id and not y.side and y.r = l group by mapping.conv_id),
+z as (select conv_id, nu, nl, coalesce(m, 0) m, coalesce(ui, '') ui, coalesce(li, '') li from {counts} left join g using (conv_id))
+select conv_id, conv_id lib_id, m num, ({den})::bigint den, case when ({den}) = 0 then {empty} else m / ({den}) end val, ui unknown_idx, li lib_idx from z
+"""
+
+
+_ONE_SIDED = "case when nu = 0 then 1.0 else 0.0 end"
+_NAMES_COUNTED = "(select conv_id, count(k.name) filter (side) nu, count(k.name) filter (not side) nl from every left join k using (conv_id) group by conv_id)"
+for _name, _sql in {
+    "fn-st-toks-v1": _assigned_sql(f"{_similar('x')}, {_in_turn('u', 'l')}"),
+    "fn-st-toks-v2": _assigned_sql(f"{_similar('x')}, {_in_turn('l', 'u')}"),
+    "fn-st-toks-v3": _assigned_sql(f"{_similar('x')}, {_BEST_FIRST}"),
+    "fn-st-types": _assigned_sql(f"{_similar('left(x, 2)')}, {_in_turn('u', 'l')}"),
+    "fn-st-toks-v5": _assigned_sql(_EXACT.format(key="bag")),
+    "fn-st-toks-v6": _assigned_sql(_EXACT.format(key="bag"), "nl", _ONE_SIDED),
+    "fn-names-st-toks": _assigned_sql(_EXACT.format(key="name")),
+    "fn-names-jaccard": _assigned_sql(_FIRST, counts=_NAMES_COUNTED),
+    "fn-names-our": _assigned_sql(_FIRST, "nl", _ONE_SIDED, _NAMES_COUNTED),
+    "fn-st-toks-v4": None,  # exact mean of fractions
+}.items():
+    query("assign_" + _name.replace("-", "_"), _sql)(_assigned(_name))
 
 
 @query("bundle_peel")
