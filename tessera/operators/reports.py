@@ -96,3 +96,28 @@ def slices(df: DataFrame, order: str, n: int) -> DataFrame:
     """df with ``slice``: n ranges of equal length in the order of a column."""
     w = Window.orderBy(order)
     return df.withColumn("slice", F.floor((F.row_number().over(w) - 1) / F.ceil(F.lit(df.count()) / n)))
+
+
+def exact_matches(results: DataFrame, method: str, parts: list[str]) -> DataFrame:
+    """(method, matches): the encoded places where a method scored 1."""
+    return results.filter("val = 1").groupBy(method).agg(F.array_sort(F.collect_set(F.concat_ws("/", *parts))).alias("matches"))
+
+
+def function_evaluation(truth: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of ratios over hand-checked functions, each expected to be 1.
+
+    truth: (keys, fn_index, lib_index, target, reason), target true for a function that matches, else with the reason
+    why not. mapping: (keys, unknown_idx, lib_idx). matched: targets that the mapping pairs as they should be; apart:
+    others that it doesn't pair; gone: of those, the ones whose function is gone.
+    """
+    pairs = mapping.select(*keys, F.col("unknown_idx").alias("fn_index"), F.col("lib_idx").alias("lib_index")).distinct().withColumn("_hit", F.lit(True))
+    rows = truth.join(pairs, [*keys, "fn_index", "lib_index"], "left")
+    hit, target = F.coalesce("_hit", F.lit(False)), F.coalesce("target", F.lit(False))
+    share = lambda good, of, name: ratio(F.count_if(of & good), F.count_if(of), 1.0).alias(name)
+    return rows.agg(share(hit, target, "matched"), share(~hit, ~target, "apart"), share(~hit, ~target & (F.col("reason") == "gone"), "gone"))
+
+
+def library_evaluation(scores: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """(exact, empty, total): targets of the truth that score 1, and those whose library has no functions."""
+    rows = truth.select(*keys).distinct().join(scores, keys, "left")
+    return rows.agg(F.count_if((F.col("val") == 1) & (F.col("den") > 0)).alias("exact"), F.count_if(F.col("den") == 0).alias("empty"), F.count("*").alias("total"))

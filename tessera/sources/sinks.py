@@ -44,3 +44,9 @@ def mapping_lines(df: DataFrame) -> DataFrame:
     """(file, line): pairs of a mapping, best first, rounded to six places."""
     line = F.format_string("%s -> %s: %.6f (%d/%d)", F.lpad(F.col("unknown_idx").cast("string"), 6, " "), F.lpad(F.col("lib_idx").cast("string"), 6, " "), F.round("val", 6), "num", "den")
     return df.orderBy(F.desc("val"), "unknown_idx").select("file_key", line.alias("line"))
+
+
+def copy_table(df: DataFrame, path: str, partition: list[str] | None = None, conservative: bool = True) -> None:
+    """Analysed outputs copied to another place, in the same folders if they are named."""
+    writer = df.write.mode("ignore" if conservative else "overwrite")
+    (writer.partitionBy(*partition) if partition else writer).parquet(path)

@@ -163,3 +163,21 @@ def test_registry_stream(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "ok")).collect()
     assert sorted((r.name, r.version, r.time_raw) for r in rows) == [("a", "1.0.0", "2020"), ("a", "2.0.0", "2021"), ("c", "0.1.0", "unknown")]
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "no")).collect()) == ["_design", "b"]
+
+
+def test_reports(spark, tmp_path):
+    results = frame(spark, [("v6", "a", "1.0.0", 1.0), ("v6", "b", "1.0.0", 0.5), ("v5", "a", "1.0.0", 1.0)], "method string, lib string, version string, val double")
+    assert {r.method: r.matches for r in reports.exact_matches(results, "method", ["lib", "version"]).collect()} == {"v6": ["a/1.0.0"], "v5": ["a/1.0.0"]}
+    truth = frame(spark, [("x", 1, 5, True, None), ("x", 2, 6, True, None), ("x", 3, 7, False, "gone"), ("x", 4, 8, False, "mod")], "app string, fn_index int, lib_index int, target boolean, reason string")
+    mapping = frame(spark, [("x", 1, 5), ("x", 4, 8)], "app string, unknown_idx int, lib_idx int")
+    assert tuple(reports.function_evaluation(truth, mapping, ["app"]).first()) == (0.5, 0.5, 1.0)
+    assert tuple(reports.function_evaluation(truth.filter("false"), mapping, ["app"]).first()) == (1.0, 1.0, 1.0)
+    scores = frame(spark, [("a", 1.0, 3), ("b", 1.0, 0)], "lib string, val double, den long")
+    assert tuple(reports.library_evaluation(scores, frame(spark, [("a",), ("b",), ("c",)], "lib string"), ["lib"]).first()) == (1, 1, 3)
+    sinks.copy_table(results, str(tmp_path / "t"), ["method"])
+    sinks.copy_table(results.filter("false"), str(tmp_path / "t"), ["method"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    mentions = frame(spark, [(1, "a", "1"), (2, "b", "1"), (3, "a", "2"), (4, "a", "1")], "seq int, name string, version string")
+    assert [(r.name, r.n, r.versions) for r in reports.mention_counts(mentions).collect()] == [("a", 3, ["1", "2"]), ("b", 1, ["1"])]
+    assert reports.merged([mentions, mentions]).count() == 4
+    assert tuple(reports.detection_ratios(frame(spark, [], "found string")).first()) == (0.0, 0.0, 0.0, 0.0)
