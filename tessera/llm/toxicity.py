@@ -93,7 +93,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     # The sample is bounded by its limit, so it may be broadcast; documents aren't shuffled.
     pairs = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = materialise(pairs.mapInArrow(featurise, f"doc_id {kind}, y int, words array<string>").dropDuplicates(["doc_id"]), "toxic-sample")
+    sample = materialise(pairs.mapInArrow(featurise, f"doc_id {kind}, y int, words array<string>"), "toxic-sample")
+    if sample.count() > sample_docs:  # repeated documents: one row of each
+        sample = materialise(sample.dropDuplicates(["doc_id"]), "toxic-sample")
     n = sample.agg(F.count("*").alias("n"), F.expr("count_if(y > 0)").alias("bad")).first()
     good = n.n - n.bad
     if not n.bad or not good:
