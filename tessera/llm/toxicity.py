@@ -1,7 +1,12 @@
-"""Toxicity severity by cumulative-link ordinal regression on sparse word features."""
+"""Toxicity severity by cumulative-link ordinal regression on sparse text features.
+
+Features of a text: its distinct words, and beginnings that at least two of its distinct words share, so that a stem
+counts whose single forms are too rare to be learned one by one.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,29 +19,52 @@ from tessera.llm.decontaminate import words_of
 
 #: Labelled documents that the model is fitted on: the bound of the sample.
 SAMPLE_DOCS = 8000
-#: Words used as features at most, and how many standard errors their rates in toxic and other documents must differ by.
-MAX_FEATURES, MIN_Z = 2048, 4.5
+#: Features at most, and by how many standard errors their rate in toxic documents must exceed that in others.
+MAX_FEATURES, MIN_Z = 4096, 4.0
+#: Lengths of beginnings in bytes, and how many distinct longer words must share one.
+STEM_LENGTHS, STEM_WORDS = (4, 5, 6), 2
 #: Grades above 0 that toxic documents are dealt into.
 TOXIC_GRADES = 3
 #: A document is rejected from this probability of any toxicity (a grade above 0) on.
 REJECT_AT = 0.5
-STEPS, RATE, RIDGE = 400, 0.1, 1e-3
+STEPS, RATE, RIDGE = 400, 0.1, 1e-4
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def features_of(text: bytes | None) -> set[str]:
+    """Words as they are, shared beginnings with a star; bytes stand as Latin-1 characters, so no text is cut wrongly."""
+    words = set(words_of(text))
+    out = {w.decode("latin-1") for w in words}
+    for n in STEM_LENGTHS:
+        shared = Counter(w[:n] for w in words if len(w) > n)
+        out.update(p.decode("latin-1") + "*" for p, k in shared.items() if k >= STEM_WORDS)
+    return out
+
+
 @dataclass
 class Model:
-    weights: dict[bytes, float]
+    weights: dict[str, float]
     thresholds: np.ndarray  # ascending; P(grade > k) = sigmoid(score - thresholds[k])
 
+    def __post_init__(self):
+        self.words = {f.encode("latin-1"): w for f, w in self.weights.items() if not f.endswith("*")}
+        stems = {f[:-1].encode("latin-1"): w for f, w in self.weights.items() if f.endswith("*")}
+        self.stems = {n: known for n in STEM_LENGTHS if (known := {p: w for p, w in stems.items() if len(p) == n})}
+
+    def score(self, text: bytes | None) -> float:
+        words = set(words_of(text))
+        total = sum(self.words[w] for w in self.words.keys() & words)
+        for n, known in self.stems.items():
+            shared = Counter(filter(known.__contains__, [w[:n] for w in words if len(w) > n]))
+            total += sum(known[p] for p, k in shared.items() if k >= STEM_WORDS)
+        return total
+
     def above(self, texts: list[bytes | None]) -> np.ndarray:
-        """P(grade > k) for each text and k. A word counts once for each text."""
-        weights = self.weights
-        known = weights.keys()
-        scores = np.array([sum(weights[w] for w in known & set(words_of(t))) if t else 0.0 for t in texts])
+        """P(grade > k) for each text and k. A feature counts once for each text."""
+        scores = np.array([self.score(t) for t in texts], float)
         return _sigmoid(scores[:, None] - self.thresholds[None])
 
 
@@ -77,7 +105,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     """A model from a bounded sample of labelled documents, whole texts each.
 
     labels has doc_id and toxic. A grade column of labels (integers from 0) is used as it is; without one, toxic
-    documents are graded 1 to TOXIC_GRADES by how many of the words that mark toxic documents they hold, and others 0.
+    documents are graded 1 to TOXIC_GRADES by how many of the features that mark toxic documents they have, and others 0.
     Null labels teach nothing; of several labels of a document the highest counts; without toxic labels or without
     features, only the thresholds speak. A text that is null has no words.
     """
@@ -87,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
     def featurise(batches):
         for b in batches:
-            words = [sorted({w.decode("utf-8", "replace") for w in words_of(t)}) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            words = [sorted(features_of(t)) for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], ["doc_id", "y", "words"])
 
     # The sample is bounded by its limit, so it may be broadcast; documents aren't shuffled.
@@ -104,11 +132,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     p1, p0, p = F.col("k1") / n.bad, F.col("k0") / good, (F.col("k1") + F.col("k0")) / n.n
     z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n.bad + 1 / good))
     least = min(MIN_Z, 0.5 * n.bad**0.5)
-    marks = rates.filter("k0 + k1 >= 3").withColumn("z", z).filter(F.abs("z") >= least).orderBy(F.desc(F.abs("z")), "word").limit(MAX_FEATURES).collect()
+    marks = rates.filter("k0 + k1 >= 3").withColumn("z", z).filter(F.col("z") >= least).orderBy(F.desc("z"), "word").limit(MAX_FEATURES).collect()
     vocab = {r.word: i for i, r in enumerate(marks)}
-    strong = [r.word for r in marks if r.z > 0 and r.k1 / n.bad > 10 * r.k0 / good]
+    strong = {r.word for r in marks if r.k1 / n.bad > 10 * r.k0 / good}
     rows = sample.select("y", F.array_intersect("words", F.lit(list(vocab) or [""])).alias("words")).collect()
-    found = [(r.y, [vocab[w] for w in r.words if w in vocab], sum(w in set(strong) for w in r.words)) for r in rows]
+    found = [(r.y, [vocab[w] for w in r.words if w in vocab], sum(w in strong for w in r.words)) for r in rows]
     if graded:
         grades, rows = max(1, max(y for y, _, _ in found)), [(y, x) for y, x, _ in found]
     else:
@@ -116,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         cuts = np.quantile(hits, [k / TOXIC_GRADES for k in range(1, TOXIC_GRADES)])
         grades, rows = TOXIC_GRADES, [(1 + int((h > cuts).sum()) if y > 0 else 0, x) for y, x, h in found]
     weights, thresholds = fit(rows, len(vocab), grades)
-    return Model({w.encode(): float(weights[i]) for w, i in vocab.items()}, thresholds)
+    return Model({w: float(weights[i]) for w, i in vocab.items()}, thresholds)
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
