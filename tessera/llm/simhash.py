@@ -163,7 +163,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the decision and stay.
     """
     found = materialise(near_groups(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "near")
-    kept = docs.join(found.filter("goes").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    # The list of ids grows with the documents: always a shuffled hash join, which builds on the ids and sorts no texts.
+    gone = found.filter("goes").select(F.col("doc_id").alias(id_col)).distinct().hint("shuffle_hash")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     again = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_col))
     if again.isEmpty():
         return kept
