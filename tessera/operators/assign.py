@@ -187,6 +187,8 @@ METHODS: dict[str, Callable[[list[Fn], list[Fn]], Match]] = {
     "fn-st-types": by_types, "fn-names-jaccard": names_jaccard, "fn-names-our": names_our, "fn-names-st-toks": names_tokens,
 }
 DEFAULT_METHOD = "fn-st-toks-v6"
+#: Methods that pair equal token bags only.
+EXACT_METHODS = ("fn-st-toks-v5", "fn-st-toks-v6")
 
 
 def method(name: str | None = None) -> Callable[[list[Fn], list[Fn]], Match]:

@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.assign import Fn, functions_of, method
+from tessera.operators.assign import DEFAULT_METHOD, EXACT_METHODS, Fn, functions_of, method
 
 #: Fixed value: matches kept for each candidate.
 MATCHES = 5
+OUT = (("phase", "string"), ("lib", "string"), ("top", "int"), ("match", "int"), ("version", "string"), ("lib_file", "string"), ("num", "bigint"), ("den", "bigint"), ("val", "double"), ("mapped", "array<int>"))
 
 
 def match_candidate(remaining: list[Fn], versions: list[tuple[str, str, list[Fn]]], run, stop_at_exact: bool) -> list[tuple]:
@@ -55,22 +56,38 @@ def peel_files(files: DataFrame, candidates: DataFrame, libs: DataFrame, file: s
     """
     run = method(name)
     fields = ["idx", "name", "tokens", "types"]
-    own = files.select(file, *fields).withColumns({"lib": F.lit(None).cast("string"), "val": F.lit(None).cast("double"), "version": F.lit(None).cast("string"), "lib_file": F.lit(None).cast("string"), "pos": F.lit(None).cast("int")})
-    theirs = candidates.select(file, F.col("lib").cast("string").alias("lib"), "val").join(libs.select(F.col("lib").cast("string").alias("lib"), "version", "lib_file", F.col("pos").cast("int").alias("pos"), *fields), "lib")
-    rows = own.unionByName(theirs.select(own.columns))
+    candidates = candidates.select(file, F.col("lib").cast("string").alias("lib"), "val")
+    libs = libs.withColumns({"lib": F.col("lib").cast("string"), "pos": F.col("pos").cast("int")})
     kind = files.schema[file].dataType.simpleString()
+    idle = None
+    if (name or DEFAULT_METHOD) in EXACT_METHODS:
+        # An exact method scores above 0 only where a bag is equal: other files keep all, and other pairs need no functions.
+        own_bags = files.select(file, F.array_sort("tokens").alias("bag")).distinct()
+        live = candidates.join(own_bags, file).join(libs.select("lib", F.array_sort("tokens").alias("bag")).distinct(), ["lib", "bag"]).select(file, "lib").distinct()
+        busy = live.select(file).distinct()
+        alone = files.join(busy, file, "left_anti").groupBy(file).agg(F.array_sort(F.collect_list("idx")).cast("array<int>").alias("mapped"))
+        idle = alone.select(file, F.lit("remaining").alias("phase"), *[F.lit(None).cast(t).alias(c) for c, t in OUT[1:-1]], "mapped")
+        files, candidates = files.join(busy, file, "left_semi"), candidates.join(busy, file, "left_semi")
+        pairs = candidates.join(live, [file, "lib"], "left_semi")
+    else:
+        pairs = candidates
+    none = lambda *names: {c: F.lit(None).cast(t) for c, t in (("lib", "string"), ("val", "double"), ("version", "string"), ("lib_file", "string"), ("pos", "int"), ("idx", "int"), ("name", "string"), ("tokens", "array<string>"), ("types", "array<string>")) if c in names}
+    own = files.select(file, *fields).withColumns(none("lib", "val", "version", "lib_file", "pos"))
+    listed = candidates.withColumns(none("version", "lib_file", "pos", *fields)).select(own.columns)
+    theirs = pairs.join(libs.select("lib", "version", "lib_file", "pos", *fields), "lib").select(own.columns)
+    rows = own.unionByName(listed).unionByName(theirs)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         mine = functions_of(pdf[pdf.lib.isna()])
+        order = dict(zip(pdf.lib[pdf.lib.notna()], pdf.val[pdf.lib.notna()], strict=True))
         libs_: dict[str, list] = {}
-        order: dict[str, float] = {}
-        for (lib, val, _, version, lib_file), part in pdf[pdf.lib.notna()].groupby(["lib", "val", "pos", "version", "lib_file"], sort=True):
+        for (lib, _, version, lib_file), part in pdf[pdf.lib.notna() & pdf.pos.notna()].groupby(["lib", "pos", "version", "lib_file"], sort=True):
             libs_.setdefault(lib, []).append((version, lib_file, functions_of(part)))
-            order[lib] = val
         rank, secondary, left = peel(mine, sorted(order.items()), libs_, run)
         out = [(key[0], phase, lib, top, k, version, lib_file, num, den, val, sorted(mapped)) for phase, entries in (("rank", rank), ("secondary", secondary)) for lib, top, matches in entries for k, (val, num, den, version, lib_file, mapped) in enumerate(matches, 1)]
         out.append((key[0], "remaining", None, None, None, None, None, None, None, None, [f.index for f in left]))
         frame = pd.DataFrame(out, columns=[file, "phase", "lib", "top", "match", "version", "lib_file", "num", "den", "val", "mapped"])
         return frame.astype({c: "Int64" for c in ("top", "match", "num", "den")})
 
-    return rows.groupBy(file).applyInPandas(one, f"{file} {kind}, phase string, lib string, top int, match int, version string, lib_file string, num bigint, den bigint, val double, mapped array<int>")
+    out = rows.groupBy(file).applyInPandas(one, ", ".join(f"{c} {t}" for c, t in ((file, kind), *OUT)))
+    return out if idle is None else out.unionByName(idle)
