@@ -69,7 +69,9 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: str
     names = [c for c in groups.columns if c != key]
     floor = max(1, -(-total // HOT_KEYS))
     hot = groups.filter(F.col(count) >= floor).select(key, F.struct(*names).alias("_hot"))
-    cold = groups.filter(F.col(count) < floor).select(key, F.lit(0).cast("int").alias("_salt"), F.struct(*names).alias("_cold"))
+    # Always 0, but not a literal: the optimiser would take a constant out of the join's keys, and with it the salt.
+    zero = F.pmod(F.col(count), F.lit(1)).cast("int").alias("_salt")
+    cold = groups.filter(F.col(count) < floor).select(key, zero, F.struct(*names).alias("_cold"))
     left = rows.join(F.broadcast(hot), key, "left")
     left = left.withColumn("_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
     out = left.join(cold, [key, "_salt"], "left")
