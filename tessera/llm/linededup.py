@@ -14,7 +14,7 @@ from tessera.llm.common import lookup, materialise, table
 #: A sentence of fewer words joins the next one of its line.
 MIN_UNIT_WORDS = 5
 #: Repeated units are removed where so many words of them stand together.
-MIN_RUN_WORDS = 25
+MIN_RUN_WORDS = 20
 
 _BREAK = re.compile(rb"\n+|(?<=[.!?])[ \t]+")
 

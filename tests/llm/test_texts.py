@@ -20,7 +20,7 @@ def docs(spark, rows):
 PASSAGE = " ".join(f"Sentence {i} of the passage goes on for a while." for i in range(8))
 
 
-def slow_spans(rows, least=5, run=25):
+def slow_spans(rows, least=5, run=20):
     """Units by hand, the first of each digest kept, runs of others of at least ``run`` words."""
     seen, every = {}, []
     for rid, (i, t) in enumerate(rows):
