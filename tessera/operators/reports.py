@@ -89,7 +89,7 @@ def by_phase(ranked: DataFrame, keys: list[str]) -> DataFrame:
 
 def drawn(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """n rows without replacement, the same ones for a seed: the smallest hashes. Spark keeps n rows in each task."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)
 
 
 def slices(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -567,7 +567,7 @@ def extract_js_signature(spark, sf_dir):
     return found.select("page_id", "idx", F.size("functions").alias("n_functions"), F.array_join(each, "|").alias("literals"), "error")
 
 
-@query("sampled_files")
+@query("sampled_files", "select doc_id, source from documents order by md5('7|' || doc_id), doc_id limit 500")
 def sampled_files(spark, sf_dir):
     return reports.drawn(table(spark, sf_dir, "documents").select("doc_id", "source"), 500, 7, "doc_id")
 
