@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -156,13 +157,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lookup(rows, groups, "fp", "n", "doc_id", counted[1]).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[[DataFrame, str, str], DataFrame] = near_groups) -> DataFrame:
     """The rows of docs, with all their columns, that stay: one document of each group, the one with the smallest id.
 
     Rows that share an id and stay are one document: one row of them is kept. Rows without an id can't be named by
     the decision and stay.
     """
-    found = materialise(near_groups(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "near")
+    found = materialise(groups(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "near")
     # The list of ids grows with the documents: always a shuffled hash join, which builds on the ids and sorts no texts.
     gone = found.filter("goes").select(F.col("doc_id").alias(id_col)).distinct().hint("shuffle_hash")
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
