@@ -116,5 +116,5 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = repeated_spans(table(spark, sf_dir, "documents"))
+    spans = repeated_spans(table(spark, sf_dir, "documents"), run_words=1)  # every repeated unit is reported
     return spans.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "n_units", "n_words", "kept_doc_id")

@@ -70,6 +70,15 @@ def test_repeated_spans(spark):
     assert linededup.repeated_spans(docs(spark, rows).filter("false")).count() == 0
 
 
+def test_short_repeats_are_reported(spark, tmp_path):
+    line = "A line of just seven short words"
+    cut = "end within a sentence that opened before. Twelve words stand in this sentence and it is whole there. " + " ".join(f"w{i}" for i in range(40))
+    rows = [(0, f"Own {line}\n{line}\nx zero {cut} zero"), (1, f"{line}\ny one {cut} one")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = linededup.op3_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, rows[r.doc_id][1][r.span_start : r.span_end]) for r in out) == [(1, line), (1, "Twelve words stand in this sentence and it is whole there.")]
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = [(3, "http://a/x y\n", "<p>é</p>" * 9000), (1, None, "same"), (2, "http://b", "same"), (2, "http://b", "same"), (4, "", None), (5, "u", ""), (None, "n", "same"), (6, "u", "WARC/1.1\r\n\r\n0\r\n\r\n"), (7, "u", "<p>é</p>" * 9000)]
     df = spark.createDataFrame([(*p, "clash", "clash") for p in pages], "page_id long, url string, html string, digest string, rid string")
