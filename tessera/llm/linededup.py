@@ -17,9 +17,11 @@ MIN_UNIT_WORDS = 5
 MIN_RUN_WORDS = 20
 
 _BREAK = re.compile(rb"\n+|(?<=[.!?])[ \t]+")
+#: Cuts after sentences that end in closing quotes or other signs too; the group is the white space.
+ENDINGS = re.compile(rb"\n+|(?:[.!?]|\xe2\x80\xa6)(?:[!-/:-@\[-`{-~]|\xc2\xbb|\xe2\x80[\x98-\x9f\xa6\xba])*([ \t]+)")
 
 
-def units_of(text: bytes, least: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, bytes]]:
+def units_of(text: bytes, least: int = MIN_UNIT_WORDS, breaks: re.Pattern[bytes] = _BREAK) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of the units of a text, as byte offsets: lines, cut after sentences.
 
     Normalised: A-Z lower-cased, white space as single spaces. The digest is XXH3-128. Blank units are left out.
@@ -32,18 +34,18 @@ def units_of(text: bytes, least: int = MIN_UNIT_WORDS) -> list[tuple[int, int, i
             out.append((open_at, end, len(words), xxhash.xxh3_128_digest(b" ".join(words))))
         open_at, words = None, []
 
-    for m in [*_BREAK.finditer(text), None]:
-        end = m.start() if m else len(text)
+    for m in [*breaks.finditer(text), None]:
+        end = m.start(m.lastindex or 0) if m else len(text)
         if own := text[at:end].lower().split():
             open_at = at if open_at is None else open_at
             words += own
-        if not m or text[m.start()] == 10 or len(words) >= least:
+        if not m or text[end] == 10 or len(words) >= least:
             close(end)
         at = m.end() if m else end
     return out
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS) -> DataFrame:
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, breaks: re.Pattern[bytes] = _BREAK) -> DataFrame:
     """(rid, doc_id, idx, start, end, words, digest) of every unit; rid tells repeated documents apart."""
     names = ["rid", "doc_id", "idx", "start", "end", "words", "digest"]
     kinds = [pa.int64(), None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -54,7 +56,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 rids, ids, found = [], [], []
                 part = b.slice(i, 256)
                 for rid, doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                    own = units_of(text or b"", least)
+                    own = units_of(text or b"", least, breaks)
                     rids += [rid] * len(own)
                     ids += [doc] * len(own)
                     found += [(k, *u) for k, u in enumerate(own)]
@@ -66,7 +68,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     return slim.mapInArrow(run, f"rid bigint, doc_id {kind}, idx int, start bigint, end bigint, words bigint, digest binary")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, run_words: int = MIN_RUN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, run_words: int = MIN_RUN_WORDS, breaks: re.Pattern[bytes] = _BREAK) -> DataFrame:
     """(rid, doc_id, start, end, n_units, n_words, kept_doc_id) of each span to remove, as byte offsets of the original text.
 
     Documents are ranked by id (nulls last, repeated ids by position); of equal units the earliest ranked, then the
@@ -75,7 +77,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are broadcast by a bound on their number, so no task gets all copies of a unit. Null and blank texts have no
     units; an empty docs gives no rows; other columns aren't read.
     """
-    found = materialise(units(docs, id_col, text_col, least), "units")
+    found = materialise(units(docs, id_col, text_col, least, breaks), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "idx")
     groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("first")).filter("n > 1")
     groups = groups.select("digest", "n", F.col("first.doc_id").alias("kept"), F.col("first.rid").alias("kept_rid"), F.col("first.idx").alias("kept_idx"))
@@ -88,14 +90,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.filter(F.col("n_words") >= run_words).drop("run")
 
 
-def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, run_words: int = MIN_RUN_WORDS) -> DataFrame:
+def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, run_words: int = MIN_RUN_WORDS, breaks: re.Pattern[bytes] = _BREAK) -> DataFrame:
     """docs with all its columns, each text without its repeated spans, and ``removed``: the spans' original byte offsets.
 
     docs is written once, so that its rows keep their numbers; a column of docs named removed is replaced.
     """
     docs = materialise(docs, "docs")
     slim = docs.withColumn("_row", F.monotonically_increasing_id())
-    spans = repeated_spans(docs, id_col, text_col, least, run_words)
+    spans = repeated_spans(docs, id_col, text_col, least, run_words, breaks)
     cuts = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     names = [c for c in docs.columns if c != "removed"]
     joined = slim.drop("removed").join(cuts, slim["_row"] == cuts["rid"], "left").select(*names, "removed")
@@ -116,5 +118,5 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = repeated_spans(table(spark, sf_dir, "documents"), run_words=1)  # every repeated unit is reported
+    spans = repeated_spans(table(spark, sf_dir, "documents"), least=1, run_words=1, breaks=ENDINGS)  # each sentence by itself; every repeated unit
     return spans.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "n_units", "n_words", "kept_doc_id")

@@ -79,6 +79,17 @@ def test_short_repeats_are_reported(spark, tmp_path):
     assert sorted((r.doc_id, rows[r.doc_id][1][r.span_start : r.span_end]) for r in out) == [(1, line), (1, "Twelve words stand in this sentence and it is whole there.")]
 
 
+def test_units_do_not_depend_on_the_text_before(spark, tmp_path):
+    passage = "Dies ist ein Satz, " + "der lange weiter geht, " * 15 + "bis er endet."
+    signs = "and this sentence here ends in signs.%%%"
+    quote = 'And \u201cthis one ends in a quote.\u201d'
+    rows = [(0, f"Es. {passage}\nzero {signs} {quote} {signs} zero"), (1, f"Anders. {passage} Ja\none {signs} {quote} {signs} one")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = linededup.op3_line_dedup(spark, str(tmp_path)).collect()
+    found = {(r.doc_id, rows[r.doc_id][1].encode()[r.span_start : r.span_end].decode()) for r in out}
+    assert found == {(1, passage), (1, f"{quote} {signs}")}
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = [(3, "http://a/x y\n", "<p>é</p>" * 9000), (1, None, "same"), (2, "http://b", "same"), (2, "http://b", "same"), (4, "", None), (5, "u", ""), (None, "n", "same"), (6, "u", "WARC/1.1\r\n\r\n0\r\n\r\n"), (7, "u", "<p>é</p>" * 9000)]
     df = spark.createDataFrame([(*p, "clash", "clash") for p in pages], "page_id long, url string, html string, digest string, rid string")
