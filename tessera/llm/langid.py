@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, unit_hash
+from tessera.llm.common import table
 
-#: Labelled documents a language is learned from (expected number; whole texts, chosen by a hash): the bound of the sample.
+#: Distinct labelled texts a language is learned from, at most (whole texts, those of the smallest hashes).
 DOCS_PER_LANGUAGE = 1500
 #: Context length in bytes, and how many of the longest contexts get a node.
 ORDER, LONG_NODES = 3, 16384
@@ -134,15 +134,17 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
     """A model from the columns lang and text of labelled rows; None if there are none. Null languages or texts teach nothing.
 
-    Languages with more rows than the bound are sampled by a hash of the text, whole texts each; statistics are counted
-    on the executors and only their sums, bounded by the sample, come to the driver.
+    Copies of a text teach once. Languages with more distinct texts than the bound are sampled by a hash of the text, whole
+    texts each; statistics are counted on the executors and only their sums, bounded by the sample, come to the driver.
     """
     rows = labelled.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), docs_per_language / F.count("*")).alias("share"))
-    if not (kept := shares.collect()):
-        return None
-    share = F.create_map(*[F.lit(x) for r in kept for x in (r.lang, r.share)])[F.col("lang")]
-    sample = rows.filter(unit_hash("text") < share)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # Salted by the hash first, so that no task ranks all texts of a language.
+    place = Window.partitionBy("lang", "salt").orderBy("hash")
+    some = rows.select("lang", "hash").distinct().withColumn("salt", F.pmod("hash", F.lit(64))).withColumn("at", F.row_number().over(place)).filter(F.col("at") <= docs_per_language)
+    some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("at") <= docs_per_language).select("lang", "hash")
+    chosen = rows.join(F.broadcast(some), ["lang", "hash"], "left_semi")  # docs_per_language rows of each language at most
+    sample = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches):
         found: dict[str, list] = {}

@@ -200,3 +200,14 @@ def test_mixing_on_tables(spark):
     kept = mixing.sample(df)
     assert kept.columns == df.columns and 0 < kept.count() < len(rows)
     assert mixing.sample(df.filter("false")).count() == 0
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    rows = [(i, "kana mora tuki sola", "aa") for i in range(400)] + [(1000 + i, " ".join(np.random.default_rng(i).choice(VOICES["bb"], 6)), "bb") for i in range(40)]
+    rows += [(2000 + i, "sola tuki", "aa") for i in range(5)]
+    df = docs(spark, rows)
+    some = langid.learn(df, docs_per_language=3)
+    assert some.langs == ["aa", "bb"]
+    once = docs(spark, [(0, "kana mora tuki sola", "aa"), (1, "sola tuki", "aa"), *rows[400:440]])
+    same = langid.learn(once, docs_per_language=3)
+    assert np.array_equal(some.bits, same.bits) and np.array_equal(some.node, same.node)
