@@ -13,7 +13,7 @@ from tessera.llm.common import lookup, materialise, table, unit_hash
 MAX_CELLS = 1 << 16
 #: Where no target is given: shares are proportional to the present ones to this power, which lifts small categories.
 TEMPER = 0.9
-ROUNDS, TABLE_ROUNDS, TOLERANCE = 500, 25, 1e-10
+ROUNDS, TOLERANCE = 500, 1e-10
 MARGINS = ("source", "lang", "topic")
 
 Targets = dict[str, dict[str, float]]
@@ -63,17 +63,25 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], r
     return weights
 
 
-def _rake_table(cells: DataFrame, names: list[str], targets: list[DataFrame]) -> DataFrame:
-    """The same for more cells than the driver should hold: each margin is a grouped sum joined back."""
+def _rake_table(cells: DataFrame, names: list[str], targets: list[DataFrame], rounds: int = ROUNDS) -> DataFrame:
+    """The same for more cells than the driver should hold: each margin is a grouped sum joined back. Cells hold tokens."""
     cells = cells.withColumn("w", F.lit(1.0))
     total = cells.agg(F.sum("tokens")).first()[0]
-    for _ in range(TABLE_ROUNDS):
+    for _ in range(rounds if total else 0):
+        worst = 0.0
         for name, target in zip(names, targets, strict=True):
-            now = cells.groupBy(name).agg(F.sum(F.col("w") * F.col("tokens")).alias("now")).join(target, name, "left")
-            there = now.filter("now > 0").agg(F.sum("share")).first()[0] or 1.0
-            factor = now.select(name, F.when(F.col("now") > 0, total * F.coalesce("share", F.lit(0.0)) / there / F.col("now")).otherwise(0.0).alias("f"))
-            cells = cells.join(factor, name).withColumn("w", F.col("w") * F.col("f")).drop("f")
+            now = cells.groupBy(name).agg(F.sum(F.col("w") * F.col("tokens")).alias("now")).filter("now > 0").join(target, name, "left")
+            now = now.withColumn("share", F.coalesce("share", F.lit(0.0)))
+            there, low, high = now.agg(F.sum("share"), F.min(F.col("share") / F.col("now")), F.max(F.col("share") / F.col("now"))).first()
+            if not there:
+                continue
+            scale = total / there
+            worst = max(worst, abs(scale * low - 1), abs(scale * high - 1))
+            factor = now.select(name, (scale * F.col("share") / F.col("now")).alias("f"))
+            cells = cells.join(factor, name, "left").withColumn("w", F.col("w") * F.coalesce("f", F.lit(0.0))).drop("f")
         cells = materialise(cells, "cells")
+        if worst < TOLERANCE:
+            break
     return cells
 
 
@@ -110,10 +118,11 @@ def calibrated(docs: DataFrame, margins: dict[str, Column], tokens: Column, targ
             aims.append(spark.createDataFrame(list(own.items()), f"{k} string, share double"))
         else:
             sums = cells.groupBy(k).agg(F.sum("tokens").alias("t")).filter("t > 0").withColumn("share", F.pow("t", F.lit(power)))
-            aims.append(materialise(sums.select(k, (F.col("share") / sums.agg(F.sum("share")).first()[0]).alias("share")), "aims"))
-    raked = _rake_table(cells, keys, aims)
+            aims.append(materialise(sums.select(k, (F.col("share") / (sums.agg(F.sum("share")).first()[0] or 1.0)).alias("share")), "aims"))
+    raked = _rake_table(cells.filter("tokens > 0"), keys, aims)
     top = raked.agg(F.max("w")).first()[0]
-    groups = raked.select(F.struct(*keys).alias("_cell"), "n", (F.col("w") / top).alias("_p"))
+    p = F.coalesce(F.col("w") / top, F.lit(0.0)) if top else F.lit(1.0)
+    groups = cells.select(*keys, "n").join(raked.select(*keys, "w"), keys, "left").select(F.struct(*keys).alias("_cell"), "n", p.alias("_p"))
     keyed = rows.withColumn("_cell", F.struct(*keys)).withColumn("_spread", F.monotonically_increasing_id())
     return lookup(keyed, groups, "_cell", "n", "_spread", rows.count()).drop(*keys, "_cell", "_spread", "n")
 

@@ -211,3 +211,16 @@ def test_copies_do_not_crowd_out_a_language(spark):
     once = docs(spark, [(0, "kana mora tuki sola", "aa"), (1, "sola tuki", "aa"), *rows[400:440]])
     same = langid.learn(once, docs_per_language=3)
     assert np.array_equal(some.bits, same.bits) and np.array_equal(some.node, same.node)
+
+
+def test_both_rakings_agree_where_they_converge_slowly(spark):
+    rows = [(0, "a " * 900, "x"), (1, "a", "y"), (2, "a", "x"), (3, "a " * 30, "y"), (4, " ", "z"), (5, "a a", "z"), (6, "", "y")]
+    df = docs(spark, rows).withColumn("source", mixing.F.when(mixing.F.col("doc_id").isin(0, 1, 4), "p").when(mixing.F.col("doc_id") == 6, "r").otherwise("q"))
+    margins = {"source": mixing.F.col("source"), "lang": mixing.F.col("lang")}
+    targets = {"source": {"p": 0.8, "q": 0.2}, "lang": {"x": 0.68, "y": 0.28, "z": 0.04}}
+    found = [{r.doc_id: r._p for r in mixing.calibrated(d, margins, mixing.token_count("text"), targets, max_cells=n).collect()} for d in (df, df.filter("doc_id in (4, 6)")) for n in (100, 1)]
+    assert found[0] == pytest.approx(found[1], rel=1e-8, abs=1e-12) and found[2] == found[3] == {4: 1.0, 6: 1.0}
+    assert [found[1][i] for i in (4, 6)] == [0.0] * 2
+    cells = {("p", "x"): 900.0, ("p", "y"): 1.0, ("q", "x"): 1.0, ("q", "y"): 30.0, ("q", "z"): 2.0}
+    early, late = (mixing.rake(cells, list(targets.values()), k) for k in (25, 500))
+    assert early != pytest.approx(late, rel=1e-6)
