@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,8 +143,11 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mo
     # Salted by the hash first, so that no task ranks all texts of a language.
     place = Window.partitionBy("lang", "salt").orderBy("hash")
     some = rows.select("lang", "hash").distinct().withColumn("salt", F.pmod("hash", F.lit(64))).withColumn("at", F.row_number().over(place)).filter(F.col("at") <= docs_per_language)
-    some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("at") <= docs_per_language).select("lang", "hash")
-    chosen = rows.join(F.broadcast(some), ["lang", "hash"], "left_semi")  # docs_per_language rows of each language at most
+    some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("at") <= docs_per_language)
+    if not (last := some.groupBy("lang").agg(F.max("hash").alias("hash")).collect()):
+        return None
+    bound = F.create_map(*[F.lit(x) for r in last for x in (r.lang, r.hash)])[F.col("lang")]
+    chosen = rows.filter(F.col("hash") <= bound)
     sample = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches):
@@ -160,9 +164,10 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     sums = sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    langs = np.array(sums["lang"].to_pylist(), object)
-    codes, n = sums["code"].to_numpy().astype(np.uint32), sums["n"].to_numpy()
-    grams = {x: (codes[langs == x], n[langs == x]) for x in sorted(set(langs))}
+    grams = {}
+    for x in sorted(sums["lang"].unique().to_pylist()):
+        own = sums.filter(pc.equal(sums["lang"], x))
+        grams[x] = (own["code"].to_numpy().astype(np.uint32), own["n"].to_numpy())
     return build(grams) if grams else None
 
 
