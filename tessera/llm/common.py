@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 #: A key is hot from this share of all rows on; at most as many keys can be hot, which bounds the broadcast below.
 HOT_KEYS = 1000
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,46 +21,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is configured, as in tests."""
+    """The folder that the cluster shares; a local one only where none is configured and the session is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def _remove_all() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        return
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
 
-    The table is removed when the driver process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_all)
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _remove_all() -> None:
+    for path in list(_written):
+        _remove(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one; what it holds is removed when the driver process ends."""
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_all)
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
+
+    The table is removed by ``release``, or when the driver process ends.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*dfs: DataFrame) -> None:
+    """Removes tables that ``materialise`` returned, once nothing that is still to be computed reads them."""
+    for df in dfs:
+        if (path := vars(df).get("written_at")) in _written:
+            _remove(path)
+
+
 def lookup(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: str, total: int) -> DataFrame:
     """Left join of rows with groups (one row for each key, count = rows of that key), safe for hot keys.
 

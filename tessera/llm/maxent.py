@@ -1,15 +1,18 @@
 """LM scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class). The class softmax has a bias and hashed features of the three
-symbols before; a symbol is a frequent word or a shape class of the others. Within a class, the only features are the
-words themselves, for which the maximum-entropy solution is their share of the class. Words unseen in training are one
-event of the class UNK, which they share with the words seen once.
+P(token | history) = P(class | history) * P(cell | class, history) * P(token | cell). Both softmaxes have hashed features
+of the real previous words: one back, both together, and two back alone (a skip) for the class; one back and two back, each
+with the class, for the cell. The most frequent words have a cell of their own,
+others share one by their shape. Within a cell, the only features are the words themselves, for which the
+maximum-entropy solution is their share of it. Words seen less than twice in training are one cell, in which words never
+seen are one event; in histories such a word stands for its shape.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,21 +20,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import lookup, materialise, release, table
 
 ADD = 0.1
-#: Symbols: the end of a text, UNK (a class only), frequent words, and shapes of the other words.
-END, UNK, HEADS, SHAPES = 0, 1, 24, 38
-K = 2 + HEADS + SHAPES
-#: Only words with at least this share of the training tokens can be frequent ones; there are 1 / HEAD_SHARE at most.
-HEAD_SHARE = 0.0005
-BUCKETS = 1 << 13
-ROUNDS, SMOOTH, STEP = 6, 5.0, 0.35
+#: Classes, and cells of a class.
+CLASSES, WITHIN = 32, 32
+CELLS = CLASSES * WITHIN
+#: Cells: the end of a text, words seen less than twice, frequent words, and shapes of the other words.
+END, RARE, HEADS = 0, 1, 510
+SHAPES = CELLS - 2 - HEADS
+#: Bits of a word's number in a history.
+HISTORY_BITS = 20
+#: A table has a bucket for so many training tokens, between 2 to the power of these.
+TOKENS_A_BUCKET, LEAST_BITS, MOST_BITS = 8192, 10, 16
+#: Rounds of gradients, each over one of so many equal shares of the training documents.
+ROUNDS, SMOOTH, STEP = 4, 5.0, 0.35
 #: Tokens of a block (one row of the block table), at most, unless a single text is longer.
-BLOCK_TOKENS = 1 << 20
-SLICES = 16
-#: Histories whose class probabilities are worked out at once.
-HISTORIES = 1 << 15
+BLOCK_TOKENS = 1 << 22
+SLICES, FAN_IN = 16, 64
+#: Tokens whose probabilities are worked out at once.
+CHUNK = 1 << 14
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -39,65 +47,83 @@ def tokens_of(text: bytes | None) -> list[bytes]:
 
 
 def shape_of(word: bytes) -> int:
-    """Class of a word that isn't frequent: its last letters, and whether punctuation follows them."""
+    """Cell of a word that isn't frequent: its last letters, and whether punctuation follows them."""
     stem = word.rstrip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
     half = SHAPES // 2
     return 2 + HEADS + zlib.crc32(stem[-2:]) % half + half * (len(stem) < len(word))
 
 
-def _bucket(kind: int, a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
-    x = (np.asarray(a, np.uint64) * np.uint64(K) + np.asarray(b, np.uint64)) * np.uint64(8) + np.uint64(kind)
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - 13)).astype(np.int64)
-
-
-class Contexts:
-    """The distinct three-symbol histories of some tokens, with hashed features."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.h1, self.h2, self.h3 = codes // (K * K), codes // K % K, codes % K  # one, two and three tokens back
-        self.features = [_bucket(0, self.h1), _bucket(1, self.h1, self.h2), _bucket(2, self.h2), _bucket(3, self.h3)]
-
-    def log_p(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """log P(class | history), a row for each history."""
-        z = np.broadcast_to(bias, (len(self.codes), K)).copy()
-        for f in self.features:
-            z += weights[f]
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def add_to(self, out: np.ndarray, rows: np.ndarray) -> None:
-        """Sums the rows into the buckets of their features."""
-        pair = self.h1 * K + self.h2  # ascending, as codes are
-        at = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        by_pair = np.add.reduceat(rows, at, axis=0)
-        h1, h2 = self.h1[at], self.h2[at]
-        np.add.at(out, _bucket(1, h1, h2), by_pair)
-        np.add.at(out, _bucket(0, h1), by_pair)
-        np.add.at(out, _bucket(2, h2), by_pair)
-        order = np.argsort(self.h3, kind="stable")
-        h3 = self.h3[order]
-        at = np.flatnonzero(np.r_[True, h3[1:] != h3[:-1]])
-        np.add.at(out, _bucket(3, h3[at]), np.add.reduceat(rows[order], at, axis=0))
-
-
-def histories(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Code of the three symbols before each token; before a text stand ends."""
-    padded = np.r_[np.zeros(3, np.int64), symbols.astype(np.int64)]
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(symbols)) - np.repeat(first, sizes)
-    back = [np.where(place >= d, padded[3 - d : len(padded) - d], END) for d in (1, 2, 3)]
-    return (back[0] * K + back[1]) * K + back[2]
+def history_of(word: bytes) -> int:
+    """A word's number in histories; those below CELLS stand for shapes."""
+    return CELLS + zlib.crc32(word) % ((1 << HISTORY_BITS) - CELLS)
+
+
+def _mixed(kind: int, a: np.ndarray, b: np.ndarray | int, bits: int) -> np.ndarray:
+    """Bucket of a feature: its kind and two numbers of HISTORY_BITS at most."""
+    x = (np.asarray(a, np.uint64) << np.uint64(HISTORY_BITS)) | np.asarray(b, np.uint64)
+    x = (x * np.uint64(8) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+@dataclass
+class Model:
+    """Weights of the hashed features and biases of both softmaxes, as tables of buckets by classes or by cells of a class."""
+
+    classes: np.ndarray
+    cells: np.ndarray
+    class_bias: np.ndarray
+    cell_bias: np.ndarray
+
+    @property
+    def bits(self) -> int:
+        return len(self.classes).bit_length() - 1
+
+    def scores(self, past: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the score of each class after each past (rows: one and two words back), and of each cell of the given cell's class.
+
+        A weight is below 8 by its start and steps, so single precision holds the powers.
+        """
+        out = []
+        for w, bias, found in ((self.classes, self.class_bias, class_features(past, self.bits)), (self.cells, self.cell_bias.take(cell // WITHIN, axis=0), cell_features(past, cell, self.bits))):
+            z = w.take(found[0], axis=0)
+            for f in found[1:]:
+                z += w.take(f, axis=0)
+            z += bias
+            out.append(np.exp(z, out=z))
+        return out[0], out[1]
+
+    def probabilities(self, past: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P of each class after each past, and of each cell of the given cell's class."""
+        return tuple(np.divide(z, (z @ np.ones(z.shape[1], np.float32))[:, None], out=z) for z in self.scores(past, cell))
 
+    def log_token(self, past: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """log P(cell | past) of each token."""
+        out = np.empty(len(cell))
+        for i in range(0, len(cell), CHUNK):
+            part = cell[i : i + CHUNK]
+            a, b = self.scores(past[:, i : i + CHUNK], part)
+            at, ones = np.arange(len(part)), np.ones(CLASSES, np.float32)
+            p = a[at, part // WITHIN].astype(float) / (a @ ones) * b[at, part % WITHIN] / (b @ ones)
+            out[i : i + CHUNK] = np.log(p)
+        return out
 
-def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, ascending, and each token's place among them."""
-    n = np.zeros(K**3, np.int32)
-    n[codes] = 1
-    found = np.flatnonzero(n)
-    n[found] = np.arange(len(found))
-    return found, n[codes]
+
+def class_features(past: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [_mixed(0, past[0], 0, bits), _mixed(1, past[0], past[1], bits), _mixed(2, past[1], 0, bits)]
+
+
+def cell_features(past: np.ndarray, cell: np.ndarray, bits: int) -> list[np.ndarray]:
+    own = cell // WITHIN
+    return [_mixed(4, past[0], own, bits), _mixed(5, past[1], own, bits)]
+
+
+def pasts(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the words one and two before each token; before a text stand ends."""
+    padded = np.r_[np.zeros(2, np.int64), words.astype(np.int64)]
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(words)) - np.repeat(first, sizes)
+    return np.stack([np.where(place >= d, padded[2 - d : len(padded) - d], END) for d in (1, 2)])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -113,8 +139,8 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         local: defaultdict[bytes, int] = defaultdict()
         local.default_factory = local.__len__  # a new word gets the next number
         id_type, tokens_in = pa.int64(), 0
-        columns = ["part", "ids", "held", "sizes", "stream", "lid", "word", "shape", "n"]
-        kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.string(), pa.int8(), pa.int64()]
+        columns = ["part", "ids", "held", "sizes", "stream", "lid", "word", "shape", "history", "n"]
+        kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.string(), pa.int16(), pa.int32(), pa.int64()]
         part = 0
 
         def flush():
@@ -124,9 +150,9 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
             n = np.bincount(tokens[train], minlength=len(local))
             words = list(local)
             none = [None] * len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, list(ids), list(held), list(sizes), tokens.astype(np.uint32).tobytes(), None, None, None, None], kinds, strict=True)], columns)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, list(ids), list(held), list(sizes), tokens.tobytes(), *[None] * 5], kinds, strict=True)], columns)
             shapes = [END if w == b" " else shape_of(w) for w in words]
-            rows = [[part] * len(words), none, none, none, none, np.arange(len(words)), pa.array(words, pa.binary()).cast(pa.string()), shapes, n]
+            rows = [[part] * len(words), none, none, none, none, np.arange(len(words)), pa.array(words, pa.binary()).cast(pa.string()), shapes, [END if w == b" " else history_of(w) for w in words], n]
             for i in range(0, len(words), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)], k) if not isinstance(v, pa.Array) else v[i : i + (1 << 16)] for v, k in zip(rows, kinds, strict=True)], columns)
             part += 1
@@ -137,11 +163,11 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         for b in batches:
             id_type = b.column(0).type
             kinds[1] = pa.list_(id_type)
-            for doc, out, text in zip(b.column(0), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                words = tokens_of(text)
+            for doc, out, text in zip(b.column(0), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+                words = tokens_of(text.as_py())
                 words.append(b" ")  # the end; no word holds a space
                 ids.append(doc.as_py()), held.append(out), sizes.append(len(words))
-                stream.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
+                stream.append(np.fromiter(map(local.__getitem__, words), np.uint32, len(words)))
                 tokens_in += len(words)
                 if tokens_in >= BLOCK_TOKENS:
                     yield from flush()
@@ -149,38 +175,37 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         if ids:
             yield from flush()
 
-    schema = f"part bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, lid int, word string, shape tinyint, n bigint"
+    schema = f"part bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, lid int, word string, shape smallint, history int, n bigint"
     out = docs.mapInArrow(run, schema)
     return out.select((F.spark_partition_id().cast("long") * (1 << 24) + F.col("part")).alias("block"), *[c for c in out.columns if c != "part"])
 
 
+CODED = "held array<boolean>, sizes array<int>, tokens binary, known array<bigint>, base array<double>, within array<double>"
+
+
 def _encode(stats: dict):
-    """Blocks and the global counts of their words to symbols, base sums and within-class sums."""
-    n, v = stats["n"], stats["v"]
-    norm = np.log10(n + ADD * (v + 1))
-    unseen = stats["n1"] / (stats["n1"] + 2 * stats["n2"]) if stats["n1"] else 1.0
-    mass = np.maximum(np.array(stats["mass"], float), 1)
+    """Blocks and the global counts of their words to coded tokens (history number and cell), base sums and within-cell sums."""
+    norm = np.log10(stats["n"] + ADD * (stats["v"] + 1))
+    unseen, mass = stats["unseen"], np.maximum(np.array(stats["mass"], float), 1)
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(block["stream"][0].as_buffer(), np.uint32).astype(np.int64)
+        tokens = np.frombuffer(block["stream"][0].as_buffer(), np.uint32)
         sizes = np.asarray(block["sizes"][0].values, np.int64)
-        size = words.num_rows
-        lid = words["lid"].to_numpy()
-        c, symbol = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        c[lid] = words["c"].to_numpy()
-        symbol[lid] = words["symbol"].to_numpy()
-        rare = (c < 2) & (symbol >= 2 + HEADS)
-        within = np.where(symbol >= 2 + HEADS, np.log10(np.maximum(c, 1) / mass[symbol]), 0.0)
-        within[rare & (c == 1)] = np.log10(max((1 - unseen) / max(stats["n1"], 1), 1e-300))
+        lid, size = words["lid"].to_numpy(), words.num_rows
+        c, cell, history = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        c[lid], cell[lid], history[lid] = words["c"].to_numpy(), words["cell"].to_numpy(), words["history"].to_numpy()
+        rare = (c < 2) & (cell >= 2 + HEADS)
+        within = np.where(cell >= 2 + HEADS, np.log10(np.maximum(c, 1) / mass[cell]), 0.0)
+        within[rare & (c == 1)] = np.log10((1 - unseen) / stats["n1"]) if stats["n1"] else 0.0
         within[rare & (c == 0)] = np.log10(unseen)
-        base = np.log10(c + ADD) - norm
-        starts = np.cumsum(sizes) - sizes
-        held = block["held"][0].values
+        history[rare] = cell[rare]
+        cell[rare] = RARE
+        base, starts = np.log10(c + ADD) - norm, np.cumsum(sizes) - sizes
         return pa.table({
             "ids": pa.array([block["ids"][0].as_py()], block["ids"].type),
-            "held": pa.array([held.to_pylist()], pa.list_(pa.bool_())),
+            "held": pa.array([block["held"][0].as_py()], pa.list_(pa.bool_())),
             "sizes": pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())),
-            "symbols": pa.array([(symbol + 64 * rare)[tokens].astype(np.uint8).tobytes()], pa.binary()),
+            "tokens": pa.array([(history << 10 | cell).astype(np.uint32)[tokens].tobytes()], pa.binary()),
             "known": pa.array([np.add.reduceat((c > 0)[tokens].astype(np.int64), starts)], pa.list_(pa.int64())),
             "base": pa.array([np.add.reduceat(base[tokens], starts)], pa.list_(pa.float64())),
             "within": pa.array([np.add.reduceat(within[tokens], starts)], pa.list_(pa.float64())),
@@ -189,112 +214,168 @@ def _encode(stats: dict):
     return run
 
 
-def _read(symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(history symbol, class) of each token."""
-    raw = np.frombuffer(symbols, np.uint8)
-    return raw & 63, np.where(raw >= 64, UNK, raw & 63)
+def _read(tokens: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(history number, cell) of each token."""
+    raw = np.frombuffer(tokens, np.uint32)
+    return raw >> 10, (raw & (CELLS - 1)).astype(np.int64)
+
+
+def _scatter(out: np.ndarray, buckets: np.ndarray, columns: np.ndarray) -> None:
+    """Adds each column to the row of its bucket."""
+    own = buckets.astype(np.uint16)  # MOST_BITS at most: sorted by counting
+    order = np.argsort(own, kind="stable")
+    own = own.take(order)
+    at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    out[own[at]] += np.add.reduceat(columns.take(order, axis=1), at, axis=1).T
 
 
-def _sums(coded: DataFrame, weights: np.ndarray | None, bias: np.ndarray | None) -> np.ndarray:
-    """Over all training tokens, for each feature and class: counts seen (weights None) or expected. Row BUCKETS: the bias."""
+def add_seen(out: tuple[np.ndarray, ...], past: np.ndarray, cell: np.ndarray, bits: int) -> None:
+    """Adds each token to the counts of its features with its class or cell, and to those of the biases."""
+    own, within = cell // WITHIN, cell % WITHIN
+    for table_, found, target, width in ((out[0], class_features(past, bits), own, CLASSES), (out[1], cell_features(past, cell, bits), within, WITHIN)):
+        for f in found:
+            table_ += np.bincount(f * width + target, minlength=table_.size).reshape(table_.shape)
+    out[2][:] += np.bincount(own, minlength=CLASSES)
+    out[3][:] += np.bincount(cell, minlength=CELLS).reshape(CLASSES, WITHIN)
 
-    def add(total, found, rows):
-        Contexts(found).add_to(total, rows)
-        total[BUCKETS] += rows.sum(0, dtype=np.float64)
 
-    sent = coded.sparkSession.sparkContext.broadcast((weights, bias))
+def add_gradient(out: tuple[np.ndarray, ...], model: Model, past: np.ndarray, cell: np.ndarray) -> None:
+    """Adds what the model expects of the features to the first two tables."""
+    for i in range(0, len(cell), CHUNK):
+        p, c = past[:, i : i + CHUNK], cell[i : i + CHUNK]
+        for table_, rows, found in zip(out[:2], model.probabilities(p, c), (class_features(p, model.bits), cell_features(p, c, model.bits)), strict=True):
+            columns = np.ascontiguousarray(rows.T)
+            for f in found:
+                _scatter(table_, f, columns)
+
+
+def _empty(bits: int) -> tuple[np.ndarray, ...]:
+    return tuple(np.zeros(s, np.float32) for s in ((1 << bits, CLASSES), (1 << bits, WITHIN), (CLASSES,), (CLASSES, WITHIN)))
+
+
+def _sums(coded: DataFrame, bits: int, model: Model | None, share: tuple[int, int]) -> list[tuple[np.ndarray, ...]]:
+    """(seen, expected) of all features over the training documents of a share (number, of how many); expected needs a model.
+
+    Each task sends one vector, cut into slices; slices are summed over FAN_IN tasks at a time, so no group grows with the tasks.
+    """
+    sent = coded.sparkSession.sparkContext.broadcast(model)
+    now, of = share
 
     def run(batches):
-        w, b = sent.value
-        total, n = np.zeros((BUCKETS + 1, K)), np.zeros(K**3)
+        own, seen, expected = sent.value, _empty(bits), _empty(bits)
         for batch in batches:
-            for held, sizes, symbols in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for held, sizes, tokens in zip(*(batch.column(i) for i in range(3)), strict=True):
                 sizes = np.asarray(sizes.values, np.int64)
-                train = ~np.array(held.as_py(), bool)
-                symbol, target = _read(symbols.as_buffer())
-                keep = np.repeat(train, sizes)
-                codes, target = histories(symbol, sizes)[keep], target[keep].astype(np.int64)
-                if w is not None:
-                    n += np.bincount(codes, minlength=K**3)  # a history is worked out once for a task, not for each token
-                elif len(codes):
-                    found, at = _distinct(codes)
-                    add(total, found, np.bincount(at.astype(np.int64) * K + target, minlength=len(found) * K).reshape(-1, K).astype(np.float32))
-        found = np.flatnonzero(n)
-        for i in range(0, len(found), HISTORIES):
-            part = found[i : i + HISTORIES]
-            add(total, part, np.exp(Contexts(part).log_p(w, b)) * n[part, None].astype(np.float32))
-        for i, part in enumerate(np.array_split(total.ravel(), SLICES)):
+                word, cell = _read(tokens.as_buffer())
+                takes = ~np.array(held.as_py(), bool) & (np.arange(len(sizes)) % of == now)
+                keep = np.flatnonzero(np.repeat(takes, sizes))
+                past = pasts(word, sizes)[:, keep]
+                add_seen(seen, past, cell[keep], bits)
+                if own is not None:
+                    add_gradient(expected, own, past, cell[keep])
+        flat = np.concatenate([x.ravel() for x in (*seen, *(expected[:2] if own is not None else ()))])
+        for i, part in enumerate(np.array_split(flat, SLICES)):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["slice", "data"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": [pdf.slice.iloc[0]], "data": [sum(np.frombuffer(x) for x in pdf.data).tobytes()]})
+        total = np.zeros(len(pdf.data.iloc[0]) // 4)
+        for x in pdf.data:
+            total += np.frombuffer(x, np.float32)
+        return pd.DataFrame({"slice": [pdf.slice.iloc[0]], "part": [pdf.part.iloc[0]], "data": [total.astype(np.float32).tobytes()]})
+
+    tasks = max(1, min(coded.rdd.getNumPartitions(), 2 * coded.sparkSession.sparkContext.defaultParallelism))
+    parts = coded.select("held", "sizes", "tokens").coalesce(tasks).mapInArrow(run, "slice bigint, data binary").withColumn("part", F.spark_partition_id())
+    while tasks > 1:
+        parts = parts.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("slice", "part").applyInPandas(merge, "slice bigint, part int, data binary")
+        tasks = -(-tasks // FAN_IN)
+    found = {r.slice: np.frombuffer(r.data, np.float32) for r in parts.collect()}
+    flat = np.concatenate([found[i] for i in range(SLICES)]) if found else np.zeros(0, np.float32)
+    out, at = [], 0
+    for shapes in (_empty(bits), _empty(bits)[:2] if model is not None else ()):
+        out.append(tuple(flat[(at := at + x.size) - x.size : at].reshape(x.shape).astype(np.float64) if found else x.astype(np.float64) for x in shapes))
+    return out
+
+
+def train(coded: DataFrame, bits: int, rounds: int = ROUNDS) -> Model:
+    """Fits both softmaxes by gradients of the log-likelihood (counts seen less expected) that the executors sum.
+
+    Weights start from smoothed ratios of counts over all training tokens. Each round takes one of ``rounds`` equal
+    shares of the documents, so that all teach once; a feature's step is scaled by its counts.
+    """
+    (seen,) = _sums(coded, bits, None, (0, 1))[:1]
+    p_class = (seen[2] + 0.5) / (seen[2] + 0.5).sum()
+    p_cell = (seen[3] + 0.5) / (seen[3] + 0.5).sum(1, keepdims=True)
+    overall = (seen[3].sum(0) + 0.5) / (seen[3].sum(0) + 0.5).sum()
 
-    parts = coded.select("held", "sizes", "symbols").mapInArrow(run, "slice bigint, data binary")
-    found = {r.slice: np.frombuffer(r.data) for r in parts.groupBy("slice").applyInPandas(merge, "slice bigint, data binary").collect()}
-    return np.concatenate([found[i] for i in range(SLICES)]).reshape(BUCKETS + 1, K) if found else np.zeros((BUCKETS + 1, K))
+    def start(counts, prior):
+        return STEP * np.log((counts + SMOOTH * prior) / (counts.sum(1, keepdims=True) * prior + SMOOTH * prior))
 
+    weights = [start(seen[0], p_class), start(seen[1], overall)]
 
-def train(coded: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and biases: gradients of the log-likelihood (counts seen less expected) over all training tokens,
-    summed on the executors, each step scaled by the feature's counts; rounds of them from smoothed count ratios."""
-    seen = _sums(coded, None, None)
-    prior = (seen[BUCKETS] + 0.5) / (seen[BUCKETS] + 0.5).sum()
-    bias, seen = np.log(prior).astype(np.float32), seen[:BUCKETS]
-    weights = STEP * np.log((seen + SMOOTH * prior) / (seen.sum(1, keepdims=True) * prior + SMOOTH * prior))
-    for _ in range(rounds):
-        expected = _sums(coded, weights.astype(np.float32), bias)[:BUCKETS]
-        weights = weights + STEP * (seen - expected) / (np.maximum(seen, expected) + SMOOTH)
-    return weights.astype(np.float32), bias
+    def model():
+        return Model(*(w.astype(np.float32) for w in weights), np.log(p_class).astype(np.float32), np.log(p_cell).astype(np.float32))
 
+    for r in range(rounds):
+        there, expected = _sums(coded, bits, model(), (r, rounds))
+        weights = [w + STEP * (s - e) / (np.maximum(s, e) + SMOOTH) for w, s, e in zip(weights, there[:2], expected, strict=True)]
+    return model()
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; scores are log10 probabilities.
 
-    Counts are exact and over all documents: each block of a million tokens sends its distinct words once, they are
-    counted by word, and the counts come back by block; no vocabulary is broadcast or collected. The model learns from
-    every training token. Null or blank texts are one end token; a document without an id is held out; repeated rows
-    count and come back like others; no training documents make every word unseen; an empty table gives no rows.
-    Other columns aren't read. Memory: a block and the distinct words in it.
+def bucket_bits(tokens: int) -> int:
+    """The feature tables grow with the training tokens, up to what a worker should hold."""
+    return min(MOST_BITS, max(LEAST_BITS, (tokens // TOKENS_A_BUCKET).bit_length()))
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> tuple[DataFrame, dict]:
+    """Coded blocks of all documents (a row each), and the statistics of the training words.
+
+    Counts are exact and over all documents: a block sends its distinct words once, they are counted by word with a
+    partial aggregation, and the counts come back by block through ``lookup``, so a word that every block has is no
+    task's burden. No vocabulary is broadcast or collected; tables that are no longer needed are removed.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), (held_out(id_col) if held is None else held).alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = materialise(_blocks(slim, kind), "lm-blocks")
-    words = blocks.filter("lid is not null").select("block", "lid", "word", "shape", "n")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counted = words.selectExpr("block", "lid", "word", "shape", "n", "sum(n) over (partition by word) c", "row_number() over (partition by word order by block, lid) = 1 first")
-    frequent = F.when((F.col("c") >= max(1.0, HEAD_SHARE * total)) & (F.col("word") != " "), F.col("word"))
-    counted = materialise(counted.select("block", "lid", "shape", "c", "first", frequent.alias("frequent")), "lm-counts")
-    heads = [r.frequent for r in counted.filter("first and frequent is not null").orderBy(F.desc("c"), "frequent").limit(HEADS).collect()]
-    if heads:
-        place = F.create_map(*[F.lit(x) for i, w in enumerate(heads) for x in (w, 2 + i)])
-        symbol = F.coalesce(F.when(F.col("frequent").isNotNull(), place[F.col("frequent")]), F.col("shape").cast("int"))
-    else:
-        symbol = F.col("shape").cast("int")
-    coded_words = counted.select("block", "lid", "c", "first", symbol.alias("symbol"))
-    stats = coded_words.filter("first").groupBy("symbol").agg(F.expr("count_if(c > 0)").alias("v"), F.expr("count_if(c = 1)").alias("n1"), F.expr("count_if(c = 2)").alias("n2"), F.sum(F.when(F.col("c") >= 2, F.col("c"))).alias("mass")).collect()
-    mass, shaped = [0] * K, [r for r in stats if r.symbol >= 2 + HEADS]
+    words = blocks.filter("lid is not null").select("block", "lid", "word", "history", "shape", "n")
+    groups = materialise(words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("rows"), F.min("shape").alias("shape")), "lm-words")
+    heads = groups.filter("c > 0 and word <> ' '").orderBy(F.desc("c"), "word").limit(HEADS).select("word").collect()
+    head = spark.createDataFrame([(r.word, 2 + i) for i, r in enumerate(heads)], "word string, head int")
+    celled = groups.join(F.broadcast(head), "word", "left").select("word", "c", "rows", F.coalesce("head", "shape").cast("int").alias("cell"))  # HEADS rows
+    stats = celled.groupBy("cell").agg(F.expr("count_if(c > 0)").alias("v"), F.expr("count_if(c = 1)").alias("n1"), F.expr("count_if(c = 2)").alias("n2"), F.sum("c").alias("n"), F.sum(F.when(F.col("c") >= 2, F.col("c"))).alias("mass"), F.sum("rows").alias("rows")).collect()
+    mass, shaped = [0] * CELLS, [r for r in stats if r.cell >= 2 + HEADS]
     for r in stats:
-        mass[r.symbol] = r.mass or 0
-    known = {"n": total, "v": sum(r.v for r in stats), "n1": sum(r.n1 for r in shaped), "n2": sum(r.n2 for r in shaped), "mass": mass}
-    left = blocks.filter("lid is null").select("block", "ids", "held", "sizes", "stream")
-    schema = f"ids array<{kind}>, held array<boolean>, sizes array<int>, symbols binary, known array<bigint>, base array<double>, within array<double>"
-    coded = left.groupBy("block").cogroup(coded_words.select("block", "lid", "c", "symbol").groupBy("block")).applyInArrow(_encode(known), schema)
-    coded = materialise(coded, "lm-coded")
-    weights, bias = train(coded, rounds)
-    sent = docs.sparkSession.sparkContext.broadcast((weights, bias))
+        mass[r.cell] = r.mass or 0
+    n1, n2 = sum(r.n1 for r in shaped), sum(r.n2 for r in shaped)
+    known = {"n": sum(r.n for r in stats), "v": sum(r.v for r in stats), "n1": n1, "mass": mass, "unseen": (n1 + 1) / (n1 + 2 * n2 + 2) if n1 else 1.0}
+    back = lookup(words.select("block", "lid", "word", "history"), celled, "word", "rows", "block", sum(r.rows for r in stats)).select("block", "lid", "history", "c", "cell")
+    left = blocks.filter("lid is null").select(F.col("block").alias("own"), "ids", "held", "sizes", "stream")
+    coded = materialise(left.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_encode(known), f"ids array<{kind}>, {CODED}"), "lm-coded")
+    release(blocks, groups)
+    return coded, known
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; scores are log10 probabilities.
+
+    The model learns from every training token. Null or blank texts are one end token; a document without an id is held
+    out; repeated rows count and come back like others; no training documents make every word unseen; an empty table
+    gives no rows. Other columns aren't read. Memory: a block, the distinct words in it, and the feature tables.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    coded, known = encode(docs, id_col, text_col, held)
+    model = train(coded, bucket_bits(known["n"]), rounds)
+    sent, total = docs.sparkSession.sparkContext.broadcast(model), known["n"]
 
     def run(batches):
-        w, b = sent.value
+        m = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held_, sizes, symbols, known_, base, within = (batch.column(k)[i] for k in range(7))
+                ids, held_, sizes, tokens, known_, base, within = (batch.column(k)[i] for k in range(7))
                 sizes = np.asarray(sizes.values, np.int64)
-                symbol, target = _read(symbols.as_buffer())
-                found, at = _distinct(histories(symbol, sizes))
-                each = Contexts(found).log_p(w, b)[at, target] / np.log(10)
-                sums = np.add.reduceat(each.astype(np.float64), np.cumsum(sizes) - sizes) + np.asarray(within.values)
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays([ids.values, held_.values, pa.array(sizes), known_.values, pa.array(np.full(n, total, np.int64)), base.values, pa.array(sums)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                word, cell = _read(tokens.as_buffer())
+                each = m.log_token(pasts(word, sizes), cell) / np.log(10)
+                sums = np.add.reduceat(each, np.cumsum(sizes) - sizes) + np.asarray(within.values)
+                yield pa.RecordBatch.from_arrays([ids.values, held_.values, pa.array(sizes), known_.values, pa.array(np.full(len(sizes), total, np.int64)), base.values, pa.array(sums)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return coded.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 

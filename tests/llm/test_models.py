@@ -47,27 +47,85 @@ def test_language_model_base_scores_match_brute_force(spark):
     assert {r.train_tokens for r in none} == {0} and all(math.isfinite(r.score) for r in none)
 
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, maxent.K**3, 500))
-    p = np.exp(maxent.Contexts(codes).log_p(rng.normal(size=(maxent.BUCKETS, maxent.K)), rng.normal(size=maxent.K)))
-    assert np.allclose(p.sum(1), 1)
-
-
-def test_feature_sums_match_a_loop():
+def test_language_model_scores_match_brute_force(spark, monkeypatch):
+    """The score of every text, worked out token by token from the plain definition and the fitted weights."""
+    fitted = []
+    monkeypatch.setattr(maxent, "train", lambda *a, f=maxent.train: fitted.append(f(*a)) or fitted[-1])
+    rng = np.random.default_rng(3)
+    many = [(i, " ".join(f"w{k}{'.' * int(k % 3 == 0)}" for k in rng.integers(0, 900, 60)), "aa") for i in range(60)]
+    rows = many + [(i, t, g) for i, t, g in corpus(9) + EDGES if i != 1003] + [(2000, "kana once-only kana", "aa"), (2001, None, None)]
+    out = maxent.score(docs(spark, rows), rounds=2).collect()
+    model, bits = fitted[0], fitted[0].bits
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), " "]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    c = Counter(w for i, t, _ in rows if not held(i) for w in tokens(t))
+    seen = {w for _, t, _ in rows for w in tokens(t)}
+    heads = {w: 2 + k for k, (w, _) in enumerate(sorted(((w, n) for w, n in c.items() if w != " "), key=lambda x: (-x[1], x[0]))[: maxent.HEADS])}
+    shape = {w: maxent.END if w == " " else heads.get(w, maxent.shape_of(w.encode())) for w in seen}
+    rare = {w for w in seen if w not in heads and w != " " and c[w] < 2}
+    n1, n2 = (sum(1 for w in c if shape[w] >= 2 + maxent.HEADS and c[w] == k) for k in (1, 2))
+    unseen = (n1 + 1) / (n1 + 2 * n2 + 2)
+    mass = Counter()
+    for w, n in c.items():
+        if n >= 2:
+            mass[shape[w]] += n
+
+    def cell(w):
+        return maxent.RARE if w in rare else shape[w]
+
+    def past(w):
+        return maxent.END if w == " " else shape[w] if w in rare else maxent.history_of(w.encode())
+
+    def within(w):
+        if w in rare:
+            return (1 - unseen) / n1 if c[w] else unseen
+        return 1.0 if shape[w] < 2 + maxent.HEADS else c[w] / mass[shape[w]]
+
+    def softmax(z, k):
+        return math.exp(z[k]) / sum(math.exp(x) for x in z)
+
+    def bucket(kind, a, b=0):
+        return int(maxent._mixed(kind, np.array([a]), np.array([b]), bits)[0])
+
+    def log10_p(words):
+        total, before = 0.0, [maxent.END] * 2
+        for w in words:
+            k, (x, y) = cell(w), before
+            z = model.class_bias + sum(model.classes[f].astype(float) for f in (bucket(0, x), bucket(1, x, y), bucket(2, y)))
+            q = model.cell_bias[k // 32] + sum(model.cells[f].astype(float) for f in (bucket(4, x, k // 32), bucket(5, y, k // 32)))
+            total += math.log10(softmax(z, k // 32) * softmax(q, k % 32) * within(w))
+            before = [past(w), x]
+        return total
+
+    assert 0 < n1 and any(w in rare and not c[w] for w in seen) and len(heads) == maxent.HEADS and mass
+    want = sorted((str(i), round(log10_p(tokens(t)), 2)) for i, t, _ in rows)
+    got = sorted((str(r.doc_id), round(r.score, 2)) for r in out)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=0.02)
+
+
+def test_probabilities_sum_to_one_and_gradients_match_a_loop():
     rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, maxent.K**3, 300))
-    rows, contexts = rng.random((len(codes), maxent.K)), maxent.Contexts(codes)
-    got, want = np.zeros((maxent.BUCKETS, maxent.K)), np.zeros((maxent.BUCKETS, maxent.K))
-    contexts.add_to(got, rows)
-    for f in contexts.features:
+    shapes = [x.shape for x in maxent._empty(10)]
+    model = maxent.Model(*(rng.normal(size=s).astype(np.float32) for s in shapes))
+    sizes, words, cell = np.array([2, 1, 40]), rng.integers(0, 90, 43), rng.integers(0, maxent.CELLS, 43)
+    past = maxent.pasts(words, sizes)
+    assert past[:, :4].tolist() == [[0, words[0], 0, 0], [0, 0, 0, 0]] and past[:, 6].tolist() == words[[5, 4]].tolist()
+    a, b = model.probabilities(past, cell)
+    at = np.arange(43)
+    assert np.allclose(np.exp(model.log_token(past, cell)), a[at, cell // 32] * b[at, cell % 32])
+    assert np.allclose(a.sum(1), 1) and np.allclose(b.sum(1), 1)
+    got, want, seen = maxent._empty(10), maxent._empty(10), maxent._empty(10)
+    maxent.add_gradient(got, model, past, cell)
+    maxent.add_seen(seen, past, cell, 10)
+    for f in maxent.class_features(past, 10):
+        for i, k in enumerate(f):
+            want[0][k] += a[i]
+            want[2][cell[i] // 32] += 1
+    for f in maxent.cell_features(past, cell, 10):
         for i, k in enumerate(f):
-            want[k] += rows[i]
-    assert np.allclose(got, want)
-    sizes = np.array([2, 1, 4])
-    s = np.array([5, 6, 7, 8, 9, 10, 11])
-    k = maxent.K
-    assert maxent.histories(s, sizes).tolist() == [0, 5 * k * k, 0, 0, 8 * k * k, (9 * k + 8) * k, (10 * k + 9) * k + 8]
+            want[1][k] += b[i]
+    assert np.allclose(got[0], want[0], atol=1e-3) and np.allclose(got[1], want[1], atol=1e-3)
+    assert seen[0].sum() == 3 * 43 and seen[1].sum() == 2 * 43 and np.allclose(seen[2] * 3, want[2]) and seen[3].sum() == 43
 
 
 def test_languages_held_out(spark):
