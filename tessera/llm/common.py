@@ -67,10 +67,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(*dfs: DataFrame) -> None:
-    """Removes tables that ``materialise`` returned, once nothing that is still to be computed reads them."""
+    """Removes tables that ``materialise`` returned, once nothing that is still to be computed reads them.
+
+    Then asks the JVM to collect its garbage, as Spark's cleaner drops the shuffle files of finished jobs only after that.
+    """
     for df in dfs:
         if (path := vars(df).get("written_at")) in _written:
             _remove(path)
+    if (spark := SparkSession.getActiveSession()) is not None:
+        spark.sparkContext._jvm.System.gc()
 
 
 def lookup(rows: DataFrame, groups: DataFrame, key: str, count: str, spread: str, total: int) -> DataFrame:

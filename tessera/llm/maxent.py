@@ -10,7 +10,6 @@ seen are one event; in histories such a word stands for its shape.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -36,26 +35,30 @@ TOKENS_A_BUCKET, LEAST_BITS, MOST_BITS = 8192, 10, 16
 #: Rounds of gradients, each over one of so many equal shares of the training documents.
 ROUNDS, SMOOTH, STEP = 4, 5.0, 0.35
 #: Tokens of a block (one row of the block table), at most, unless a single text is longer.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 3 << 20
 SLICES, FAN_IN = 16, 64
-#: Tokens whose probabilities are worked out at once.
-CHUNK = 1 << 14
+#: Tokens read at once (unless a single text is longer), and tokens whose probabilities are worked out at once.
+PIECE, CHUNK = 1 << 18, 1 << 13
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def shape_of(word: bytes) -> int:
-    """Cell of a word that isn't frequent: its last letters, and whether punctuation follows them."""
-    stem = word.rstrip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Signs that may follow a word.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def shape_of(word: Column) -> Column:
+    """Cell of a word that isn't frequent: its last two letters, and whether signs follow them."""
+    stem = F.rtrim(word, F.lit(SIGNS))
     half = SHAPES // 2
-    return 2 + HEADS + zlib.crc32(stem[-2:]) % half + half * (len(stem) < len(word))
+    return (2 + HEADS + F.crc32(F.encode(F.right(stem, F.lit(2)), "UTF-8")) % half + F.when(stem == word, 0).otherwise(half)).cast("int")
 
 
-def history_of(word: bytes) -> int:
+def history_of(word: Column) -> Column:
     """A word's number in histories; those below CELLS stand for shapes."""
-    return CELLS + zlib.crc32(word) % ((1 << HISTORY_BITS) - CELLS)
+    return (CELLS + F.crc32(F.encode(word, "UTF-8")) % ((1 << HISTORY_BITS) - CELLS)).cast("int")
 
 
 def _mixed(kind: int, a: np.ndarray, b: np.ndarray | int, bits: int) -> np.ndarray:
@@ -131,6 +134,18 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(10)) == 0, F.lit(True))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers below 2 to the power of 32, compressed, their bytes by significance."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _blocks(docs: DataFrame, kind: str) -> DataFrame:
     """Rows of two sorts: a block with its documents and tokens (numbers of the block's own words), and a word of a block."""
 
@@ -139,8 +154,8 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         local: defaultdict[bytes, int] = defaultdict()
         local.default_factory = local.__len__  # a new word gets the next number
         id_type, tokens_in = pa.int64(), 0
-        columns = ["part", "ids", "held", "sizes", "stream", "lid", "word", "shape", "history", "n"]
-        kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.string(), pa.int16(), pa.int32(), pa.int64()]
+        columns = ["part", "ids", "held", "sizes", "stream", "lid", "word", "n"]
+        kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.string(), pa.int64()]
         part = 0
 
         def flush():
@@ -150,9 +165,8 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
             n = np.bincount(tokens[train], minlength=len(local))
             words = list(local)
             none = [None] * len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, list(ids), list(held), list(sizes), tokens.tobytes(), *[None] * 5], kinds, strict=True)], columns)
-            shapes = [END if w == b" " else shape_of(w) for w in words]
-            rows = [[part] * len(words), none, none, none, none, np.arange(len(words)), pa.array(words, pa.binary()).cast(pa.string()), shapes, [END if w == b" " else history_of(w) for w in words], n]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, list(ids), list(held), list(sizes), packed(tokens), *[None] * 3], kinds, strict=True)], columns)
+            rows = [np.full(len(words), part), none, none, none, none, np.arange(len(words)), pa.array(words, pa.binary()).cast(pa.string()), n]
             for i in range(0, len(words), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)], k) if not isinstance(v, pa.Array) else v[i : i + (1 << 16)] for v, k in zip(rows, kinds, strict=True)], columns)
             part += 1
@@ -175,7 +189,7 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         if ids:
             yield from flush()
 
-    schema = f"part bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, lid int, word string, shape smallint, history int, n bigint"
+    schema = f"part bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, lid int, word string, n bigint"
     out = docs.mapInArrow(run, schema)
     return out.select((F.spark_partition_id().cast("long") * (1 << 24) + F.col("part")).alias("block"), *[c for c in out.columns if c != "part"])
 
@@ -189,7 +203,7 @@ def _encode(stats: dict):
     unseen, mass = stats["unseen"], np.maximum(np.array(stats["mass"], float), 1)
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(block["stream"][0].as_buffer(), np.uint32)
+        tokens = unpacked(block["stream"][0].as_py())
         sizes = np.asarray(block["sizes"][0].values, np.int64)
         lid, size = words["lid"].to_numpy(), words.num_rows
         c, cell, history = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -205,7 +219,7 @@ def _encode(stats: dict):
             "ids": pa.array([block["ids"][0].as_py()], block["ids"].type),
             "held": pa.array([block["held"][0].as_py()], pa.list_(pa.bool_())),
             "sizes": pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())),
-            "tokens": pa.array([(history << 10 | cell).astype(np.uint32)[tokens].tobytes()], pa.binary()),
+            "tokens": pa.array([packed((history << 10 | cell).astype(np.uint32)[tokens])], pa.binary()),
             "known": pa.array([np.add.reduceat((c > 0)[tokens].astype(np.int64), starts)], pa.list_(pa.int64())),
             "base": pa.array([np.add.reduceat(base[tokens], starts)], pa.list_(pa.float64())),
             "within": pa.array([np.add.reduceat(within[tokens], starts)], pa.list_(pa.float64())),
@@ -214,19 +228,24 @@ def _encode(stats: dict):
     return run
 
 
-def _read(tokens: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(history number, cell) of each token."""
-    raw = np.frombuffer(tokens, np.uint32)
-    return raw >> 10, (raw & (CELLS - 1)).astype(np.int64)
+def _pieces(sizes: np.ndarray, tokens: bytes, takes: np.ndarray | None = None):
+    """(first document, its end, pasts, cells) of runs of documents of about PIECE tokens; takes: which documents."""
+    raw = unpacked(tokens)
+    ends = np.cumsum(sizes)
+    for i, j in runs(sizes):
+        own = raw[ends[i] - sizes[i] : ends[j - 1]]
+        past, cell = pasts(own >> 10, sizes[i:j]), (own & (CELLS - 1)).astype(np.int64)
+        if takes is not None:
+            keep = np.flatnonzero(np.repeat(takes[i:j], sizes[i:j]))
+            past, cell = past[:, keep], cell[keep]
+        yield i, j, past, cell
 
 
-def _scatter(out: np.ndarray, buckets: np.ndarray, columns: np.ndarray) -> None:
-    """Adds each column to the row of its bucket."""
-    own = buckets.astype(np.uint16)  # MOST_BITS at most: sorted by counting
-    order = np.argsort(own, kind="stable")
-    own = own.take(order)
-    at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    out[own[at]] += np.add.reduceat(columns.take(order, axis=1), at, axis=1).T
+def runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of documents, each of PIECE tokens or a little more."""
+    number = (np.cumsum(sizes) - sizes) // PIECE
+    at = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(sizes)], strict=True))
 
 
 def add_seen(out: tuple[np.ndarray, ...], past: np.ndarray, cell: np.ndarray, bits: int) -> None:
@@ -234,19 +253,25 @@ def add_seen(out: tuple[np.ndarray, ...], past: np.ndarray, cell: np.ndarray, bi
     own, within = cell // WITHIN, cell % WITHIN
     for table_, found, target, width in ((out[0], class_features(past, bits), own, CLASSES), (out[1], cell_features(past, cell, bits), within, WITHIN)):
         for f in found:
-            table_ += np.bincount(f * width + target, minlength=table_.size).reshape(table_.shape)
+            np.add.at(table_.reshape(-1), f * width + target, np.float32(1))
     out[2][:] += np.bincount(own, minlength=CLASSES)
     out[3][:] += np.bincount(cell, minlength=CELLS).reshape(CLASSES, WITHIN)
 
 
-def add_gradient(out: tuple[np.ndarray, ...], model: Model, past: np.ndarray, cell: np.ndarray) -> None:
-    """Adds what the model expects of the features to the first two tables."""
+def add_expected(out: tuple[np.ndarray, ...], model: Model, past: np.ndarray, cell: np.ndarray, rng: np.random.Generator) -> None:
+    """Adds to the first two tables what the model expects of the features: one draw of a class, and of a cell, for each token.
+
+    A draw from the model's own distribution makes the gradient right on average, at a fraction of the cost of adding
+    all probabilities; the generator's seed makes it the same on every run.
+    """
     for i in range(0, len(cell), CHUNK):
         p, c = past[:, i : i + CHUNK], cell[i : i + CHUNK]
-        for table_, rows, found in zip(out[:2], model.probabilities(p, c), (class_features(p, model.bits), cell_features(p, c, model.bits)), strict=True):
-            columns = np.ascontiguousarray(rows.T)
+        for table_, z, found in zip(out[:2], model.scores(p, c), (class_features(p, model.bits), cell_features(p, c, model.bits)), strict=True):
+            upto = np.cumsum(z, axis=1)
+            drawn = (upto < rng.random(len(c), np.float32)[:, None] * upto[:, -1:]).sum(1)
+            flat, width = table_.reshape(-1), table_.shape[1]
             for f in found:
-                _scatter(table_, f, columns)
+                np.add.at(flat, f * width + np.minimum(drawn, width - 1), np.float32(1))
 
 
 def _empty(bits: int) -> tuple[np.ndarray, ...]:
@@ -266,13 +291,12 @@ def _sums(coded: DataFrame, bits: int, model: Model | None, share: tuple[int, in
         for batch in batches:
             for held, sizes, tokens in zip(*(batch.column(i) for i in range(3)), strict=True):
                 sizes = np.asarray(sizes.values, np.int64)
-                word, cell = _read(tokens.as_buffer())
                 takes = ~np.array(held.as_py(), bool) & (np.arange(len(sizes)) % of == now)
-                keep = np.flatnonzero(np.repeat(takes, sizes))
-                past = pasts(word, sizes)[:, keep]
-                add_seen(seen, past, cell[keep], bits)
-                if own is not None:
-                    add_gradient(expected, own, past, cell[keep])
+                rng = np.random.default_rng([now, len(sizes), int(sizes.sum())])
+                for _, _, past, cell in _pieces(sizes, tokens.as_py(), takes):
+                    add_seen(seen, past, cell, bits)
+                    if own is not None:
+                        add_expected(expected, own, past, cell, rng)
         flat = np.concatenate([x.ravel() for x in (*seen, *(expected[:2] if own is not None else ()))])
         for i, part in enumerate(np.array_split(flat, SLICES)):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["slice", "data"])
@@ -336,18 +360,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), (held_out(id_col) if held is None else held).alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = materialise(_blocks(slim, kind), "lm-blocks")
-    words = blocks.filter("lid is not null").select("block", "lid", "word", "history", "shape", "n")
-    groups = materialise(words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("rows"), F.min("shape").alias("shape")), "lm-words")
+    words = blocks.filter("lid is not null").select("block", "lid", "word", "n")
+    groups = materialise(words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("rows")), "lm-words")
     heads = groups.filter("c > 0 and word <> ' '").orderBy(F.desc("c"), "word").limit(HEADS).select("word").collect()
     head = spark.createDataFrame([(r.word, 2 + i) for i, r in enumerate(heads)], "word string, head int")
-    celled = groups.join(F.broadcast(head), "word", "left").select("word", "c", "rows", F.coalesce("head", "shape").cast("int").alias("cell"))  # HEADS rows
+    end = F.col("word") == " "
+    cell = F.when(end, END).otherwise(F.coalesce(F.col("head"), shape_of(F.col("word"))))
+    celled = groups.join(F.broadcast(head), "word", "left").select("word", "c", "rows", cell.alias("cell"), F.when(end, END).otherwise(history_of(F.col("word"))).alias("history"))  # HEADS rows
     stats = celled.groupBy("cell").agg(F.expr("count_if(c > 0)").alias("v"), F.expr("count_if(c = 1)").alias("n1"), F.expr("count_if(c = 2)").alias("n2"), F.sum("c").alias("n"), F.sum(F.when(F.col("c") >= 2, F.col("c"))).alias("mass"), F.sum("rows").alias("rows")).collect()
     mass, shaped = [0] * CELLS, [r for r in stats if r.cell >= 2 + HEADS]
     for r in stats:
         mass[r.cell] = r.mass or 0
     n1, n2 = sum(r.n1 for r in shaped), sum(r.n2 for r in shaped)
     known = {"n": sum(r.n for r in stats), "v": sum(r.v for r in stats), "n1": n1, "mass": mass, "unseen": (n1 + 1) / (n1 + 2 * n2 + 2) if n1 else 1.0}
-    back = lookup(words.select("block", "lid", "word", "history"), celled, "word", "rows", "block", sum(r.rows for r in stats)).select("block", "lid", "history", "c", "cell")
+    release()  # the shuffle of the counts has served
+    back = lookup(words.select("block", "lid", "word"), celled, "word", "rows", "block", sum(r.rows for r in stats)).select("block", "lid", "c", "cell", "history")
     left = blocks.filter("lid is null").select(F.col("block").alias("own"), "ids", "held", "sizes", "stream")
     coded = materialise(left.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_encode(known), f"ids array<{kind}>, {CODED}"), "lm-coded")
     release(blocks, groups)
@@ -372,9 +399,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
             for i in range(batch.num_rows):
                 ids, held_, sizes, tokens, known_, base, within = (batch.column(k)[i] for k in range(7))
                 sizes = np.asarray(sizes.values, np.int64)
-                word, cell = _read(tokens.as_buffer())
-                each = m.log_token(pasts(word, sizes), cell) / np.log(10)
-                sums = np.add.reduceat(each, np.cumsum(sizes) - sizes) + np.asarray(within.values)
+                sums = np.array(within.values)
+                for first, end, past, cell in _pieces(sizes, tokens.as_py()):
+                    own = sizes[first:end]
+                    sums[first:end] += np.add.reduceat(m.log_token(past, cell), np.cumsum(own) - own) / np.log(10)
                 yield pa.RecordBatch.from_arrays([ids.values, held_.values, pa.array(sizes), known_.values, pa.array(np.full(len(sizes), total, np.int64)), base.values, pa.array(sums)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return coded.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
