@@ -10,6 +10,7 @@ seen are one event; in histories such a word stands for its shape.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -56,9 +57,9 @@ def shape_of(word: Column) -> Column:
     return (2 + HEADS + F.crc32(F.encode(F.right(stem, F.lit(2)), "UTF-8")) % half + F.when(stem == word, 0).otherwise(half)).cast("int")
 
 
-def history_of(word: Column) -> Column:
+def history_of(word: bytes) -> int:
     """A word's number in histories; those below CELLS stand for shapes."""
-    return (CELLS + F.crc32(F.encode(word, "UTF-8")) % ((1 << HISTORY_BITS) - CELLS)).cast("int")
+    return CELLS + zlib.crc32(word) % ((1 << HISTORY_BITS) - CELLS) if word != b" " else END
 
 
 def _mixed(kind: int, a: np.ndarray, b: np.ndarray | int, bits: int) -> np.ndarray:
@@ -154,8 +155,8 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         local: defaultdict[bytes, int] = defaultdict()
         local.default_factory = local.__len__  # a new word gets the next number
         id_type, tokens_in = pa.int64(), 0
-        columns = ["part", "ids", "held", "sizes", "stream", "lid", "word", "n"]
-        kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.string(), pa.int64()]
+        columns = ["part", "ids", "held", "sizes", "stream", "histories", "lid", "word", "n"]
+        kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
         part = 0
 
         def flush():
@@ -165,8 +166,8 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
             n = np.bincount(tokens[train], minlength=len(local))
             words = list(local)
             none = [None] * len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, list(ids), list(held), list(sizes), packed(tokens), *[None] * 3], kinds, strict=True)], columns)
-            rows = [np.full(len(words), part), none, none, none, none, np.arange(len(words)), pa.array(words, pa.binary()).cast(pa.string()), n]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, list(ids), list(held), list(sizes), packed(tokens), packed(np.fromiter(map(history_of, words), np.uint32, len(words))), *[None] * 3], kinds, strict=True)], columns)
+            rows = [np.full(len(words), part), none, none, none, none, none, np.arange(len(words)), pa.array(words, pa.binary()).cast(pa.string()), n]
             for i in range(0, len(words), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)], k) if not isinstance(v, pa.Array) else v[i : i + (1 << 16)] for v, k in zip(rows, kinds, strict=True)], columns)
             part += 1
@@ -189,11 +190,36 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         if ids:
             yield from flush()
 
-    schema = f"part bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, lid int, word string, n bigint"
+    schema = f"part bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, histories binary, lid int, word string, n bigint"
     out = docs.mapInArrow(run, schema)
     return out.select((F.spark_partition_id().cast("long") * (1 << 24) + F.col("part")).alias("block"), *[c for c in out.columns if c != "part"])
 
 
+def _bundled(batches):
+    """Rows (block, lid, c, cell) as a few compressed rows for each block, so that many small rows needn't be shuffled."""
+    names, rows, held = ["block", "lids", "low", "high", "cells"], 0, []
+
+    def emit():
+        block, lid, c, cell = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
+        order = np.lexsort((lid, block))
+        block, lid, c, cell = block[order], lid[order], c[order], cell[order]
+        at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        spans = list(zip(at.tolist(), [*at[1:].tolist(), len(block)], strict=True))
+        blobs = [[packed(np.diff(x[i:j], prepend=0) if x is lid else x[i:j]) for i, j in spans] for x in (lid, c & 0xFFFFFFFF, c >> 32, cell)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(block[at]), *(pa.array(x, pa.binary()) for x in blobs)], names)
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows >= 1 << 20:
+            yield emit()
+            rows = 0
+    if held:
+        yield emit()
+
+
 CODED = "held array<boolean>, sizes array<int>, tokens binary, known array<bigint>, base array<double>, within array<double>"
 
 
@@ -205,9 +231,12 @@ def _encode(stats: dict):
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         tokens = unpacked(block["stream"][0].as_py())
         sizes = np.asarray(block["sizes"][0].values, np.int64)
-        lid, size = words["lid"].to_numpy(), words.num_rows
-        c, cell, history = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        c[lid], cell[lid], history[lid] = words["c"].to_numpy(), words["cell"].to_numpy(), words["history"].to_numpy()
+        history = unpacked(block["histories"][0].as_py()).astype(np.int64)
+        c, cell = np.zeros(len(history), np.int64), np.zeros(len(history), np.int64)
+        for blobs in zip(*(words[k].to_pylist() for k in ("lids", "low", "high", "cells")), strict=True):
+            lid, low, high, own = (unpacked(x).astype(np.int64) for x in blobs)
+            lid = np.cumsum(lid)
+            c[lid], cell[lid] = low | high << 32, own
         rare = (c < 2) & (cell >= 2 + HEADS)
         within = np.where(cell >= 2 + HEADS, np.log10(np.maximum(c, 1) / mass[cell]), 0.0)
         within[rare & (c == 1)] = np.log10((1 - unseen) / stats["n1"]) if stats["n1"] else 0.0
@@ -366,7 +395,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     head = spark.createDataFrame([(r.word, 2 + i) for i, r in enumerate(heads)], "word string, head int")
     end = F.col("word") == " "
     cell = F.when(end, END).otherwise(F.coalesce(F.col("head"), shape_of(F.col("word"))))
-    celled = groups.join(F.broadcast(head), "word", "left").select("word", "c", "rows", cell.alias("cell"), F.when(end, END).otherwise(history_of(F.col("word"))).alias("history"))  # HEADS rows
+    celled = groups.join(F.broadcast(head), "word", "left").select("word", "c", "rows", cell.alias("cell"))  # HEADS rows
     stats = celled.groupBy("cell").agg(F.expr("count_if(c > 0)").alias("v"), F.expr("count_if(c = 1)").alias("n1"), F.expr("count_if(c = 2)").alias("n2"), F.sum("c").alias("n"), F.sum(F.when(F.col("c") >= 2, F.col("c"))).alias("mass"), F.sum("rows").alias("rows")).collect()
     mass, shaped = [0] * CELLS, [r for r in stats if r.cell >= 2 + HEADS]
     for r in stats:
@@ -374,8 +403,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     n1, n2 = sum(r.n1 for r in shaped), sum(r.n2 for r in shaped)
     known = {"n": sum(r.n for r in stats), "v": sum(r.v for r in stats), "n1": n1, "mass": mass, "unseen": (n1 + 1) / (n1 + 2 * n2 + 2) if n1 else 1.0}
     release()  # the shuffle of the counts has served
-    back = lookup(words.select("block", "lid", "word"), celled, "word", "rows", "block", sum(r.rows for r in stats)).select("block", "lid", "c", "cell", "history")
-    left = blocks.filter("lid is null").select(F.col("block").alias("own"), "ids", "held", "sizes", "stream")
+    back = lookup(words.select("block", "lid", "word"), celled, "word", "rows", "block", sum(r.rows for r in stats)).select("block", F.col("lid").cast("long"), "c", F.col("cell").cast("long"))
+    back = back.mapInArrow(_bundled, "block bigint, lids binary, low binary, high binary, cells binary")
+    left = blocks.filter("lid is null").select(F.col("block").alias("own"), "ids", "held", "sizes", "stream", "histories")
     coded = materialise(left.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_encode(known), f"ids array<{kind}>, {CODED}"), "lm-coded")
     release(blocks, groups)
     return coded, known
