@@ -36,7 +36,7 @@ TOKENS_A_BUCKET, LEAST_BITS, MOST_BITS = 8192, 10, 16
 #: Rounds of gradients, each over one of so many equal shares of the training documents.
 ROUNDS, SMOOTH, STEP = 4, 5.0, 0.35
 #: Tokens of a block (one row of the block table), at most, unless a single text is longer.
-BLOCK_TOKENS = 3 << 20
+BLOCK_TOKENS = 2 << 20
 SLICES, FAN_IN = 16, 64
 #: Tokens read at once (unless a single text is longer), and tokens whose probabilities are worked out at once.
 PIECE, CHUNK = 1 << 18, 1 << 13
@@ -336,7 +336,8 @@ def _sums(coded: DataFrame, bits: int, model: Model | None, share: tuple[int, in
             total += np.frombuffer(x, np.float32)
         return pd.DataFrame({"slice": [pdf.slice.iloc[0]], "part": [pdf.part.iloc[0]], "data": [total.astype(np.float32).tobytes()]})
 
-    tasks = max(1, min(coded.rdd.getNumPartitions(), 2 * coded.sparkSession.sparkContext.defaultParallelism))
+    files = coded.rdd.getNumPartitions()
+    tasks = max(1, min(files, 2 * coded.sparkSession.sparkContext.defaultParallelism), files // 4)
     parts = coded.select("held", "sizes", "tokens").coalesce(tasks).mapInArrow(run, "slice bigint, data binary").withColumn("part", F.spark_partition_id())
     while tasks > 1:
         parts = parts.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("slice", "part").applyInPandas(merge, "slice bigint, part int, data binary")
