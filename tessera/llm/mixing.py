@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lookup, materialise, table, unit_hash
+from tessera.llm.topics import fit, terms, topic_of
 
 #: Up to so many cells (combinations that occur) are raked on the driver and broadcast; more are raked as a table.
 MAX_CELLS = 1 << 16
@@ -19,19 +20,6 @@ MARGINS = ("source", "lang", "topic")
 Targets = dict[str, dict[str, float]]
 
 
-def token_count(text: str) -> Column:
-    """Words between white space; null has none."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
-def form_topic(text: str) -> Column:
-    """Topic by the form of a text, for tables without a topic column: table, symbols, notice or prose (null: prose)."""
-    size = F.greatest(F.octet_length(F.col(text)), F.lit(1))
-    bars = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("|")))
-    signs = F.octet_length(F.col(text)) - F.octet_length(F.translate(F.col(text), "%&*#$", ""))
-    return F.when(bars / size > 0.05, "table").when(signs / size > 0.1, "symbols").when(F.col(text).contains("icense"), "notice").otherwise("prose")
-
-
 def tempered(shares: dict[str, float], power: float = TEMPER) -> dict[str, float]:
     total = sum(v**power for v in shares.values() if v > 0) or 1.0
     return {k: v**power / total if v > 0 else 0.0 for k, v in shares.items()}
@@ -86,21 +74,25 @@ def _rake_table(cells: DataFrame, names: list[str], targets: list[DataFrame], ro
 
 
 def calibrated(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: Targets | None = None, power: float = TEMPER, max_cells: int = MAX_CELLS) -> DataFrame:
-    """docs with ``_tokens`` and ``_p``: the probability at which a document is sampled.
+    """docs with ``n_tokens`` and ``p_keep``: the probability at which a document is sampled.
 
     The cells' weights are raked to all margins and scaled so that the largest is 1, hence sampled tokens have the
     target shares in expectation, and no document is needed twice. A margin without a target is tempered. Null
-    categories count as the empty string. Cells without tokens have probability 0 unless all have none.
+    categories count as the empty string, null tokens as none. Cells without tokens have probability 0 unless all have
+    none. Up to max_cells cells are raked on the driver, more as a table: the arithmetic and the rule to stop are the
+    same. Columns of docs keep their names whatever they are, but for n_tokens and p_keep, which are replaced. docs must
+    give the same rows when it is read again.
     """
-    names = list(margins)
-    rows = docs.withColumns({"_tokens": tokens, **{f"_m{i}": F.coalesce(c.cast("string"), F.lit("")) for i, c in enumerate(margins.values())}})
-    keys = [f"_m{i}" for i in range(len(names))]
-    cells = materialise(rows.groupBy(*keys).agg(F.sum("_tokens").cast("double").alias("tokens"), F.count("*").alias("n")), "cells")
+    names = [n for n in docs.columns if n not in ("n_tokens", "p_keep")]
+    keys = [f"m{i}" for i in range(len(margins))]
+    rows = docs.select(F.struct(*names).alias("doc"), F.coalesce(tokens.cast("long"), F.lit(0)).cast("long").alias("tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in zip(keys, margins.values(), strict=True)))
+    cells = materialise(rows.groupBy(*keys).agg(F.sum("tokens").cast("double").alias("tokens"), F.count("*").alias("n")), "cells")
     spark = docs.sparkSession
-    if cells.count() <= max_cells:
+    counted = cells.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if counted[0] <= max_cells:
         table_ = {tuple(r[k] for k in keys): r.tokens for r in cells.collect()}
         aims = []
-        for i, name in enumerate(names):
+        for i, name in enumerate(margins):
             now: dict[str, float] = defaultdict(float)
             for c, t in table_.items():
                 now[c[i]] += t
@@ -108,36 +100,62 @@ def calibrated(docs: DataFrame, margins: dict[str, Column], tokens: Column, targ
         weights = rake(table_, aims)
         top = max(weights.values(), default=0.0)
         found = [(*c, weights.get(c, 0.0) / top if top else 1.0) for c in table_]
-        if not found:
-            return rows.withColumn("_p", F.lit(1.0)).drop(*keys)
-        small = spark.createDataFrame(found, ", ".join([*(f"{k} string" for k in keys), "_p double"]))
-        return rows.join(F.broadcast(small), keys).drop(*keys)  # max_cells rows at most
-    aims = []
-    for name, k in zip(names, keys, strict=True):
-        if own := (targets or {}).get(name):
-            aims.append(spark.createDataFrame(list(own.items()), f"{k} string, share double"))
-        else:
-            sums = cells.groupBy(k).agg(F.sum("tokens").alias("t")).filter("t > 0").withColumn("share", F.pow("t", F.lit(power)))
-            aims.append(materialise(sums.select(k, (F.col("share") / (sums.agg(F.sum("share")).first()[0] or 1.0)).alias("share")), "aims"))
-    raked = _rake_table(cells.filter("tokens > 0"), keys, aims)
-    top = raked.agg(F.max("w")).first()[0]
-    p = F.coalesce(F.col("w") / top, F.lit(0.0)) if top else F.lit(1.0)
-    groups = cells.select(*keys, "n").join(raked.select(*keys, "w"), keys, "left").select(F.struct(*keys).alias("_cell"), "n", p.alias("_p"))
-    keyed = rows.withColumn("_cell", F.struct(*keys)).withColumn("_spread", F.monotonically_increasing_id())
-    return lookup(keyed, groups, "_cell", "n", "_spread", rows.count()).drop(*keys, "_cell", "_spread", "n")
-
-
-def default_margins() -> dict[str, Column]:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": form_topic("text")}
-
-
-def sample(docs: DataFrame, targets: Targets | None = None, power: float = TEMPER) -> DataFrame:
-    """The documents drawn: a hash of id and text below the document's probability. The same rows are drawn on every run."""
-    rows = calibrated(docs, default_margins(), token_count("text"), targets, power)
-    return rows.filter(unit_hash("doc_id", "text") < F.col("_p")).select(*docs.columns)
+        small = spark.createDataFrame(found, ", ".join([*(f"{k} string" for k in keys), "p double"]))
+        out = rows.join(F.broadcast(small), keys)  # max_cells rows at most
+    else:
+        aims = []
+        for name, k in zip(margins, keys, strict=True):
+            if own := (targets or {}).get(name):
+                aims.append(spark.createDataFrame(list(own.items()), f"{k} string, share double"))
+            else:
+                sums = cells.groupBy(k).agg(F.sum("tokens").alias("t")).filter("t > 0").withColumn("share", F.pow("t", F.lit(power)))
+                aims.append(materialise(sums.select(k, (F.col("share") / (sums.agg(F.sum("share")).first()[0] or 1.0)).alias("share")), "aims"))
+        raked = _rake_table(cells.filter("tokens > 0"), keys, aims)
+        top = raked.agg(F.max("w")).first()[0]
+        p = F.coalesce(F.col("w") / top, F.lit(0.0)) if top else F.lit(1.0)
+        groups = cells.select(*keys, "n").join(raked.select(*keys, "w"), keys, "left").select(F.struct(*keys).alias("cell"), "n", p.alias("p"))
+        keyed = rows.select("doc", "tokens", F.struct(*keys).alias("cell"), F.monotonically_increasing_id().alias("at"))
+        out = lookup(keyed, groups, "cell", "n", "at", counted[1])
+    return out.select("doc.*", F.col("tokens").alias("n_tokens"), F.col("p").alias("p_keep"))
+
+
+def _placed(docs: DataFrame, keep: list[Column], id_col: str, text_col: str) -> DataFrame:
+    """``keep`` of each row with _source, _lang, _topic, _words and _u, a number in [0, 1) that its id and text fix.
+
+    Texts are read once, for words and term vectors, which are written. A topic column of docs is used as it is; without
+    one, topics come from the k-means model of ``topics``, fitted on all rows.
+    """
+    own = [F.col("topic").cast("string").alias("_topic")] if "topic" in docs.columns else []
+    rows = docs.select(*keep, F.col("source").alias("_source"), F.col("lang").alias("_lang"), *own, unit_hash(id_col, text_col).alias("_u"), terms(F.col(text_col).cast("string").cast("binary")).alias("_terms"))
+    rows = rows.select("*", F.col("_terms.words").alias("_words"), *([] if own else [F.col("_terms.vector").alias("_vector")])).drop("_terms")
+    rows = materialise(rows, "placed")
+    if own:
+        return rows
+    group = F.coalesce(F.col("_lang").cast("string"), F.lit(""))
+    return rows.withColumn("_topic", topic_of(fit(rows.select(group, "_vector")), group, F.col("_vector"))).drop("_vector")
+
+
+def _drawn(docs: DataFrame, keep: list[Column], targets: Targets | None, power: float, id_col: str, text_col: str) -> DataFrame:
+    rows = _placed(docs, keep, id_col, text_col)
+    margins = {"source": F.col("_source"), "lang": F.col("_lang"), "topic": F.col("_topic")}
+    return calibrated(rows, margins, F.col("_words"), targets, power)
+
+
+def probabilities(docs: DataFrame, targets: Targets | None = None, power: float = TEMPER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, p_keep, kept) of each row of docs."""
+    out = _drawn(docs, [F.col(id_col).alias("_id")], targets, power, id_col, text_col)
+    return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "n_tokens", "p_keep", (F.col("_u") < F.col("p_keep")).alias("kept"))
+
+
+def sample(docs: DataFrame, targets: Targets | None = None, power: float = TEMPER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents drawn, with all their columns: a hash of id and text below the document's probability.
+
+    The same rows are drawn on every run; equal rows are drawn together. An empty docs gives no rows. The documents are
+    written once with their vectors; with up to MAX_CELLS cells no text is shuffled.
+    """
+    out = _drawn(docs, [F.struct(*docs.columns).alias("_doc")], targets, power, id_col, text_col)
+    return out.filter(F.col("_u") < F.col("p_keep")).select("_doc.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = calibrated(docs.withColumn("topic", form_topic("text")), {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic")}, token_count("text"))
-    return rows.select("doc_id", "source", "lang", "topic", F.col("_tokens").alias("n_tokens"), F.col("_p").alias("p_keep"), (unit_hash("doc_id", "text") < F.col("_p")).alias("kept"))
+    return probabilities(table(spark, sf_dir, "documents"))
