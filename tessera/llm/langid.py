@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,42 +14,115 @@ from tessera.llm.common import table
 
 #: Distinct labelled texts a language is learned from, at most (whole texts, those of the smallest hashes).
 DOCS_PER_LANGUAGE = 1500
-#: Context length in bytes, and how many of the longest contexts get a node.
-ORDER, LONG_NODES = 3, 16384
-#: Byte symbols: the most frequent ones of the sample, the last one stands for all other bytes.
-SYMBOLS = 96
+#: Context length in bytes. Contexts of LONG bytes or more get a node if they occur so often.
+ORDER, LONG, LEAST_COUNT = 4, 4, 2
 #: Bytes scored at once.
 CHUNK = 1 << 20
 UNDETERMINED = "und"
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 32
-_FOLD[0x09:0x0E] = 0x20
-_FOLD[0x30:0x3A] = 0x30
 _PAD = b" " * ORDER
 _LETTER = re.compile(rb"[A-Za-z]")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def has_letter(text: bytes) -> bool:
     return bool(_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
+def _grams(s: np.ndarray) -> np.ndarray:
+    """Each byte from number ORDER on, with the ORDER bytes before it, as one number."""
+    out = np.zeros(max(len(s) - ORDER, 0), np.uint64)
+    for k in range(ORDER + 1):
+        out = (out << np.uint64(8)) | s[k : k + len(out)].astype(np.uint64)
+    return out
+
+
 def _codes(texts: list[bytes]) -> np.ndarray:
-    """Each byte with the three before it as one number; texts start after spaces."""
-    s = _FOLD[np.frombuffer(_PAD + _PAD.join(texts), np.uint8)].astype(np.uint32)
-    own = np.repeat(np.tile([True, False], len(texts)), np.c_[[len(t) for t in texts], [ORDER] * len(texts)].ravel())[: len(s) - 3]
-    return ((s[:-3] << 24) | (s[1:-2] << 16) | (s[2:-1] << 8) | s[3:])[own]
+    """The grams of all texts; each starts after spaces, which are no bytes of it."""
+    own = np.repeat(np.tile([True, False], len(texts)), np.c_[[len(t) for t in texts], [ORDER] * len(texts)].ravel())
+    return _grams(np.frombuffer(_PAD + _PAD.join(texts), np.uint8))[own[: -ORDER or None]]
+
+
+def _tree(codes: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A language's context tree from its grams: for each order (symbols after a context and their bits, contexts and the
+    bits by which an unseen symbol is dearer than one byte of context less makes it). Escape method C with exclusion."""
+    out, lower = [], None
+    for k in range(ORDER + 1):
+        grams, at = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        n = np.bincount(at, weights=counts)
+        ctx, own, d = np.unique(grams >> np.uint64(8), return_inverse=True, return_counts=True)
+        total = np.bincount(own, weights=n)
+        below = np.full(len(grams), 1 / 256) if lower is None else lower[1][np.searchsorted(lower[0], grams & np.uint64((1 << 8 * k) - 1))]
+        rest = np.maximum(1 - np.bincount(own, weights=below), 1e-12)
+        whole = d == 256  # every byte was seen: nothing to escape to
+        p = n / (total + np.where(whole, 0, d))[own]
+        lower = (grams, p)
+        escape = np.where(whole, 0.0, -np.log2(d / (total + d) / rest))
+        node = np.full(len(ctx), True) if k < LONG else total >= LEAST_COUNT
+        if not node.all():  # the bits of contexts without a node are those of one byte less
+            lower = (grams, np.where(node[own], p, below))
+        out.append((grams[node[own]], -np.log2(p[node[own]]), ctx[node], escape[node]))
+    return out
+
+
+class Lookup:
+    """Numbers by key: open addressing in flat arrays, asked for many keys at once; 0 for unknown keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        self.mask = (1 << int(64 - self.shift)) - 1
+        self.keys, self.values = np.full(self.mask + 1, _NONE), np.zeros(self.mask + 1, np.float32)
+        at = self._start(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == _NONE]
+            self.keys[at[free]] = keys[free]
+            put = free[self.keys[at[free]] == keys[free]]  # of several for one place, one was put
+            self.values[at[put]] = values[put]
+            placed = np.zeros(len(keys), bool)
+            placed[put] = True
+            left = left[~placed[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MIX) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found) of the keys."""
+        at = self._start(keys)
+        there = self.keys.take(at)
+        found = there == keys
+        values = np.where(found, self.values.take(at), np.float32(0))
+        left = np.flatnonzero(~found & (there != _NONE))
+        while len(left):
+            at = (at if len(at) == len(left) else at[left]) + 1 & self.mask
+            own, there = keys.take(left), self.keys.take(at)
+            hit = there == own
+            values[left[hit]], found[left[hit]] = self.values.take(at[hit]), True
+            on = ~hit & (there != _NONE)
+            left, at = left[on], at[on]
+        return values, found
 
 
 @dataclass
 class Model:
-    langs: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    node: np.ndarray  # three symbols -> row of the longest context that has a node
-    bits: np.ndarray  # row, symbol, language -> code length
+    trees: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+    def __post_init__(self):
+        self.langs = sorted(self.trees)
+        self.tables = None
+
+    def __getstate__(self):
+        return {"trees": self.trees}  # the look-up tables are built where they are used
+
+    def __setstate__(self, state):
+        self.__init__(**state)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each whole text under each language."""
+        if self.tables is None:
+            self.tables = [[(Lookup(g, b), Lookup(c, e)) for g, b, c, e in self.trees[lang]] for lang in self.langs]
         out, start = np.zeros((len(texts), len(self.langs))), 0
         while start < len(texts):
             end, size = start, 0
@@ -62,81 +134,44 @@ class Model:
         return out
 
     def _chunk(self, texts: list[bytes]) -> np.ndarray:
-        s = self.symbol[np.frombuffer(_PAD + _PAD.join(texts) + b" ", np.uint8)].astype(np.int32)
-        row = self.node[(s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]]
-        cost = self.bits.reshape(-1, len(self.langs))[row * SYMBOLS + s[3:]]
+        """Each text apart from long ones, which go by pieces of CHUNK bytes with the bytes before them."""
         sizes = np.array([len(t) for t in texts])
-        starts = np.cumsum(sizes + ORDER) - sizes - ORDER
-        sums = np.add.reduceat(cost, np.c_[starts, starts + sizes].ravel(), axis=0, dtype=np.float64)[::2]
-        sums[sizes == 0] = 0
-        return sums
-
-
-def _context_rows(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Distributions of contexts from symbol counts and the distributions one byte shorter: escape method C with exclusion."""
-    n, seen = counts.sum(1, keepdims=True), counts > 0
-    d = seen.sum(1, keepdims=True)
-    rest = np.where(seen, 0, below)
-    left = rest.sum(1, keepdims=True)
-    whole = left <= 0  # every symbol was seen: nothing to escape to
-    total = np.maximum(np.where(whole, n, n + d), 1)
-    escape = np.where(whole, 0, d / total)
-    return np.where(n > 0, np.where(seen, counts / total, escape * rest / np.where(whole, 1, left)), below)
-
-
-def build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Context trees from each language's four-byte codes and their counts."""
-    langs = sorted(grams)
-    total = np.zeros(256)
-    for codes, n in grams.values():
-        np.add.at(total, codes & 255, n)
-    common = [c for c in np.argsort(-total, kind="stable")[: SYMBOLS - 1].tolist() if total[c] > 0 or c == 0x20]
-    if 0x20 not in common:
-        common[-1:] = [0x20]
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol[common] = np.arange(len(common))
-    symbol = symbol[_FOLD]
-    a, cells = SYMBOLS, []
-    for lang in langs:
-        codes, n = grams[lang]
-        s = [symbol[(codes >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-        four = np.bincount(((s[0] * a + s[1]) * a + s[2]) * a + s[3], weights=n, minlength=0)
-        at = np.flatnonzero(four)
-        cells.append((at, four[at]))
-    context_total = np.zeros(a**3)
-    for at, n in cells:
-        np.add.at(context_total, at // a, n)
-    two_total = context_total.reshape(a, a * a).sum(0)
-    two = np.flatnonzero(two_total)
-    long = np.argsort(-context_total, kind="stable")[:LONG_NODES]
-    long = np.sort(long[context_total[long] > 1])
-    row1, row2, row3 = np.arange(a), np.full(a * a, -1), np.full(a**3, -1)
-    row2[two] = a + np.arange(len(two))
-    row3[long] = a + len(two) + np.arange(len(long))
-    bits = np.zeros((a + len(two) + len(long), a, len(langs)), np.float32)
-    for k, (at, n) in enumerate(cells):
-        low3 = np.bincount(at % a**3, weights=n, minlength=a**3).reshape(a * a, a)
-        low2 = low3.reshape(a, a, a).sum(0)
-        p0 = _context_rows(low2.sum(0)[None], np.full((1, a), 1 / a))
-        p1 = _context_rows(low2, np.repeat(p0, a, 0))
-        p2 = _context_rows(low3[two], p1[two % a])
-        full = np.zeros((len(long), a))
-        where = row3[at // a]
-        full[where[where >= 0] - a - len(two), (at % a)[where >= 0]] = n[where >= 0]
-        all2 = np.full(a * a, -1)
-        all2[two] = np.arange(len(two))
-        p3 = _context_rows(full, p2[all2[long % (a * a)]])
-        bits[..., k] = -np.log2(np.maximum(np.concatenate([p1, p2, p3]), 1e-12))
-    ctx = np.arange(a**3)
-    node = np.where(row3 >= 0, row3, np.where(row2[ctx % (a * a)] >= 0, row2[ctx % (a * a)], row1[ctx % a])).astype(np.int32)
-    return Model(langs, symbol, node, bits)
+        out = np.zeros((len(texts), len(self.langs)))
+        if not sizes.sum():
+            return out
+        if len(texts) == 1 and sizes[0] > CHUNK:
+            whole = _PAD + texts[0]
+            for i in range(0, int(sizes[0]), CHUNK):
+                out[0] += [x.sum() for x in self._bits(_grams(np.frombuffer(whole[i : i + CHUNK + ORDER], np.uint8)))]
+            return out
+        starts = np.cumsum(sizes) - sizes
+        for k, bits in enumerate(self._bits(_codes(texts))):
+            out[sizes > 0, k] = np.add.reduceat(bits.astype(np.float64), starts[sizes > 0])
+        return out
+
+    def _bits(self, codes: np.ndarray):
+        """For each language, the code length of each gram's last byte after those before it."""
+        for tables in self.tables:
+            bits, left = np.zeros(len(codes), np.float32), np.arange(len(codes))
+            for k in range(ORDER, -1, -1):
+                key = codes.take(left) & np.uint64((1 << 8 * (k + 1)) - 1)
+                cost, found = tables[k][0].get(key)
+                bits[left] += cost
+                left, key = left[~found], key[~found]
+                if not len(left):
+                    break
+                bits[left] += tables[k][1].get(key >> np.uint64(8))[0]
+            bits[left] += 8  # never seen at all: one of 256
+            yield bits
 
 
 def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
     """A model from the columns lang and text of labelled rows; None if there are none. Null languages or texts teach nothing.
 
     Copies of a text teach once. Languages with more distinct texts than the bound are sampled by a hash of the text, whole
-    texts each; statistics are counted on the executors and only their sums, bounded by the sample, come to the driver.
+    texts each; grams are counted on the executors, each language's tree is built by a task from its counts, which the
+    sample bounds, and the trees come to the driver. Every context of a language has a node, those of LONG bytes if they
+    occur LEAST_COUNT times; all 256 bytes are symbols.
     """
     rows = labelled.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
@@ -152,23 +187,34 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mo
 
     def count(batches):
         found: dict[str, list] = {}
+
+        def emit():
+            for lang, parts in found.items():
+                codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([p[1] for p in parts]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+            found.clear()
+
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-            for lang in set(langs):
+            for lang in dict.fromkeys(langs):
                 own = [t for x, t in zip(langs, texts, strict=True) if x == lang]
                 for i in range(0, len(own), 256):
                     found.setdefault(lang, []).append(np.unique(_codes(own[i : i + 256]), return_counts=True))
-        for lang, parts in found.items():
-            codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([p[1] for p in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
-
-    sums = sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    grams = {}
-    for x in sorted(sums["lang"].unique().to_pylist()):
-        own = sums.filter(pc.equal(sums["lang"], x))
-        grams[x] = (own["code"].to_numpy().astype(np.uint32), own["n"].to_numpy())
-    return build(grams) if grams else None
+            if sum(len(p[0]) for parts in found.values() for p in parts) > 1 << 22:
+                yield from emit()
+        yield from emit()
+
+    def plant(group: pa.Table) -> pa.Table:
+        tree = _tree(group["code"].to_numpy().astype(np.uint64), group["n"].to_numpy())
+        data = [[x.astype(kind).tobytes() for x, kind in zip(order, ("<u8", "<f4", "<u8", "<f4"), strict=True)] for order in tree]
+        return pa.table({"lang": [group["lang"][0].as_py()] * len(data), "k": pa.array(range(len(data)), pa.int32()), **{c: pa.array([d[i] for d in data], pa.binary()) for i, c in enumerate("gbce")}})
+
+    sums = sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    trees: dict[str, list] = {}
+    for r in sorted(sums.groupBy("lang").applyInArrow(plant, "lang string, k int, g binary, b binary, c binary, e binary").collect(), key=lambda r: (r.lang, r.k)):
+        trees.setdefault(r.lang, []).append(tuple(np.frombuffer(x, kind) for x, kind in zip(r[2:], ("<u8", "<f4", "<u8", "<f4"), strict=True)))
+    return Model(trees) if trees else None
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

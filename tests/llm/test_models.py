@@ -61,8 +61,14 @@ def test_language_model_scores_match_brute_force(spark, monkeypatch):
     c = Counter(w for i, t, _ in rows if not held(i) for w in tokens(t))
     seen = {w for _, t, _ in rows for w in tokens(t)}
     heads = {w: 2 + k for k, (w, _) in enumerate(sorted(((w, n) for w, n in c.items() if w != " "), key=lambda x: (-x[1], x[0]))[: maxent.HEADS])}
-    shape = {w: maxent.END if w == " " else heads.get(w, maxent.shape_of(w.encode())) for w in seen}
+
+    def shape_of(w):
+        stem, half = w.rstrip(maxent.SIGNS), maxent.SHAPES // 2
+        return 2 + maxent.HEADS + zlib.crc32(stem[-2:].encode()) % half + half * (stem != w)
+
+    shape = {w: maxent.END if w == " " else heads.get(w, shape_of(w)) for w in seen}
     rare = {w for w in seen if w not in heads and w != " " and c[w] < 2}
+
     n1, n2 = (sum(1 for w in c if shape[w] >= 2 + maxent.HEADS and c[w] == k) for k in (1, 2))
     unseen = (n1 + 1) / (n1 + 2 * n2 + 2)
     mass = Counter()
@@ -74,7 +80,7 @@ def test_language_model_scores_match_brute_force(spark, monkeypatch):
         return maxent.RARE if w in rare else shape[w]
 
     def past(w):
-        return maxent.END if w == " " else shape[w] if w in rare else maxent.history_of(w.encode())
+        return maxent.END if w == " " else shape[w] if w in rare else maxent.CELLS + zlib.crc32(w.encode()) % ((1 << maxent.HISTORY_BITS) - maxent.CELLS)
 
     def within(w):
         if w in rare:
@@ -111,11 +117,14 @@ def test_probabilities_sum_to_one_and_gradients_match_a_loop():
     past = maxent.pasts(words, sizes)
     assert past[:, :4].tolist() == [[0, words[0], 0, 0], [0, 0, 0, 0]] and past[:, 6].tolist() == words[[5, 4]].tolist()
     a, b = model.probabilities(past, cell)
+    x = rng.integers(0, 1 << 32, 1000)
+    assert np.array_equal(maxent.unpacked(maxent.packed(x)), x) and maxent.runs(np.array([1, maxent.PIECE, 5, 1])) == [(0, 2), (2, 4)]
     at = np.arange(43)
     assert np.allclose(np.exp(model.log_token(past, cell)), a[at, cell // 32] * b[at, cell % 32])
     assert np.allclose(a.sum(1), 1) and np.allclose(b.sum(1), 1)
     got, want, seen = maxent._empty(10), maxent._empty(10), maxent._empty(10)
-    maxent.add_gradient(got, model, past, cell)
+    for seed in range(3000):
+        maxent.add_expected(got, model, past, cell, np.random.default_rng(seed))
     maxent.add_seen(seen, past, cell, 10)
     for f in maxent.class_features(past, 10):
         for i, k in enumerate(f):
@@ -124,7 +133,7 @@ def test_probabilities_sum_to_one_and_gradients_match_a_loop():
     for f in maxent.cell_features(past, cell, 10):
         for i, k in enumerate(f):
             want[1][k] += b[i]
-    assert np.allclose(got[0], want[0], atol=1e-3) and np.allclose(got[1], want[1], atol=1e-3)
+    assert np.allclose(got[0] / 3000, want[0], atol=0.06) and np.allclose(got[1] / 3000, want[1], atol=0.06)
     assert seen[0].sum() == 3 * 43 and seen[1].sum() == 2 * 43 and np.allclose(seen[2] * 3, want[2]) and seen[3].sum() == 43
 
 
@@ -143,46 +152,66 @@ def test_languages_held_out(spark):
     assert langid.predict(train.filter("false"), model).count() == 0
 
 
-def test_code_lengths_match_the_trees_walked_byte_by_byte():
-    texts = {"x": [b"abracadabra", b"abra"], "y": [b"zzyzx zyzzy"]}
-    model = langid.build({k: np.unique(langid._codes(v), return_counts=True) for k, v in texts.items()})
-    alphabet = model.symbol
+def test_code_lengths_match_the_trees_walked_byte_by_byte(monkeypatch):
+    texts = {"x": [b"abracadabra 12 Abra", b"abra\xc3\xa9"], "y": [b"zzyzx zyzzy"]}
+    model = langid.Model({k: langid._tree(*np.unique(langid._codes(v), return_counts=True)) for k, v in texts.items()})
+    top = langid.ORDER
 
-    def p(counts, ctx, s, size=langid.SYMBOLS):
+    def p(counts, ctx, s):
         """Method C with exclusion, straight from the definition."""
         def row(order):
-            below = [1 / size] * size if order < 0 else row(order - 1)
             if order < 0:
-                return below
-            own = counts[order].get(tuple(ctx[3 - order :]), Counter())
+                return [1 / 256] * 256
+            below, own = row(order - 1), counts[order].get(tuple(ctx[top - order :]), Counter())
             n, d = sum(own.values()), len(own)
-            if not n:
+            if not n or (order >= langid.LONG and n < langid.LEAST_COUNT):
                 return below
             rest = sum(q for i, q in enumerate(below) if i not in own)
             return [own[i] / (n + d) if i in own else d / (n + d) * q / rest for i, q in enumerate(below)]
-        return row(3)[s]
+        whole = row(top)
+        assert sum(whole) == pytest.approx(1)
+        return whole[s]
 
+    asked = (b"abracadabra zz", b"", b"cab", b"\xff 12 Abracadabra " * 3)
     for k, lang in enumerate(model.langs):
-        counts = [defaultdict(Counter) for _ in range(4)]
+        counts = [defaultdict(Counter) for _ in range(top + 1)]
         for t in texts[lang]:
-            s = [int(alphabet[c]) for c in b"   " + t]
-            for i in range(3, len(s)):
-                for order in range(4):
+            s = b" " * top + t
+            for i in range(top, len(s)):
+                for order in range(top + 1):
                     counts[order][tuple(s[i - order : i])][s[i]] += 1
-        total = defaultdict(int)
-        for l2 in model.langs:
-            for t in texts[l2]:
-                s = [int(alphabet[c]) for c in b"   " + t]
-                for i in range(3, len(s)):
-                    total[tuple(s[i - 3 : i])] += 1
-        for t in (b"abracadabra zz", b"", b"cab"):
-            s = [int(alphabet[c]) for c in b"   " + t]
-            bits = 0.0
-            for i in range(3, len(s)):
-                ctx = s[i - 3 : i]
-                use = counts if total[tuple(ctx)] > 1 else [*counts[:3], {}]  # longest contexts seen once have no node
-                bits -= math.log2(p(use, ctx, s[i]))
-            assert model.code_lengths([b"q", t, b"r"])[1][k] == pytest.approx(bits, rel=1e-5, abs=1e-5)
+        for t in asked:
+            s = b" " * top + t
+            bits = -sum(math.log2(p(counts, s[i - top : i], s[i])) for i in range(top, len(s)))
+            assert model.code_lengths([b"q", t, b"r"])[1][k] == pytest.approx(bits, rel=1e-5, abs=1e-4)
+    whole = model.code_lengths([asked[3]])
+    monkeypatch.setattr(langid, "CHUNK", 7)  # a text longer than a piece
+    assert np.allclose(model.code_lengths([asked[3]]), whole)
+
+
+def test_lookup_finds_what_was_put():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64))
+    asked = np.r_[keys, rng.integers(0, 1 << 40, 5000).astype(np.uint64), np.arange(50, dtype=np.uint64)]
+    table, known = langid.Lookup(keys, np.arange(len(keys))), {int(k): i for i, k in enumerate(keys)}
+    values, found = table.get(asked)
+    assert found.tolist() == [int(k) in known for k in asked] and values.tolist() == [known.get(int(k), 0) for k in asked]
+    assert not langid.Lookup(keys[:0], np.zeros(0)).get(asked)[1].any()
+
+
+def test_language_predictions_match_brute_force(spark):
+    """op10's predictions: the language of the shortest code, from counts of the documents that may teach."""
+    rows = corpus(60) + [(100, "12 !!", "aa"), (101, None, "bb"), (102, "KANA mora", None), (103, "çà et là", "cc")]
+    df = docs(spark, rows)
+    out = {r.doc_id: r for r in langid.predict(df, langid.learn(df.filter(~langid.held_out()))).collect()}
+    taught = {g: sorted({t.encode() for i, t, x in rows if x == g and t is not None and zlib.crc32(str(i).encode()) % 3 != 1}) for g in VOICES}
+    model = langid.Model({g: langid._tree(*np.unique(langid._codes(v), return_counts=True)) for g, v in taught.items()})
+    for i, t, _ in rows:
+        if i in (100, 101):
+            assert (out[i].lang_pred, out[i].score) == ("und", 0)
+            continue
+        bits = model.code_lengths([t.encode()])[0]
+        assert out[i].lang_pred == model.langs[int(bits.argmin())] and out[i].score == pytest.approx(1 / sum(2 ** (min(bits) - b) for b in bits), rel=1e-4)
 
 
 def test_ordinal_regression(spark):
@@ -243,21 +272,65 @@ def test_raking_reaches_all_margins():
             assert sum(w[c] * t for c, t in cells.items() if c[m] == k) / total == pytest.approx(share, abs=1e-6)
 
 
+def n_words():
+    return mixing.F.coalesce(mixing.F.regexp_count("text", mixing.F.lit(r"[^\x20\x09-\x0D]+")), mixing.F.lit(0))
+
+
 def test_mixing_on_tables(spark):
     rows = [(i, "a b c " * (1 + i % 5) + ("| " * 20 if i % 7 == 0 else ""), ["aa", "bb", None][i // 3 % 3]) for i in range(3000)] + EDGES
     df = docs(spark, rows).withColumn("source", mixing.F.when(mixing.F.col("doc_id") % 3 == 0, "hot").otherwise(mixing.F.concat(mixing.F.lit("s"), mixing.F.col("doc_id") % 5)))
     margins = {"source": mixing.F.col("source"), "lang": mixing.F.col("lang")}
-    small = mixing.calibrated(df, margins, mixing.token_count("text")).toPandas()
-    large = mixing.calibrated(df, margins, mixing.token_count("text"), max_cells=2).toPandas()
-    assert len(small) == len(large) == len(rows) and 0 < small._p.max() <= 1
-    a = small.assign(source=small.source.fillna("")).groupby("source").apply(lambda g: (g._p * g._tokens).sum(), include_groups=False)
-    t = small.assign(source=small.source.fillna("")).groupby("source")._tokens.sum() ** 0.9
+    small = mixing.calibrated(df, margins, n_words()).toPandas()
+    large = mixing.calibrated(df, margins, n_words(), max_cells=2).toPandas()
+    assert len(small) == len(large) == len(rows) and 0 < small.p_keep.max() <= 1
+    a = small.assign(source=small.source.fillna("")).groupby("source").apply(lambda g: (g.p_keep * g.n_tokens).sum(), include_groups=False)
+    t = small.assign(source=small.source.fillna("")).groupby("source").n_tokens.sum() ** 0.9
     assert np.allclose(a / a.sum(), t / t.sum(), atol=1e-3)
-    one, two = (x.sort_values(["doc_id", "text"], na_position="first")._p.to_numpy() for x in (small, large))
-    assert np.allclose(one, two, atol=1e-3)
+    one, two = (x.sort_values(["doc_id", "text"], na_position="first").p_keep.to_numpy() for x in (small, large))
+    assert np.allclose(one, two, rtol=1e-9, atol=1e-9)
+    assert small.n.tolist() == ["n"] * len(rows) and large.n.tolist() == ["n"] * len(rows)
     kept = mixing.sample(df)
     assert kept.columns == df.columns and 0 < kept.count() < len(rows)
-    assert mixing.sample(df.filter("false")).count() == 0
+    assert mixing.sample(df.filter("false")).count() == 0 and mixing.probabilities(df.drop("topic").filter("false")).count() == 0
+    silent = df.filter("text is null or text = ''")
+    for n in (100, 0):
+        assert {r.p_keep for r in mixing.calibrated(silent, margins, n_words(), max_cells=n).collect()} == {1.0}
+
+
+def test_probabilities_match_brute_force(spark):
+    """op9's query: words, topics by the fitted centres, raking by plain loops, and the draw by the hash."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice(VOICES["aa"] if i % 4 else ["|", "#", "x"], int(rng.integers(0, 30)))), ["aa", "bb", None][i % 3]) for i in range(300)] + EDGES
+    df = docs(spark, rows).drop("topic").withColumn("source", mixing.F.when(mixing.F.col("doc_id") % 3 == 0, "hot").otherwise(mixing.F.concat(mixing.F.lit("s"), mixing.F.col("doc_id") % 5)))
+    out = mixing.probabilities(df)
+    assert out.columns == ["doc_id", "source", "lang", "topic", "n_tokens", "p_keep", "kept"]
+    found = out.collect()
+    words = sorted((str(i), len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, _ in rows)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in found) == words and len({r.topic for r in found}) > 1
+    cell = [tuple(x or "" for x in (r.source, r.lang, r.topic)) for r in found]
+    tokens = Counter()
+    for c, r in zip(cell, found, strict=True):
+        tokens[c] += r.n_tokens
+    w = {c: 1.0 for c, t in tokens.items() if t}
+    aims = []
+    for m in range(3):
+        shares = Counter()
+        for c in w:
+            shares[c[m]] += tokens[c]
+        aims.append({k: v**0.9 / sum(x**0.9 for x in shares.values()) for k, v in shares.items()})
+    for _ in range(500):
+        for m, aim in enumerate(aims):
+            now = Counter()
+            for c in w:
+                now[c[m]] += w[c] * tokens[c]
+            w = {c: x * sum(tokens.values()) * aim[c[m]] / now[c[m]] for c, x in w.items()}
+    top = max(w.values())
+    assert np.allclose([r.p_keep for r in found], [w.get(c, 0.0) / top for c in cell], atol=1e-6)
+    draw = {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", mixing.unit_hash("doc_id", "text")).collect()}
+    kept = {(r.doc_id, r.text) for r in mixing.sample(df).collect()}
+    assert len(kept) and {(i, u < next(r.p_keep for r in found if r.doc_id == i)) for (i, _), u in draw.items() if i is not None} == {(i, (i, t) in kept) for (i, t) in draw if i is not None}
+    again = {r.doc_id: r.topic for r in mixing.probabilities(df.repartition(3)).collect()}
+    assert again == {r.doc_id: r.topic for r in found}
 
 
 def test_copies_do_not_crowd_out_a_language(spark):
@@ -268,7 +341,7 @@ def test_copies_do_not_crowd_out_a_language(spark):
     assert some.langs == ["aa", "bb"]
     once = docs(spark, [(0, "kana mora tuki sola", "aa"), (1, "sola tuki", "aa"), *rows[400:440]])
     same = langid.learn(once, docs_per_language=3)
-    assert np.array_equal(some.bits, same.bits) and np.array_equal(some.node, same.node)
+    assert all(np.array_equal(x, y) for g in some.langs for a, b in zip(some.trees[g], same.trees[g], strict=True) for x, y in zip(a, b, strict=True))
 
 
 def test_both_rakings_agree_where_they_converge_slowly(spark):
@@ -276,7 +349,7 @@ def test_both_rakings_agree_where_they_converge_slowly(spark):
     df = docs(spark, rows).withColumn("source", mixing.F.when(mixing.F.col("doc_id").isin(0, 1, 4), "p").when(mixing.F.col("doc_id") == 6, "r").otherwise("q"))
     margins = {"source": mixing.F.col("source"), "lang": mixing.F.col("lang")}
     targets = {"source": {"p": 0.8, "q": 0.2}, "lang": {"x": 0.68, "y": 0.28, "z": 0.04}}
-    found = [{r.doc_id: r._p for r in mixing.calibrated(d, margins, mixing.token_count("text"), targets, max_cells=n).collect()} for d in (df, df.filter("doc_id in (4, 6)")) for n in (100, 1)]
+    found = [{r.doc_id: r.p_keep for r in mixing.calibrated(d, margins, n_words(), targets, max_cells=n).collect()} for d in (df, df.filter("doc_id in (4, 6)")) for n in (100, 1)]
     assert found[0] == pytest.approx(found[1], rel=1e-8, abs=1e-12) and found[2] == found[3] == {4: 1.0, 6: 1.0}
     assert [found[1][i] for i in (4, 6)] == [0.0] * 2
     cells = {("p", "x"): 900.0, ("p", "y"): 1.0, ("q", "x"): 1.0, ("q", "y"): 30.0, ("q", "z"): 2.0}
