@@ -16,6 +16,8 @@ from tessera.llm.common import lookup, materialise, scratch_path, table
 
 #: Bytes of content in a segment, and of a chunk of the chunked transfer coding.
 SEGMENT_BYTES, CHUNK_BYTES = 32 << 10, 8 << 10
+#: Up to so many revisits are broadcast to the writing tasks; more are joined, which shuffles the pages.
+BROADCAST_ROWS = 1 << 17
 #: Equal payloads of at least so many bytes are stored once.
 MIN_DEDUP_BYTES = 0
 DATE = "2020-01-01T00:00:00Z"
@@ -30,7 +32,7 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page: object, rid: int) -> str:
+def record_id(page: object, rid: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page}/{rid}')}>"
 
 
@@ -70,7 +72,7 @@ def header_value(text: str | None) -> str | None:
     return None if text is None else "".join(f"%{ord(c):02X}" if ord(c) < 33 else c for c in text) or None
 
 
-def records_of(page, rid: int, url: str | None, payload: bytes, first: tuple[object, int] | None, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
+def records_of(page, rid: str, url: str | None, payload: bytes, first: tuple[object, str] | None, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
     """The records of one page: a revisit that refers to ``first``, or a response in one or more segments."""
     own = record_id(page, rid)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", header_value(url)), ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"), ("X-Page-Id", page), ("X-Row", rid)]
@@ -130,7 +132,7 @@ def _headers(pages: DataFrame) -> DataFrame:
             data = [x or b"" for x in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([digest_of(x) for x in data]), pa.array([len(x) for x in data], pa.int64())], ["rid", "page_id", "digest", "len"])
 
-    return pages.select("rid", "page_id", "html").mapInArrow(run, "rid bigint, page_id bigint, digest string, len bigint")
+    return pages.select("rid", "page_id", "html").mapInArrow(run, "rid string, page_id bigint, digest string, len bigint")
 
 
 def write_archives(pages: DataFrame, path: str, row_id: str | None = None, min_dedup: int = MIN_DEDUP_BYTES, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -138,12 +140,13 @@ def write_archives(pages: DataFrame, path: str, row_id: str | None = None, min_d
 
     Of equal payloads of min_dedup bytes or more, the one with the smallest page_id (nulls last, then the smallest
     row id) is stored and the others become revisits of it. A block longer than segment_bytes is cut into continuation
-    records. Null html is an empty payload. row_id names a long column that tells rows apart and stays the same when
-    pages is read again; without one, pages is written once with numbers. A file holds what one task has, so its size
+    records. Null html is an empty payload. row_id names a string column that tells rows apart and stays the same when
+    pages is read again; without one, pages is written once with numbers. The few rows that become revisits are
+    broadcast if they are BROADCAST_ROWS at most, so that no html is shuffled; else they are joined. A file holds what one task has, so its size
     is that of a scan or shuffle partition. Other columns aren't read; empty pages make empty archives.
     """
     if row_id is None:
-        numbered = pages.select("page_id", "url", "html").withColumn("rid", F.monotonically_increasing_id())
+        numbered = pages.select("page_id", "url", "html").withColumn("rid", F.monotonically_increasing_id().cast("string"))
         pages, row_id = materialise(numbered, "warc-pages"), "rid"
     rows = pages.select(F.col(row_id).alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     heads = materialise(_headers(rows), "warc-heads")
@@ -154,7 +157,8 @@ def write_archives(pages: DataFrame, path: str, row_id: str | None = None, min_d
     again = groups.filter("n > 1").select("digest", "n", F.col("first.page").alias("first_page"), F.col("first.row").alias("first_rid"))
     linked = lookup(heads, again, "digest", "n", "rid", totals[0])
     linked = linked.filter(F.col("first_rid").isNotNull() & (F.col("first_rid") != F.col("rid")) & (F.col("len") >= min_dedup)).select("rid", "first_page", "first_rid")
-    joined = rows.join(linked, "rid", "left")
+    linked = materialise(linked, "warc-revisits")
+    joined = rows.join(F.broadcast(linked) if linked.count() <= BROADCAST_ROWS else linked, "rid", "left")
 
     def run(batches):
         for b in batches:
@@ -173,59 +177,80 @@ def write_archives(pages: DataFrame, path: str, row_id: str | None = None, min_d
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, rid, record_type, digest, len, payload, refers_to) of the archives in path: payloads in full, null for revisits.
+def read_archives(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
+    """(page_id, rid, record_type, digest, len, payload, refers_to, error) of the archives in path: payloads in full, null for revisits.
 
-    Whole records are decoded where they are read. Segments are grouped by their origin, ordered by number, checked
-    against the total length and decoded; a group is one record's payload. Broken framing, a missing segment, a wrong
-    length or a digest that doesn't match raise WarcError.
+    Each archive is read and decoded once, into a table of whole records and segments. Segments are grouped by their
+    origin, ordered by number, checked against the total length and decoded; a group is one record's payload. Broken
+    framing, a missing segment, a wrong length or a digest that doesn't match raise WarcError; with errors="keep", such
+    a record is a row of type ``damaged`` with the error, and what follows broken framing in its file is given up.
     """
-    schema = "origin string, page_id bigint, rid bigint, record_type string, digest string, len bigint, refers_to bigint, segment int, total bigint, data binary"
+    schema = "origin string, page_id bigint, rid string, record_type string, digest string, len bigint, refers_to bigint, segment int, total bigint, data binary, error string"
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    def damaged(e: WarcError, origin=None, page=None, rid=None):
+        if errors == "raise":
+            raise e
+        return (origin, page, rid, "damaged", None, None, None, None, None, None, str(e))
+
+    def row_of(h: dict, block: bytes) -> tuple:
+        kind, n, total = h["WARC-Type"], h.get("WARC-Segment-Number"), h.get("WARC-Segment-Total-Length")
+        page, refers = (None if (v := h.get(k)) is None else int(v) for k in ("X-Page-Id", "X-Refers-To-Page"))
+        digest, length = h["WARC-Payload-Digest"].removeprefix("sha1:"), None
+        if kind == "revisit":
+            block, length = None, int(h["X-Payload-Bytes"])
+        elif n is None:
+            block = payload_of(block)
+            length = len(block)
+            if digest_of(block) != digest:
+                raise WarcError(f"{h['WARC-Record-ID']}: its payload has another digest")
+        return (h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), page, h.get("X-Row"), "response" if kind == "continuation" else kind, digest, length, refers, None if n is None else int(n), None if total is None else int(total), block, None)
 
     def rows(path_batches):
         for b in path_batches:
             for content in b.column(0):
-                out, size = [], 0
-                for h, block in parse(gzip.decompress(content.as_buffer())):
-                    kind, n = h["WARC-Type"], h.get("WARC-Segment-Number")
-                    page, refers = (None if (v := h.get(k)) is None else int(v) for k in ("X-Page-Id", "X-Refers-To-Page"))
-                    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if n is None and kind == "response":
-                        block = payload_of(block)
-                        if digest_of(block) != digest:
-                            raise WarcError(f"{h['WARC-Record-ID']}: its payload has another digest")
-                    length = len(block) if n is None and kind == "response" else int(h["X-Payload-Bytes"]) if kind == "revisit" else None
-                    total = h.get("WARC-Segment-Total-Length")
-                    out.append((h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), page, int(h["X-Row"]), "response" if kind == "continuation" else kind, digest, length, refers, None if n is None else int(n), None if total is None else int(total), None if kind == "revisit" else block))
-                    size += len(block)
+                out, size, records = [], 0, parse(gzip.decompress(content.as_buffer()))
+                while True:
+                    try:
+                        if (found := next(records, None)) is None:
+                            break
+                    except WarcError as e:
+                        out.append(damaged(e))
+                        break
+                    try:
+                        out.append(row_of(*found))
+                    except WarcError as e:
+                        out.append(damaged(e, found[0].get("WARC-Record-ID"), int(v) if (v := found[0].get("X-Page-Id")) else None, found[0].get("X-Row")))
+                    size += len(found[1])
                     if size > 8 << 20:
                         yield batch(out)
                         out, size = [], 0
                 yield batch(out)
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
-
     def whole(group: pa.Table) -> pa.Table:
-        r = group.slice(0, 1).to_pylist()[0]
-        block = reassemble(list(zip(group["segment"].to_pylist(), group["total"].to_pylist(), group["data"].to_pylist(), strict=True)))
-        payload = payload_of(block)
-        if digest_of(payload) != r["digest"]:
-            raise WarcError(f"{r['origin']}: its payload has another digest")
-        return pa.Table.from_batches([batch([(r["origin"], r["page_id"], r["rid"], r["record_type"], r["digest"], len(payload), r["refers_to"], None, None, payload)])])
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
+        r = group.drop_columns(["data"]).slice(0, 1).to_pylist()[0]
+        try:
+            payload = payload_of(reassemble(list(zip(group["segment"].to_pylist(), group["total"].to_pylist(), group["data"].to_pylist(), strict=True))))
+            if digest_of(payload) != r["digest"]:
+                raise WarcError(f"{r['origin']}: its payload has another digest")
+        except WarcError as e:
+            return pa.Table.from_batches([batch([damaged(e, r["origin"], r["page_id"], r["rid"])])])
+        return pa.Table.from_batches([batch([(r["origin"], r["page_id"], r["rid"], r["record_type"], r["digest"], len(payload), r["refers_to"], None, None, payload, None)])])
+
+    found = materialise(spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema), "warc-records")
     parts = found.filter("segment is not null").groupBy("origin").applyInArrow(whole, schema)
     out = found.filter("segment is null").unionByName(parts)
-    return out.select("page_id", "rid", "record_type", "digest", "len", F.col("data").alias("payload"), "refers_to")
+    return out.select("page_id", "rid", "record_type", "digest", "len", F.col("data").alias("payload"), "refers_to", "error")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    pages = table(spark, sf_dir, "pages")
-    write_archives(pages.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index")), path, "_row")
+    # A row's name is its file and its place in it, not one hash of both.
+    row = F.concat_ws("-", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index"))
+    write_archives(table(spark, sf_dir, "pages").withColumn("_row", row), path, "_row")
     found = read_archives(spark, path)
     return found.select("page_id", F.col("len").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
