@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import lookup, materialise, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step: each node hands its smallest neighbour (itself included) to its larger (large) or smaller neighbours."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star step: each node hands its smallest neighbour (itself included) to its larger (large) or smaller neighbours.
+
+    The rows of a hub are dealt over the join by ``lookup``.
+    """
     sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         sides = sides.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = sides.join(least, "u")
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    out = lookup(sides, least, "u", "n", "v", 2 * total)
     if large:
         out = out.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -22,22 +25,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): root is the smallest node of the component, for each node that has an edge.
 
-    Alternates large-star and small-star steps; each round is written to the shared folder, so lineage stays short.
-    Nulls in an edge and loops are left out; an empty edge table gives no rows.
+    Alternates large-star and small-star steps until nothing changes; each round is written to the shared folder, so
+    lineage stays short, and takes the place of the one before. Nulls in an edge and loops are left out; an empty edge
+    table gives no rows.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a != b")
     pairs = materialise(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    if pairs.isEmpty():
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for _ in range(rounds):
-        pairs = materialise(_star(_star(pairs, True), False), "edges")
+    while True:
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(
-                pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if now == seen or not now[0]:
+            break
+        seen, before = now, pairs
+        pairs = materialise(_star(_star(pairs, True, now[0]), False, now[0]), "edges")
+        release(before)
+    return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

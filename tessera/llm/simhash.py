@@ -19,6 +19,8 @@ SHINGLE_WORDS, SEED, MAX_BITS, BYTES = 3, 42, 3, 8
 MIN_SHARED = BYTES - MAX_BITS
 #: Shingles whose bits are tallied at once.
 CHUNK = 1 << 16
+#: Posting lists longer than this are indexed again, by MIN_SHARED bytes.
+LONG_LIST = 4096
 #: Buckets up to this size are compared by sweeping offsets, larger ones by growing components from seeds.
 SMALL_BUCKET = 48
 
@@ -126,16 +128,31 @@ def _compare(batches):
     yield out(keep_k, keep_f)
 
 
-def near_links(distinct: DataFrame, n: int) -> DataFrame:
-    """(a, b) links that connect all fingerprints of ``distinct`` (column fp, no repeats) within MAX_BITS of one another."""
-    width = key_width(n)
-    keys = []
-    for i, positions in enumerate(covering(width)):
-        key = F.lit(i)
-        for p in positions:
-            key = F.shiftleft(key.cast("long"), 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
-        keys.append(key.cast("long"))
-    posted = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+def _key(number: int, positions: tuple[int, ...]):
+    key = F.lit(number).cast("long")
+    for p in positions:
+        key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
+    return key
+
+
+def near_links(distinct: DataFrame, n: int, width: int | None = None, long_list: int = LONG_LIST) -> DataFrame:
+    """(a, b) links that connect all fingerprints of ``distinct`` (column fp, no repeats) within MAX_BITS of one another.
+
+    Posting lists of more than long_list fingerprints aren't compared as they are: their fingerprints are posted again
+    under each set of MIN_SHARED positions that holds the list's own. A linked pair shares such a set, so it meets there.
+    """
+    width = width or key_width(n)
+    sets = covering(width)
+    posted = distinct.select(F.explode(F.array(*[_key(i, p) for i, p in enumerate(sets)])).alias("key"), "fp")
+    if width < MIN_SHARED:
+        # Lists of over long_list rows: as many as the rows of the index hold at most, so they are looked up, not collected.
+        sizes = posted.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > long_list)
+        sized = materialise(lookup(posted, sizes, "key", "size", "fp", len(sets) * n), "postings")
+        short = sized.filter("size is null").select("key", "fp")
+        wide = list(combinations(range(BYTES), MIN_SHARED))
+        again = F.element_at(F.array(*[F.array(*[_key(len(sets) + j, w) for j, w in enumerate(wide) if set(p) <= set(w)]) for p in sets]), F.shiftrightunsigned("key", 8 * width).cast("int") + 1)
+        long = sized.filter("size is not null").select(F.explode(again).alias("key"), "fp").distinct()
+        posted = short.unionByName(long)
     dealt = posted.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_compare, "a bigint, b bigint").distinct()
 

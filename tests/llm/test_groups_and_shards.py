@@ -94,8 +94,8 @@ def test_links_match_brute_force_at_every_key_width(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want = slow_groups(fps)
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    for n in (10, 1 << 25, 1 << 33, 1 << 50):
-        found = simhash.near_links(df, n).collect()
+    for n, long in ((10, 4096), (10, 8), (1 << 25, 4096), (1 << 25, 2), (1 << 33, 4096), (1 << 33, 1), (1 << 50, 4096)):
+        found = simhash.near_links(df, len(fps), simhash.key_width(n), long).collect()
         pairs = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in found]
         root = {f: f for f in fps}
 
