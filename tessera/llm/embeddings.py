@@ -14,7 +14,9 @@ from tessera.llm.sharding import shard_by_bytes
 
 THRESHOLD = 0.9
 #: Vectors of a block (two blocks meet in a task) and of a tile.
-BLOCK, TILE = 8192, 1024
+BLOCK, TILE = 4096, 1024
+#: Leading axes along which blocks are bounded by boxes.
+AXES = 8
 #: Shares of the dimensions after which the bound is tried.
 STAGES = (0.25, 0.5, 1.0)
 #: Room for rounding of the single-precision partial products; pairs within it are decided in double precision.
@@ -27,20 +29,23 @@ def _stack(col: pa.Array) -> list[np.ndarray | None]:
     out = []
     for v in col:
         x = None if not v.is_valid or v.values.null_count else np.asarray(v.values, np.float64)
-        ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
-        out.append(x if ok and np.isfinite(x @ x) and x @ x > 0 else None)
+        out.append(x if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
     return out
 
 
-def _encode(batches):
-    """Valid vectors as the bytes of their doubles (a negative zero as zero), others as null."""
-    for b in batches:
-        data = pa.array([None if x is None else (x + 0.0).tobytes() for x in _stack(b.column(1))], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), data], ["vec_id", "vec"])
+def _encode(kind: str):
+    """Valid vectors as the bytes of their numbers (a negative zero as zero), others as null."""
+
+    def run(batches):
+        for b in batches:
+            data = pa.array([None if x is None else (x + 0.0).astype(kind).tobytes() for x in _stack(b.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), data], ["vec_id", "vec"])
+
+    return run
 
 
-def _matrix(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+def _matrix(blobs, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -48,14 +53,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def principal_axes(distinct: DataFrame, dim: int) -> np.ndarray:
+def principal_axes(distinct: DataFrame, dim: int, kind: str) -> np.ndarray:
     """Orthonormal axes of all unit vectors, from the largest second moment to the smallest; dim * dim sums reach the driver."""
 
     def moments(batches):
         total = np.zeros((dim, dim))
         for b in batches:
             for i in range(0, b.num_rows, BLOCK):
-                u = _unit(_matrix(b.column(0)[i : i + BLOCK].to_pylist()))
+                u = _unit(_matrix(b.column(0)[i : i + BLOCK].to_pylist(), kind))
                 total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["k", "v"])
 
@@ -125,10 +130,10 @@ class Tiles:
                         yield x[ok], y[ok]
 
 
-def compare_blocks(tiles: Tiles, first: pd.DataFrame, second: pd.DataFrame | None) -> pd.DataFrame:
+def compare_blocks(tiles: Tiles, first: pd.DataFrame, second: pd.DataFrame | None, kind: str = "<f8") -> pd.DataFrame:
     """(node, root, links): for each vector with a link its count of linked rows, and a spanning link to its root."""
-    left = tiles.prepare(_matrix(first.vec))
-    right = left if second is None else tiles.prepare(_matrix(second.vec))
+    left = tiles.prepare(_matrix(first.vec, kind))
+    right = left if second is None else tiles.prepare(_matrix(second.vec, kind))
     shift = 0 if second is None else len(first)
     both = first if second is None else pd.concat([first, second], ignore_index=True)
     n, counts, parent = both.n.to_numpy(), np.zeros(len(both)), np.arange(len(both))
@@ -142,34 +147,53 @@ def compare_blocks(tiles: Tiles, first: pd.DataFrame, second: pd.DataFrame | Non
     return pd.DataFrame({"node": both.node.to_numpy()[at], "root": both.node.to_numpy()[parent[at]], "links": counts[at].astype(np.int64)})
 
 
-def _dimension_links(distinct: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(node, root, links) of all vectors of one dimension, by pairs of blocks along the first principal axis."""
-    spark = distinct.sparkSession
-    axes = principal_axes(distinct, dim)
-    lead = axes[:, 0]
+def _block_pairs(spans: DataFrame, threshold: float) -> DataFrame:
+    """(first, second) blocks that may hold links, each pair once, first <= second.
+
+    Unit vectors with this cosine differ by at most ``reach`` along any axis: blocks meet by an equi-join on cells of the
+    first axis, and only where their boxes are near along all leading axes and the largest product that the boxes and the
+    norms beyond them allow reaches the threshold.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+    at = [F.floor((F.col("lo")[0] + shift) / reach).cast("int") for shift in (0, -reach)]
+    to = [F.floor((F.col("hi")[0] + shift) / reach).cast("int") for shift in (0, reach)]
+    own = spans.withColumn("cell", F.explode(F.sequence(at[0], to[0])))
+    other = spans.withColumn("cell", F.explode(F.sequence(at[1], to[1]))).select("cell", F.col("block").alias("second"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
+    met = own.join(other, "cell").filter(F.col("block") <= F.col("second")).dropDuplicates(["block", "second"])
+    near = F.forall(F.arrays_zip("lo", "hi", "lo2", "hi2"), lambda x: (x["lo2"] - x["hi"] <= reach) & (x["lo"] - x["hi2"] <= reach))
+    most = F.aggregate(F.arrays_zip("lo", "hi", "lo2", "hi2"), F.col("rest") * F.col("rest2"), lambda s, x: s + F.greatest(x["lo"] * x["lo2"], x["lo"] * x["hi2"], x["hi"] * x["lo2"], x["hi"] * x["hi2"]))
+    return met.filter(near & (most >= threshold - SLACK)).select(F.col("block").alias("first"), "second")
+
+
+def _dimension_links(distinct: DataFrame, dim: int, threshold: float, kind: str) -> DataFrame:
+    """(node, root, links) of all vectors of one dimension, by pairs of blocks."""
+    axes = principal_axes(distinct, dim, kind)
+    lead = axes[:, :AXES]
 
     def project(batches):
         for b in batches:
-            y = np.concatenate([np.zeros(0), *(_unit(_matrix(b.column(2)[i : i + BLOCK].to_pylist())) @ lead for i in range(0, b.num_rows, BLOCK))])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(y)], ["node", "n", "vec", "y"])
+            for i in range(0, b.num_rows, BLOCK):
+                part = b.slice(i, BLOCK)
+                y = _unit(_matrix(part.column(2).to_pylist(), kind)) @ lead
+                rest = np.sqrt(np.maximum(1 - (y * y).sum(1), 0)) + SLACK
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y.tolist(), pa.list_(pa.float64())), pa.array(rest)], ["node", "n", "vec", "y", "rest"])
 
     total = distinct.count()
     blocks = max(1, -(-total // BLOCK))
-    placed = distinct.select("node", "n", "vec").mapInArrow(project, "node bigint, n bigint, vec binary, y double")
-    # Contiguous runs of equal length in the order of the first axis, whatever the partitions.
-    placed = materialise(shard_by_bytes(placed, F.lit(1).cast("long"), ["y", "node"], blocks).withColumnRenamed("shard", "block").drop("size", "slot"), "vector-blocks")
-    spans = placed.groupBy("block").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    # Unit vectors with this cosine differ by at most so much along any axis: blocks further apart hold no links.
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-    other = spans.select(F.col("block").alias("second"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = spans.join(other, (F.col("block") <= F.col("second")) & (F.col("lo2") - F.col("hi") <= reach) & (F.col("lo") - F.col("hi2") <= reach))
-    pairs = pairs.select(F.col("block").alias("first"), "second")
+    placed = distinct.select("node", "n", "vec").mapInArrow(project, "node bigint, n bigint, vec binary, y array<double>, rest double")
+    # Contiguous runs of equal length in the order of slabs across the first axis, then the second axis, whatever the partitions.
+    slab = F.floor(F.col("y")[0] * 4).cast("int")
+    placed = placed.withColumns({"slab": slab, "next": F.element_at("y", min(2, dim))})
+    placed = materialise(shard_by_bytes(placed, F.lit(1).cast("long"), ["slab", "next", "node"], blocks).withColumnRenamed("shard", "block").drop("size", "slot", "slab", "next"), "vector-blocks")
+    width = min(AXES, dim)
+    spans = placed.groupBy("block").agg(F.array(*[F.min(F.col("y")[k]) for k in range(width)]).alias("lo"), F.array(*[F.max(F.col("y")[k]) for k in range(width)]).alias("hi"), F.max("rest").alias("rest"))
+    pairs = materialise(_block_pairs(spans, threshold), "block-pairs")
     uses = pairs.select(F.col("first").alias("block"), "first", "second").unionByName(pairs.filter("first < second").select(F.col("second").alias("block"), "first", "second"))
     tiles = Tiles(axes, threshold)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         a, b = group[group.block == group["first"]], group[group.block != group["first"]]
-        return compare_blocks(tiles, a.reset_index(drop=True), b.reset_index(drop=True) if len(b) else None)
+        return compare_blocks(tiles, a.reset_index(drop=True), b.reset_index(drop=True) if len(b) else None, kind)
 
     dealt = placed.select("block", "node", "n", "vec").join(uses, "block")
     return dealt.groupBy("first", "second").applyInPandas(meet, "node bigint, root bigint, links bigint")
@@ -185,15 +209,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     different length don't link with each other. component_id is the smallest id reachable (null if all are null);
     repeated rows count like others. An empty table gives no rows. Other columns aren't read.
     """
-    kind = vectors.schema[id_col].dataType.simpleString()
+    id_kind = vectors.schema[id_col].dataType.simpleString()
+    # Single-precision numbers travel as such; all arithmetic on them is in double precision.
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     slim = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = materialise(slim.mapInArrow(_encode, f"vec_id {kind}, vec binary"), "vectors")
+    rows = materialise(slim.mapInArrow(_encode(kind), f"vec_id {id_kind}, vec binary"), "vectors")
     groups = rows.filter("vec is not null").groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     groups = materialise(groups.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
-    dims = [r[0] for r in groups.select((F.length("vec") / 8).cast("int").alias("d")).distinct().collect()]
+    dims = [r[0] for r in groups.select((F.length("vec") / int(kind[2])).cast("int").alias("d")).distinct().collect()]
     links = rows.sparkSession.createDataFrame([], "node bigint, root bigint, links bigint")
     for dim in dims:
-        links = links.unionByName(_dimension_links(groups.filter(F.length("vec") == 8 * dim), dim, threshold))
+        links = links.unionByName(_dimension_links(groups.filter(F.length("vec") == int(kind[2]) * dim), dim, threshold, kind))
     links = materialise(links, "vector-links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links, "node", "root")

@@ -43,6 +43,19 @@ def test_all_pairs(spark, monkeypatch):
     assert sorted(((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in out), key=str) == brute(rows)
 
 
+def test_extreme_magnitudes_link_like_others(spark):
+    rows = [(1, [1e-170, 2e-170]), (2, [1.0, 2.0]), (3, [1e200, 2e200]), (4, [5e-324, 0.0]), (5, [1.7e308, 0.0]), (6, [-1.0, 0.0])]
+    out = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]
+
+
+def test_far_blocks_do_not_meet(spark):
+    F = embeddings.F
+    spans = spark.createDataFrame([(0, [-0.9, 0.0], [-0.8, 0.1], 0.5), (1, [-0.7, 0.0], [-0.6, 0.1], 0.7), (2, [0.8, 0.2], [0.9, 0.3], 0.4), (3, [-1.0, -1.0], [1.0, 1.0], 1.0)], "block int, lo array<double>, hi array<double>, rest double")
+    met = {(r.first, r.second) for r in embeddings._block_pairs(spans.withColumn("block", F.col("block")), 0.9).collect()}
+    assert met == {(0, 0), (0, 1), (1, 1), (2, 2), (0, 3), (1, 3), (2, 3), (3, 3)}
+
+
 def test_empty(spark):
     assert embeddings.near_vectors(table(spark, [(1, None)]).filter("false")).count() == 0
     assert [r.n_links for r in embeddings.near_vectors(table(spark, [(1, None), (2, None)])).collect()] == [0, 0]
