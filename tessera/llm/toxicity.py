@@ -19,7 +19,8 @@ from tessera.llm.decontaminate import words_of
 
 #: Labelled documents that the model is fitted on: the bound of the sample.
 SAMPLE_DOCS = 8000
-#: Features at most, and by how many standard errors their rate in toxic documents must exceed that in others.
+#: Features at most (those of the largest excess; a bound on the model, not on documents), and by how many standard errors
+#: their rate in toxic documents must exceed that in others. Features of clean documents are not used: they name topics.
 MAX_FEATURES, MIN_Z = 4096, 4.0
 #: Lengths of beginnings in bytes, and how many distinct longer words must share one.
 STEM_LENGTHS, STEM_WORDS = (4, 5, 6), 2
@@ -48,6 +49,7 @@ def features_of(text: bytes | None) -> set[str]:
 class Model:
     weights: dict[str, float]
     thresholds: np.ndarray  # ascending; P(grade > k) = sigmoid(score - thresholds[k])
+    basis: str = "features"  # where the grades come from that it learned: labels, features (see learn), or none
 
     def __post_init__(self):
         self.words = {f.encode("latin-1"): w for f, w in self.weights.items() if not f.endswith("*")}
@@ -104,10 +106,12 @@ def fit(rows: list[tuple[int, list[int]]], n_features: int, grades: int) -> tupl
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from a bounded sample of labelled documents, whole texts each.
 
-    labels has doc_id and toxic. A grade column of labels (integers from 0) is used as it is; without one, toxic
-    documents are graded 1 to TOXIC_GRADES by how many of the features that mark toxic documents they have, and others 0.
-    Null labels teach nothing; of several labels of a document the highest counts; without toxic labels or without
-    features, only the thresholds speak. A text that is null has no words.
+    labels has doc_id and toxic. A grade column of labels (integers from 0) is used as it is (basis ``labels``). Without
+    one, the labels only tell toxic from other documents (grade 0): toxic ones are dealt into grades 1 to TOXIC_GRADES by
+    how many of the features that mark toxic documents they have (basis ``features``), so grades above 0 then order
+    documents by the density of such words, and only the threshold above 0 rests on labels. Null labels teach nothing;
+    of several labels of a document the highest counts. Labels of one kind only, toxic or not, tell nothing apart: no
+    document is rejected then (basis ``none``). A text that is null has no words.
     """
     graded = "grade" in labels.columns
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("grade" if graded else "toxic").cast("int")).alias("y")).filter("y is not null")
@@ -127,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     n = sample.agg(F.count("*").alias("n"), F.expr("count_if(y > 0)").alias("bad")).first()
     good = n.n - n.bad
     if not n.bad or not good:
-        return Model({}, np.full(TOXIC_GRADES, -20.0 if n.bad else 20.0))
+        return Model({}, np.full(TOXIC_GRADES, 20.0), "none")
     rates = sample.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.expr("count_if(y > 0)").alias("k1"), F.expr("count_if(y = 0)").alias("k0"))
     p1, p0, p = F.col("k1") / n.bad, F.col("k0") / good, (F.col("k1") + F.col("k0")) / n.n
     z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n.bad + 1 / good))
@@ -144,11 +148,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         cuts = np.quantile(hits, [k / TOXIC_GRADES for k in range(1, TOXIC_GRADES)])
         grades, rows = TOXIC_GRADES, [(1 + int((h > cuts).sum()) if y > 0 else 0, x) for y, x, h in found]
     weights, thresholds = fit(rows, len(vocab), grades)
-    return Model({w: float(weights[i]) for w, i in vocab.items()}, thresholds)
+    return Model({w: float(weights[i]) for w, i in vocab.items()}, thresholds, "labels" if graded else "features")
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
-    """(doc_id, p_toxic, severity, grade, rejected) of each row: severity is the expected grade, grade the likeliest one.
+    """(doc_id, p_toxic, severity, grade, grade_basis, rejected) of each row: severity is the expected grade, grade the likeliest one.
 
     Whole texts, map-side. A null, empty or blank text has no features and isn't rejected; repeated rows give a row
     each; other columns aren't read.
@@ -162,10 +166,10 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             above = sent.value.above(texts)
             each = np.diff(np.c_[np.ones(len(texts)), above, np.zeros(len(texts))], axis=1)
             rejected = (above[:, 0] >= reject_at) & np.array([bool(t and t.strip()) for t in texts], bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(each.argmin(1).astype(np.int32)), pa.array(rejected)], ["doc_id", "p_toxic", "severity", "grade", "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(each.argmin(1).astype(np.int32)), pa.array([sent.value.basis] * len(texts), pa.string()), pa.array(rejected)], ["doc_id", "p_toxic", "severity", "grade", "grade_basis", "rejected"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, p_toxic double, severity double, grade int, rejected boolean")
+    return slim.mapInArrow(run, f"doc_id {kind}, p_toxic double, severity double, grade int, grade_basis string, rejected boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
