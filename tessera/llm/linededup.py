@@ -45,8 +45,8 @@ def units_of(text: bytes, least: int = MIN_UNIT_WORDS, breaks: re.Pattern[bytes]
     return out
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, breaks: re.Pattern[bytes] = _BREAK) -> DataFrame:
-    """(rid, doc_id, idx, start, end, words, digest) of every unit; rid tells repeated documents apart."""
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, breaks: re.Pattern[bytes] = _BREAK, row_col: str | None = None) -> DataFrame:
+    """(rid, doc_id, idx, start, end, words, digest) of every unit; rid tells repeated documents apart: the long column row_col, or a number."""
     names = ["rid", "doc_id", "idx", "start", "end", "words", "digest"]
     kinds = [pa.int64(), None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -64,11 +64,11 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 yield pa.RecordBatch.from_arrays([pa.array(c, k or part.column(1).type) for c, k in zip(columns, kinds, strict=True)], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select((F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, f"rid bigint, doc_id {kind}, idx int, start bigint, end bigint, words bigint, digest binary")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, run_words: int = MIN_RUN_WORDS, breaks: re.Pattern[bytes] = _BREAK) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, run_words: int = MIN_RUN_WORDS, breaks: re.Pattern[bytes] = _BREAK, row_col: str | None = None) -> DataFrame:
     """(rid, doc_id, start, end, n_units, n_words, kept_doc_id) of each span to remove, as byte offsets of the original text.
 
     Documents are ranked by id (nulls last, repeated ids by position); of equal units the earliest ranked, then the
@@ -77,7 +77,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are broadcast by a bound on their number, so no task gets all copies of a unit. Null and blank texts have no
     units; an empty docs gives no rows; other columns aren't read.
     """
-    found = materialise(units(docs, id_col, text_col, least, breaks), "units")
+    found = materialise(units(docs, id_col, text_col, least, breaks, row_col), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "idx")
     groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("first")).filter("n > 1")
     groups = groups.select("digest", "n", F.col("first.doc_id").alias("kept"), F.col("first.rid").alias("kept_rid"), F.col("first.idx").alias("kept_idx"))
@@ -93,14 +93,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_UNIT_WORDS, run_words: int = MIN_RUN_WORDS, breaks: re.Pattern[bytes] = _BREAK) -> DataFrame:
     """docs with all its columns, each text without its repeated spans, and ``removed``: the spans' original byte offsets.
 
-    docs is written once, so that its rows keep their numbers; a column of docs named removed is replaced.
+    docs is written once, with a number for each row, which both its units and its text keep; a column of docs named
+    removed is replaced.
     """
-    docs = materialise(docs, "docs")
-    slim = docs.withColumn("_row", F.monotonically_increasing_id())
-    spans = repeated_spans(docs, id_col, text_col, least, run_words, breaks)
-    cuts = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     names = [c for c in docs.columns if c != "removed"]
-    joined = slim.drop("removed").join(cuts, slim["_row"] == cuts["rid"], "left").select(*names, "removed")
+    numbered = materialise(docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row")), "docs")
+    flat = numbered.select("row", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+    spans = repeated_spans(flat, "id", "text", least, run_words, breaks, "row")
+    cuts = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    joined = numbered.join(cuts, numbered["row"] == cuts["rid"], "left").select("doc.*", "removed")
     at = names.index(text_col)
 
     def run(batches):
