@@ -21,6 +21,15 @@ def certain() -> Column:
     return F.struct(F.lit(1.0).alias("val"), F.lit(-1).cast("long").alias("num"), F.lit(-1).cast("long").alias("den"))
 
 
+def without_null(a: Column) -> Column:
+    return F.filter(a, lambda v: v.isNotNull())
+
+
+def without_falsy(a: Column) -> Column:
+    """Texts that aren't null or empty."""
+    return F.filter(a, lambda v: v.isNotNull() & (v != ""))
+
+
 def is_subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 

@@ -60,6 +60,9 @@ class Parser:
 
     def scan(self, at: int) -> Token:
         src, newline = self.src, False
+        if at == 0 and src.startswith("#!"):  # a first line for the shell is a comment
+            at = min((i for c in "\n\r\u2028\u2029" if (i := src.find(c)) >= 0), default=len(src))
+            self.note(0, src[2:at])
         while True:
             if m := _SPACE.match(src, at):
                 if m[0].startswith(("//", "<!--")):

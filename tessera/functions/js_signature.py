@@ -10,7 +10,7 @@ from tessera.functions.js_parser import JsSyntaxError, Node, parse
 from tessera.functions.text import ANONYMOUS, NAME_SEPARATOR
 
 #: The tags of tokens, the numbers that don't count as literals, and the extractor's versions. Version 1
-#: keeps everything, 2 leaves out parameters and declarations without a value, 3 also leaves out functions without
+#: keeps everything, 2 leaves out parameters and declarations without a value, 3 leaves out parameters, functions without
 #: tokens and those that only return an anonymous function.
 PARAM, DIRECTIVE, LITERAL, STATEMENT, DECLARATION, EXPRESSION, UNKNOWN = "pr", "dr", "lt", "st", "de", "ex", "zz"
 PLAIN_NUMBERS = {-1.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0}
@@ -143,7 +143,7 @@ class Statements:
         for d in node["declarations"]:
             if d["init"] is not None:
                 out.append(token(DECLARATION, "Variable", f"{target_token(d['id'])} = {expression_token(d['init'])}"))
-            elif self.version == 1:
+            elif self.version != 2:
                 out.append(token(DECLARATION, "Variable", target_token(d["id"])))
         return out
 

@@ -14,7 +14,7 @@ MENTION = r"([\w-]+)\s+(?:@?version\s+)?(v?\d+\.\d+\.\d+)"
 MENTION_FIRST = r"(\w+)\s(\d+\.\d+\.\d+)"
 TARBALL = r"^(.*)-(\d+\.\d+\.\d+.*)\.tgz$"
 APK = r"^(.*)-(\d+)-(\d{4}_\d{2}_\d{2})\.apk$"
-LONG_LINE, LONG_RATIO, SHORT_NAME = 130, 0.9, 4
+LONG_LINE, LONG_RATIO, SHORT_NAME, MANY_SHORT = 130, 0.9, 4, 0.9
 
 
 def join_names(outer: Column, inner: Column) -> Column:
@@ -57,6 +57,11 @@ def short_name_ratio(names: Column) -> Column:
     return short / F.when(F.size(names) > 0, F.size(names))
 
 
+def is_signature_minified(names: Column) -> Column:
+    """Whether most functions have short names or none; no functions aren't minified."""
+    return F.coalesce(short_name_ratio(names) > MANY_SHORT, F.lit(False))
+
+
 def mentions(text: Column) -> Column:
     """All (name, version) mentions of a comment."""
     name, version = F.regexp_extract_all(text, F.lit(MENTION), 1), F.regexp_extract_all(text, F.lit(MENTION), 2)

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import bags as bag_fn
 from tessera.functions import semver, text
 from tessera.operators import assign, bags, candidates, joins, pairing, peel, reports, topk
+from tessera.plans.registry import Query, registry
 from tessera.sources import pages, sinks
 from tessera.sources.tables import conversation_functions, functions, library_functions, lines, table, words
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+QUERIES, ORACLE, query = registry()
 
 _LINES = """
 lines as (
@@ -30,16 +27,6 @@ def _words(name: str, key: str, source: str) -> str:
     return f"{name} as (select {key}, w word from (select {key}, unnest(string_split(replace(text, chr(10), ' '), ' ')) w from {source}) where w <> '')"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return put
-
-
 _SIDES = """
 u as (select doc_id, line, count(*) n from fn group by all),
 b as (select source lib, line, count(*) n from fn group by all),

@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import catalogue, streams
+from tessera.plans import catalogue, elements, scripts, streams
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,10 +25,14 @@ def values(rows):
     return sorted(str([round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(catalogue.ORACLE | streams.ORACLE))
+QUERIES = catalogue.QUERIES | elements.QUERIES | scripts.QUERIES | streams.QUERIES
+ORACLE = catalogue.ORACLE | elements.ORACLE | scripts.ORACLE | streams.ORACLE
+
+
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_against_sql(spark, duck, name):
-    got = (catalogue.QUERIES | streams.QUERIES)[name](spark, str(DATA))
-    want = duck.execute((catalogue.ORACLE | streams.ORACLE)[name])
+    got = QUERIES[name](spark, str(DATA))
+    want = duck.execute(ORACLE[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert values(got.select(*[f"`{c}`" for c in columns]).collect()) == values(want.fetchall())

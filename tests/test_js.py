@@ -44,6 +44,8 @@ def test_tokens(body, want):
 
 def test_versions():
     assert tokens("var p; let q = 1", 2) == ["de:Variable[pr:Identifier[q] = lt:Numeric]"]
+    assert tokens("var p; let q = 1", 3) == tokens("var p; let q = 1", 1) == ["de:Variable[pr:Identifier[p]]", "de:Variable[pr:Identifier[q] = lt:Numeric]"]
+    assert signature("#!/usr/bin/env node\nx()")["comments"] == ["/usr/bin/env node"]
     fn = parse("function own(p, {q}) {}")[0]["body"][0]
     assert function_tokens(fn, 1) == ["pr:Identifier[p]", "t_pr:ObjectPattern"] and function_tokens(fn, 2) == []
     src = "var a = function b(x) { return function () { return 1 } }; var c = () => {}; function d() { e() }"

@@ -105,9 +105,9 @@ def test_text_functions(spark):
     assert one(text.join_names(F.lit("a"), F.lit("b"))) == "a:>>:b" and one(text.join_names(F.lit(""), F.lit("b"))) == "b"
     assert one(text.short_name_ratio(F.array(F.lit("abc"), F.lit("x:>>:[anonymous]"), F.lit("long")))) == pytest.approx(2 / 3)
     assert [one(text.source_kind(F.lit(s))) for s in ("js/a.js", "https://a/b.js", "data:x", "//cdn/x.js")] == ["file", "http", "unknown", "file"]
-    rows = [["a", "b", ",c", "d"], ["e", ",f", "g", "h"], ["0", "1", "2", "3,"]]
-    lines = sinks.matrix_csv(frame(spark, rows, "a string, b string, c string, d string"), ["a", "b", "c", "d"]).collect()
-    assert [r.line for r in lines] == ["a,b,_c,d", "e,_f,g,h", "0,1,2,3_"]
+    rows = [["jquery", 3, "yes, twice, here", None], [",,", 0, "no", 1.5]]
+    lines = sinks.matrix_csv(frame(spark, rows, "lib string, n int, note string, share double"), ["note", "lib", "n", "share"]).collect()
+    assert [r.line for r in lines] == ["yes_ twice, here,jquery,3,", "no,_,,0,1.5"]
     assert one(text.csv_cell(F.lit("a,b,c"))) == "a_b,c"
     assert [one(text.script_name(F.lit(p))) for p in ("./src/bin/findLibs.ts", "src/bin/_all.worker.ts", "lib/x.ts", "src/bin/one-time/doIt.js")] == ["find-libs", None, None, "one-time/do-it"]
 
