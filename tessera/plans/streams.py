@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.trees import scratch
 from tessera.sources.tables import table
 from tessera.streaming.registry import read_changes, windowed_counts, write_split
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared place the cluster names; local only where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/tessera-stream-{uuid.uuid4().hex}"
-
-
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events a day and type, from a file stream run over all that is there."""
-    folder = _folder(spark)
+    folder = scratch(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
@@ -34,7 +26,7 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as registry documents: written as JSON, streamed, split, and flattened to version times."""
-    folder = _folder(spark)
+    folder = scratch(spark, "stream")
     part = table(spark, sf_dir, "part")
     version = F.concat_ws(".", "p_size", F.col("p_partkey") % 10, F.lit(0))
     ids = F.when(F.col("p_size") == 1, F.concat(F.lit("_"), F.col("p_brand"))).otherwise(F.col("p_brand"))

@@ -2,7 +2,8 @@
 
 apps:  <root>/<type>/<section>/<app>/an/<location or idType>/<id>/<part>.json   (locations head, body; ids n_1, s_name)
 libs:  <root>/<name>/<version>/sigs/<file>.json  and  <root>/<name>/_litSig.json
-A part of a path that starts with _ is hidden.
+A part of a path that starts with _ is hidden. Trees that Spark's partitioned writer made, whose folders are named
+type=<type>/section=<section> and so on, with the part as the last folder, are read as well.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ def path_parts(pattern: str, names: list[str], path: str = "_metadata.file_path"
     return [F.url_decode(F.regexp_extract(F.col(path), pattern, i + 1)).alias(n) for i, n in enumerate(names)]
 
 
-_APP = r"/([^/]+)/([^/]+)/([^/]+)/an/([^/]+)/([^/]+)/[^/]+\.json$"
-_LIB = r"/([^/]+)/([^/]+)/sigs/([^/]+)\.json$"
+_APP = r"/(?:type=)?([^/]+)/(?:section=)?([^/]+)/(?:app=)?([^/]+)/(?:an=)?an/(?:location=)?([^/]+)/(?:id=)?([^/]+)/(?:part=([^/]+)/[^/]+|([^/]+))\.json$"
+_LIB = r"/(?:name=)?([^/]+)/(?:version=)?([^/]+)/(?:kind=)?sigs/(?:file=([^/]+)/[^/]+|([^/]+))\.json$"
 
 
 def _json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -59,8 +60,8 @@ def app_files(spark: SparkSession, root: str, kind: str | None = None, part: str
     """
     if kind is not None and kind not in APP_TYPES:
         raise ValueError(f"no such app type: {kind}")
-    df = _json(spark, root, STORED).filter(F.col("_metadata.file_name") == f"{part}.json")
-    keyed = df.select("*", *path_parts(_APP, ["type", "section", "app", "location", "folder"]))
+    keyed = _json(spark, root, STORED).select("*", *path_parts(_APP, ["type", "section", "app", "location", "folder", "_part", "_file"]))
+    keyed = keyed.filter(F.concat("_part", "_file") == part).drop("_part", "_file")
     shown = keyed.filter(" and ".join(f"not startswith({c}, '_')" for c in ("type", "section", "app", "location", "folder")))
     if kind:
         shown = shown.filter(F.col("type") == kind)
@@ -71,7 +72,8 @@ def app_files(spark: SparkSession, root: str, kind: str | None = None, part: str
 
 def lib_signatures(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
     """(name, version, file, functions, literals, comments); hidden names and lock files are left out."""
-    keyed = _json(spark, root, STORED).select("*", *path_parts(_LIB, ["name", "version", "file"])).filter("name != ''")
+    keyed = _json(spark, root, STORED).select("*", *path_parts(_LIB, ["name", "version", "_folder", "_file"])).filter("name != ''")
+    keyed = keyed.withColumn("file", F.concat("_folder", "_file")).drop("_folder", "_file")
     keyed = keyed.filter(~hidden(F.col("name")) & ~F.col("name").endswith(".lock") & ~hidden(F.col("version")))
     return signatures(keyed.filter(F.col("name") == name) if name else keyed)
 

@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import catalogue, elements, scripts, streams
+from tessera.plans import catalogue, elements, scripts, streams, trees
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,8 +25,8 @@ def values(rows):
     return sorted(str([round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r]) for r in rows)
 
 
-QUERIES = catalogue.QUERIES | elements.QUERIES | scripts.QUERIES | streams.QUERIES
-ORACLE = catalogue.ORACLE | elements.ORACLE | scripts.ORACLE | streams.ORACLE
+QUERIES = catalogue.QUERIES | elements.QUERIES | scripts.QUERIES | streams.QUERIES | trees.QUERIES
+ORACLE = catalogue.ORACLE | elements.ORACLE | scripts.ORACLE | streams.ORACLE | trees.ORACLE
 
 
 @pytest.mark.parametrize("name", list(ORACLE))
