@@ -528,6 +528,19 @@ for _name, _sql in {
     query("assign_" + _name.replace("-", "_"), _sql)(_assigned(_name))
 
 
+_V4 = f"{_similar('x')}, {_in_turn('l', 'u')}, a as (select mapping.conv_id, avg(v) mean from mapping join p on p.conv_id = mapping.conv_id and p.u = mapping.u and p.l = mapping.l group by mapping.conv_id)"
+
+
+@query("assign_v4_values", f"""
+with recursive {_SIDED}, {_V4}, g as (select conv_id, count(*)::bigint m from mapping group by conv_id)
+select conv_id, conv_id lib_id, round(case when nu + nl = 0 then 1.0 else coalesce(m, 0) / (nu + nl - coalesce(m, 0)) * coalesce(mean, 1) end, 9)::double val
+from every left join g using (conv_id) left join a using (conv_id)
+""")
+def assign_v4_values(spark, sf_dir):
+    """The scores of fn-st-toks-v4 without their exact fractions, which SQL has no numbers for."""
+    return _assigned("fn-st-toks-v4")(spark, sf_dir).select("conv_id", "lib_id", F.round("val", 9).alias("val"))
+
+
 @query("bundle_peel")
 def bundle_peel(spark, sf_dir):
     files = functions(spark, sf_dir).withColumnRenamed("doc_id", "file_key").withColumn("types", F.array().cast("array<string>")).select("file_key", "idx", "name", "tokens", "types")

@@ -11,17 +11,24 @@ from tessera.streaming.registry import read_changes, windowed_counts, write_spli
 
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events a day and type, from a file stream run over all that is there."""
+    """Events a day and type, by a stateful aggregation with a watermark over all that is there.
+
+    Each trigger writes the counts that it changed; of a window's counts the last one stands.
+    """
     folder = scratch(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
     def put(batch: DataFrame, number: int) -> None:
-        windowed_counts(batch, "ts", "event_type").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    events.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    parts = spark.read.schema("start timestamp, event_type string, n bigint").parquet(f"{folder}/out")
-    return parts.groupBy("start", "event_type").agg(F.sum("n").alias("n"))
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    # Times without a zone are taken as UTC, as a watermark needs instants.
+    here, utc = F.current_timezone(), F.lit("UTC")
+    counts = windowed_counts(events.withColumn("ts", F.convert_timezone(utc, here, F.col("ts").cast("timestamp_ntz")).cast("timestamp")), "ts", "event_type")
+    counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    parts = spark.read.schema("start timestamp, event_type string, n bigint, batch int").parquet(f"{folder}/out")
+    last = parts.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.withColumn("start", F.convert_timezone(here, utc, F.col("start").cast("timestamp_ntz")))
 
 
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
