@@ -42,3 +42,29 @@ n as (select a, count(*) c from links group by a)
 select vec_id, coalesce(c, 0)::bigint n_links, m component_id, vec_id = m kept
 from v join least on least.a = vec_id left join n on n.a = vec_id
 """
+
+#: CRC-32 of a list of bytes; its table comes from the polynomial. Unsigned.
+_CRC_TABLE = "select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) k"
+_CRC = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)), lambda c, b: xor(c >> 8, k[1 + (xor(c, b) & 255)])), 4294967295)::bigint"
+
+SHARDING = f"""
+with t as ({_CRC_TABLE}),
+d as (select doc_id, octet_length(encode(coalesce(text, '')))::bigint + 8 size, {_CRC} text_crc32 from documents, t),
+r as (select *, sum(size) over (order by doc_id nulls first, text_crc32 rows unbounded preceding) upto, sum(size) over () whole from d),
+s as (select *, least(((2 * upto - size)::hugeint * 24 // (2 * whole))::int, 23) shard from r)
+select doc_id, size, text_crc32, 'bytes' law, shard, row_number() over (partition by shard order by doc_id nulls first, text_crc32) - 1 slot, null::int grown_shard from s
+"""
+
+#: A line, or a sentence of one: what stands before a break, and the break.
+_UNIT = r"([^\n]*?)(\n+|[.!?\x{2026}][!-/:-@\[-`{-~\x{bb}\x{2018}-\x{201f}\x{2026}\x{203a}]*[ \t]+|$)"
+
+LINE_DEDUP = f"""
+with p as (select doc_id, regexp_extract_all(text, '{_UNIT}', 1) a, regexp_extract_all(text, '{_UNIT}', 2) b from documents where text is not null),
+u as (select doc_id, unnest(range(len(a))) i, unnest(a) a, unnest(b) b from p),
+o as (select doc_id, i, a || regexp_replace(b, '[ \\t\\n]+$', '') unit, sum(octet_length(encode(a || b))) over (partition by doc_id order by i) - octet_length(encode(a || b)) start from u),
+w as (select doc_id, i, start, start + octet_length(encode(unit)) stop, regexp_extract_all(translate(unit, '{_UPPER}', '{_LOWER}'), '[^ \\t\\n\\x0b\\f\\r]+') ws from o),
+k as (select doc_id, start, stop, len(ws) n, array_to_string(ws, ' ') digest, row_number() over (partition by doc_id order by i) idx from w where len(ws) > 0),
+m as (select *, first_value(doc_id) over f kept, row_number() over f occurrence from k window f as (partition by digest order by doc_id nulls last, idx)),
+g as (select *, idx - row_number() over (partition by doc_id order by idx) run from m where occurrence > 1)
+select doc_id, min(start)::bigint span_start, max(stop)::bigint span_end, count(*)::bigint n_units, sum(n)::bigint n_words, min(kept) kept_doc_id from g group by doc_id, run
+"""

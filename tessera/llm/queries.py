@@ -28,6 +28,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_sharding": oracle.SHARDING,
+    "op3_line_dedup": oracle.LINE_DEDUP,
     "op4_warc": oracle.WARC,
     "op6_embeddings": oracle.EMBEDDINGS,
     "op7_decontamination": oracle.DECONTAMINATION,
