@@ -63,8 +63,15 @@ with p as (select doc_id, regexp_extract_all(text, '{_UNIT}', 1) a, regexp_extra
 u as (select doc_id, unnest(range(len(a))) i, unnest(a) a, unnest(b) b from p),
 o as (select doc_id, i, a || regexp_replace(b, '[ \\t\\n]+$', '') unit, sum(octet_length(encode(a || b))) over (partition by doc_id order by i) - octet_length(encode(a || b)) start from u),
 w as (select doc_id, i, start, start + octet_length(encode(unit)) stop, regexp_extract_all(translate(unit, '{_UPPER}', '{_LOWER}'), '[^ \\t\\n\\x0b\\f\\r]+') ws from o),
-k as (select doc_id, start, stop, len(ws) n, array_to_string(ws, ' ') digest, row_number() over (partition by doc_id order by i) idx from w where len(ws) > 0),
-m as (select *, first_value(doc_id) over f kept, row_number() over f occurrence from k window f as (partition by digest order by doc_id nulls last, idx)),
-g as (select *, idx - row_number() over (partition by doc_id order by idx) run from m where occurrence > 1)
-select doc_id, min(start)::bigint span_start, max(stop)::bigint span_end, count(*)::bigint n_units, sum(n)::bigint n_words, min(kept) kept_doc_id from g group by doc_id, run
+k as (select doc_id, start, stop, len(ws) n, ws, array_to_string(ws, ' ') digest, row_number() over (partition by doc_id order by i) idx from w where len(ws) > 0),
+e as (select *, lag(ws) over d pw, lead(ws) over d nw from k window d as (partition by doc_id order by idx)),
+c as (select *, case when len(pw) >= 5 then array_to_string(pw[-5:], ' ') end pe, case when len(nw) >= 5 then array_to_string(nw[:5], ' ') end ne from e),
+m as (select *, first_value(doc_id) over f kept, row_number() over f occurrence, pe is not null and count(*) over (partition by digest, pe) > 1 l, ne is not null and count(*) over (partition by digest, ne) > 1 r from c window f as (partition by digest order by doc_id nulls last, idx)),
+g as (select *, idx - row_number() over (partition by doc_id order by idx) run from m where occurrence > 1),
+s as (select doc_id, min(start) start, max(stop) stop, sum(n) n, min(kept) kept, arg_min(l, idx)::int + arg_max(r, idx)::int edges from g group by doc_id, run),
+x as (select *, n >= 20 or (edges > 0 and n + 5 * edges >= 16) passage from s),
+y as (select doc_id, coalesce(sum(n) filter (passage), 0) n_hit, sum(n) n_repeated, string_agg(start || '-' || stop || ':' || kept || ':' || n || case when passage then '*' else '' end, ' ' order by start) spans from x group by doc_id),
+z as (select doc_id, sum(n) n_words from k group by doc_id)
+select doc_id, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_words, 0)::bigint n_words, coalesce(n_repeated, 0)::bigint n_repeated, coalesce(spans, '') spans
+from documents left join z using (doc_id) left join y using (doc_id)
 """

@@ -61,7 +61,7 @@ def slow_spans(rows, least=5, run=20):
 
 def test_repeated_spans(spark):
     rows = [(0, "Some own words that open here. " + PASSAGE + " And the end of it."), (1, "Other. " + PASSAGE), (2, "x\n" + PASSAGE.upper().replace(" ", "  ") + "\ny"), (3, None), (4, ""), (5, " \n "), (6, "short line\nshort line\n" * 3), (1, PASSAGE), (1, PASSAGE), (None, PASSAGE), (7, "word " * 3000), (8, "word " * 3000), (9, "clean text of its own, which nobody else has got in any of the documents here at all, not even in part, so that it has to stay as it is")]
-    out = linededup.repeated_spans(docs(spark, rows)).collect()
+    out = linededup.repeated_spans(docs(spark, rows), least=5, run_words=20, breaks=linededup._BREAK).collect()
     assert sorted((str(r.doc_id), r.start, r.end, r.n_units) for r in out) == slow_spans(rows)
     assert {r.kept_doc_id for r in out if r.doc_id in (1, 2)} == {0}
     cleaned = {(r.doc_id): r for r in linededup.remove_spans(docs(spark, rows)).collect()}
@@ -75,8 +75,16 @@ def test_short_repeats_are_reported(spark, tmp_path):
     cut = "end within a sentence that opened before. Twelve words stand in this sentence and it is whole there. " + " ".join(f"w{i}" for i in range(40))
     rows = [(0, f"Own {line}\n{line}\nx zero {cut} zero"), (1, f"{line}\ny one {cut} one")]
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    out = linededup.op3_line_dedup(spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id, rows[r.doc_id][1][r.span_start : r.span_end]) for r in out) == [(1, line), (1, "Twelve words stand in this sentence and it is whole there.")]
+    out = {r.doc_id: r for r in linededup.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert spans(rows, out) == [(1, line, False), (1, "Twelve words stand in this sentence and it is whole there.", True)]
+    assert [(out[i].n_hit, out[i].n_repeated) for i in (0, 1)] == [(0, 0), (11, 18)]  # equal words stand on both sides of the long one
+
+
+def spans(rows, out):
+    """(doc_id, text, whether it is a passage) of the spans that op3 reports."""
+    texts = {i: (t or "").encode() for i, t in rows}
+    found = [(i, *re.fullmatch(r"(\d+)-(\d+):.*?(\*?)", x).groups()) for i, r in out.items() for x in r.spans.split()]
+    return sorted((i, texts[i][int(a) : int(b)].decode(), bool(star)) for i, a, b, star in found)
 
 
 def test_units_do_not_depend_on_the_text_before(spark, tmp_path):
@@ -85,9 +93,18 @@ def test_units_do_not_depend_on_the_text_before(spark, tmp_path):
     quote = 'And \u201cthis one ends in a quote.\u201d'
     rows = [(0, f"Es. {passage}\nzero {signs} {quote} {signs} zero"), (1, f"Anders. {passage} Ja\none {signs} {quote} {signs} one")]
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in linededup.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert {x[:2] for x in spans(rows, out)} == {(1, passage), (1, f"{quote} {signs}")}
+
+
+def test_line_dedup_has_a_row_for_each_document(spark, tmp_path):
+    rows = [(3, None), (4, ""), (5, " \n"), (6, "alone"), (6, "alone"), (None, "alone")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     out = linededup.op3_line_dedup(spark, str(tmp_path)).collect()
-    found = {(r.doc_id, rows[r.doc_id][1].encode()[r.span_start : r.span_end].decode()) for r in out}
-    assert found == {(1, passage), (1, f"{quote} {signs}")}
+    assert sorted(((str(r.doc_id), r.n_hit, r.n_words, r.n_repeated, r.spans) for r in out)) == [("3", 0, 0, 0, ""), ("4", 0, 0, 0, ""), ("5", 0, 0, 0, ""), ("6", 0, 1, 0, ""), ("6", 0, 1, 1, "0-5:6:1"), ("None", 0, 1, 1, "0-5:6:1")]
+    assert linededup.report(docs(spark, rows).filter("false")).count() == 0
+    whole = linededup.remove_spans(docs(spark, rows), passages=False).collect()
+    assert sorted(map(str, (r.text for r in whole))) == sorted(map(str, (None, "", " \n", "alone", "", "")))
 
 
 def test_archives_round_trip(spark, tmp_path):
