@@ -1,14 +1,25 @@
-"""Candidate libraries of a file from its literals: all that contain them, else the most similar ones."""
+"""Candidate libraries of a file from its literals: all that contain them, else the most similar ones.
+
+Where the libraries' distinct literals fit a checked bound, they go to the tasks as an inverted index, each file's counts
+are one pass over its literals' postings, and only what is kept leaves the task. Beyond the bound, pairs are counted by a
+join on the literal, with the same rows.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.bags import bag_overlap, counts
+from tessera.operators.bags import bag_overlap, counts, scored
+from tessera.operators.topk import top_k
 
 #: Candidates kept for a file, for a bundle, and without a limit given.
 PER_FILE, PER_BUNDLE, DEFAULT_LIMIT = 10, 50, 100
+#: Distinct (library, literal) rows up to which the index is sent to the tasks.
+INDEX_ROWS = 1 << 22
 
 
 def set_similarity(files: DataFrame, libs: DataFrame, file: str, lib: str, value: str) -> DataFrame:
@@ -16,15 +27,111 @@ def set_similarity(files: DataFrame, libs: DataFrame, file: str, lib: str, value
     return bag_overlap(counts(files.select(file, value).distinct(), file, value), counts(libs.select(lib, value).distinct(), lib, value), file, lib, value)
 
 
-def candidate_libs(files: DataFrame, libs: DataFrame, file: str, lib: str, value: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+class Postings:
+    """The libraries of each literal, as numbers in the order of the libraries' ids."""
+
+    def __init__(self, rows: pa.Table):
+        self.libs = pc.unique(rows.column(0).combine_chunks()).sort()
+        number = pc.index_in(rows.column(0).combine_chunks(), self.libs).to_numpy()
+        self.sizes = np.bincount(number, minlength=len(self.libs))
+        coded = rows.column(1).combine_chunks().dictionary_encode(null_encoding="encode")
+        order = np.argsort(coded.indices.to_numpy(), kind="stable")
+        self.number = number[order]
+        self.cuts = np.r_[0, np.cumsum(np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)))]
+        self.values = coded.dictionary
+        self.places: dict | None = None
+
+    def shared(self, values: list) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the libraries that share one of the distinct values, how many they share)."""
+        if self.places is None:
+            self.places = {v: i for i, v in enumerate(self.values.to_pylist()) if v is not None}
+        at = [i for v in values if (i := self.places.get(v)) is not None]
+        found = np.bincount(np.concatenate([self.number[self.cuts[i] : self.cuts[i + 1]] for i in at]), minlength=len(self.libs)) if at else np.zeros(len(self.libs), np.int64)
+        return np.flatnonzero(found), found[found > 0]
+
+
+def _index(libs: DataFrame, lib: str, value: str, most: int) -> Postings | None:
+    rows = libs.select(lib, value).distinct()
+    return Postings(rows.toArrow()) if rows.limit(most + 1).count() <= most else None
+
+
+def _sets(files: DataFrame, file: str, value: str) -> DataFrame:
+    """(file, values, n): distinct literals, nulls apart, and their number; partial sets are combined before the shuffle."""
+    found = files.groupBy(file).agg(F.collect_set(value).alias("values"), F.max(F.col(value).isNull().cast("int")).alias("null"))
+    return found.select(file, "values", (F.size("values") + F.col("null")).alias("n"))
+
+
+def _kept(index: Postings, sets: DataFrame, file: str, lib: str, keep) -> DataFrame:
+    """(file, lib, num, den, val, top) of what ``keep`` chooses: a function of (files, numbers, num, n) of a batch, flat."""
+    sent = sets.sparkSession.sparkContext.broadcast(index)
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema.fields}
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                each = [sent.value.shared(v) for v in part.column(1).to_pylist()]
+                rows = np.repeat(np.arange(part.num_rows), [len(x) for x, _ in each])
+                number, num = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in each)]) for k in (0, 1))
+                rows, number, num, den, val, top = keep(sent.value, rows, number.astype(np.int64), num.astype(np.int64), part.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), sent.value.libs.take(pa.array(number)), *map(pa.array, (num, den, val)), pa.array(top.astype(np.int32))], [file, lib, "num", "den", "val", "top"])
+
+    lib_kind = {"int64": "bigint", "int32": "int"}.get(str(index.libs.type), "string")
+    return sets.mapInArrow(run, f"`{file}` {kinds[file]}, `{lib}` {lib_kind}, num bigint, den bigint, val double, top int")
+
+
+def _ranks(group: np.ndarray) -> np.ndarray:
+    """Places from 1 on within runs of equal values."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, int)
+    return np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)])) + 1
+
+
+def candidate_libs(files: DataFrame, libs: DataFrame, file: str, lib: str, value: str, limit: int = DEFAULT_LIMIT, index_rows: int = INDEX_ROWS) -> DataFrame:
     """(file, lib, val, num, den, top). A file that libraries contain gets all of those, with the certain score; others
     get the limit's most similar ones, ties by library. Files without literals get none."""
+    index = _index(libs, lib, value, index_rows)
+    if index is None:
+        return _joined_candidates(files, libs, file, lib, value, limit)
+
+    def keep(own: Postings, rows, number, num, n):
+        inside = num == n[rows]
+        whole = np.bincount(rows, weights=inside, minlength=len(n))[rows] > 0
+        den = n[rows] + own.sizes[number] - num
+        val = np.where(whole, 1.0, num / den)
+        order = np.lexsort((number, -val, rows))
+        order = order[(inside | ~whole)[order]]
+        top = _ranks(rows[order])
+        stay = whole[order] | (top <= limit)
+        at = order[stay]
+        return rows[at], number[at], np.where(whole[at], -1, num[at]), np.where(whole[at], -1, den[at]), val[at], top[stay]
+
+    return _kept(index, _sets(files, file, value), file, lib, keep).select(file, lib, "val", "num", "den", "top")
+
+
+def similar_files(files: DataFrame, libs: DataFrame, file: str, lib: str, value: str, k: int, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """(lib, file, num, den, val, top): the k files most similar to each library, ties by file."""
+    index = _index(libs, lib, value, index_rows)
+    if index is None:
+        pairs = scored(set_similarity(files, libs, file, lib, value), "jaccard")
+        return top_k(pairs, [lib], [F.desc("val"), file], k)
+
+    def keep(own: Postings, rows, number, num, n):
+        den = n[rows] + own.sizes[number] - num
+        order = np.lexsort((rows, -(num / den), number))  # files come sorted
+        at = order[_ranks(number[order]) <= k]
+        return rows[at], number[at], num[at], den[at], num[at] / den[at], np.zeros(len(at))
+
+    some = _kept(index, _sets(files, file, value).sortWithinPartitions(file), file, lib, keep).drop("top")
+    return top_k(some, [lib], [F.desc("val"), file], k)
+
+
+def _joined_candidates(files: DataFrame, libs: DataFrame, file: str, lib: str, value: str, limit: int) -> DataFrame:
     pairs = set_similarity(files, libs, file, lib, value)
     inside, den = F.col("num") == F.col("n_left"), F.col("n_left") + F.col("n_right") - F.col("num")
     by = Window.partitionBy(file)
     # One pass: whether any library contains the file decides which of its pairs count, and how.
     marked = pairs.withColumn("_in", F.max(inside).over(by)).filter(inside | ~F.col("_in"))
     pick = lambda certain, near, name: F.when(F.col("_in"), F.lit(certain)).otherwise(near).alias(name)
-    scored = marked.select(file, lib, "_in", pick(1.0, F.col("num") / den, "val"), pick(-1, F.col("num"), "num").cast("long"), pick(-1, den, "den").cast("long"))
-    ranked = scored.withColumn("top", F.row_number().over(by.orderBy(F.desc("val"), lib)))
+    scored_ = marked.select(file, lib, "_in", pick(1.0, F.col("num") / den, "val"), pick(-1, F.col("num"), "num").cast("long"), pick(-1, den, "den").cast("long"))
+    ranked = scored_.withColumn("top", F.row_number().over(by.orderBy(F.desc("val"), lib)))
     return ranked.filter(F.col("_in") | (F.col("top") <= limit)).drop("_in")

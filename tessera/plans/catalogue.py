@@ -68,7 +68,7 @@ def exact_containment_docs(spark, sf_dir):
 
 _PAIRED = """
 ur as (select doc_id, idx unknown_idx, bag, row_number() over (partition by doc_id, bag order by idx) k from fn),
-lr as (select source lib, doc_id * 1000000 + idx lib_idx, bag, row_number() over (partition by source, bag order by doc_id * 1000000 + idx) k from fn),
+lr as (select source lib, doc_id * 4294967296 + idx lib_idx, bag, row_number() over (partition by source, bag order by doc_id * 4294967296 + idx) k from fn),
 mapping as (select ur.doc_id, lib, unknown_idx, lib_idx from ur join lr using (bag, k))
 """
 
@@ -99,7 +99,7 @@ def fn_match_v5(spark, sf_dir):
     return pairing.match_scores(pairing.pair_equal(u, b, "doc_id", "lib", "bag"), u, b, "doc_id", "lib", "v5")
 
 
-_NAMES = f"{_LINES}, un as (select doc_id, name, min(idx) unknown_idx from fn group by all), ln as (select source lib, name, min(doc_id * 1000000 + idx) lib_idx from fn group by all), m as (select doc_id, lib, count(*)::bigint num from un join ln using (name) group by all), nu as (select doc_id, count(*)::bigint n from un group by all), nl as (select lib, count(*)::bigint n from ln group by all)"
+_NAMES = f"{_LINES}, un as (select doc_id, name, min(idx) unknown_idx from fn group by all), ln as (select source lib, name, min(doc_id * 4294967296 + idx) lib_idx from fn group by all), m as (select doc_id, lib, count(*)::bigint num from un join ln using (name) group by all), nu as (select doc_id, count(*)::bigint n from un group by all), nl as (select lib, count(*)::bigint n from ln group by all)"
 
 
 @query("names_our", f"with {_NAMES} select doc_id, lib, num, nl.n den, num / nl.n val from m join nl using (lib)")
@@ -141,8 +141,7 @@ def candidate_libs(spark, sf_dir):
 @query("set_jaccard_topk", f"{_DOC_ITEM} select doc_id, item_id, num, nl + nr - num den, num / (nl + nr - num) val, row_number() over (partition by item_id order by num / (nl + nr - num) desc, doc_id)::int top from pairs qualify top <= 5")
 def set_jaccard_topk(spark, sf_dir):
     files, libs = words(table(spark, sf_dir, "documents"), ["doc_id"]), words(table(spark, sf_dir, "benchmark"), ["item_id"])
-    pairs = bags.scored(candidates.set_similarity(files, libs, "doc_id", "item_id", "word"), "jaccard")
-    return topk.top_k(pairs, ["item_id"], [F.desc("val"), "doc_id"], 5)
+    return candidates.similar_files(files, libs, "doc_id", "item_id", "word", 5)
 
 
 def _bag_sql(op: str, flip: bool = False) -> str:

@@ -28,7 +28,7 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def library_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions of each source; lib_idx keeps the order of documents and lines without a window over a whole source."""
-    return functions(spark, sf_dir).withColumn("idx", F.col("doc_id") * 1000000 + F.col("idx"))
+    return functions(spark, sf_dir).withColumn("idx", F.col("doc_id") * (1 << 32) + F.col("idx"))
 
 
 def conversation_functions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -36,6 +36,20 @@ def test_empty_bags_and_containment(spark):
     assert out == {(1, "a"): (-1, -1, 1), (1, "c"): (-1, -1, 2), (2, "b"): (1, 2, 1), (2, "c"): (1, 3, 2)}
 
 
+def test_candidates_by_index_and_by_join_are_equal(spark):
+    import random
+
+    rng = random.Random(4)
+    files = frame(spark, [(f, rng.choice("abcdefgh")) for f in range(60) for _ in range(rng.randrange(6))] + [(99, None), (98, "a"), (98, None)], "f int, w string")
+    libs = frame(spark, [(f"l{k:02}", rng.choice("abcdefghi")) for k in range(20) for _ in range(rng.randrange(1, 5))] + [("l99", None)], "l string, w string")
+    for run in (lambda n: candidates.candidate_libs(files, libs, "f", "l", "w", 3, index_rows=n), lambda n: candidates.similar_files(files, libs, "f", "l", "w", 3, index_rows=n)):
+        one, two = (run(n) for n in (1000, 0))
+        columns = sorted(one.columns)
+        assert sorted(two.columns) == columns
+        assert sorted(map(tuple, one.select(columns).collect())) == sorted(map(tuple, two.select(columns).collect())) != []
+    assert candidates.candidate_libs(files.filter("false"), libs, "f", "l", "w").count() == candidates.candidate_libs(files, libs.filter("false"), "f", "l", "w").count() == 0
+
+
 def test_pairing_inverts(spark):
     u = frame(spark, [(1, i, t) for i, t in enumerate("abacca")], "f int, idx int, v string")
     b = frame(spark, [("L", i, t) for i, t in enumerate("aacb")], "l string, idx int, v string")
