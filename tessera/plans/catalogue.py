@@ -540,13 +540,44 @@ def assign_v4_values(spark, sf_dir):
     return _assigned("fn-st-toks-v4")(spark, sf_dir).select("conv_id", "lib_id", F.round("val", 9).alias("val"))
 
 
-@query("bundle_peel")
+#: A state for each file: what is left of its functions (position, bag), which candidates matched exactly, and the last match.
+#: Candidates without an equal bag never match, so they take no step; steps go over the others twice, exact matches first.
+_PEELED = f"""
+with recursive {_DOC_ITEM.strip().removeprefix("with ")}, {_LINES},
+near as (select doc_id, item_id, case when num = nl then 1.0 else num / (nl + nr - num) end v, num = nl inside, max(num = nl) over (partition by doc_id) held from pairs),
+listed as (select doc_id, item_id::varchar lib, v from near where inside or not held qualify held or row_number() over (partition by doc_id order by v desc, item_id) <= 10),
+ordered as (select doc_id, lib, row_number() over (partition by doc_id order by v desc, lib)::int top from listed),
+it as (select item_id::varchar lib, list_sort(string_split(line, ' ')) bag from (select item_id, unnest(string_split(text, chr(10))) line from benchmark) where line <> ''),
+ids as (select bag, row_number() over () b from (select distinct bag from it)),
+lb as (select lib, b, count(*) n from it join ids using (bag) group by all),
+ll as (select lib, list({{'b': b, 'n': n}}) own, sum(n)::bigint total from lb group by lib),
+un as (select doc_id, list({{'i': idx, 'b': coalesce(b, 0)}} order by idx) left_ from fn left join ids using (bag) group by doc_id),
+hits as (select distinct doc_id, lib, top from ordered join lb using (lib) join (select distinct doc_id, b from fn join ids using (bag)) using (doc_id, b)),
+seq as (select *, row_number() over (partition by doc_id order by top) step, count(*) over (partition by doc_id) k from hits),
+st as (
+  select doc_id, 0 turn, left_, []::bigint[] exact, ''::varchar phase, ''::varchar lib, 0 top, 0::bigint num, 0::bigint den, []::int[] mapped from un
+  union all
+  select doc_id, turn + 1, case when took then list_filter(left_, lambda x: not list_contains(got, x.i)) else left_ end, case when took and turn < k then list_append(exact, step) else exact end,
+         case when not took then '' when turn < k then 'rank' else 'secondary' end, lib, top, len(got)::bigint, total, got
+  from (select *, len(got) > 0 and (case when turn < k then len(got) = total else not list_contains(exact, step) end) took
+        from (select st.doc_id, st.turn, st.left_, st.exact, seq.step, seq.k, seq.lib, seq.top, ll.total,
+                     list_transform(list_filter(range(1, len(st.left_) + 1), lambda j: len(list_filter(st.left_[1:j], lambda x: x.b = st.left_[j].b)) <= coalesce(list_filter(ll.own, lambda y: y.b = st.left_[j].b)[1].n, 0)), lambda j: st.left_[j].i)::int[] got
+              from st join seq on seq.doc_id = st.doc_id and st.turn < 2 * seq.k and seq.step = st.turn % seq.k + 1 join ll on ll.lib = seq.lib))
+),
+final as (select doc_id, arg_max(left_, turn) left_ from st group by doc_id)
+select doc_id file_key, phase, lib, top, 1 as match, '1.0.0' as version, '0000' lib_file, num, den, num / den val, array_to_string(mapped, ',') mapped from st where phase <> ''
+union all
+select doc_id, 'remaining', null, null, null, null, null, null, null, null, array_to_string(list_transform(left_, lambda x: x.i), ',') from final
+"""
+
+
+@query("bundle_peel", _PEELED)
 def bundle_peel(spark, sf_dir):
     files = functions(spark, sf_dir).withColumnRenamed("doc_id", "file_key").withColumn("types", F.array().cast("array<string>")).select("file_key", "idx", "name", "tokens", "types")
     items = lines(table(spark, sf_dir, "benchmark"), ["item_id"])
     libs = items.select(F.col("item_id").cast("string").alias("lib"), F.lit("1.0.0").alias("version"), F.lit("0000").alias("lib_file"), F.lit(1).alias("pos"), "idx", F.element_at(F.split("line", " "), 1).alias("name"), F.split("line", " ").alias("tokens"), F.array().cast("array<string>").alias("types"))
     chosen = candidate_libs(spark, sf_dir).select(F.col("doc_id").alias("file_key"), F.col("item_id").cast("string").alias("lib"), "val")
-    return peel.peel_files(files, chosen, libs)
+    return peel.peel_files(files, chosen, libs).withColumn("mapped", F.array_join(F.transform("mapped", lambda i: i.cast("string")), ","))
 
 
 @query("html_script_tags", "select page_id, unnest(range(len(s)))::int idx, unnest(s) content from (select page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) s from pages)")
