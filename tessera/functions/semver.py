@@ -96,6 +96,43 @@ def version_in_range(version: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([satisfies(v, r) for v, r in zip(version, text, strict=True)], dtype=bool)
 
 
+_BOUNDS = "array<array<struct<op:string,major:bigint,minor:bigint,patch:bigint,pre:array<string>>>>"
+
+
+def bounds(text: Column) -> Column:
+    """The alternatives of a range, each its comparators, null for an invalid one. Python, so for tables of ranges, not for pairs."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        found = [None if t is None else parse_range(t.strip()) for t in texts]
+        return pd.Series([None if r is None else [[{"op": op, "major": v[0], "minor": v[1], "patch": v[2], "pre": list(v[3])} for op, v in alt] for alt in r] for r in found], dtype=object)
+
+    return F.pandas_udf(run, _BOUNDS)(text)
+
+
+def _key(major: Column, minor: Column, patch: Column, pre: Column) -> Column:
+    """A version as a value that Spark orders as versions are: a prerelease before its release, numeric identifiers before others."""
+    number = lambda x: x.rlike("^[0-9]+$")
+    parts = F.transform(pre, lambda x: F.struct(F.when(number(x), 0).otherwise(1).alias("kind"), F.when(number(x), x.try_cast("bigint")).otherwise(0).alias("n"), F.when(number(x), "").otherwise(x).alias("s")))
+    return F.struct(major.alias("a"), minor.alias("b"), patch.alias("c"), F.when(F.size(pre) > 0, 0).otherwise(1).alias("release"), parts.alias("pre"))
+
+
+def within(version: Column, alternatives: Column) -> Column:
+    """Whether a version is in a range given by its ``bounds``: plain comparisons, for joins of many pairs. Invalid ones are in none."""
+    v = numbers(version)
+    pre = F.when(v["pre"] == "", F.array().cast("array<string>")).otherwise(F.split(v["pre"], r"\."))
+    own = _key(v["major"], v["minor"], v["patch"], pre)
+
+    def holds(c: Column) -> Column:
+        other = _key(c["major"], c["minor"], c["patch"], c["pre"])
+        return F.when(c["op"] == "=", own == other).when(c["op"] == ">", own > other).when(c["op"] == ">=", own >= other).when(c["op"] == "<", own < other).otherwise(own <= other)
+
+    def named(c: Column) -> Column:
+        """A prerelease is only in the range where a comparator has one of the same three numbers."""
+        return (F.size(c["pre"]) > 0) & (F.array_join(c["pre"], ".") != "0") & (c["major"] == v["major"]) & (c["minor"] == v["minor"]) & (c["patch"] == v["patch"])
+
+    return F.coalesce(F.exists(alternatives, lambda alt: F.forall(alt, holds) & ((F.size(pre) == 0) | F.exists(alt, named))), F.lit(False))
+
+
 @F.pandas_udf(BooleanType())
 def valid_range(text: pd.Series) -> pd.Series:
     return pd.Series([t is not None and parse_range(t.strip()) is not None for t in text], dtype=bool)

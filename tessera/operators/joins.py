@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.semver import version_in_range
+from tessera.functions.semver import bounds, within
 
 #: The labels of an extraction's outcome.
 OUTCOMES = ("failParseName", "exclTime", "exclBL", "emptySig", "ok", "fail")
@@ -74,10 +74,11 @@ def main_files(package: DataFrame, existing: DataFrame) -> DataFrame:
 def vulnerable(libs: DataFrame, vulns: DataFrame) -> DataFrame:
     """(name, version, id) of each library version within a vulnerable range; ranges of a row are alternatives.
 
-    Joined by name, then decided by the range; libraries without an entry give no rows.
+    Ranges are parsed once for each row of vulns; pairs of equal names are decided by comparisons in the JVM. Libraries
+    without an entry, and invalid ranges, give no rows.
     """
-    flat = vulns.select("name", F.concat_ws(" || ", "ranges").alias("range"), F.explode("ids").alias("id"))
-    return libs.select("name", "version").join(flat, "name").filter(version_in_range("version", "range")).select("name", "version", "id")
+    flat = vulns.select("name", bounds(F.concat_ws(" || ", "ranges")).alias("bounds"), "ids").filter("bounds is not null").select("name", "bounds", F.explode("ids").alias("id"))
+    return libs.select("name", "version").join(flat, "name").filter(within(F.col("version"), F.col("bounds"))).select("name", "version", "id")
 
 
 def detection(truth: DataFrame, rank: DataFrame, secondary: DataFrame, keys: list[str], name: str = "name") -> DataFrame:

@@ -236,3 +236,16 @@ def quarantined(spark, sf_dir):
 def finished_list(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     return sinks.finished(orders.filter("o_orderstatus = 'O'"), orders.filter("o_orderstatus = 'F'"), ["o_custkey", "o_orderpriority"])
+
+
+@query("semver_carets", "with l as (select distinct p_size a, p_partkey % 10 b, p_partkey % 7 c, p_partkey % 3 = 0 pre from part), v as (select s_suppkey, s_suppkey % 50 + 1 a, s_nationkey % 10 b, s_suppkey % 4 kind from supplier) select l.a || '.' || l.b || '.' || c || case when pre then '-rc.1' else '' end as version, s_suppkey id from l join v on l.a = v.a and case kind when 0 then l.b >= v.b and not pre when 1 then l.b = v.b and not pre when 2 then (l.b > v.b or l.b = v.b and c > 3) and not pre else l.b = v.b and c = 2 end")
+def semver_carets(spark, sf_dir):
+    """Carets, tildes, pairs of comparators and prereleases of all suppliers against all versions of parts."""
+    pre = F.when(F.col("p_partkey") % 3 == 0, "-rc.1").otherwise("")
+    libs = table(spark, sf_dir, "part").select(F.lit("lib").alias("name"), F.concat(F.concat_ws(".", "p_size", F.col("p_partkey") % 10, F.col("p_partkey") % 7), pre).alias("version")).distinct()
+    a, b, kind = (F.col("s_suppkey") % 50 + 1).cast("string"), (F.col("s_nationkey") % 10).cast("string"), F.col("s_suppkey") % 4
+    two = F.concat_ws(".", a, b)
+    exact = F.concat(F.lit(">="), two, F.lit(".2-rc.1 <="), two, F.lit(".2"))
+    range_ = F.when(kind == 0, F.concat(F.lit("^"), two)).when(kind == 1, F.concat(F.lit("~"), two)).when(kind == 2, F.concat(F.lit(">"), two, F.lit(".3 <"), (F.col("s_suppkey") % 50 + 2).cast("string"))).otherwise(exact)
+    vulns = table(spark, sf_dir, "supplier").select(F.lit("lib").alias("name"), F.array(range_).alias("ranges"), F.array("s_suppkey").alias("ids"))
+    return joins.vulnerable(libs, vulns).select("version", "id")

@@ -195,3 +195,12 @@ def test_reports(spark, tmp_path):
     assert [(r.name, r.n, r.versions) for r in reports.mention_counts(mentions).collect()] == [("a", 3, ["1", "2"]), ("b", 1, ["1"])]
     assert reports.merged([mentions, mentions]).count() == 4
     assert tuple(reports.detection_ratios(frame(spark, [], "found string")).first()) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_ranges_in_the_jvm_are_those_in_python(spark):
+    versions = ["0.0.1", "0.1.0", "1.0.0", "1.2.3", "1.2.3-rc.1", "1.2.3-rc.10", "1.2.3-alpha", "1.2.4", "1.3.0-0", "2.0.0", "10.0.0", "x", "1.2", None]
+    ranges = ["*", "", "^1.2.3", "^0.1", "^0.0.1", "~1.2", "~1.2.3-rc.2", ">=1.2.3-rc.1 <2", "1.2.x || >=2.0.0", "1.0 - 1.2.3", ">1", "<=1.2", "=1.2.3-alpha", "<1.3.0-0", "no range", None]
+    pairs = frame(spark, [(v, r) for v in versions for r in ranges], "v string, r string")
+    out = pairs.withColumn("b", semver.bounds(F.col("r"))).select("v", "r", semver.within(F.col("v"), F.col("b")).alias("got")).collect()
+    assert len(out) == len(versions) * len(ranges)
+    assert [x for x in out if x.got is not semver.satisfies(x.v, x.r)] == []
