@@ -249,3 +249,32 @@ def semver_carets(spark, sf_dir):
     range_ = F.when(kind == 0, F.concat(F.lit("^"), two)).when(kind == 1, F.concat(F.lit("~"), two)).when(kind == 2, F.concat(F.lit(">"), two, F.lit(".3 <"), (F.col("s_suppkey") % 50 + 2).cast("string"))).otherwise(exact)
     vulns = table(spark, sf_dir, "supplier").select(F.lit("lib").alias("name"), F.array(range_).alias("ranges"), F.array("s_suppkey").alias("ids"))
     return joins.vulnerable(libs, vulns).select("version", "id")
+
+
+@query("app_types", "select o_custkey, case when bool_or(o_orderkey % 4 = 0) and bool_or(o_orderkey % 4 = 1) then 'cordova' when bool_or(o_orderkey % 4 = 2) then 'react-native' else 'removed' end as type from orders group by o_custkey")
+def app_types(spark, sf_dir):
+    path = F.element_at(F.array(*map(F.lit, ("a/www/index.html", "a/www/cordova.js", "assets/index.android.bundle", "www/index.htm"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return joins.app_type(table(spark, sf_dir, "orders").select("o_custkey", path.alias("path")), ["o_custkey"])
+
+
+_PACKAGES = """
+p as (select lower(replace(p_brand, '#', '')) as name, p_partkey::varchar as version, p_partkey k from part),
+l as (select name, version, k, case when k % 3 = 0 then ['lib/main.js', 'style.css', 'lib/main.min.js'] when k % 3 = 1 then ['index.js'] else list_transform(['', 'dist/', 'build/', 'lib/'], lambda d: d || name || '.js') end f from p),
+j as (select name, version, k, flatten(list_transform(list_filter(f, lambda x: ends_with(x, '.js')), lambda x: [x, regexp_replace(x, '\\.js$', '.min.js')])) e from l),
+e as (select name, version, k, unnest(e) file, unnest(range(len(e))) i from j),
+d as (select name, version, k, file, min(i) i from e group by all)
+"""
+
+
+@query("main_files", f"with {_PACKAGES} select name, version, file, (row_number() over (partition by name, version order by i) - 1)::int pos from d where not (k % 2 = 0 and file like '%.min.js') and file not like 'build/%'")
+def main_files(spark, sf_dir):
+    """Main files of packages, of those that exist: nothing in build, and no minified ones of every second package."""
+    k, name = F.col("p_partkey"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    paths = lambda *files: F.array(*map(F.lit, files))
+    part = table(spark, sf_dir, "part").select(name.alias("name"), k.cast("string").alias("version"), "p_partkey")
+    package = part.select("name", "version", F.when(k % 3 == 0, paths("lib/main.js", "style.css", "lib/main.min.js")).alias("bower"), F.when(k % 3 == 1, paths("index.js")).alias("component"), F.lit(None).cast("array<string>").alias("node"))
+    own = [F.concat(F.lit(d), F.col("name"), F.lit(end)) for d in ("", "dist/", "lib/") for end in (".js", ".min.js")]
+    every = F.array(*own, *[F.lit(f"{f}{end}") for f in ("lib/main", "index", "lib/main.min") for end in (".js", ".min.js")])
+    existing = part.select("name", "version", F.explode(F.filter(every, lambda f: ~((k % 2 == 0) & f.endswith(".min.js")))).alias("file"))
+    found = joins.main_files(package, existing)
+    return found.select("name", "version", "file", F.col("pos").cast("int").alias("pos"))
