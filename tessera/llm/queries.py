@@ -12,6 +12,7 @@ from tessera.llm.mixing import op9_mixing
 from tessera.llm.sharding import op1_sharding
 from tessera.llm.simhash import op5_simhash
 from tessera.llm.toxicity import op8_toxicity
+from tessera.llm.turns import op11_conversations
 from tessera.llm.warc import op4_warc
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_langid": op10_langid,
+    "op11_conversations": op11_conversations,
 }
 
 ORACLE: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLE: dict[str, str] = {
     "op4_warc": oracle.WARC,
     "op6_embeddings": oracle.EMBEDDINGS,
     "op7_decontamination": oracle.DECONTAMINATION,
+    "op11_conversations": oracle.CONVERSATIONS,
 }

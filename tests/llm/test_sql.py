@@ -14,7 +14,7 @@ def test_against_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "embeddings"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = c.execute(queries.ORACLE[name])
     columns = [d[0] for d in want.description]
@@ -24,4 +24,4 @@ def test_against_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
