@@ -14,6 +14,7 @@ from tessera.llm.simhash import op5_simhash
 from tessera.llm.toxicity import op8_toxicity
 from tessera.llm.turns import op11_conversations
 from tessera.llm.warc import op4_warc
+from tessera.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_langid": op10_langid,
     "op11_conversations": op11_conversations,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE: dict[str, str] = {
