@@ -6,6 +6,7 @@ from tessera.llm import oracle
 from tessera.llm.decontaminate import op7_decontamination
 from tessera.llm.embeddings import op6_embeddings
 from tessera.llm.langid import op10_langid
+from tessera.llm.licenses import op13_licenses
 from tessera.llm.linededup import op3_line_dedup
 from tessera.llm.maxent import op2_lm_score
 from tessera.llm.mixing import op9_mixing
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_langid": op10_langid,
     "op11_conversations": op11_conversations,
     "op12_whitening": op12_whitening,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLE: dict[str, str] = {
