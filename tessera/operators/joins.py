@@ -56,19 +56,44 @@ def app_type(files: DataFrame, keys: list[str], path: str = "path") -> DataFrame
     return flags.select(*keys, F.when(F.col("html") & F.col("cordova"), "cordova").when(F.col("bundle"), "react-native").otherwise("removed").alias("type"))
 
 
+#: Where a module loader looks for a package's main path, and for a package without one.
+NODE_ENDINGS, NODE_INDEX = ("", ".js", ".json", ".node", "/index.js", "/index.json", "/index.node"), ("index.js", "index.json", "index.node")
+
+
+def _path(file: Column) -> Column:
+    """A path without empty and single-dot steps."""
+    return F.regexp_replace(F.regexp_replace(file, r"(^|/)(\./|/)+", "$1"), r"(?<=.)/\.?$", "")
+
+
+def _minified(file: Column) -> Column:
+    """The name of a file's minified neighbour: .min before the last extension, or at the end."""
+    return F.regexp_replace(file, r"^(.*?[^/])(\.[^./]*)?$", "$1.min$2")
+
+
 def main_files(package: DataFrame, existing: DataFrame) -> DataFrame:
-    """(name, version, file, pos) of a package's main files.
+    """(name, version, file, pos) of a package's main files that exist, numbered from 0.
 
-    package: (name, version, bower, component, node) arrays of paths, the first that isn't null counts, else guesses;
-    only .js files, each also as .min.js; those that exist are numbered anew.
+    package: (name, version, bower, component: arrays of paths, node: the main path of its package file). The first list
+    with a script counts, and its scripts only; else the file that a module loader finds for the main path or as the
+    package's index; else four guesses from name and version. Each file's minified neighbour follows it. A list that
+    names a neighbour itself gives it twice. existing: (name, version, file). Steps upwards in paths aren't resolved.
     """
-    base = F.col("name")
-    guessed = F.array(*[F.concat(F.lit(p), base, F.lit(".js")) for p in ("", "dist/", "build/", "lib/")])
-    js = F.filter(F.coalesce("bower", "component", "node", guessed), lambda f: f.endswith(".js"))
-    each = F.flatten(F.transform(js, lambda f: F.array(f, F.regexp_replace(f, r"\.js$", ".min.js"))))
-    listed = package.select("name", "version", F.posexplode(each).alias("_pos", "file"))
-    found = listed.dropDuplicates(["name", "version", "file"]).join(existing.select("name", "version", "file").distinct(), ["name", "version", "file"], "left_semi")
-    return found.withColumn("pos", F.row_number().over(Window.partitionBy("name", "version").orderBy("_pos")) - 1).drop("_pos")
+    scripts = lambda c: F.filter(F.transform(c, _path), lambda f: f.rlike(r"[^/]\.js$"))
+    listed = F.when(F.size(scripts(F.col("bower"))) > 0, scripts(F.col("bower"))).when(F.size(scripts(F.col("component"))) > 0, scripts(F.col("component")))
+    node = F.concat(
+        F.coalesce(F.transform(F.array(*[F.concat("node", F.lit(e)) for e in NODE_ENDINGS]), _path), F.array().cast("array<string>")), F.array(*map(F.lit, NODE_INDEX))
+    )
+    full = F.concat_ws("-", "name", "version")
+    guessed = F.array(*[F.concat(F.lit(d), n, F.lit(".js")) for d in ("dist/", "") for n in (F.col("name"), full)])
+    tries = lambda files, stage: F.transform(files, lambda f, k: F.struct(F.lit(stage).alias("stage"), k.alias("k"), f.alias("file")))
+    each = F.when(listed.isNotNull(), tries(listed, 0)).otherwise(F.concat(tries(node, 1), tries(guessed, 2)))
+    tried = package.select("name", "version", F.explode(each).alias("t")).select("name", "version", "t.*")
+    tried = tried.select("name", "version", "stage", "k", F.posexplode(F.array("file", _minified(F.col("file")))).alias("min", "file")).filter("file is not null")
+    found = tried.join(existing.select("name", "version", _path(F.col("file")).alias("file")).distinct(), ["name", "version", "file"], "left_semi")
+    by = Window.partitionBy("name", "version")
+    loaded = F.min(F.when((F.col("stage") == 1) & (F.col("min") == 0), F.col("k"))).over(by)
+    found = found.withColumn("loaded", loaded).filter((F.col("stage") == 0) | ((F.col("stage") == 1) & (F.col("k") == F.col("loaded"))) | ((F.col("stage") == 2) & F.col("loaded").isNull()))
+    return found.select("name", "version", "file", (F.row_number().over(by.orderBy("stage", "k", "min")) - 1).alias("pos"))
 
 
 def vulnerable(libs: DataFrame, vulns: DataFrame) -> DataFrame:

@@ -257,24 +257,36 @@ def app_types(spark, sf_dir):
     return joins.app_type(table(spark, sf_dir, "orders").select("o_custkey", path.alias("path")), ["o_custkey"])
 
 
-_PACKAGES = """
-p as (select lower(replace(p_brand, '#', '')) as name, p_partkey::varchar as version, p_partkey k from part),
-l as (select name, version, k, case when k % 3 = 0 then ['lib/main.js', 'style.css', 'lib/main.min.js'] when k % 3 = 1 then ['index.js'] else list_transform(['', 'dist/', 'build/', 'lib/'], lambda d: d || name || '.js') end f from p),
-j as (select name, version, k, flatten(list_transform(list_filter(f, lambda x: ends_with(x, '.js')), lambda x: [x, regexp_replace(x, '\\.js$', '.min.js')])) e from l),
-e as (select name, version, k, unnest(e) file, unnest(range(len(e))) i from j),
-d as (select name, version, k, file, min(i) i from e group by all)
+_JS = "list_filter({0}, lambda x: regexp_matches(x, '[^/]\\.js$'))"
+_PACKAGES = f"""
+p as (select lower(replace(p_brand, '#', '')) as name, p_partkey::varchar as version, p_partkey k,
+             case p_partkey % 8 when 0 then ['lib/main.js', 'style.css', 'lib/main.min.js'] when 1 then ['style.css'] when 2 then [] end bower,
+             case p_partkey % 8 when 1 then ['m.js', 'index.js'] when 2 then ['.js', 'a.css'] end component,
+             case p_partkey % 8 when 2 then 'lib/main' when 3 then 'none.js' when 4 then 'data.json' end node from part),
+f as (select name, version, k, unnest(['lib/main.js', 'lib/main.min.js', 'm.js', 'm.min.js', 'data.json', 'data.min.json', name || '.js', name || '-' || version || '.js', 'dist/' || name || '.min.js', 'style.css', 'index.js']) file from p),
+x as (select name, version, file from f where not (k % 3 = 0 and file like '%.min.%') and not (k % 16 < 11 and file = 'index.js')),
+l as (select *, {_JS.format('bower')} jb, {_JS.format('component')} jc from p),
+c as (select name, version, case when len(jb) > 0 then jb when len(jc) > 0 then jc end listed,
+             list_transform(case when node is null then [] else ['', '.js', '.json', '.node', '/index.js', '/index.json', '/index.node'] end, lambda e: node || e) || ['index.js', 'index.json', 'index.node'] loader,
+             ['dist/' || name || '.js', 'dist/' || name || '-' || version || '.js', name || '.js', name || '-' || version || '.js'] guesses from l),
+n as (select name, version, arg_min(file, i) file from (select name, version, unnest(loader) file, unnest(range(len(loader))) i from c where listed is null) join x using (name, version, file) group by name, version),
+w as (select c.name, c.version, coalesce(listed, case when n.file is not null then [n.file] else guesses end) files from c left join n using (name, version)),
+e as (select name, version, flatten(list_transform(files, lambda y: [y, regexp_replace(y, '\\.([a-z]+)$', '.min.\\1')])) files from w),
+t as (select name, version, unnest(files) file, unnest(range(len(files))) i from e)
 """
 
 
-@query("main_files", f"with {_PACKAGES} select name, version, file, (row_number() over (partition by name, version order by i) - 1)::int pos from d where not (k % 2 = 0 and file like '%.min.js') and file not like 'build/%'")
+@query("main_files", f"with {_PACKAGES} select name, version, file, (row_number() over (partition by name, version order by i) - 1)::int pos from t join x using (name, version, file)")
 def main_files(spark, sf_dir):
-    """Main files of packages, of those that exist: nothing in build, and no minified ones of every second package."""
+    """Main files of packages with lists of scripts, lists without one, main paths with and without an ending, and none."""
     k, name = F.col("p_partkey"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
-    paths = lambda *files: F.array(*map(F.lit, files))
+    paths = lambda *files: F.array(*map(F.lit, files)).cast("array<string>")
     part = table(spark, sf_dir, "part").select(name.alias("name"), k.cast("string").alias("version"), "p_partkey")
-    package = part.select("name", "version", F.when(k % 3 == 0, paths("lib/main.js", "style.css", "lib/main.min.js")).alias("bower"), F.when(k % 3 == 1, paths("index.js")).alias("component"), F.lit(None).cast("array<string>").alias("node"))
-    own = [F.concat(F.lit(d), F.col("name"), F.lit(end)) for d in ("", "dist/", "lib/") for end in (".js", ".min.js")]
-    every = F.array(*own, *[F.lit(f"{f}{end}") for f in ("lib/main", "index", "lib/main.min") for end in (".js", ".min.js")])
-    existing = part.select("name", "version", F.explode(F.filter(every, lambda f: ~((k % 2 == 0) & f.endswith(".min.js")))).alias("file"))
-    found = joins.main_files(package, existing)
-    return found.select("name", "version", "file", F.col("pos").cast("int").alias("pos"))
+    bower = F.when(k % 8 == 0, paths("lib/main.js", "style.css", "lib/main.min.js")).when(k % 8 == 1, paths("style.css")).when(k % 8 == 2, paths())
+    component = F.when(k % 8 == 1, paths("./m.js", "index.js")).when(k % 8 == 2, paths(".js", "a.css"))
+    node = F.when(k % 8 == 2, "./lib//main").when(k % 8 == 3, "none.js").when(k % 8 == 4, "data.json")
+    package = part.select("name", "version", bower.alias("bower"), component.alias("component"), node.alias("node"))
+    full = F.concat_ws("-", "name", "version")
+    every = F.concat(paths("lib/main.js", "lib/main.min.js", "m.js", "m.min.js", "data.json", "data.min.json", "style.css", "index.js"), F.array(F.concat("name", F.lit(".js")), F.concat(full, F.lit(".js")), F.concat(F.lit("dist/"), "name", F.lit(".min.js"))))
+    existing = part.select("name", "version", F.explode(F.filter(every, lambda f: ~((k % 3 == 0) & f.contains(".min.")) & ~((k % 16 < 11) & (f == "index.js")))).alias("file"))
+    return joins.main_files(package, existing).select("name", "version", "file", F.col("pos").cast("int").alias("pos"))

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from tessera.plans.trees import scratch
 from tessera.sources.tables import table
-from tessera.streaming.registry import read_changes, windowed_counts, write_split
+from tessera.streaming.registry import read_changes, read_files, windowed_counts, write_split
 
 
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events a day and type, by a stateful aggregation with a watermark over all that is there.
 
-    Each trigger writes the counts that it changed; of a window's counts the last one stands.
+    The table may be a file or a folder of files. What is there when the run begins is one micro-batch, so that no row
+    comes after the watermark. Each trigger writes the counts that it changed; of a window's counts the last one stands.
     """
     folder = scratch(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = read_files(spark.readStream.schema(schema), spark, f"{sf_dir}/events.parquet")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from tessera.functions.semver import is_valid
 from tessera.schemas import REGISTRY_DOC
@@ -28,6 +28,14 @@ def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None =
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).json(path)
 
 
+def read_files(reader: DataStreamReader, spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the Parquet table at path: a folder of files, which may grow, or one file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())  # a source's root is a folder
+
+
 def write_split(docs: DataFrame, valid_path: str, invalid_path: str, checkpoint: str) -> StreamingQuery:
     """Appends version times and rejected documents to two tables, all that is available now.
 

@@ -126,12 +126,43 @@ def test_text_functions(spark):
     assert [one(text.script_name(F.lit(p))) for p in ("./src/bin/findLibs.ts", "src/bin/_all.worker.ts", "lib/x.ts", "src/bin/one-time/doIt.js")] == ["find-libs", None, None, "one-time/do-it"]
 
 
+def test_main_files(spark):
+    """A list counts if it has a script; then what a module loader finds; then the guesses."""
+    packages = [
+        ("sheets", "1.0.0", ["x.css"], ["m.js"], None), ("both", "1.0.0", ["b.js", "b.min.js"], ["m.js"], None), ("gone", "1.0.0", ["gone.js"], ["m.js"], "m.js"), ("named", "1.0.0", [], None, "./lib"), ("plain", "1.0.0", None, ["x.css"], "data.json"),
+        ("index", "1.0.0", None, None, "nothing"), ("raw", "2.0.0", None, None, None), ("dots", "1.0.0", [".js", "./a//b.c.js"], None, None), ("none", "1.0.0", None, None, None),
+    ]
+    there = {
+        "sheets": ["m.js", "x.css"], "both": ["b.js", "b.min.js", "m.js"], "gone": ["m.js", "index.js"], "named": ["lib/index.js", "lib/index.min.js", "named.js"], "plain": ["data.json", "data.min.json", "index.js"],
+        "index": ["index.json", "index.js", "index.min.js"], "raw": ["raw-2.0.0.js", "dist/raw.min.js", "raw.js", "build/raw.js"], "dots": [".js", "a/b.c.js", "a/b.c.min.js"],
+    }
+    package = frame(spark, packages, "name string, version string, bower array<string>, component array<string>, node string")
+    existing = frame(spark, [(n, v, f) for n, v, *_ in packages for f in there.get(n, [])], "name string, version string, file string")
+    found = {}
+    for r in sorted(joins.main_files(package, existing).collect(), key=lambda r: r.pos):
+        found.setdefault(r.name, []).append(r.file)
+    assert found == {
+        "sheets": ["m.js"], "both": ["b.js", "b.min.js", "b.min.js"], "named": ["lib/index.js", "lib/index.min.js"], "plain": ["data.json", "data.min.json"], "index": ["index.js", "index.min.js"], "raw": ["dist/raw.min.js", "raw.js", "raw-2.0.0.js"], "dots": ["a/b.c.js", "a/b.c.min.js"],
+    }
+
+
+def test_streams_of_a_folder_and_of_one_file(spark, tmp_path):
+    from tessera.streaming import registry
+
+    df = spark.range(300).repartition(3)
+    df.write.parquet(f"{tmp_path}/folder.parquet")
+    df.coalesce(1).write.parquet(f"{tmp_path}/other")
+    (one,) = (tmp_path / "other").glob("part-*.parquet")
+    one.rename(tmp_path / "file.parquet")
+    for name in ("folder", "file"):
+        stream = registry.read_files(spark.readStream.schema("id long"), spark, f"{tmp_path}/{name}.parquet")
+        stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/c-{name}").trigger(availableNow=True).start().awaitTermination()
+        assert spark.table(name).count() == 300
+
+
 def test_joins(spark):
     files = frame(spark, [("a", "x/www/index.html"), ("a", "x/www/cordova.js"), ("a", "assets/index.android.bundle"), ("b", "assets/index.android.bundle"), ("c", "else")], "app string, path string")
     assert {r.app: r.type for r in joins.app_type(files, ["app"]).collect()} == {"a": "cordova", "b": "react-native", "c": "removed"}
-    package = frame(spark, [("lib", "1.0.0", None, ["x.css"], ["main.js", "main.js"]), ("raw", "2.0.0", None, None, None)], "name string, version string, bower array<string>, component array<string>, node array<string>")
-    there = frame(spark, [("lib", "1.0.0", "main.js"), ("raw", "2.0.0", "dist/raw.min.js"), ("raw", "2.0.0", "raw.js")], "name string, version string, file string")
-    assert sorted((r.name, r.file, r.pos) for r in joins.main_files(package, there).collect()) == [("raw", "dist/raw.min.js", 1), ("raw", "raw.js", 0)]
     libs = frame(spark, [("a", "1.0.0"), ("b", "1.0.0"), ("c", "1.0.0"), ("d", "1.0.0")], "name string, version string")
     bl = frame(spark, [("a", "all", None), ("b", "list", ["2.0.0"]), ("c", "list", ["1.0.0"])], "name string, versions string, version_list array<string>")
     assert {r.name for r in joins.blacklisted(libs, bl).filter("blacklisted").collect()} == {"a", "c"}
