@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bags as bag_fn
 from tessera.functions import semver, text
-from tessera.operators import bags, joins, pairing, reports
+from tessera.operators import bags, joins, mentions, pairing, reports
 from tessera.plans.catalogue import _LINES, _MATCHED, _PAIRED, _fn_sides
 from tessera.plans.registry import registry
 from tessera.sources import sinks
@@ -290,3 +290,25 @@ def main_files(spark, sf_dir):
     every = F.concat(paths("lib/main.js", "lib/main.min.js", "m.js", "m.min.js", "data.json", "data.min.json", "style.css", "index.js"), F.array(F.concat("name", F.lit(".js")), F.concat(full, F.lit(".js")), F.concat(F.lit("dist/"), "name", F.lit(".min.js"))))
     existing = part.select("name", "version", F.explode(F.filter(every, lambda f: ~((k % 3 == 0) & f.contains(".min.")) & ~((k % 16 < 11) & (f == "index.js")))).alias("file"))
     return joins.main_files(package, existing).select("name", "version", "file", F.col("pos").cast("int").alias("pos"))
+
+
+_NAMES = "n as (select distinct name from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as name from benchmark union all select regexp_extract(text, '^[^ ]+ [^ ]+') from benchmark) where name <> '')"
+
+
+def _names(spark, sf_dir):
+    bench = table(spark, sf_dir, "benchmark")
+    words = bench.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("name"))
+    return words.unionByName(bench.select(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("name")))
+
+
+@query("name_counts", rf"with {_NAMES}, c as (select doc_id, name, len(regexp_extract_all(text, '[\W_]' || regexp_escape(name) || '[\W_]')) n from documents join n on contains(text, name)) select doc_id, name, n::bigint n from c where n > 0")
+def name_counts(spark, sf_dir):
+    """How often each word of the benchmark, and the first two words of each item, stand in each document."""
+    return mentions.name_counts(table(spark, sf_dir, "documents"), _names(spark, sf_dir), "doc_id")
+
+
+@query("names_used", r"with n as (select distinct regexp_replace(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+'), ' ', '.') as name from benchmark) select doc_id, name from documents join n on name <> '' and regexp_matches(text, '[\W_]' || name || '[\W_]')")
+def names_used(spark, sf_dir):
+    """The documents that hold the first two words of an item with any character between them."""
+    pair = F.regexp_replace(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0), " ", ".")
+    return mentions.names_used(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(pair.alias("name")), "doc_id")
