@@ -33,11 +33,6 @@ def scored(overlap: DataFrame, kind: str) -> DataFrame:
     return overlap.select(*keep, s["num"].alias("num"), s["den"].alias("den"), s["val"].alias("val"))
 
 
-def empty_pairs(left_keys: DataFrame, right_keys: DataFrame) -> DataFrame:
-    """Pairs of empty bags, which score 1 though they share nothing: keys of empty bags only, so the product is small."""
-    return left_keys.join(right_keys).withColumns({"num": F.lit(0).cast("long"), "den": F.lit(0).cast("long"), "val": F.lit(1.0)})
-
-
 def intersect_all(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersectAll(b)
 

@@ -62,8 +62,7 @@ def bag_jaccard_docs(spark, sf_dir):
 @query("exact_containment_docs", f"with {_LINES}, u as (select distinct doc_id, line from fn), b as (select distinct source lib, line from fn), us as (select doc_id, count(*) s from u group by all) select doc_id, lib, count(*)::bigint num from u join b using (line) join us using (doc_id) group by doc_id, lib, s having count(*) = s")
 def exact_containment_docs(spark, sf_dir):
     fn = functions(spark, sf_dir)
-    pairs = candidates.set_similarity(fn, fn.withColumnRenamed("source", "lib"), "doc_id", "lib", "line")
-    return bags.containment(pairs).select("doc_id", "lib", "num")
+    return candidates.contained(fn, fn.withColumnRenamed("source", "lib"), "doc_id", "lib", "line")
 
 
 _PAIRED = """

@@ -26,24 +26,48 @@ def test_top_k_keeps_the_first_of_equals(spark):
     assert [r.pos for r in topk.until_first(df, ["k"], "pos", F.col("v") == 1).orderBy("pos").collect()] == [0, 1]
 
 
-def test_empty_bags_and_containment(spark):
-    a = frame(spark, [(1,)], "f int")
-    b = frame(spark, [("x",), ("y",)], "l string")
-    assert [r.val for r in bags.empty_pairs(a, b).collect()] == [1.0, 1.0]
+def test_containment(spark):
     files = frame(spark, [(1, "p"), (1, "q"), (2, "p"), (2, "z"), (3, "none")], "f int, w string")
     libs = frame(spark, [("a", "p"), ("a", "q"), ("a", "r"), ("b", "p"), ("c", "p"), ("c", "q")], "l string, w string")
     out = {(r.f, r.l): (r.num, r.den, r.top) for r in candidates.candidate_libs(files, libs, "f", "l", "w", 2).collect()}
     assert out == {(1, "a"): (-1, -1, 1), (1, "c"): (-1, -1, 2), (2, "b"): (1, 2, 1), (2, "c"): (1, 3, 2)}
+    files = files.union(frame(spark, [(1, "p"), (4, None), (5, "p"), (5, None)], "f int, w string"))
+    assert sorted(map(tuple, candidates.contained(files, libs.union(libs), "f", "l", "w").collect())) == [(1, "a", 2), (1, "c", 2)]
 
 
-def test_candidates_by_index_and_by_join_are_equal(spark):
+def test_candidates_read_as_far_as_needed(monkeypatch):
+    """Random sets: what can be among the best, or holds all, is there with its exact count; the rest needn't be."""
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(candidates, "FEW", 0)
+    rng, left_out = random.Random(5), 0
+    weights = [1 / (k + 1) for k in range(60)]
+    for _ in range(60):
+        libs = [set(rng.choices(range(60), weights, k=rng.randrange(1, 25))) for _ in range(80)]
+        rows = [(k, v) for k, own in enumerate(libs) for v in own]
+        index = candidates.Postings(pa.table([pa.array([k for k, _ in rows]), pa.array([v for _, v in rows])], ["l", "w"]))
+        file = set(rng.choices(range(64), k=rng.randrange(1, 12))) if rng.random() < 0.7 else set(list(libs[3])[:4])
+        found = dict(zip(*(x.tolist() for x in index.best(sorted(file), len(file), 5)), strict=True))
+        exact = {k: len(file & own) for k, own in enumerate(libs) if file & own}
+        best = sorted(exact, key=lambda k: (-exact[k] / len(file | libs[k]), k))[:5]
+        assert set(best) <= set(found) and all(exact[k] == n for k, n in found.items())
+        assert {k for k, own in enumerate(libs) if file <= own} <= set(found)
+        left_out += len(exact) - len(found)
+    assert left_out > 100
+
+
+def test_candidates_by_index_and_by_blocks_are_equal(spark, monkeypatch):
     import random
 
     rng = random.Random(4)
     files = frame(spark, [(f, rng.choice("abcdefgh")) for f in range(60) for _ in range(rng.randrange(6))] + [(99, None), (98, "a"), (98, None)], "f int, w string")
     libs = frame(spark, [(f"l{k:02}", rng.choice("abcdefghi")) for k in range(20) for _ in range(rng.randrange(1, 5))] + [("l99", None)], "l string, w string")
+    monkeypatch.setattr(candidates, "GROUP_FILES", 9)
+    libs = libs.union(frame(spark, [(f"m{k:04}", rng.choice("abcdefghijk")) for k in range(900) for _ in range(3)], "l string, w string"))  # two blocks
     for run in (lambda n: candidates.candidate_libs(files, libs, "f", "l", "w", 3, index_rows=n), lambda n: candidates.similar_files(files, libs, "f", "l", "w", 3, index_rows=n)):
-        one, two = (run(n) for n in (1000, 0))
+        one, two = (run(n) for n in (10000, 0))
         columns = sorted(one.columns)
         assert sorted(two.columns) == columns
         assert sorted(map(tuple, one.select(columns).collect())) == sorted(map(tuple, two.select(columns).collect())) != []
