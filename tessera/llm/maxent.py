@@ -156,7 +156,7 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         local.default_factory = local.__len__  # a new word gets the next number
         id_type, tokens_in = pa.int64(), 0
         columns = ["part", "ids", "held", "sizes", "stream", "histories", "lid", "word", "n"]
-        kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
         part = 0
 
         def flush():
@@ -167,7 +167,7 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
             words = list(local)
             none = [None] * len(words)
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, list(ids), list(held), list(sizes), packed(tokens), packed(np.fromiter(map(history_of, words), np.uint32, len(words))), *[None] * 3], kinds, strict=True)], columns)
-            rows = [np.full(len(words), part), none, none, none, none, none, np.arange(len(words)), pa.array(words, pa.binary()).cast(pa.string()), n]
+            rows = [np.full(len(words), part), none, none, none, none, none, np.arange(len(words)), pa.array(words, pa.binary()), n]
             for i in range(0, len(words), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)], k) if not isinstance(v, pa.Array) else v[i : i + (1 << 16)] for v, k in zip(rows, kinds, strict=True)], columns)
             part += 1
@@ -190,7 +190,7 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         if ids:
             yield from flush()
 
-    schema = f"part bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, histories binary, lid int, word string, n bigint"
+    schema = f"part bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, histories binary, lid int, word binary, n bigint"
     out = docs.mapInArrow(run, schema)
     return out.select((F.spark_partition_id().cast("long") * (1 << 24) + F.col("part")).alias("block"), *[c for c in out.columns if c != "part"])
 
@@ -392,10 +392,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     blocks = materialise(_blocks(slim, kind), "lm-blocks")
     words = blocks.filter("lid is not null").select("block", "lid", "word", "n")
     groups = materialise(words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("rows")), "lm-words")
-    heads = groups.filter("c > 0 and word <> ' '").orderBy(F.desc("c"), "word").limit(HEADS).select("word").collect()
-    head = spark.createDataFrame([(r.word, 2 + i) for i, r in enumerate(heads)], "word string, head int")
-    end = F.col("word") == " "
-    cell = F.when(end, END).otherwise(F.coalesce(F.col("head"), shape_of(F.col("word"))))
+    heads = groups.filter((F.col("c") > 0) & (F.col("word") != F.lit(b" "))).orderBy(F.desc("c"), "word").limit(HEADS).select("word").collect()
+    head = spark.createDataFrame([(bytes(r.word), 2 + i) for i, r in enumerate(heads)], "word binary, head int")
+    end = F.col("word") == F.lit(b" ")
+    cell = F.when(end, END).otherwise(F.coalesce(F.col("head"), shape_of(F.col("word").cast("string"))))
     celled = groups.join(F.broadcast(head), "word", "left").select("word", "c", "rows", cell.alias("cell"))  # HEADS rows
     stats = celled.groupBy("cell").agg(F.expr("count_if(c > 0)").alias("v"), F.expr("count_if(c = 1)").alias("n1"), F.expr("count_if(c = 2)").alias("n2"), F.sum("c").alias("n"), F.sum(F.when(F.col("c") >= 2, F.col("c"))).alias("mass"), F.sum("rows").alias("rows")).collect()
     mass, shaped = [0] * CELLS, [r for r in stats if r.cell >= 2 + HEADS]

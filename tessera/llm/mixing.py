@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialise, table, unit_hash
+from tessera.llm.common import lookup, materialise, release, table, unit_hash
 from tessera.llm.topics import fit, terms, topic_of
 
 #: Up to so many cells (combinations that occur) are raked on the driver and broadcast; more are raked as a table.
@@ -67,7 +67,8 @@ def _rake_table(cells: DataFrame, names: list[str], targets: list[DataFrame], ro
             worst = max(worst, abs(scale * low - 1), abs(scale * high - 1))
             factor = now.select(name, (scale * F.col("share") / F.col("now")).alias("f"))
             cells = cells.join(factor, name, "left").withColumn("w", F.col("w") * F.coalesce("f", F.lit(0.0))).drop("f")
-        cells = materialise(cells, "cells")
+        before, cells = cells, materialise(cells, "cells")
+        release(before)  # one table of cells at a time
         if worst < TOLERANCE:
             break
     return cells

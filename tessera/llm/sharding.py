@@ -25,31 +25,31 @@ def shard_by_bytes(df: DataFrame, size: Column, order: list[str], n_shards: int
     give each partition the bytes and rows before it. A row belongs to the shard that holds its middle byte when the
     whole is cut at equal targets, so shards are contiguous and differ from the target by one row's size at most.
     ``slot`` counts from 0 without gaps within the shard. An empty df gives no rows; with more shards than rows, some
-    shards are empty. A column of df named size, shard or slot is replaced.
+    shards are empty. A column of df named size, shard or slot is replaced; others keep their names whatever they are.
 
     Only what df carries is shuffled: select ids and sizes first, and join or write the texts by shard afterwards.
     """
-    spark = df.sparkSession
+    spark, kept = df.sparkSession, df.drop("size", "shard", "slot").columns
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("size", size).withColumn("_rid", F.monotonically_increasing_id())
-    by = [F.col(c).asc_nulls_first() for c in [*order, "_rid"]]
-    ranged = materialise(keyed.repartitionByRange(parts, *by).withColumn("_pid", F.spark_partition_id()), "ranged")
-    before, every = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = ranged.groupBy("_pid").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    prefix = totals.select("_pid", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("_b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"), F.sum("b").over(every).alias("_all"))
-    upto = Window.partitionBy("_pid").orderBy(*by)
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), size.alias("size"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.monotonically_increasing_id().alias("rid"))
+    by = [F.col(c).asc_nulls_first() for c in [*(f"o{k}" for k in range(len(order))), "rid"]]
+    ranged = materialise(keyed.repartitionByRange(parts, *by).withColumn("pid", F.spark_partition_id()), "ranged")
+    before, every = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = ranged.groupBy("pid").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    prefix = totals.select("pid", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("b").over(every).alias("whole"))
+    upto = Window.partitionBy("pid").orderBy(*by)
     placed = (
-        ranged.withColumn("_run", F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("_pos", F.row_number().over(upto).cast("long"))
-        .join(F.broadcast(prefix), "_pid")  # one row for each range partition: bounded by the partition count
-        .withColumn("_idx", F.col("_n0") + F.col("_pos") - 1)
-        .withColumn("_mid", 2 * (F.col("_b0") + F.col("_run")) - F.col("size"))
-        .withColumn("shard", F.expr(f"cast((cast(_mid as decimal(38,0)) * {n_shards}) div (2 * _all) as int)"))
+        ranged.withColumn("run", F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("pos", F.row_number().over(upto).cast("long"))
+        .join(F.broadcast(prefix), "pid")  # one row for each range partition: bounded by the partition count
+        .withColumn("idx", F.col("n0") + F.col("pos") - 1)
+        .withColumn("mid", 2 * (F.col("b0") + F.col("run")) - F.col("size"))
+        .withColumn("shard", F.expr(f"cast((cast(mid as decimal(38,0)) * {n_shards}) div (2 * whole) as int)"))
         .withColumn("shard", F.least(F.col("shard"), F.lit(n_shards - 1)))
     )
-    first = placed.groupBy("shard").agg(F.min("_idx").alias("_first"))
+    first = placed.groupBy("shard").agg(F.min("idx").alias("first"))
     out = placed.join(F.broadcast(first), "shard")  # n_shards rows at most
-    return out.select(*df.drop("size", "shard", "slot").columns, "size", "shard", (F.col("_idx") - F.col("_first")).alias("slot"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "size", "shard", (F.col("idx") - F.col("first")).alias("slot"))
 
 
 def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,10 @@ BROADCAST_ROWS = 1 << 17
 #: Equal payloads of at least so many bytes are stored once.
 MIN_DEDUP_BYTES = 0
 DATE = "2020-01-01T00:00:00Z"
+#: Bytes of a header line at most.
+MAX_LINE = 1 << 20
+#: Records that are read; others (warcinfo, request, metadata and so on) are passed over.
+READ = ("response", "revisit", "continuation")
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -91,20 +97,67 @@ def records_of(page, rid: str, url: str | None, payload: bytes, first: tuple[obj
     return out
 
 
-def parse(data: bytes):
-    """(headers, block) of each record of an archive; raises WarcError where its framing is broken."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n") if end >= 0 else [""]
-        if not lines[0].startswith("WARC/"):
-            raise WarcError(f"no record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(headers["Content-Length"])
-        block, at = data[end + 4 : end + 4 + size], end + 8 + size
-        if len(block) != size or data[at - 4 : at] != b"\r\n\r\n":
-            raise WarcError(f"record {headers.get('WARC-Record-ID')} isn't {size} bytes")
-        yield headers, block
+class Headers(dict):
+    """Named fields; names don't differ by case."""
+
+    def __getitem__(self, name: str) -> str:
+        if (value := self.get(name)) is None:
+            raise WarcError(f"no {name} in record {self.get('WARC-Record-ID')}")
+        return value
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+    def number(self, name: str) -> int | None:
+        if (value := self.get(name)) is None:
+            return None
+        if not re.fullmatch(r"-?[0-9]{1,18}", value):
+            raise WarcError(f"{name} is no number in record {self.get('WARC-Record-ID')}")
+        return int(value)
+
+
+def _fields(stream) -> Headers:
+    """Header lines up to the empty one; a line that begins with a blank goes on with the one before."""
+    out, last = Headers(), None
+    while (line := stream.readline(MAX_LINE)) != b"\r\n":
+        if not line.endswith(b"\r\n"):
+            raise WarcError("headers without an end")
+        name, found, value = line.partition(b":")
+        if line[:1] in b" \t" and last:
+            out[last] += " " + line.strip().decode(errors="replace")
+        elif found:
+            last = name.strip().lower().decode(errors="replace")
+            out[last] = value.strip().decode(errors="replace")
+        else:
+            raise WarcError("a header without a colon")
+    return out
+
+
+def parse(source):
+    """(headers, block) of each record of an archive, bytes or a stream of them; raises WarcError where its framing is broken.
+
+    One record is held at a time. Broken compression is broken framing.
+    """
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    try:
+        while line := stream.readline(MAX_LINE):
+            if not line.startswith(b"WARC/") or not line.endswith(b"\r\n"):
+                raise WarcError(f"no record at byte {stream.tell() - len(line)}")
+            headers = _fields(stream)
+            if (size := headers.number("Content-Length")) is None or size < 0:
+                raise WarcError(f"no length in record {headers.get('WARC-Record-ID')}")
+            block = stream.read(size)
+            if len(block) != size or stream.read(4) != b"\r\n\r\n":
+                raise WarcError(f"record {headers.get('WARC-Record-ID')} isn't {size} bytes")
+            yield headers, block
+    except (EOFError, OSError, zlib.error) as e:
+        raise WarcError(f"broken compression: {e}") from e
+
+
+def opened(content: bytes):
+    """A stream of an archive's bytes, which may be gzipped in any number of members."""
+    stream = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=stream)) if content[:2] == b"\x1f\x8b" else stream
 
 
 def payload_of(block: bytes) -> bytes:
@@ -180,9 +233,12 @@ def write_archives(pages: DataFrame, path: str, row_id: str | None = None, min_d
 def read_archives(spark: SparkSession, path: str, errors: str = "raise") -> DataFrame:
     """(page_id, rid, record_type, digest, len, payload, refers_to, error) of the archives in path: payloads in full, null for revisits.
 
-    Each archive is read and decoded once, into a table of whole records and segments. Segments are grouped by their
+    Archives of others can be read as well, gzipped or not: names of headers in any case, record types other than
+    responses, revisits and continuations passed over; page_id, rid, refers_to and a revisit's len are null where an
+    archive doesn't say them, and a digest of another kind than SHA-1 isn't checked.
+    Each archive is read and decoded once, record by record, into a table of whole records and segments. Segments are grouped by their
     origin, ordered by number, checked against the total length and decoded; a group is one record's payload. Broken
-    framing, a missing segment, a wrong length or a digest that doesn't match raise WarcError; with errors="keep", such
+    framing or compression, a missing segment, a wrong length or a digest that doesn't match raise WarcError; with errors="keep", such
     a record is a row of type ``damaged`` with the error, and what follows broken framing in its file is given up.
     """
     schema = "origin string, page_id bigint, rid string, record_type string, digest string, len bigint, refers_to bigint, segment int, total bigint, data binary, error string"
@@ -197,23 +253,35 @@ def read_archives(spark: SparkSession, path: str, errors: str = "raise") -> Data
             raise e
         return (origin, page, rid, "damaged", None, None, None, None, None, None, str(e))
 
-    def row_of(h: dict, block: bytes) -> tuple:
-        kind, n, total = h["WARC-Type"], h.get("WARC-Segment-Number"), h.get("WARC-Segment-Total-Length")
-        page, refers = (None if (v := h.get(k)) is None else int(v) for k in ("X-Page-Id", "X-Refers-To-Page"))
-        digest, length = h["WARC-Payload-Digest"].removeprefix("sha1:"), None
+    def stated(h: Headers) -> str | None:
+        value = h.get("WARC-Payload-Digest") or ""
+        return value[5:].upper() if value.lower().startswith("sha1:") else None
+
+    def checked(name: str, payload: bytes, digest: str | None) -> str:
+        if (own := digest_of(payload)) != (digest or own):
+            raise WarcError(f"{name}: its payload has another digest")
+        return own
+
+    def row_of(h: Headers, block: bytes) -> tuple:
+        kind, n, total, page, refers = h["WARC-Type"], *(h.number(k) for k in ("WARC-Segment-Number", "WARC-Segment-Total-Length", "X-Page-Id", "X-Refers-To-Page"))
+        digest, length, name = stated(h), None, h["WARC-Record-ID"]
         if kind == "revisit":
-            block, length = None, int(h["X-Payload-Bytes"])
+            block, length = None, h.number("X-Payload-Bytes")
         elif n is None:
             block = payload_of(block)
-            length = len(block)
-            if digest_of(block) != digest:
-                raise WarcError(f"{h['WARC-Record-ID']}: its payload has another digest")
-        return (h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), page, h.get("X-Row"), "response" if kind == "continuation" else kind, digest, length, refers, None if n is None else int(n), None if total is None else int(total), block, None)
+            length, digest = len(block), checked(name, block, digest)
+        return (h.get("WARC-Segment-Origin-ID", name), page, h.get("X-Row"), "response" if kind == "continuation" else kind, digest, length, refers, n, total, block, None)
+
+    def known(h: Headers, name: str) -> int | None:
+        try:
+            return h.number(name)
+        except WarcError:
+            return None
 
     def rows(path_batches):
         for b in path_batches:
             for content in b.column(0):
-                out, size, records = [], 0, parse(gzip.decompress(content.as_buffer()))
+                out, size, records = [], 0, parse(opened(content.as_py()))
                 while True:
                     try:
                         if (found := next(records, None)) is None:
@@ -221,25 +289,28 @@ def read_archives(spark: SparkSession, path: str, errors: str = "raise") -> Data
                     except WarcError as e:
                         out.append(damaged(e))
                         break
+                    h, block = found
+                    if h.get("WARC-Type") not in (*READ, None):
+                        continue
                     try:
-                        out.append(row_of(*found))
+                        out.append(row_of(h, block))
                     except WarcError as e:
-                        out.append(damaged(e, found[0].get("WARC-Record-ID"), int(v) if (v := found[0].get("X-Page-Id")) else None, found[0].get("X-Row")))
-                    size += len(found[1])
+                        out.append(damaged(e, h.get("WARC-Record-ID"), known(h, "X-Page-Id"), h.get("X-Row")))
+                    size += len(block)
                     if size > 8 << 20:
                         yield batch(out)
                         out, size = [], 0
                 yield batch(out)
 
     def whole(group: pa.Table) -> pa.Table:
-        r = group.drop_columns(["data"]).slice(0, 1).to_pylist()[0]
+        rest = group.drop_columns(["data"]).to_pylist()
+        r = min(rest, key=lambda r: (r["segment"], r["digest"] or ""))
         try:
             payload = payload_of(reassemble(list(zip(group["segment"].to_pylist(), group["total"].to_pylist(), group["data"].to_pylist(), strict=True))))
-            if digest_of(payload) != r["digest"]:
-                raise WarcError(f"{r['origin']}: its payload has another digest")
+            digest = checked(r["origin"], payload, r["digest"])
         except WarcError as e:
             return pa.Table.from_batches([batch([damaged(e, r["origin"], r["page_id"], r["rid"])])])
-        return pa.Table.from_batches([batch([(r["origin"], r["page_id"], r["rid"], r["record_type"], r["digest"], len(payload), r["refers_to"], None, None, payload, None)])])
+        return pa.Table.from_batches([batch([(r["origin"], r["page_id"], r["rid"], r["record_type"], digest, len(payload), r["refers_to"], None, None, payload, None)])])
 
     found = materialise(spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema), "warc-records")
     parts = found.filter("segment is not null").groupBy("origin").applyInArrow(whole, schema)

@@ -152,3 +152,14 @@ def test_decontamination_against_all_windows(spark):
     assert all(not r.hits for r in decontaminate.contamination(docs(spark, rows), none).collect())
     assert decontaminate.contamination(docs(spark, rows).filter("false"), bench).count() == 0
     assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    from tessera.llm import sharding
+
+    names = ["_b0", "_first", "_pid", "_rid", "_all", "_n0", "_run", "_pos", "_idx", "_mid", "pid", "rid", "row", "o0", "b0", "n0", "whole", "run", "pos", "idx", "mid", "first", "a.b", "size"]
+    df = spark.createDataFrame([(i, "x" * i, *[f"{n}{i}" for n in names]) for i in range(50)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = sharding.shard_by_bytes(df, sharding.text_size("text"), ["doc_id"], 5)
+    assert out.columns == [*df.drop("size").columns, "size", "shard", "slot"]
+    for r in out.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names if n != "size") and r["size"] == r.doc_id + 8

@@ -355,3 +355,13 @@ def test_both_rakings_agree_where_they_converge_slowly(spark):
     cells = {("p", "x"): 900.0, ("p", "y"): 1.0, ("q", "x"): 1.0, ("q", "y"): 30.0, ("q", "z"): 2.0}
     early, late = (mixing.rake(cells, list(targets.values()), k) for k in (25, 500))
     assert early != pytest.approx(late, rel=1e-6)
+
+
+def test_texts_that_are_not_utf8_are_scored(spark):
+    df = docs(spark, [(i, f"kana mora w{i % 7}", "aa") for i in range(60)])
+    bad = spark.range(1).selectExpr("1000L as doc_id", "cast(X'FF20FE6B616E61' as string) as text")
+    bad = bad.withColumns({c: mixing.F.lit(None).cast(df.schema[c].dataType) for c in df.columns if c not in bad.columns}).select(df.columns)
+    from tessera.llm import maxent
+
+    found = {r.doc_id: r for r in maxent.score(df.unionByName(bad)).collect()}
+    assert len(found) == 61 and found[1000].n_tokens == 3 and found[1000].score < 0

@@ -132,6 +132,34 @@ def test_archives_round_trip(spark, tmp_path):
         assert ("continuation" in kinds) == (segment == 1000)
 
 
+def archive(*records):
+    return b"".join(b"WARC/1.0\r\n" + head + b"Content-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block) for head, block in records)
+
+
+def test_archives_of_others_and_damaged_ones(spark, tmp_path):
+    http = b"HTTP/1.0 200 OK\r\n\r\n"
+    ok = (b"warc-type: response\r\nWARC-RECORD-ID: <a>\r\nX-Long: a\r\n b\r\n", http + b"body")
+    info, plain = (b"WARC-Type: warcinfo\r\nWARC-Record-ID: <i>\r\n", b"x: y"), (b"WARC-Type: revisit\r\nWARC-Record-ID: <r>\r\nWARC-Payload-Digest: md5:00\r\n", http)
+    (tmp_path / "a.warc").write_bytes(archive(info, ok, plain))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(archive(info)) + gzip.compress(archive(ok)))
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.record_type, r.len, r.page_id, r.error) for r in got if r.record_type == "response") == [("response", 4, None, None)] * 2
+    assert [(r.len, r.payload) for r in got if r.record_type == "revisit"] == [(None, None)]
+    broken = {
+        "cut": gzip.compress(archive(ok))[:-20], "nolength": b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", "badlength": b"WARC/1.0\r\nContent-Length: ten\r\n\r\n", "nocolon": b"WARC/1.0\r\nnothing\r\n\r\n", "open": b"WARC/1.0\r\nA: b",
+        "noid": archive((b"WARC-Type: response\r\n", http)), "notype": archive((b"WARC-Record-ID: <x>\r\n", http)), "page": archive((ok[0] + b"X-Page-Id: p\r\n", ok[1])), "digest": archive((ok[0] + b"WARC-Payload-Digest: sha1:AAAA\r\n", ok[1])),
+        "nohttp": archive((ok[0], b"body")), "bytes": b"WARC/1.0\r\n\xff\xfe\r\n\r\n", "rubbish": b"\x1f\x8bnot gzip", "part": archive((ok[0] + b"WARC-Segment-Number: 2\r\n", http)),
+    }
+    for name, data in broken.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "x.warc").write_bytes(archive(ok) + data if data[:2] != b"\x1f\x8b" else data)
+        kinds = sorted(r.record_type for r in warc.read_archives(spark, str(folder), errors="keep").collect())
+        assert "damaged" in kinds and ("response" in kinds or name in ("cut", "rubbish", "part")), name
+    with pytest.raises(Exception, match="broken compression"):
+        warc.read_archives(spark, str(tmp_path / "cut")).collect()
+
+
 def test_broken_archives_raise():
     with pytest.raises(warc.WarcError):
         warc.reassemble([(1, None, b"a"), (3, 2, b"b")])
