@@ -1,5 +1,5 @@
-"""One-to-one assignment of functions by bag similarity: inherently sequential, so one grouped-map task for each pair of
-an unknown file and a library file (candidates first: pairs are pruned before they get here)."""
+"""One-to-one assignment of functions by bag similarity. Pairs of a file and a library of up to TASK_FUNCTIONS functions are
+solved in one grouped-map task each; larger ones in rounds over a table of similar functions, with the same result."""
 
 from __future__ import annotations
 
@@ -12,10 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.fractions import LONG, mean_fractions, times
 from tessera.functions.text import ANONYMOUS, NAME_SEPARATOR
+from tessera.operators import rounds
+from tessera.operators.pairing import bag_key, first_by_name, occurrence
 
 #: Fixed value: stands for a function that got no partner.
 UNMATCHED = "__unmatched__"
+#: Functions of a file and a library together that one task matches.
+TASK_FUNCTIONS = 20_000
 CERTAIN = (1.0, -1, -1)
 
 Score = tuple[float, int, int]
@@ -124,6 +129,8 @@ def v4(unknown: list[Fn], lib: list[Fn]) -> Match:
         return found
     each = [Fraction(s[1], s[2]) if s[2] else Fraction(1) for _, s in found.pairs.values()]
     exact = Fraction(num, den) * (sum(each) / len(each) if each else 1)
+    if max(exact.numerator, exact.denominator) >= LONG:
+        return Match((exact.numerator / exact.denominator, None, None), found.pairs)  # no long holds it
     return Match(make_score(exact.numerator, exact.denominator), found.pairs)
 
 
@@ -205,15 +212,26 @@ def functions_of(rows: pd.DataFrame) -> list[Fn]:
 MAPPED = "num bigint, den bigint, val double, unknown_idx array<int>, lib_idx array<int>, pair_val array<double>"
 
 
-def match_pairs(pairs: DataFrame, unknown: DataFrame, lib: DataFrame, file: str, lib_key: str, name: str | None = None) -> DataFrame:
+def match_pairs(pairs: DataFrame, unknown: DataFrame, lib: DataFrame, file: str, lib_key: str, name: str | None = None, task_functions: int = TASK_FUNCTIONS) -> DataFrame:
     """(file, lib_key, num, den, val, unknown_idx, lib_idx, pair_val) of each candidate pair, by the method named.
 
     unknown (file, idx, name, tokens, types) and lib (lib_key, ...) go to each of their pairs; pair arrays are parallel
-    and ordered by unknown_idx. A task holds the functions of one pair.
+    and ordered by unknown_idx. A task holds the functions of one pair, task_functions at most; pairs with more are
+    matched by ``match_large``, with equal results.
     """
+    both = pairs.select(file, lib_key).distinct()
+    n_u, n_l = unknown.groupBy(file).agg(F.count("*").alias("_n")), lib.groupBy(lib_key).agg(F.count("*").alias("_m"))
+    sized = both.join(n_u, file, "left").join(n_l, lib_key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0)))
+    large = sized.filter(F.col("_n") > task_functions).select(file, lib_key)
+    if large.isEmpty():
+        return _in_tasks(both, unknown, lib, file, lib_key, name)
+    small = sized.filter(F.col("_n") <= task_functions).select(file, lib_key)
+    return _in_tasks(small, unknown, lib, file, lib_key, name).unionByName(match_large(large, unknown, lib, file, lib_key, name))
+
+
+def _in_tasks(both: DataFrame, unknown: DataFrame, lib: DataFrame, file: str, lib_key: str, name: str | None) -> DataFrame:
     run = method(name)
     fields = ["idx", "name", "tokens", "types"]
-    both = pairs.select(file, lib_key).distinct()
     sides = both.join(unknown.select(file, *fields), file, "left").withColumn("side", F.lit(0)).unionByName(both.join(lib.select(lib_key, *fields), lib_key, "left").withColumn("side", F.lit(1)))
     kinds = {c: both.schema[c].dataType.simpleString() for c in (file, lib_key)}
 
@@ -222,6 +240,65 @@ def match_pairs(pairs: DataFrame, unknown: DataFrame, lib: DataFrame, file: str,
         u, b = functions_of(rows[rows.side == 0]), functions_of(rows[rows.side == 1])
         found = run(u, b)
         at = sorted(found.pairs)
-        return pd.DataFrame({file: [key[0]], lib_key: [key[1]], "num": [found.score[1]], "den": [found.score[2]], "val": [found.score[0]], "unknown_idx": [[u[i].index for i in at]], "lib_idx": [[b[found.pairs[i][0]].index for i in at]], "pair_val": [[found.pairs[i][1][0] for i in at]]})
+        return pd.DataFrame({file: [key[0]], lib_key: [key[1]], "num": [found.score[1]], "den": [found.score[2]], "val": [found.score[0]], "unknown_idx": [[u[i].index for i in at]], "lib_idx": [[b[found.pairs[i][0]].index for i in at]], "pair_val": [[found.pairs[i][1][0] for i in at]]}).astype({"num": "Int64", "den": "Int64"})
 
     return sides.groupBy(file, lib_key).applyInPandas(one, f"{file} {kinds[file]}, {lib_key} {kinds[lib_key]}, {MAPPED}")
+
+
+def _mapped(pairs: DataFrame, unknown: DataFrame, lib: DataFrame, file: str, lib_key: str, name: str) -> DataFrame:
+    """(file, lib_key, u, l, num, den, val) of the functions that the method pairs."""
+    keys, exact = [file, lib_key], lambda df: df.withColumns({"num": F.lit(-1).cast("long"), "den": F.lit(-1).cast("long"), "val": F.lit(1.0)})
+
+    def equal(mine: DataFrame, theirs: DataFrame, value: str) -> DataFrame:
+        one = lambda df, key, idx: occurrence(df.select(key, F.col("idx").alias(idx), F.col(value).alias("v")), [key], "v", idx)
+        return one(mine, file, "u").join(pairs, file).join(one(theirs, lib_key, "l"), [lib_key, "v", "k"]).select(*keys, "u", "l", *(["v"] if value == "bag" else []))
+
+    if name in EXACT_METHODS:
+        bags = lambda df: df.withColumn("bag", bag_key("tokens"))
+        n = F.size("v").cast("long")
+        return equal(bags(unknown), bags(lib), "bag").select(*keys, "u", "l", n.alias("num"), n.alias("den"), F.lit(1.0).alias("val"))
+    if name.startswith("fn-names") and name != "fn-names-st-toks":
+        return exact(equal(first_by_name(unknown, [file]), first_by_name(lib, [lib_key]), "name"))
+    hidden = F.element_at(F.split("name", NAME_SEPARATOR), -1) == ANONYMOUS
+    split = name == "fn-names-st-toks"
+    mine, theirs = (df.filter(hidden) if split else df for df in (unknown, lib))
+    edges = rounds.similar_pairs(pairs, mine, theirs, file, lib_key, "types" if name == "fn-st-types" else "tokens")
+    out = rounds.best_first(edges, keys) if name == "fn-st-toks-v3" else rounds.in_turn(edges, keys, name in ("fn-st-toks-v2", "fn-st-toks-v4"))
+    return out.unionByName(exact(equal(unknown.filter(~hidden), lib.filter(~hidden), "name"))) if split else out
+
+
+def match_large(pairs: DataFrame, unknown: DataFrame, lib: DataFrame, file: str, lib_key: str, name: str | None = None) -> DataFrame:
+    """As ``match_pairs``, with no pair's functions in one task: equi-joins for equal bags and names, rounds for similar ones."""
+    name = name or DEFAULT_METHOD
+    method(name)
+    keys, total = [file, lib_key], lambda df, key, n: df.groupBy(key).agg(F.count("*").cast("long").alias(n))
+    unknown, lib = (df.withColumns({"name": F.coalesce("name", F.lit("")), "tokens": F.coalesce("tokens", F.array().cast(df.schema["tokens"].dataType))}) for df in (unknown, lib))
+    found = _mapped(pairs, unknown, lib, file, lib_key, name)
+    at = F.array_sort(F.collect_list(F.struct("u", "l", "val")))
+    mapped = found.groupBy(*keys).agg(at.alias("at"), F.count("*").cast("long").alias("m"))
+    sides = [first_by_name(unknown, [file]), first_by_name(lib, [lib_key])] if name in ("fn-names-jaccard", "fn-names-our") else [unknown, lib]
+    rows = pairs.join(mapped, keys, "left").join(total(sides[0], file, "n"), file, "left").join(total(sides[1], lib_key, "k"), lib_key, "left")
+    rows = rows.fillna(0, ["m", "n", "k"])
+    m, n, k = (F.col(c) for c in "mnk")
+    if name in ("fn-st-toks-v1", "fn-st-types"):
+        # Names of the chosen functions, and as many unmatched ones, against the library's names, as bags.
+        bag = lambda df, by, value, c: df.groupBy(*by, F.col(value).alias("name")).agg(F.count("*").alias(c))
+        chosen = bag(found.select(*keys, F.col("l").alias("idx")).join(lib.select(lib_key, "idx", "name"), [lib_key, "idx"]), keys, "name", "a")
+        loose = rows.select(*keys, F.lit(UNMATCHED).alias("name"), (n - m).alias("a")).filter("a > 0")
+        chosen = chosen.unionByName(loose).groupBy(*keys, "name").agg(F.sum("a").alias("a"))
+        both = chosen.join(bag(lib, [lib_key], "name", "b"), [lib_key, "name"]).groupBy(*keys).agg(F.sum(F.least("a", "b")).cast("long").alias("both"))
+        rows = rows.join(both, keys, "left").fillna(0, ["both"])
+        num, den = F.col("both"), n + k - F.col("both")
+    elif name in ("fn-st-toks-v6", "fn-names-our"):
+        num, den = m, k
+    else:
+        num, den = m, n + k - m
+    rows = rows.select(*keys, num.alias("num"), den.alias("den"), "at", "n")
+    empty = F.when(F.col("n") == 0, 1.0).otherwise(0.0) if name in ("fn-st-toks-v6", "fn-names-our") else F.lit(1.0)
+    val = F.when(F.col("den") == 0, empty).otherwise(F.col("num") / F.col("den"))
+    if name == "fn-st-toks-v4":
+        means = mean_fractions(found, keys).select(*keys, F.col("num").alias("by"), F.col("den").alias("of"))
+        rows = rows.join(means, keys, "left").withColumn("f", times(F.col("num"), F.col("den"), F.col("by"), F.col("of"))).withColumns({"num": F.col("f.num"), "den": F.col("f.den")})
+        val = F.coalesce("f.val", empty)
+    part = lambda c, kind: F.coalesce(F.transform("at", lambda x: x[c]), F.array()).cast(f"array<{kind}>")
+    return rows.select(*keys, "num", "den", val.alias("val"), part("u", "int").alias("unknown_idx"), part("l", "int").alias("lib_idx"), part("val", "double").alias("pair_val"))

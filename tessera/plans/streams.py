@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.trees import scratch
+from tessera.sources.scratch import scratch
 from tessera.sources.tables import table
 from tessera.streaming.registry import read_changes, read_files, windowed_counts, write_split
 

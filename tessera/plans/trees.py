@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import registry
 from tessera.sources import layout, sinks
+from tessera.sources.scratch import scratch
 from tessera.sources.tables import table
 
 QUERIES, ORACLE, query = registry()
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared place the cluster names; a local one only in local sessions without a name, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
-
-
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as signatures: one function of the first three words, a text and a number as literals, a comment."""
     words = F.split(F.regexp_replace("text", r"[^A-Za-z0-9 ]", ""), " ")
