@@ -9,6 +9,7 @@ from tessera.plans.registry import registry
 from tessera.sources import layout, sinks
 from tessera.sources.scratch import scratch
 from tessera.sources.tables import table
+from tessera.sources.unions import add_to_union, read_union, version_of
 
 QUERIES, ORACLE, query = registry()
 
@@ -155,3 +156,23 @@ def copied_table(spark, sf_dir):
     folder = scratch(spark, "copy")
     sinks.copy_table(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), folder, ["s_nationkey"])
     return spark.read.schema("s_suppkey bigint, s_name string, s_nationkey int").parquet(folder)
+
+
+@query("literal_union_grown", r"""
+with w as (select source, doc_id % 3 step, unnest(regexp_extract_all(text, '[A-Za-z]+')) literal from documents),
+f as (select source, literal, min(step) step from w group by all)
+select source, step::int step, count(*)::bigint n_new from f group by all""")
+def literal_union_grown(spark, sf_dir):
+    """The literals of each source, merged from three deltas and one that brings nothing; n_new are those a step added."""
+    root, docs = scratch(spark, "union"), table(spark, sf_dir, "documents")
+    each = docs.select("source", (F.col("doc_id") % 3).alias("step"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("literal"))
+    schema, added = "source string, literal string", []
+    for step in (0, 1, 2, 1):
+        before = version_of(spark, root)[1]
+        add_to_union(each.filter(F.col("step") == step).select("source", "literal"), root)
+        added += [(step, part) for part in version_of(spark, root)[1] if part not in before]
+    parts = [spark.read.schema(schema).parquet(f"{root}/rows/{part}").groupBy("source").agg(F.count("*").alias("n_new")).withColumn("step", F.lit(step)) for step, part in added]
+    out = read_union(spark, root, schema).limit(0).select("source", F.lit(0).alias("step"), F.lit(0).cast("long").alias("n_new"))
+    for part in parts:
+        out = out.unionByName(part.select("source", "step", "n_new"))
+    return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.functions.semver import is_valid
 from tessera.schemas import REGISTRY_DOC
@@ -49,6 +51,46 @@ def write_split(docs: DataFrame, valid_path: str, invalid_path: str, checkpoint:
     return docs.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+FIRST_TIMES = "name string, version string, time_raw string, other string, n bigint"
+
+
+def first_times(versions: DataFrame) -> DataFrame:
+    """A stream of (name, version, time_raw, other, n) from one of (name, version, time_raw, seq): the first time of each version wins.
+
+    A version's first sighting gives a row without ``other``; each other time that a micro-batch brings gives one with how
+    often it came there. The first time is kept as state, keyed by name and version, so it holds over all batches and
+    restarts; within a batch the least seq is first. A task holds the distinct times of one version at once.
+    """
+
+    def settle(key, frames, state):
+        seen: dict[str | None, list[int]] = {}
+        for frame in frames:
+            for time, seq in zip(frame.time_raw, frame.seq, strict=True):
+                had = seen.setdefault(time, [seq, 0])
+                had[0], had[1] = min(had[0], seq), had[1] + 1
+        new = not state.exists
+        if new:
+            first = min(seen, key=lambda t: (seen[t][0], t or ""))
+            state.update((first,))
+        (first,) = state.get
+        rows = [(*key, first, None, None)] if new else []
+        rows += [(*key, first, time, n) for time, (_, n) in sorted(seen.items(), key=lambda x: x[0] or "") if time != first]
+        yield pd.DataFrame(rows, columns=["name", "version", "time_raw", "other", "n"]).astype({"n": "Int64"})
+
+    keyed = versions.select("name", "version", F.coalesce("time_raw", F.lit("unknown")).alias("time_raw"), F.col("seq").cast("long").alias("seq"))
+    return keyed.groupBy("name", "version").applyInPandasWithState(settle, FIRST_TIMES, "first string", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_first_times(rows: DataFrame, first_path: str, conflict_path: str, checkpoint: str) -> StreamingQuery:
+    """Appends first times and conflicts to two tables; a batch that is run again replaces its own folder."""
+
+    def both(batch: DataFrame, number: int) -> None:
+        batch.filter("other is null").select("name", "version", "time_raw").write.mode("overwrite").parquet(f"{first_path}/batch={number}")
+        batch.filter("other is not null").write.mode("overwrite").parquet(f"{conflict_path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, ts: str, key: str, length: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events by window and key, with a watermark; works on streams and tables alike."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, length).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
