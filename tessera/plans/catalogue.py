@@ -467,7 +467,7 @@ def _similar(token: str) -> str:
 w as (select conv_id, side, r, {token} tok, count(*) n from (select conv_id, side, r, unnest(tokens) x from f) group by all),
 s as (select conv_id, side, r, len(tokens) s from f),
 o as (select a.conv_id, a.r u, b.r l, sum(least(a.n, b.n)) m from w a join w b on a.conv_id = b.conv_id and a.tok = b.tok and a.side and not b.side group by all),
-p as (select o.conv_id, u, l, m / (x.s + y.s - m) v from o join s x on x.conv_id = o.conv_id and x.side and x.r = u join s y on y.conv_id = o.conv_id and not y.side and y.r = l)
+p as (select o.conv_id, u, l, m, x.s + y.s - m d, m / (x.s + y.s - m) v from o join s x on x.conv_id = o.conv_id and x.side and x.r = u join s y on y.conv_id = o.conv_id and not y.side and y.r = l)
 """
 
 
@@ -509,6 +509,17 @@ select conv_id, conv_id lib_id, m num, ({den})::bigint den, case when ({den}) =
 """
 
 
+#: v2's score times the mean of its pairs' scores, over the product of their denominators, in lowest terms.
+_V4_EXACT = f"""
+with recursive {_SIDED}, {_similar('x')}, {_in_turn('l', 'u')},
+g as (select mapping.conv_id, count(*)::bigint m, string_agg(x.idx::varchar, ',' order by x.idx) ui, string_agg(y.idx::varchar, ',' order by x.idx) li, list(p.m::hugeint) ms, list(p.d::hugeint) ds from mapping join f x on x.conv_id = mapping.conv_id and x.side and x.r = u join f y on y.conv_id = mapping.conv_id and not y.side and y.r = l join p on p.conv_id = mapping.conv_id and p.u = mapping.u and p.l = mapping.l group by mapping.conv_id),
+wd as (select *, list_reduce(list_prepend(1::hugeint, ds), lambda a, b: a * b) whole from g),
+h as (select conv_id, m, ui, li, whole * m below, list_reduce(list_prepend(0::hugeint, list_transform(range(1, len(ds) + 1), lambda i: ms[i] * (whole // ds[i]))), lambda a, b: a + b) total from wd),
+z as (select conv_id, nu + nl - coalesce(m, 0) size_, coalesce(ui, '') ui, coalesce(li, '') li, coalesce(m * total, 0) a, coalesce((nu + nl - m) * below, 1) b from every left join h using (conv_id)),
+r as (select *, greatest(gcd(a, b), 1) q from z)
+select conv_id, conv_id lib_id, case when size_ = 0 then 0 else a // q end::bigint num, case when size_ = 0 then 0 else b // q end::bigint den, case when size_ = 0 then 1.0 else a::double / b::double end val, ui unknown_idx, li lib_idx from r
+"""
+
 _ONE_SIDED = "case when nu = 0 then 1.0 else 0.0 end"
 _NAMES_COUNTED = "(select conv_id, count(k.name) filter (side) nu, count(k.name) filter (not side) nl from every left join k using (conv_id) group by conv_id)"
 for _name, _sql in {
@@ -521,11 +532,34 @@ for _name, _sql in {
     "fn-names-st-toks": _assigned_sql(_EXACT.format(key="name")),
     "fn-names-jaccard": _assigned_sql(_FIRST, counts=_NAMES_COUNTED),
     "fn-names-our": _assigned_sql(_FIRST, "nl", _ONE_SIDED, _NAMES_COUNTED),
-    "fn-st-toks-v4": None,  # exact mean of fractions
+    "fn-st-toks-v4": _V4_EXACT,
 }.items():
     query("assign_" + _name.replace("-", "_"), _sql)(_assigned(_name))
 
 
+#: As above with pairs for conversations: each one's user turns meet the other turns of it and of the next one.
+_SEVERAL = _SIDED.replace("t as (select conv_id, role = 'user' side, turn::int idx, string_split(replace(text, chr(10), ' '), ' ') tokens, string_split(text, ' ')[1] name from conversations where text is not null)", """
+pr as (select distinct c.conv_id c, l.conv_id l, c.conv_id * 2 + l.conv_id - c.conv_id conv_id from conversations c join conversations l on l.conv_id in (c.conv_id, c.conv_id + 1)),
+t as (select pr.conv_id, role = 'user' side, turn::int idx, string_split(replace(text, chr(10), ' '), ' ') tokens, string_split(text, ' ')[1] name from conversations v join pr on v.conv_id = case when role = 'user' then c else l end where text is not null)
+""").replace("from conversations) e join c", "from pr) e join c").replace("from conversations) where conv_id not in", "from pr) where conv_id not in")
+
+
+def _in_rounds(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        unknown, lib = conversation_functions(spark, sf_dir)
+        convs = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+        pairs = convs.withColumn("lib_id", F.explode(F.array("conv_id", F.col("conv_id") + 1))).join(convs.select(F.col("conv_id").alias("lib_id")), "lib_id", "left_semi").select("conv_id", "lib_id")
+        found = assign.match_large(pairs, unknown, lib, "conv_id", "lib_id", name)
+        joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+        return found.select((F.col("conv_id") * 2 + F.col("lib_id") - F.col("conv_id")).alias("conv_id"), "num", "den", "val", joined("unknown_idx"), joined("lib_idx"))
+
+    return run
+
+
+for _name, _sql in {"fn-st-toks-v2": _assigned_sql(f"{_similar('x')}, {_in_turn('l', 'u')}"), "fn-st-toks-v3": _assigned_sql(f"{_similar('x')}, {_BEST_FIRST}")}.items():
+    query("several_" + _name.replace("-", "_"), _sql.replace(_SIDED, _SEVERAL).replace("select conv_id, conv_id lib_id,", "select conv_id,"))(_in_rounds(_name))
+
+
 _V4 = f"{_similar('x')}, {_in_turn('l', 'u')}, a as (select mapping.conv_id, avg(v) mean from mapping join p on p.conv_id = mapping.conv_id and p.u = mapping.u and p.l = mapping.l group by mapping.conv_id)"
 
 
