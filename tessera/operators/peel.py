@@ -1,12 +1,17 @@
-"""Greedy peeling: libraries explain functions of a file one after another, exact matches first."""
+"""Greedy peeling: libraries explain functions of a file one after another, exact matches first.
+
+A file and its candidates of up to TASK_FUNCTIONS functions are peeled in one task. Larger ones advance together, candidate
+by candidate, over a stored table of the functions that each file has left, with equal results.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.assign import DEFAULT_METHOD, EXACT_METHODS, Fn, functions_of, method
+from tessera.operators.assign import DEFAULT_METHOD, EXACT_METHODS, TASK_FUNCTIONS, Fn, functions_of, match_pairs, method
+from tessera.sources.scratch import dropped, stored
 
 #: Fixed value: matches kept for each candidate.
 MATCHES = 5
@@ -46,18 +51,31 @@ def peel(fns: list[Fn], candidates: list[tuple[str, float]], libs: dict[str, lis
     return rank, secondary, remaining
 
 
-def peel_files(files: DataFrame, candidates: DataFrame, libs: DataFrame, file: str = "file_key", name: str | None = None) -> DataFrame:
+def peel_files(files: DataFrame, candidates: DataFrame, libs: DataFrame, file: str = "file_key", name: str | None = None, task_functions: int = TASK_FUNCTIONS) -> DataFrame:
     """(file, phase, name, top, match, version, lib_file, num, den, val, mapped) rows, and one of phase 'remaining' for
     each file with what nothing explains, in ``mapped``.
 
     files: (file, idx, name, tokens, types). candidates: (file, lib, val). libs: (lib, version, lib_file, pos, idx, name,
-    tokens, types) with pos the order in which versions are tried. Each file's functions meet its candidates' in one
-    task; a file with no candidates keeps all its functions.
+    tokens, types) with pos the order in which versions are tried, each in a place of its own. A file whose functions and
+    whose candidates' are task_functions at most is peeled in one task, others by ``peel_large``; a file with no
+    candidates keeps all its functions.
     """
-    run = method(name)
-    fields = ["idx", "name", "tokens", "types"]
+    method(name)
     candidates = candidates.select(file, F.col("lib").cast("string").alias("lib"), "val")
     libs = libs.withColumns({"lib": F.col("lib").cast("string"), "pos": F.col("pos").cast("int")})
+    own = files.groupBy(file).agg(F.count("*").alias("_n"))
+    theirs = candidates.join(libs.groupBy("lib").agg(F.count("*").alias("_m")), "lib").groupBy(file).agg(F.sum("_m").alias("_m"))
+    large = own.join(theirs, file, "left").filter(F.col("_n") + F.coalesce("_m", F.lit(0)) > task_functions).select(file)
+    if large.isEmpty():
+        return _in_tasks(files, candidates, libs, file, name)
+    large = stored(large, "large")
+    one = lambda df, how: df.join(large, file, how)
+    return _in_tasks(one(files, "left_anti"), one(candidates, "left_anti"), libs, file, name).unionByName(peel_large(one(files, "left_semi"), one(candidates, "left_semi"), libs, file, name))
+
+
+def _in_tasks(files: DataFrame, candidates: DataFrame, libs: DataFrame, file: str, name: str | None) -> DataFrame:
+    run = method(name)
+    fields = ["idx", "name", "tokens", "types"]
     kind = files.schema[file].dataType.simpleString()
     idle = None
     if (name or DEFAULT_METHOD) in EXACT_METHODS:
@@ -91,3 +109,50 @@ def peel_files(files: DataFrame, candidates: DataFrame, libs: DataFrame, file: s
 
     out = rows.groupBy(file).applyInPandas(one, ", ".join(f"{c} {t}" for c, t in ((file, kind), *OUT)))
     return out if idle is None else out.unionByName(idle)
+
+
+def peel_large(files: DataFrame, candidates: DataFrame, libs: DataFrame, file: str = "file_key", name: str | None = None) -> DataFrame:
+    """As ``peel_files``, with no file's functions in one task.
+
+    Step k tries the k-th candidate of every file at once, all its versions by ``match_pairs``, and takes what the best
+    match maps out of the functions that are left. First come the candidates that match exactly, whose versions count up
+    to the first exact one, then the others. A step's tables take the place of those of the step before.
+    """
+    fields = ["idx", "name", "tokens", "types"]
+    keyed = libs.withColumn("_key", F.concat_ws("\0", F.format_string("%010d", "pos"), "version", "lib_file", "lib"))
+    versions = stored(keyed.select("lib", "version", "lib_file", "pos", "_key").distinct(), "versions")
+    theirs = keyed.select("_key", *fields)
+    top = F.row_number().over(Window.partitionBy(file).orderBy(F.desc("val"), "lib"))
+    ranked = stored(candidates.dropDuplicates([file, "lib"]).withColumn("top", top), "ranked")
+    steps = ranked.agg(F.coalesce(F.max("top"), F.lit(0))).first()[0]
+    left, found = stored(files.select(file, *fields), "left"), []
+    exact = ranked.select(file, "lib").limit(0)
+
+    def step(tried: DataFrame, left: DataFrame, phase: str) -> tuple[DataFrame, DataFrame]:
+        pairs = tried.join(versions, "lib")
+        scores = match_pairs(pairs.select(file, "_key"), left, theirs, file, "_key", name).filter("val > 0")
+        scored = pairs.join(scores, [file, "_key"])
+        by = Window.partitionBy(file)
+        if phase == "rank":
+            stop = F.min(F.when(F.col("val") == 1, F.col("_key"))).over(by)
+            scored = scored.withColumn("_stop", stop).filter(F.col("_stop").isNotNull() & (F.col("_key") <= F.col("_stop"))).drop("_stop")
+        scored = scored.withColumn("match", F.row_number().over(by.orderBy(F.desc("val"), "_key"))).filter(F.col("match") <= MATCHES)
+        now = stored(scored.select(file, F.lit(phase).alias("phase"), "lib", "top", "match", "version", "lib_file", "num", "den", "val", F.array_sort("unknown_idx").alias("mapped")), "matches")
+        gone = now.filter("match = 1").select(file, F.explode("mapped").alias("idx"))
+        rest = stored(left.join(gone, [file, "idx"], "left_anti").select(left.columns), "left")
+        dropped(left)
+        return now, rest
+
+    for phase in ("rank", "secondary"):
+        for k in range(1, steps + 1):
+            tried = ranked.filter(F.col("top") == k).select(file, "lib", "top")
+            tried = tried if phase == "rank" else tried.join(exact, [file, "lib"], "left_anti")
+            now, left = step(tried, left, phase)
+            found.append(now)
+            if phase == "rank":
+                exact = exact.unionByName(now.filter("match = 1").select(file, "lib"))
+    rest = left.groupBy(file).agg(F.array_sort(F.collect_list("idx")).alias("mapped"))
+    out = files.select(file).distinct().join(rest, file, "left").select(file, F.lit("remaining").alias("phase"), *[F.lit(None).cast(t).alias(c) for c, t in OUT[1:-1]], F.coalesce("mapped", F.array()).cast("array<int>").alias("mapped"))
+    for now in found:
+        out = out.unionByName(now)
+    return out

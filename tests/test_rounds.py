@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.fractions import mean_fractions, times
-from tessera.operators import assign
+from tessera.operators import assign, peel
 
 FNS = "file string, idx int, name string, tokens array<string>, types array<string>"
 
@@ -50,3 +50,22 @@ def test_exact_means(spark):
     df = spark.createDataFrame([c[:4] for c in cases], "a long, b long, c string, d string")
     got = df.select(times(*(F.col(c) for c in "abcd")).alias("x")).select("x.*").collect()
     assert [(r.num, r.den) for r in got] == [c[4] for c in cases] and got[3].val == pytest.approx(1 / 3) and got[1].val is None
+
+
+@pytest.mark.parametrize("name", ["fn-st-toks-v6", "fn-st-toks-v2"])
+def test_large_files_are_peeled_as_small_ones(spark, name):
+    """Libraries with several versions, some equal, one of them the whole of what a file has; a file without candidates."""
+    rng, fn = random.Random(8), lambda i, t: (i, t[0], list(t), [])
+    bodies = ["".join(rng.choices("abcde", k=rng.randrange(1, 5))) for _ in range(14)]
+    libs = [(f"lib{k}", f"1.{v}.0", "0000", v, *fn(i, t)) for k in range(4) for v in range(3) for i, t in enumerate(rng.sample(bodies, rng.randrange(1, 4)))]
+    libs += [("lib0", "9.0.0", "0000", 3, *r[4:]) for r in libs if r[0] == "lib0" and r[1] == "1.1.0"]
+    files = [(f, *fn(i, t)) for f in range(4) for i, t in enumerate(rng.choices(bodies, k=3 + 4 * f))]
+    files += [(1, *fn(90 + r[4], r[6])) for r in libs if r[:2] == ("lib2", "1.2.0")]
+    chosen = [(f, f"lib{k}", rng.choice([0.9, 0.5])) for f in range(3) for k in range(4)] + [(2, "absent", 0.7)]
+    frames = (
+        spark.createDataFrame(files, "file_key int, idx int, name string, tokens array<string>, types array<string>"), spark.createDataFrame(chosen, "file_key int, lib string, val double"),
+        spark.createDataFrame(libs, "lib string, version string, lib_file string, pos int, idx int, name string, tokens array<string>, types array<string>"),
+    )
+    want, got = ([tuple(r) for r in peel.peel_files(*frames, name=name, task_functions=n).select("file_key", *[c for c, _ in peel.OUT]).collect()] for n in (10**6, 0))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {r[1] for r in want} == {"rank", "secondary", "remaining"} and any(r[4] and r[4] > 1 for r in want)
