@@ -73,10 +73,6 @@ def _name_of_function(node: Node) -> str:
     return token(EXPRESSION, "Identifier", node["id"]["name"]) if node["id"] else "anonymous"
 
 
-def _callee(node: Node) -> str:
-    return "super" if node["type"] == "Super" else expression_token(node)
-
-
 def _property(p: Node) -> str:
     if p["type"] == "SpreadElement":
         return "..." + expression_token(p["argument"])
@@ -103,9 +99,9 @@ def expression_token(node: Node) -> str:
         case "MemberExpression":
             return token(EXPRESSION, "Member", _member(node))
         case "CallExpression":
-            return token(EXPRESSION, "Call", f"{_callee(node['callee'])}({_each(node['arguments'])})")
+            return token(EXPRESSION, "Call", "super" if node["callee"]["type"] == "Super" else f"{expression_token(node['callee'])}({_each(node['arguments'])})")
         case "NewExpression":
-            return token(EXPRESSION, "New", f"{_callee(node['callee'])}({_each(node['arguments'])})")
+            return token(EXPRESSION, "New", f"{expression_token(node['callee'])}({_each(node['arguments'])})")
         case "ArrayExpression":
             found = _each(node["elements"])
             return token(EXPRESSION, "Array", found)

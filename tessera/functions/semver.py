@@ -111,8 +111,8 @@ def bounds(text: Column) -> Column:
 
 def _key(major: Column, minor: Column, patch: Column, pre: Column) -> Column:
     """A version as a value that Spark orders as versions are: a prerelease before its release, numeric identifiers before others."""
-    number = lambda x: x.rlike("^[0-9]+$")
-    parts = F.transform(pre, lambda x: F.struct(F.when(number(x), 0).otherwise(1).alias("kind"), F.when(number(x), x.try_cast("bigint")).otherwise(0).alias("n"), F.when(number(x), "").otherwise(x).alias("s")))
+    number, bare = (lambda x: x.rlike("^[0-9]+$")), (lambda x: F.regexp_replace(x, "^0+(?=[0-9])", ""))  # of any length: more digits are more
+    parts = F.transform(pre, lambda x: F.struct(F.when(number(x), 0).otherwise(1).alias("kind"), F.when(number(x), F.length(bare(x))).otherwise(0).alias("digits"), F.when(number(x), bare(x)).otherwise(x).alias("s")))
     return F.struct(major.alias("a"), minor.alias("b"), patch.alias("c"), F.when(F.size(pre) > 0, 0).otherwise(1).alias("release"), parts.alias("pre"))
 
 

@@ -29,6 +29,23 @@ def known_and_missing(wanted: DataFrame, known: DataFrame, keys: list[str]) -> t
     return wanted.join(known, keys), wanted.join(known.select(*keys).distinct(), keys, "left_anti")
 
 
+def with_version(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of wanted (name, version, ...) whose name and version are known together. Null versions are in no table."""
+    return wanted.join(known.select("name", "version").distinct(), ["name", "version"], "left_semi")
+
+
+def truth_classes(truth: DataFrame, known: DataFrame) -> DataFrame:
+    """truth (name, version, is_guess, ...) with ``class``: guess, name-missing, version-missing or known.
+
+    Guesses are set apart first; of the others, a name counts as known with any version, a version with its name. A null
+    is_guess is none.
+    """
+    pairs = known.select("name", "version").distinct()
+    marked = truth.join(pairs.select("name").distinct().withColumn("_name", F.lit(True)), "name", "left").join(pairs.withColumn("_pair", F.lit(True)), ["name", "version"], "left")
+    kind = F.when(F.coalesce("is_guess", F.lit(False)), "guess").when(F.col("_name").isNull(), "name-missing").when(F.col("_pair").isNull(), "version-missing").otherwise("known")
+    return marked.withColumn("class", kind).select(*truth.columns, "class")
+
+
 def blacklisted(libs: DataFrame, blacklist: DataFrame) -> DataFrame:
     """libs (name, version) with ``blacklisted``: all versions, listed ones, or none (absent names too).
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import stored
+
 
 def ratio(num: Column, den: Column, empty: float = 0.0) -> Column:
     return F.when(den == 0, F.lit(empty)).otherwise(num / F.when(den != 0, den))
@@ -23,12 +25,12 @@ def histogram(df: DataFrame, label: str, values: tuple[str, ...]) -> DataFrame:
 
 
 def status(pool: DataFrame, preprocessed: DataFrame, analysed: DataFrame, kind: str) -> DataFrame:
-    """(kind, all, preprocessed, analysed) counts."""
+    """(kind, all, preprocessed, analysed) counts, of every kind that any of them has."""
     parts = [d.groupBy(kind).agg(F.count("*").alias(n)) for d, n in ((pool, "all"), (preprocessed, "preprocessed"), (analysed, "analysed"))]
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, kind, "left")
-    return out.fillna(0)
+        out = out.join(p, kind, "full")
+    return out.fillna(0, ["all", "preprocessed", "analysed"])
 
 
 def presence_matrix(df: DataFrame, row: str, column: str, columns: list[str]) -> DataFrame:
@@ -54,6 +56,26 @@ def precision_recall(df: DataFrame, correct: Column, claimed: Column, truth: int
     return out.withColumns({"precision": ratio(F.col("correct"), F.col("claimed")), "recall": ratio(F.col("correct"), F.lit(truth))})
 
 
+#: What a verified detection can be, and how many names, and names with versions, were to be found.
+DETECTIONS, TRUE_NAMES, TRUE_VERSIONS = ("non-guess", "incorrect-version", "false-match"), 17, 15
+
+
+def method_precision_recall(df: DataFrame, method: str, kind: str, names: int = TRUE_NAMES, versions: int = TRUE_VERSIONS) -> DataFrame:
+    """(method, of, precision_num, precision_den, precision, recall_num, recall_den, recall): two rows for each method.
+
+    A wrong version counts for ``of`` = names, not for names-versions; other kinds than DETECTIONS count for nothing.
+    """
+    good, late, wrong = (F.count_if(F.col(kind) == k) for k in DETECTIONS)
+    each = df.groupBy(method).agg(good.alias("_g"), late.alias("_l"), wrong.alias("_w"))
+    both = F.array(*[F.struct(F.lit(of).alias("of"), num.alias("num"), F.lit(truth).cast("long").alias("truth")) for of, num, truth in (("names", F.col("_g") + F.col("_l"), names), ("names-versions", F.col("_g"), versions))])
+    rows = each.select(method, (F.col("_g") + F.col("_l") + F.col("_w")).alias("precision_den"), F.explode(both).alias("r"))
+    num = F.col("r.num")
+    return rows.select(
+        method, F.col("r.of").alias("of"), num.alias("precision_num"), "precision_den", ratio(num, F.col("precision_den")).alias("precision"),
+        num.alias("recall_num"), F.col("r.truth").alias("recall_den"), ratio(num, F.col("r.truth")).alias("recall"),
+    )
+
+
 def detection_ratios(df: DataFrame, found: str = "found") -> DataFrame:
     """Shares of top, secondary, either and missed; no rows give 0."""
     n = F.count("*")
@@ -112,6 +134,19 @@ def slices(df: DataFrame, order: str, n: int) -> DataFrame:
     return rows.withColumn("slice", F.floor(place / each)).drop("_run")
 
 
+def in_locale_order(df: DataFrame, name: str, place: str = "place", collation: str = "UNICODE") -> DataFrame:
+    """(name, place) of distinct names, numbered from 1 on in a locale's order: letters before case, by Spark's collation.
+
+    Names are cut into RUNS runs in that order; a run is numbered by itself, after the names of the runs before it.
+    """
+    names = df.select(F.collate(name, collation).alias("_name"), name).distinct()
+    runs = stored(names.repartitionByRange(RUNS, "_name").select(name, F.spark_partition_id().alias("_run")), "runs").withColumn("_name", F.collate(name, collation))
+    counts = runs.groupBy("_run").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = runs.join(F.broadcast(counts.select("_run", before.alias("_before"))), "_run")  # RUNS rows
+    return placed.select(name, (F.col("_before") + F.row_number().over(Window.partitionBy("_run").orderBy("_name", name))).cast("int").alias(place))
+
+
 def exact_matches(results: DataFrame, method: str, parts: list[str]) -> DataFrame:
     """(method, matches): the encoded places where a method scored 1."""
     return results.filter("val = 1").groupBy(method).agg(F.array_sort(F.collect_set(F.concat_ws("/", *parts))).alias("matches"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import bags as bag_fn
-from tessera.functions import semver, text
+from tessera.functions import fractions, semver, text
 from tessera.operators import bags, joins, mentions, pairing, reports
 from tessera.plans.catalogue import _LINES, _MATCHED, _PAIRED, _fn_sides
 from tessera.plans.registry import registry
@@ -312,3 +312,57 @@ def names_used(spark, sf_dir):
     """The documents that hold the first two words of an item with any character between them."""
     pair = F.regexp_replace(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0), " ", ".")
     return mentions.names_used(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(pair.alias("name")), "doc_id")
+
+
+@query("method_precision_recall", """
+with x as (select source, case doc_id % 4 when 0 then 'non-guess' when 1 then 'incorrect-version' when 2 then 'false-match' else 'open' end kind from documents),
+g as (select source, count(*) filter (kind = 'non-guess') g, count(*) filter (kind = 'incorrect-version') l, count(*) filter (kind = 'false-match') w from x group by source),
+r as (select source, 'names' as of_, g + l num, g + l + w den, 17 truth from g union all select source, 'names-versions', g, g + l + w, 15 from g)
+select source, of_ as "of", num precision_num, den precision_den, case when den = 0 then 0 else num / den end "precision", num recall_num, truth::bigint recall_den, num / truth recall from r""")
+def method_precision_recall(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, (*reports.DETECTIONS, "open"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return reports.method_precision_recall(table(spark, sf_dir, "documents").select("source", kind.alias("kind")), "source", "kind")
+
+
+_TRUTH = """
+k as (select distinct p_brand as name, p_size::varchar as version from part where p_partkey % 3 <> 0),
+t as (select l_orderkey, l_linenumber, 'Brand#' || (10 + l_partkey % 50) as name, case when l_linenumber <> 6 then l_quantity::int::varchar end as version, case when l_linenumber = 7 then true when l_linenumber < 6 then false end is_guess from lineitem)
+"""
+
+
+def _truth(spark, sf_dir):
+    known = table(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").select(F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("version"))
+    n = F.col("l_linenumber")
+    version = F.when(n != 6, F.col("l_quantity").cast("int").cast("string"))
+    truth = table(spark, sf_dir, "lineitem").select("l_orderkey", n, F.concat(F.lit("Brand#"), (F.col("l_partkey") % 50 + 10).cast("string")).alias("name"), version.alias("version"), F.when(n == 7, True).when(n < 6, False).alias("is_guess"))
+    return truth, known
+
+
+@query("truth_classes", f"with {_TRUTH} select l_orderkey, l_linenumber, case when coalesce(is_guess, false) then 'guess' when name not in (select name from k) then 'name-missing' when not exists (from k where k.name = t.name and k.version = t.version) then 'version-missing' else 'known' end \"class\" from t")
+def truth_classes(spark, sf_dir):
+    return joins.truth_classes(*_truth(spark, sf_dir)).select("l_orderkey", "l_linenumber", "class")
+
+
+@query("name_version_lookup", f"with {_TRUTH} select l_orderkey, l_linenumber, name, version from t join k using (name, version)")
+def name_version_lookup(spark, sf_dir):
+    return joins.with_version(*_truth(spark, sf_dir)).select("l_orderkey", "l_linenumber", "name", "version")
+
+
+#: Letters only, so the order of a locale is that of lower case, ties lower case first.
+@query("locale_order", """
+with w as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) word from benchmark)
+select word, row_number() over (order by lower(word), translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ') collate "C")::int place from w""")
+def locale_order(spark, sf_dir):
+    """Places of the benchmark's words in the order of a locale."""
+    found = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word")).distinct()
+    return reports.in_locale_order(found, "word")
+
+
+@query("mean_fractions", """
+with x as (select l_suppkey, l_linenumber::bigint n, (l_quantity::bigint % 8) d from lineitem),
+s as (select l_suppkey, sum(case when d = 0 then 840 else n * (840 // d) end)::hugeint a, count(*)::hugeint * 840 b from x group by all)
+select l_suppkey, (a // gcd(a, b))::varchar num, (b // gcd(a, b))::varchar den, a::double / b::double val from s""")
+def mean_fractions(spark, sf_dir):
+    """Exact means of line numbers over quantities' remainders; a denominator of 0 counts as 1."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("num"), (F.col("l_quantity").cast("long") % 8).alias("den"))
+    return fractions.mean_fractions(rows, ["l_suppkey"])

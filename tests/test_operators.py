@@ -114,11 +114,32 @@ def test_peeling(spark):
     assert (report.exact, report.partial, report.ex_part) == (["exact@1.0.0"], ["partly@1.0.0"], ["exact@1.0.0", "partly@1.0.0"])
 
 
+def test_truth_and_status_and_precision(spark):
+    truth = frame(spark, [("a", "1", False), ("a", "9", None), ("z", "1", False), ("a", "1", True), (None, None, False), ("a", None, False)], "name string, version string, is_guess boolean")
+    known = frame(spark, [("a", "1"), ("a", "1"), ("b", "9")], "name string, version string")
+    got = sorted(map(str, (tuple(r) for r in joins.truth_classes(truth, known).collect())))
+    assert got == sorted(map(str, [("a", "1", False, "known"), ("a", "9", None, "version-missing"), ("z", "1", False, "name-missing"), ("a", "1", True, "guess"), (None, None, False, "name-missing"), ("a", None, False, "version-missing")]))
+    assert sorted(map(tuple, joins.with_version(truth.select("name", "version"), known).collect())) == [("a", "1"), ("a", "1")]
+    pool, pre, done = (frame(spark, [(k,) for k in x], "kind string") for x in (["c", "c"], ["c", "r"], ["n"]))
+    assert {tuple(r) for r in reports.status(pool, pre, done, "kind").collect()} == {("c", 2, 1, 0), ("r", 0, 1, 0), ("n", 0, 0, 1)}
+    rows = [("m", "non-guess")] * 3 + [("m", "incorrect-version"), ("m", "false-match"), ("m", "else"), ("none", "else")]
+    found = {(r["method"], r["of"]): r for r in reports.method_precision_recall(frame(spark, rows, "method string, kind string"), "method", "kind").collect()}
+    r = found["m", "names"]
+    assert (r.precision_num, r.precision_den, r.recall_num, r.recall_den) == (4, 5, 4, 17) and r.precision == pytest.approx(0.8) and r.recall == pytest.approx(4 / 17)
+    assert (found["m", "names-versions"].precision_num, found["m", "names-versions"].recall_den) == (3, 15) and found["none", "names"].precision == 0
+
+
+def test_locale_order(spark):
+    names = ["b", "a", "B", "A", "é", "e", "f", "Éa", "z", "a", "ab", "Ab"]
+    found = sorted(reports.in_locale_order(frame(spark, [(n,) for n in names], "name string"), "name").collect(), key=lambda r: r.place)
+    assert [r.name for r in found] == ["a", "A", "ab", "Ab", "b", "B", "e", "é", "Éa", "f", "z"] and [r.place for r in found] == list(range(1, 12))
+
+
 @pytest.mark.parametrize(("version", "text_", "want"), [
     ("1.2.3", "^1.2.0", True), ("2.0.0", "^1.2.0", False), ("0.2.5", "^0.2.3", True), ("0.3.0", "^0.2.3", False), ("0.0.3", "^0.0.3", True), ("0.0.4", "^0.0.3", False),
     ("1.2.9", "~1.2.3", True), ("1.3.0", "~1.2.3", False), ("1.9.0", "1.x", True), ("1.9.0", "*", True), ("1.9.0", "", True), ("1.0.0", ">=1.0.0 <2.0.0", True), ("2.0.0", ">=1.0.0 <2.0.0", False),
     ("3.1.0", "<2.0.0 || >3", False), ("4.0.0", "<2.0.0 || >3", True), ("1.5.0", "1.2 - 2", True), ("2.9.9", "1.2 - 2", True), ("3.0.0", "1.2 - 2", False), ("1.0.0-beta.2", ">=1.0.0-beta.1", True),
-    ("1.0.1-beta", ">=1.0.0-beta.1", False), ("1.0.0-beta.1", ">=1.0.0-beta.2", False), ("1.0.0-alpha", "*", False), ("v1.2.3", "=1.2.3", True), ("1.2", "*", False), ("1.2.3", "nonsense", False), ("2.0.0-rc1", "<2.0.0", False), ("1.2.3", ">= 1.2.3", True), (None, "*", False),
+    ("1.0.1-beta", ">=1.0.0-beta.1", False), ("1.0.0-beta.1", ">=1.0.0-beta.2", False), ("1.0.0-alpha", "*", False), ("v1.2.3", "=1.2.3", True), ("1.2", "*", False), ("1.2.3", "nonsense", False), ("2.0.0-rc1", "<2.0.0", False), ("1.0.0-99999999999999999999", ">1.0.0-9999999999999999999", True), ("1.0.0-9999999999999999999", ">1.0.0-99999999999999999999", False), ("1.2.3", ">= 1.2.3", True), (None, "*", False),
 ])
 def test_version_ranges(version, text_, want):
     assert semver.satisfies(version, text_) is want
