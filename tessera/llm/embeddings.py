@@ -15,8 +15,8 @@ from tessera.llm.sharding import shard_by_bytes
 THRESHOLD = 0.9
 #: Vectors of a block (two blocks meet in a task) and of a tile.
 BLOCK, TILE = 4096, 1024
-#: Leading axes along which blocks are bounded by boxes.
-AXES = 8
+#: Leading axes along which blocks are bounded by boxes, and those whose cells are the keys by which blocks meet.
+AXES, CELL_AXES = 8, 2
 #: Shares of the dimensions after which the bound is tried.
 STAGES = (0.25, 0.5, 1.0)
 #: Room for rounding of the single-precision partial products; pairs within it are decided in double precision.
@@ -147,22 +147,24 @@ def compare_blocks(tiles: Tiles, first: pd.DataFrame, second: pd.DataFrame | Non
     return pd.DataFrame({"node": both.node.to_numpy()[at], "root": both.node.to_numpy()[parent[at]], "links": counts[at].astype(np.int64)})
 
 
-def _block_pairs(spans: DataFrame, threshold: float) -> DataFrame:
+def _block_pairs(spans: DataFrame, threshold: float, width: int = 1) -> DataFrame:
     """(first, second) blocks that may hold links, each pair once, first <= second.
 
     Unit vectors with this cosine differ by at most ``reach`` along any axis: blocks meet by an equi-join on cells of the
-    first axis, and only where their boxes are near along all leading axes and the largest product that the boxes and the
+    first CELL_AXES axes together, and only where their boxes are near along all leading axes and the largest product that the boxes and the
     norms beyond them allow reaches the threshold.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-    at = [F.floor((F.col("lo")[0] + shift) / reach).cast("int") for shift in (0, -reach)]
-    to = [F.floor((F.col("hi")[0] + shift) / reach).cast("int") for shift in (0, reach)]
-    own = spans.withColumn("cell", F.explode(F.sequence(at[0], to[0])))
-    other = spans.withColumn("cell", F.explode(F.sequence(at[1], to[1]))).select("cell", F.col("block").alias("second"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
-    met = own.join(other, "cell").filter(F.col("block") <= F.col("second")).dropDuplicates(["block", "second"])
+    cells = lambda k, out: F.sequence(*(F.floor((F.col(c)[k] + shift) / reach).cast("int") for c, shift in (("lo", -out), ("hi", out))))
+    keys = [f"cell{k}" for k in range(min(CELL_AXES, width))]
+    own, other = spans, spans
+    for k, key in enumerate(keys):
+        own, other = own.withColumn(key, F.explode(cells(k, 0))), other.withColumn(key, F.explode(cells(k, reach)))
+    other = other.select(*keys, F.col("block").alias("second"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
+    met = own.join(other, keys).filter(F.col("block") <= F.col("second"))
     near = F.forall(F.arrays_zip("lo", "hi", "lo2", "hi2"), lambda x: (x["lo2"] - x["hi"] <= reach) & (x["lo"] - x["hi2"] <= reach))
     most = F.aggregate(F.arrays_zip("lo", "hi", "lo2", "hi2"), F.col("rest") * F.col("rest2"), lambda s, x: s + F.greatest(x["lo"] * x["lo2"], x["lo"] * x["hi2"], x["hi"] * x["lo2"], x["hi"] * x["hi2"]))
-    return met.filter(near & (most >= threshold - SLACK)).select(F.col("block").alias("first"), "second")
+    return met.filter(near & (most >= threshold - SLACK)).select(F.col("block").alias("first"), "second").distinct()
 
 
 def _dimension_links(distinct: DataFrame, dim: int, threshold: float, kind: str) -> DataFrame:
@@ -187,7 +189,7 @@ def _dimension_links(distinct: DataFrame, dim: int, threshold: float, kind: str)
     placed = materialise(shard_by_bytes(placed, F.lit(1).cast("long"), ["slab", "next", "node"], blocks).withColumnRenamed("shard", "block").drop("size", "slot", "slab", "next"), "vector-blocks")
     width = min(AXES, dim)
     spans = placed.groupBy("block").agg(F.array(*[F.min(F.col("y")[k]) for k in range(width)]).alias("lo"), F.array(*[F.max(F.col("y")[k]) for k in range(width)]).alias("hi"), F.max("rest").alias("rest"))
-    pairs = materialise(_block_pairs(spans, threshold), "block-pairs")
+    pairs = materialise(_block_pairs(spans, threshold, width), "block-pairs")
     uses = pairs.select(F.col("first").alias("block"), "first", "second").unionByName(pairs.filter("first < second").select(F.col("second").alias("block"), "first", "second"))
     tiles = Tiles(axes, threshold)
 

@@ -132,8 +132,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select("doc_id", "n_hit", "n_words", "n_repeated", F.coalesce(F.array_join("found", " "), F.lit("")).alias("spans"))
 
 
-def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = True) -> DataFrame:
-    """docs with all its columns, each text without its repeated passages (or all repeated units), and ``removed``: the spans' original byte offsets.
+def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+    """docs with all its columns, each text without its repeated units (or repeated passages only), and ``removed``: the spans' original byte offsets.
 
     docs is written once, with a number for each row, which both its units and its text keep; a column of docs named
     removed is replaced.
@@ -155,7 +155,7 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     parts.append(text[pos : s["start"]])
                     pos = s["end"]
                 out.append(None if text is None else b"".join([*parts, text[pos:]]))
-            yield b.set_column(at, b.schema.field(at), pa.array(out, pa.binary()).cast(b.column(at).type))
+            yield b.set_column(at, b.schema.field(at), pa.array(out, pa.binary() if pa.types.is_string(b.column(at).type) else pa.large_binary()).view(b.column(at).type))
 
     return joined.mapInArrow(run, joined.schema)
 

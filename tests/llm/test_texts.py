@@ -64,7 +64,7 @@ def test_repeated_spans(spark):
     out = linededup.repeated_spans(docs(spark, rows), least=5, run_words=20, breaks=linededup._BREAK).collect()
     assert sorted((str(r.doc_id), r.start, r.end, r.n_units) for r in out) == slow_spans(rows)
     assert {r.kept_doc_id for r in out if r.doc_id in (1, 2)} == {0}
-    cleaned = {(r.doc_id): r for r in linededup.remove_spans(docs(spark, rows)).collect()}
+    cleaned = {(r.doc_id): r for r in linededup.remove_spans(docs(spark, rows), passages=True).collect()}
     assert cleaned[9].text == rows[-1][1] and cleaned[9].removed is None and cleaned[3].text is None
     assert cleaned[2].text == "x\n\ny" and cleaned[8].text.strip() == ""
     assert linededup.repeated_spans(docs(spark, rows).filter("false")).count() == 0
@@ -103,7 +103,7 @@ def test_line_dedup_has_a_row_for_each_document(spark, tmp_path):
     out = linededup.op3_line_dedup(spark, str(tmp_path)).collect()
     assert sorted(((str(r.doc_id), r.n_hit, r.n_words, r.n_repeated, r.spans) for r in out)) == [("3", 0, 0, 0, ""), ("4", 0, 0, 0, ""), ("5", 0, 0, 0, ""), ("6", 0, 1, 0, ""), ("6", 0, 1, 1, "0-5:6:1"), ("None", 0, 1, 1, "0-5:6:1")]
     assert linededup.report(docs(spark, rows).filter("false")).count() == 0
-    whole = linededup.remove_spans(docs(spark, rows), passages=False).collect()
+    whole = linededup.remove_spans(docs(spark, rows)).collect()
     assert sorted(map(str, (r.text for r in whole))) == sorted(map(str, (None, "", " \n", "alone", "", "")))
 
 
