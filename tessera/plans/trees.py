@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import registry
-from tessera.sources import layout, sinks
+from tessera.sources import archives, layout, sinks
 from tessera.sources.scratch import scratch
 from tessera.sources.tables import table
 from tessera.sources.unions import add_to_union, read_union, version_of
@@ -176,3 +176,18 @@ def literal_union_grown(spark, sf_dir):
     for part in parts:
         out = out.unionByName(part.select("source", "step", "n_new"))
     return out
+
+
+@query("archive_contents", """
+select 'page' || page_id % 20 as name, '1.' || page_id % 3 || '.0' as version, 'pages/' || page_id || '.html' as path, octet_length(encode(coalesce(html, '')))::int n_bytes, md5(coalesce(html, '')) as digest from pages""")
+def archive_contents(spark, sf_dir):
+    """The pages packed into gzipped archives, one for each name and version, and read back file by file."""
+    root, k = scratch(spark, "archives"), F.col("page_id")
+    html = F.coalesce("html", F.lit(""))
+    archive = F.concat(F.lit("page"), (k % 20).cast("string"), F.lit("-1."), (k % 3).cast("string"), F.lit(".0.tgz"))
+    rows = table(spark, sf_dir, "pages").select(archive.alias("archive"), archives.tar_block(F.concat(F.lit("package/pages/"), k.cast("string"), F.lit(".html")), html).alias("value"))
+    # A row is an archive, and the line end its empty last block; Spark's text writer gzips it.
+    whole = rows.groupBy("archive").agg(F.array_join(F.array_sort(F.collect_list("value")), "").alias("value"))
+    whole.write.partitionBy("archive").option("lineSep", "\0" * 512).option("compression", "gzip").text(root)
+    found = archives.package_files(archives.archive_files(spark, root, "*.gz"), F.regexp_extract("archive", "archive=([^/]+)", 1))
+    return found.select("name", "version", "path", F.octet_length("content").alias("n_bytes"), F.md5("content").alias("digest"))
