@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from tessera.llm.topics import fit, terms, topic_of
 
 #: Up to so many cells (combinations that occur) are raked on the driver and broadcast; more are raked as a table.
 MAX_CELLS = 1 << 16
+#: Up to so many categories of all margins have their factors on the driver when cells are raked as a table.
+MAX_CATEGORIES = 1 << 20
 #: Where no target is given: shares are proportional to the present ones to this power, which lifts small categories.
 TEMPER = 0.9
 ROUNDS, TOLERANCE = 500, 1e-10
@@ -51,8 +56,90 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], r
     return weights
 
 
+def _packed(cells: DataFrame, names: list[str], numbers: list[DataFrame]) -> DataFrame:
+    """The cells as a few rows of packed arrays: a category number for each margin, and tokens."""
+    coded = cells
+    for m, (name, known) in enumerate(zip(names, numbers, strict=True)):
+        coded = coded.join(F.broadcast(known.select(name, F.col("number").alias(f"c{m}"))), name)  # MAX_CATEGORIES rows at most
+    columns = [f"c{m}" for m in range(len(names))]
+
+    def run(batches):
+        for b in batches:
+            parts = [b.column(m).to_numpy().astype("<i4").tobytes() for m in range(len(names))] + [b.column(len(names)).to_numpy().astype("<f8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], [*columns, "tokens"])
+
+    return materialise(coded.select(*columns, "tokens").mapInArrow(run, ", ".join(f"{c} binary" for c in [*columns, "tokens"])), "packed-cells")
+
+
+def _weighted(packed: DataFrame, factors: list[np.ndarray], margin: int) -> np.ndarray:
+    """Weighted tokens of each category of a margin; a cell's weight is the product of its categories' factors."""
+    sent = packed.sparkSession.sparkContext.broadcast(factors)
+
+    def run(batches):
+        own = sent.value
+        total = np.zeros(len(own[margin]))
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True):
+                at = [np.frombuffer(x, "<i4") for x in row[:-1]]
+                w = np.frombuffer(row[-1], "<f8")
+                for f, k in zip(own, at, strict=True):
+                    w = w * f[k]
+                total += np.bincount(at[margin], weights=w, minlength=len(total))
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "v"])
+
+    found = packed.mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(len(factors[margin]))
+    out[found.k] = found.v
+    sent.unpersist()
+    return out
+
+
+def _rake_packed(cells: DataFrame, names: list[str], numbers: list[DataFrame], shares: list[np.ndarray], rounds: int = ROUNDS) -> DataFrame:
+    """The same where a factor for each category fits: cells are packed once, a round is one pass over them for each margin."""
+    packed, factors = _packed(cells, names, numbers), [np.ones(len(s)) for s in shares]
+    total = cells.agg(F.sum("tokens")).first()[0]
+    for _ in range(rounds if total else 0):
+        worst = 0.0
+        for m, share in enumerate(shares):
+            now = _weighted(packed, factors, m)
+            there = share[now > 0].sum()
+            if there <= 0:
+                continue
+            factor = np.divide(total * share / there, now, out=np.zeros(len(now)), where=now > 0)
+            worst = max(worst, np.abs(factor[now > 0] - 1).max(initial=0.0))
+            factors[m] = factors[m] * factor
+        if worst < TOLERANCE:
+            break
+    release(packed)
+    out = cells.withColumn("w", F.lit(1.0))
+    for m, (name, known) in enumerate(zip(names, numbers, strict=True)):
+        f = cells.sparkSession.createDataFrame(pd.DataFrame({"number": np.arange(len(factors[m])), "f": factors[m]}), "number int, f double")
+        out = out.join(F.broadcast(known.select(name, "number").join(f, "number").select(name, "f")), name).withColumn("w", F.col("w") * F.col("f")).drop("f")
+    return materialise(out, "cells")
+
+
 def _rake_table(cells: DataFrame, names: list[str], targets: list[DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """The same for more cells than the driver should hold: each margin is a grouped sum joined back. Cells hold tokens."""
+    """The same for more cells than the driver should hold. Cells hold tokens; targets are (category, share).
+
+    With up to MAX_CATEGORIES categories in all, each has its factor on the driver, and cells are only read. With more,
+    each margin is a grouped sum joined back.
+    """
+    numbered, shares = [], []
+    for name, target in zip(names, targets, strict=True):
+        known = cells.select(name).distinct().join(target, name, "left").select(name, F.coalesce("share", F.lit(0.0)).alias("share"))
+        numbered.append(materialise(known, "categories"))
+    if sum(known.count() for known in numbered) <= MAX_CATEGORIES:
+        for m, known in enumerate(numbered):
+            found = known.toPandas()
+            found["number"] = np.arange(len(found), dtype=np.int32)
+            shares.append(found["share"].to_numpy(np.float64))
+            numbered[m] = cells.sparkSession.createDataFrame(found, f"{names[m]} string, share double, number int")
+        return _rake_packed(cells, names, numbered, shares, rounds)
+    return _rake_joined(cells, names, targets, rounds)
+
+
+def _rake_joined(cells: DataFrame, names: list[str], targets: list[DataFrame], rounds: int = ROUNDS) -> DataFrame:
     cells = cells.withColumn("w", F.lit(1.0))
     total = cells.agg(F.sum("tokens")).first()[0]
     for _ in range(rounds if total else 0):

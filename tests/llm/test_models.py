@@ -344,6 +344,19 @@ def test_copies_do_not_crowd_out_a_language(spark):
     assert all(np.array_equal(x, y) for g in some.langs for a, b in zip(some.trees[g], same.trees[g], strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_factors_and_joined_sums_rake_alike(spark, monkeypatch):
+    rows = [("p", "x", 900.0), ("p", "y", 1.0), ("q", "x", 1.0), ("q", "y", 30.0), ("q", "z", 2.0), ("r", "z", 4.0)]
+    cells = spark.createDataFrame(rows, "m0 string, m1 string, tokens double").repartition(3)
+    targets = [spark.createDataFrame(t, f"m{m} string, share double") for m, t in enumerate([[("p", 0.7), ("q", 0.2), ("none", 0.1)], [("x", 0.6), ("y", 0.3), ("z", 0.1)]])]
+    found = []
+    for most in (100, 5):
+        monkeypatch.setattr(mixing, "MAX_CATEGORIES", most)
+        found.append({(r.m0, r.m1): r.w for r in mixing._rake_table(cells, ["m0", "m1"], targets, 4).collect()})
+    assert len(found[0]) == 6 and found[0] == pytest.approx(found[1]) and found[0]["r", "z"] == 0
+    aims = [{"p": 0.7, "q": 0.2, "none": 0.1}, {"x": 0.6, "y": 0.3, "z": 0.1}]
+    assert found[0] == pytest.approx(mixing.rake({r[:2]: r[2] for r in rows}, aims, 4))
+
+
 def test_both_rakings_agree_where_they_converge_slowly(spark):
     rows = [(0, "a " * 900, "x"), (1, "a", "y"), (2, "a", "x"), (3, "a " * 30, "y"), (4, " ", "z"), (5, "a a", "z"), (6, "", "y")]
     df = docs(spark, rows).withColumn("source", mixing.F.when(mixing.F.col("doc_id").isin(0, 1, 4), "p").when(mixing.F.col("doc_id") == 6, "r").otherwise("q"))
