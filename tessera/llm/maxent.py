@@ -165,11 +165,12 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
             train = np.repeat(~np.array(held), sizes)
             n = np.bincount(tokens[train], minlength=len(local))
             words = list(local)
-            none = [None] * len(words)
+            none = [pa.nulls(len(words), k) for k in kinds[1:6]]  # these columns are a block's, not a word's
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, list(ids), list(held), list(sizes), packed(tokens), packed(np.fromiter(map(history_of, words), np.uint32, len(words))), *[None] * 3], kinds, strict=True)], columns)
-            rows = [np.full(len(words), part), none, none, none, none, none, np.arange(len(words)), pa.array(words, pa.binary()), n]
-            for i in range(0, len(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)], k) if not isinstance(v, pa.Array) else v[i : i + (1 << 16)] for v, k in zip(rows, kinds, strict=True)], columns)
+            rows = [pa.array(np.full(len(words), part)), *none, pa.array(np.arange(len(words)), pa.int32()), pa.array(words, pa.binary()), pa.array(n)]
+            del words, tokens, train
+            for i in range(0, len(rows[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([v.slice(i, 1 << 16) for v in rows], columns)
             part += 1
             for x in (ids, held, sizes, stream):
                 x.clear()
