@@ -280,3 +280,9 @@ def test_ranges_in_the_jvm_are_those_in_python(spark):
     out = pairs.withColumn("b", semver.bounds(F.col("r"))).select("v", "r", semver.within(F.col("v"), F.col("b")).alias("got")).collect()
     assert len(out) == len(versions) * len(ranges)
     assert [x for x in out if x.got is not semver.satisfies(x.v, x.r)] == []
+
+
+def test_a_line_whose_square_no_int_holds(spark):
+    src = F.concat(F.repeat(F.lit("a"), 50_000), F.lit("\nb"))
+    got = spark.range(1).select(text.long_lines_ratio(src).alias("r"), text.is_minified(src).alias("m"), text.average_line_length(src).alias("a")).first()
+    assert got.r == (50_000.0**2 / 50_002 + 1) / 50_002 / 2 and got.m and got.a == 25_000
