@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -13,6 +15,10 @@ from pyspark.sql.types import StructField, StructType
 from tessera.functions.js_parser import JsSyntaxError
 from tessera.functions.js_signature import DEFAULT_VERSION, modules, signature, tagged
 from tessera.schemas import SIGNATURE
+from tessera.sources.tables import dealt
+
+#: Tasks that the copies of one script are dealt over, and bytes of scripts that are read at once.
+COPIES, PIECE_BYTES = 16, 4 << 20
 
 
 class _Scripts(HTMLParser):
@@ -68,21 +74,45 @@ def script_tags(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 def extract(sources: DataFrame, keys: list[str], code: str = "content", version: int = DEFAULT_VERSION, bundles: bool = False) -> DataFrame:
     """(keys, id, id_type, functions, literals, comments, error): a row for each script, or for each module of a bundle.
 
-    A script that can't be read gives one row with the error: failures are set aside, they don't end the job.
+    A script that can't be read gives one row with the error: failures are set aside, they don't end the job. Scripts are
+    dealt over all cores by their text, so that equal ones are mostly read once; a very common one goes to COPIES tasks.
     """
     schema = StructType([*(sources.schema[k] for k in keys), *SIGNATURE.fields, StructField("error", SIGNATURE["id"].dataType)])
-    names, arrow = schema.names, to_arrow_schema(schema)
+    parsed = StructType(schema.fields[len(keys) :])
+    arrow = to_arrow_schema(parsed)
+
+    def read(src: str) -> list[dict]:
+        try:
+            found = modules(src, version) if bundles else [signature(src, version)]
+        except JsSyntaxError as e:
+            return [{"error": str(e)}]
+        return [f | {"literals": tagged(f["literals"])} for f in found]
 
     def run(batches):
+        known: dict[str, list[dict]] = {}
         for b in batches:
-            rows = []
-            for row in b.to_pylist():
-                own = {k: row[k] for k in keys}
-                try:
-                    found = modules(row[code] or "", version) if bundles else [signature(row[code] or "", version)]
-                    rows += [own | f | {"literals": tagged(f["literals"])} for f in found]
-                except JsSyntaxError as e:
-                    rows.append(own | {"error": str(e)})
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=arrow)
-
-    return sources.select(*keys, code).mapInArrow(run, schema)
+            for part in _pieces(b, len(keys)):
+                texts = [t or "" for t in part.column(len(keys)).to_pylist()]
+                known = {t: known[t] if t in known else read(t) for t in dict.fromkeys(texts)}
+                starts, rows = {}, []
+                for t, found in known.items():
+                    starts[t] = len(rows)
+                    rows += found
+                each = pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in rows], schema=arrow)
+                own = pa.array([i for i, t in enumerate(texts) for _ in known[t]], pa.int32())
+                at = pa.array([starts[t] + k for t in texts for k in range(len(known[t]))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(own) for k in range(len(keys))), *(c.take(at) for c in each.columns)], names=schema.names)
+
+    text = F.xxhash64(code)
+    spread = dealt(sources.select(*keys, code), text, F.pmod(F.xxhash64(*keys), F.lit(COPIES)))
+    return spread.sortWithinPartitions(text).mapInArrow(run, schema)
+
+
+def _pieces(b: pa.RecordBatch, column: int):
+    """Runs of rows with about PIECE_BYTES of a column's text."""
+    sizes, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < b.num_rows:
+        done = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + PIECE_BYTES, side="right")))
+        yield b.slice(at, end - at)
+        at = end

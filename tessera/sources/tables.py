@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *by: Column) -> DataFrame:
+    """df over several partitions for each core: a small file is one partition, however much work its rows are."""
+    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, int(conf)), *by)
+
+
 def lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, idx, line): the non-empty lines of a text; idx counts empty ones too."""
     return df.select(*keys, F.posexplode(F.split(text, "\n")).alias("idx", "line")).filter("line != ''")

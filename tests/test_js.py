@@ -90,3 +90,22 @@ def test_scripts_of_pages(spark):
     assert out[2].functions[0].name == "f" and out[2].literals[0].s == "lit" and out[3].error and out[3].functions is None
     bundle = spark.createDataFrame([(1, "__d(1, function () { f(9) })")], "id0 int, content string")
     assert pages.extract(bundle, ["id0"], bundles=True).select(F.col("id"), F.col("literals")[0]["n"]).first() == ("1", 9.0)
+
+
+def test_scripts_are_dealt_over_the_cores(spark):
+    """One partition of scripts, many of them equal: each row gets what its own script holds, from more than one task."""
+    codes = ["var a = 'one';", "function f(x) { return x * 7; }", "broken(", None, "__d(5, function (a) { a('m'); });__d('k', [], function () { return 9; });"]
+    rows = [(k, codes[k % 5]) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, content string").coalesce(1)
+    for bundles in (False, True):
+        found = pages.extract(df, ["k"], bundles=bundles)
+        assert found.rdd.getNumPartitions() > 1
+        got = sorted((r.k, str(r.id), str(r.error), str([x.name for x in r.functions or []]), str([x.s or x.n for x in r.literals or []])) for r in found.collect())
+        want = []
+        for k, code in rows:
+            try:
+                each = modules(code or "") if bundles else [signature(code or "")]
+                want += [(k, str(m.get("id")), "None", str([x["name"] for x in m["functions"]]), str(m["literals"])) for m in each]
+            except JsSyntaxError as e:
+                want.append((k, "None", str(e), "[]", "[]"))
+        assert got == sorted(want)
