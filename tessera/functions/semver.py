@@ -116,21 +116,65 @@ def _key(major: Column, minor: Column, patch: Column, pre: Column) -> Column:
     return F.struct(major.alias("a"), minor.alias("b"), patch.alias("c"), F.when(F.size(pre) > 0, 0).otherwise(1).alias("release"), parts.alias("pre"))
 
 
+def ordered(v: Column) -> Column:
+    """The key of a version given by its ``numbers``."""
+    return _key(v["major"], v["minor"], v["patch"], F.when(v["pre"] == "", F.array().cast("array<string>")).otherwise(F.split(v["pre"], r"\.")))
+
+
+def comparators(alternatives: Column) -> Column:
+    """``bounds`` made ready for ``holds``: each comparator with its key, and whether it names a prerelease."""
+    one = lambda c: F.struct(c["op"].alias("op"), _key(c["major"], c["minor"], c["patch"], c["pre"]).alias("key"), ((F.size(c["pre"]) > 0) & (F.array_join(c["pre"], ".") != "0")).alias("named"))
+    return F.transform(alternatives, lambda alt: F.transform(alt, one))
+
+
+def holds(own: Column, alternatives: Column) -> Column:
+    """Whether a version, as its ``ordered`` key, is in a range, as its ``comparators``: comparisons only, for joins of many pairs.
+
+    A prerelease is only in the range where a comparator of that alternative has one of the same three numbers.
+    """
+
+    def one(c: Column) -> Column:
+        key = c["key"]
+        return F.when(c["op"] == "=", own == key).when(c["op"] == ">", own > key).when(c["op"] == ">=", own >= key).when(c["op"] == "<", own < key).otherwise(own <= key)
+
+    def same(c: Column) -> Column:
+        return c["named"] & (c["key"]["a"] == own["a"]) & (c["key"]["b"] == own["b"]) & (c["key"]["c"] == own["c"])
+
+    return F.coalesce(F.exists(alternatives, lambda alt: F.forall(alt, one) & ((own["release"] == 1) | F.exists(alt, same))), F.lit(False))
+
+
 def within(version: Column, alternatives: Column) -> Column:
-    """Whether a version is in a range given by its ``bounds``: plain comparisons, for joins of many pairs. Invalid ones are in none."""
+    """Whether a version is in a range given by its ``bounds``. Invalid ones are in none."""
     v = numbers(version)
-    pre = F.when(v["pre"] == "", F.array().cast("array<string>")).otherwise(F.split(v["pre"], r"\."))
-    own = _key(v["major"], v["minor"], v["patch"], pre)
+    return v.isNotNull() & holds(ordered(v), comparators(alternatives))
+
+
+_END = (1 << 63) - 1
+
 
-    def holds(c: Column) -> Column:
-        other = _key(c["major"], c["minor"], c["patch"], c["pre"])
-        return F.when(c["op"] == "=", own == other).when(c["op"] == ">", own > other).when(c["op"] == ">=", own >= other).when(c["op"] == "<", own < other).otherwise(own <= other)
+def reached(alternative: tuple[tuple[str, Version], ...]) -> tuple[int, int, int | None] | None:
+    """(lowest major, highest major, the minor if there is only one) of what an alternative can hold; None if it holds nothing."""
+    low, high = (0, 0), (_END, _END)
+    for op, v in alternative:
+        if op in (">", ">=", "="):
+            low = max(low, v[:2])
+        if op in ("<", "<=", "="):
+            end = v[:2]
+            if op == "<" and v[2:] == (0, ("0",)):  # nothing with these numbers is below
+                end = (v[0], v[1] - 1) if v[1] else (v[0] - 1, _END)
+            high = min(high, end)
+    return None if low > high else (low[0], high[0], low[1] if low == high else None)
 
-    def named(c: Column) -> Column:
-        """A prerelease is only in the range where a comparator has one of the same three numbers."""
-        return (F.size(c["pre"]) > 0) & (F.array_join(c["pre"], ".") != "0") & (c["major"] == v["major"]) & (c["minor"] == v["minor"]) & (c["patch"] == v["patch"])
 
-    return F.coalesce(F.exists(alternatives, lambda alt: F.forall(alt, holds) & ((F.size(pre) == 0) | F.exists(alt, named))), F.lit(False))
+def reach(text: Column) -> Column:
+    """{low, high, minor} of each alternative of a range that can hold something; null for an invalid range."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        found = [None if t is None else parse_range(t.strip()) for t in texts]
+        each = [None if r is None else [x for x in map(reached, r) if x] for r in found]
+        return pd.Series([None if r is None else [{"low": x[0], "high": x[1], "minor": x[2]} for x in r] for r in each], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<low:bigint,high:bigint,minor:bigint>>")(text)
 
 
 @F.pandas_udf(BooleanType())

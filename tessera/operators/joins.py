@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.semver import bounds, within
+from tessera.functions.semver import bounds, comparators, holds, numbers, ordered, reach
+from tessera.sources.tables import dealt
 
 #: The labels of an extraction's outcome.
 OUTCOMES = ("failParseName", "exclTime", "exclBL", "emptySig", "ok", "fail")
@@ -116,11 +117,23 @@ def main_files(package: DataFrame, existing: DataFrame) -> DataFrame:
 def vulnerable(libs: DataFrame, vulns: DataFrame) -> DataFrame:
     """(name, version, id) of each library version within a vulnerable range; ranges of a row are alternatives.
 
-    Ranges are parsed once for each row of vulns; pairs of equal names are decided by comparisons in the JVM. Libraries
+    Each distinct range is parsed once and meets only versions of the major numbers that it reaches or, if it reaches one
+    minor number, of that one; those are decided by comparisons in the JVM. Its ids follow by an equi-join. Libraries
     without an entry, and invalid ranges, give no rows.
     """
-    flat = vulns.select("name", bounds(F.concat_ws(" || ", "ranges")).alias("bounds"), "ids").filter("bounds is not null").select("name", "bounds", F.explode("ids").alias("id"))
-    return libs.select("name", "version").join(flat, "name").filter(within(F.col("version"), F.col("bounds"))).select("name", "version", "id")
+    flat = vulns.select("name", F.concat_ws(" || ", "ranges").alias("range"), "ids")
+    ranges = flat.select("name", "range").distinct().withColumns({"bounds": bounds(F.col("range")), "reach": reach(F.col("range"))}).filter("bounds is not null")
+    ranges = dealt(ranges.withColumn("bounds", comparators(F.col("bounds"))), F.col("name"), F.col("range"))
+    own = libs.select("name", "version", numbers(F.col("version")).alias("v")).filter("v is not null")
+    own = own.select("name", "version", ordered(F.col("v")).alias("v"))
+    narrow = F.forall("reach", lambda r: r["minor"].isNotNull())
+    one = ranges.filter(narrow).select("name", "range", "bounds", F.explode(F.array_distinct("reach")).alias("r"))
+    one = own.join(one, (own["name"] == one["name"]) & (F.col("v.a") == F.col("r.low")) & (F.col("v.b") == F.col("r.minor"))).filter(holds(F.col("v"), F.col("bounds"))).select(own["name"], "version", "range")
+    majors = own.select("name", F.col("v.a").alias("major")).distinct()
+    wide = ranges.filter(~narrow).join(majors, "name").filter(F.exists("reach", lambda r: (r["low"] <= F.col("major")) & (F.col("major") <= r["high"])))
+    more = own.withColumn("major", F.col("v.a")).join(wide, ["name", "major"]).filter(holds(F.col("v"), F.col("bounds"))).select("name", "version", "range")
+    ids = flat.select("name", "range", F.explode("ids").alias("id"))
+    return one.unionByName(more).join(ids, ["name", "range"]).select("name", "version", "id")
 
 
 def detection(truth: DataFrame, rank: DataFrame, secondary: DataFrame, keys: list[str], name: str = "name") -> DataFrame:

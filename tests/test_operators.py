@@ -286,3 +286,41 @@ def test_a_line_whose_square_no_int_holds(spark):
     src = F.concat(F.repeat(F.lit("a"), 50_000), F.lit("\nb"))
     got = spark.range(1).select(text.long_lines_ratio(src).alias("r"), text.is_minified(src).alias("m"), text.average_line_length(src).alias("a")).first()
     assert got.r == (50_000.0**2 / 50_002 + 1) / 50_002 / 2 and got.m and got.a == 25_000
+
+
+def test_ranges_meet_only_versions_that_they_reach(spark):
+    """Random ranges against each version by itself, and no range leaves a version in it out of its reach."""
+    import random
+
+    rng = random.Random(5)
+    number = lambda: rng.choice([0, 0, 1, 2, 3])
+    versions = [f"{number()}.{number()}.{number()}" + rng.choice(["", "", "-rc.1", "-0", "-a.2"]) for _ in range(120)] + ["x", "1.2.3", "1.2.3"]
+    part = lambda: ".".join(str(rng.choice([number(), number(), "x"])) for _ in range(rng.choice([1, 2, 3])))
+    whole = lambda: f"{number()}.{number()}.{number()}" + rng.choice(["", "-rc.1", "-0"])
+    one = lambda: rng.choice([f"^{part()}", f"~{part()}", f">={whole()} <{whole()}", f"{part()} - {part()}", f"<={part()}", f">{whole()}", whole(), "*", f"<{whole()}", "=" + whole(), f">{part()}"])
+    ranges = [" || ".join(one() for _ in range(rng.choice([1, 1, 2]))) for _ in range(150)] + ["nonsense |", "^1.2", "^1.2"]
+    want = sorted((v, i) for v in versions for i, r in enumerate(ranges) if semver.satisfies(v, r))
+    for r in ranges:
+        reach = [x for x in map(semver.reached, semver.parse_range(r) or ()) if x]
+        for v in versions:
+            if semver.satisfies(v, r):
+                a, b = semver.parse(v)[:2]
+                assert any(low <= a <= high and minor in (None, b) for low, high, minor in reach)
+    libs = frame(spark, [("l", v) for v in versions], "name string, version string")
+    vulns = frame(spark, [("l", [r], [i]) for i, r in enumerate(ranges)], "name string, ranges array<string>, ids array<int>")
+    assert sorted((r.version, r.id) for r in joins.vulnerable(libs, vulns).collect()) == want
+
+
+def test_main_files_broadcasts_no_list_of_files(spark):
+    package = frame(spark, [("a", "1.0.0", None, None, "main")], "name string, version string, bower array<string>, component array<string>, node string")
+    found = joins.main_files(package, frame(spark, [("a", "1.0.0", "main.js")], "name string, version string, file string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.file for r in found.collect()] == ["main.js"]
+
+
+def test_characters_are_dealt_over_the_cores(spark, tmp_path):
+    from tessera.plans import elements
+
+    frame(spark, [(1, "ab", "ba")], "p_partkey long, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert elements._characters(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+    assert tuple(elements.mapping_inverse(spark, str(tmp_path)).first()) == (1, "0>1 1>0", "0>1 1>0")
