@@ -130,9 +130,10 @@ def zip_apply(f, *arrays: Column) -> Column:
 def pairs_of(a: Column, b: Column) -> Column:
     """(i, j) positions: each element of a with the first unused equal one of b."""
     rank = lambda x: F.transform(x, lambda v, i: F.struct(v.alias("v"), F.size(F.filter(F.slice(x, 1, i + 1), lambda w: w.eqNullSafe(v))).alias("k")))
-    ra, rb = rank(a), rank(b)
-    found = F.transform(ra, lambda e, i: F.struct(i.alias("i"), (F.array_position(rb, e) - 1).cast("int").alias("j")))
-    return F.filter(found, lambda p: p["j"] >= 0)
+    # One element that holds both sides, so that each is ranked once and not for each element of the other.
+    both = F.array(F.struct(rank(a).alias("a"), rank(b).alias("b")))
+    found = F.transform(both, lambda s: F.transform(s["a"], lambda e, i: F.struct(i.alias("i"), (F.array_position(s["b"], e) - 1).cast("int").alias("j"))))
+    return F.filter(found[0], lambda p: p["j"] >= 0)
 
 
 def invert_pairs(pairs: Column) -> Column:

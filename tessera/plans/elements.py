@@ -10,7 +10,7 @@ from tessera.operators import bags, joins, mentions, pairing, reports
 from tessera.plans.catalogue import _LINES, _MATCHED, _PAIRED, _fn_sides
 from tessera.plans.registry import registry
 from tessera.sources import sinks
-from tessera.sources.tables import functions, table
+from tessera.sources.tables import dealt, functions, table
 
 QUERIES, ORACLE, query = registry()
 
@@ -72,14 +72,14 @@ rb as (select *, row_number() over (partition by p_partkey, v order by i) k from
 
 
 def _characters(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.split("p_brand", "").alias("a"), F.split("p_type", "").alias("b"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")).select("p_partkey", F.split("p_brand", "").alias("a"), F.split("p_type", "").alias("b"))
 
 
 @query("mapping_inverse", f"with {_CHARACTERS}, m as (select p_partkey, ra.i i, rb.i j from ra join rb using (p_partkey, v, k)) select p_partkey, coalesce(string_agg(i || '>' || j, ' ' order by i), '') pairs, coalesce(string_agg(j || '>' || i, ' ' order by j), '') inverse from part left join m using (p_partkey) group by p_partkey")
 def mapping_inverse(spark, sf_dir):
     shown = lambda pairs: F.array_join(F.transform(pairs, lambda p: F.concat_ws(">", p["i"].cast("string"), p["j"].cast("string"))), " ")
-    pairs = bag_fn.pairs_of(F.col("a"), F.col("b"))
-    return _characters(spark, sf_dir).select("p_partkey", shown(pairs).alias("pairs"), shown(bag_fn.invert_pairs(pairs)).alias("inverse"))
+    found, pairs = _characters(spark, sf_dir).select("p_partkey", bag_fn.pairs_of(F.col("a"), F.col("b")).alias("m")), F.col("m")
+    return found.select("p_partkey", shown(pairs).alias("pairs"), shown(bag_fn.invert_pairs(pairs)).alias("inverse"))
 
 
 @query("repeated_operations", f"with {_CHARACTERS}, na as (select p_partkey, v, count(*) n from a group by all), nb as (select p_partkey, v, count(*) n from b group by all), x as (select ra.*, k <= coalesce(n, 0) inside from ra left join nb using (p_partkey, v)), y as (select rb.*, k <= coalesce(n, 0) inside from rb left join na using (p_partkey, v)), l as (select p_partkey, string_agg(v, '' order by i) filter (inside) i, string_agg(v, '' order by i) filter (not inside) d from x group by all), r as (select p_partkey, string_agg(v, '' order by i) filter (not inside) rd from y group by all) select p_partkey, coalesce(i, '') i, coalesce(d, '') d, coalesce(rd, '') rd from l join r using (p_partkey)")
