@@ -107,7 +107,9 @@ def main_files(package: DataFrame, existing: DataFrame) -> DataFrame:
     each = F.when(listed.isNotNull(), tries(listed, 0)).otherwise(F.concat(tries(node, 1), tries(guessed, 2)))
     tried = package.select("name", "version", F.explode(each).alias("t")).select("name", "version", "t.*")
     tried = tried.select("name", "version", "stage", "k", F.posexplode(F.array("file", _minified(F.col("file")))).alias("min", "file")).filter("file is not null")
-    found = tried.join(existing.select("name", "version", _path(F.col("file")).alias("file")).distinct(), ["name", "version", "file"], "left_semi")
+    # Lists of files are many times what their sources' sizes let the planner expect: never sent to the driver and all tasks.
+    known = existing.select("name", "version", _path(F.col("file")).alias("file")).distinct().hint("merge")
+    found = tried.join(known, ["name", "version", "file"], "left_semi")
     by = Window.partitionBy("name", "version")
     loaded = F.min(F.when((F.col("stage") == 1) & (F.col("min") == 0), F.col("k"))).over(by)
     found = found.withColumn("loaded", loaded).filter((F.col("stage") == 0) | ((F.col("stage") == 1) & (F.col("k") == F.col("loaded"))) | ((F.col("stage") == 2) & F.col("loaded").isNull()))

@@ -281,7 +281,7 @@ def main_files(spark, sf_dir):
     """Main files of packages with lists of scripts, lists without one, main paths with and without an ending, and none."""
     k, name = F.col("p_partkey"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
     paths = lambda *files: F.array(*map(F.lit, files)).cast("array<string>")
-    part = table(spark, sf_dir, "part").select(name.alias("name"), k.cast("string").alias("version"), "p_partkey")
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand")).select(name.alias("name"), k.cast("string").alias("version"), "p_partkey")
     bower = F.when(k % 8 == 0, paths("lib/main.js", "style.css", "lib/main.min.js")).when(k % 8 == 1, paths("style.css")).when(k % 8 == 2, paths())
     component = F.when(k % 8 == 1, paths("./m.js", "index.js")).when(k % 8 == 2, paths(".js", "a.css"))
     node = F.when(k % 8 == 2, "./lib//main").when(k % 8 == 3, "none.js").when(k % 8 == 4, "data.json")
