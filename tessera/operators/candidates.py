@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.bags import bag_overlap, counts, scored
+from tessera.operators.pairing import digest
 from tessera.operators.topk import top_k
 
 #: Candidates kept for a file, for a bundle, and without a limit given.
@@ -211,7 +212,7 @@ def contained(files: DataFrame, libs: DataFrame, file: str, lib: str, value: str
     of those of all its literals; a file with a literal that no library has (a null is such a literal) meets none. What it
     meets is verified against the libraries' literals by an equi-join. Files without rows are in no result.
     """
-    wanted, held = files.select(file, value).distinct(), libs.select(lib, value).distinct()
+    wanted, held = files.select(file, digest(files, value).alias(value)).distinct(), libs.select(lib, digest(libs, value).alias(value)).distinct()
     seen = wanted.join(held.groupBy(value).agg(F.count("*").alias("_n")), value, "left")
     rare = seen.groupBy(file).agg(F.count("*").alias("num"), F.count("_n").alias("_known"), F.min_by(value, F.struct("_n", value)).alias(value)).filter("num = _known").select(file, "num", value)
     met = rare.join(held, value).select(file, lib, "num")

@@ -21,13 +21,22 @@ def bag_key(tokens: str) -> Column:
     return F.array_sort(F.col(tokens))
 
 
+def digest(df: DataFrame, value: str) -> Column:
+    """A text or an array of texts as half of its SHA-256, which shuffles and sorts carry in place of the whole; others as they are."""
+    kind = df.schema[value].dataType.simpleString()
+    if kind not in ("string", "array<string>"):
+        return F.col(value)
+    whole = F.col(value) if kind == "string" else F.to_json(value)  # JSON keeps elements apart, and nulls among them
+    return F.substring(F.unhex(F.sha2(whole, 256)), 1, 16)
+
+
 def pair_equal(unknown: DataFrame, lib: DataFrame, file: str, lib_key: str, value: str, index: str = "idx", pairs: DataFrame | None = None) -> DataFrame:
     """(file, lib_key, unknown_idx, lib_idx): one row for each pair of equal values of a file and a library.
 
-    unknown has (file, index, value), lib has (lib_key, index, value). pairs limits it to candidate (file, lib_key).
+    unknown has (file, index, value), lib has (lib_key, index, value), of one type. pairs limits it to candidate (file, lib_key).
     """
-    u = occurrence(unknown.select(file, F.col(index).alias("unknown_idx"), F.col(value).alias("v")), [file], "v", "unknown_idx")
-    b = occurrence(lib.select(lib_key, F.col(index).alias("lib_idx"), F.col(value).alias("v")), [lib_key], "v", "lib_idx")
+    u = occurrence(unknown.select(file, F.col(index).alias("unknown_idx"), digest(unknown, value).alias("v")), [file], "v", "unknown_idx")
+    b = occurrence(lib.select(lib_key, F.col(index).alias("lib_idx"), digest(lib, value).alias("v")), [lib_key], "v", "lib_idx")
     if pairs is not None:
         u = u.join(pairs.select(file, lib_key).distinct(), file)
     out = u.join(b, [lib_key, "v", "k"] if pairs is not None else ["v", "k"])

@@ -324,3 +324,14 @@ def test_characters_are_dealt_over_the_cores(spark, tmp_path):
     frame(spark, [(1, "ab", "ba")], "p_partkey long, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert elements._characters(spark, str(tmp_path)).rdd.getNumPartitions() > 1
     assert tuple(elements.mapping_inverse(spark, str(tmp_path)).first()) == (1, "0>1 1>0", "0>1 1>0")
+
+
+def test_equal_values_are_paired_by_digest(spark):
+    """Arrays that only look alike stay apart; what goes through the shuffle doesn't grow with the values."""
+    bags_ = [["a", "bc"], ["ab", "c"], ["a,b", "c"], ["a", "b,c"], [None, "a"], ["a"], [], ['a"', "b"], ["a", '"b'], None, ["a", "bc"]]
+    df = frame(spark, [("f", i, b) for i, b in enumerate(bags_)], "f string, idx int, v array<string>")
+    got = sorted((r.unknown_idx, r.lib_idx) for r in pairing.pair_equal(df, df.withColumnRenamed("f", "l"), "f", "l", "v").collect())
+    assert got == [(i, i) for i in (*range(9), 10)]
+    for kind in ("string", "array<string>"):
+        key = frame(spark, [], f"v {kind}").select(pairing.digest(frame(spark, [], f"v {kind}"), "v").alias("k"))
+        assert key.schema["k"].dataType.simpleString() == "binary"
