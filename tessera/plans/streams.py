@@ -48,7 +48,7 @@ def stream_first_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values as creation times of (user, type) versions, in three micro-batches, the last of them after a restart."""
     folder = scratch(spark, "stream")
     events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("version"), F.floor("value").cast("string").alias("time_raw"), F.col("event_id").alias("seq"))
-    cuts = events.agg(F.expr("percentile(seq, array(0.3D, 0.7D))").alias("c")).first().c or [0, 0]
+    cuts = events.agg(F.expr("percentile_approx(seq, array(0.3D, 0.7D))").alias("c")).first().c or [0, 0]
     part = F.when(F.col("seq") < cuts[0], 0).when(F.col("seq") < cuts[1], 1).otherwise(2)
     for k in range(3):
         events.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")  # files are read in the order of their times

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,33 +54,39 @@ def write_split(docs: DataFrame, valid_path: str, invalid_path: str, checkpoint:
 
 
 FIRST_TIMES = "name string, version string, time_raw string, other string, n bigint"
+#: State is kept for so many buckets of names: a call of Python for each costs far less than one for each version. Rows are given out so many at once.
+BUCKETS, ROWS = 1024, 10_000
 
 
 def first_times(versions: DataFrame) -> DataFrame:
     """A stream of (name, version, time_raw, other, n) from one of (name, version, time_raw, seq): the first time of each version wins.
 
     A version's first sighting gives a row without ``other``; each other time that a micro-batch brings gives one with how
-    often it came there. The first time is kept as state, keyed by name and version, so it holds over all batches and
-    restarts; within a batch the least seq is first. A task holds the distinct times of one version at once.
+    often it came there. The first times are kept as state, keyed by a bucket of names, so they hold over all batches and
+    restarts; within a batch the least seq is first. A task holds the first and the new distinct times of one bucket at once.
     """
 
     def settle(key, frames, state):
-        seen: dict[str | None, list[int]] = {}
+        firsts = {(n, v): t for n, v, t in json.loads(state.get[0])} if state.exists else {}
+        seen: dict[tuple, dict[str, list[int]]] = {}
         for frame in frames:
-            for time, seq in zip(frame.time_raw, frame.seq, strict=True):
-                had = seen.setdefault(time, [seq, 0])
+            for name, version, time, seq in zip(*(frame[c].tolist() for c in ("name", "version", "time_raw", "seq")), strict=True):
+                had = seen.setdefault((name, version), {}).setdefault(time, [seq, 0])
                 had[0], had[1] = min(had[0], seq), had[1] + 1
-        new = not state.exists
-        if new:
-            first = min(seen, key=lambda t: (seen[t][0], t or ""))
-            state.update((first,))
-        (first,) = state.get
-        rows = [(*key, first, None, None)] if new else []
-        rows += [(*key, first, time, n) for time, (_, n) in sorted(seen.items(), key=lambda x: x[0] or "") if time != first]
-        yield pd.DataFrame(rows, columns=["name", "version", "time_raw", "other", "n"]).astype({"n": "Int64"})
-
-    keyed = versions.select("name", "version", F.coalesce("time_raw", F.lit("unknown")).alias("time_raw"), F.col("seq").cast("long").alias("seq"))
-    return keyed.groupBy("name", "version").applyInPandasWithState(settle, FIRST_TIMES, "first string", "append", GroupStateTimeout.NoTimeout)
+        rows, known = [], len(firsts)
+        for own, times in seen.items():
+            if own not in firsts:
+                firsts[own] = min(times, key=lambda t: (times[t][0], t))
+                rows.append((*own, firsts[own], None, None))
+            rows += [(*own, firsts[own], time, n) for time, (_, n) in sorted(times.items()) if time != firsts[own]]
+        if len(firsts) > known:
+            state.update((json.dumps([(*own, time) for own, time in firsts.items()]),))
+        for i in range(0, len(rows), ROWS):
+            yield pd.DataFrame(rows[i : i + ROWS], columns=["name", "version", "time_raw", "other", "n"]).astype({"n": "Int64"})
+
+    bucket = F.pmod(F.xxhash64("name"), F.lit(BUCKETS)).alias("bucket")
+    keyed = versions.select(bucket, "name", "version", F.coalesce("time_raw", F.lit("unknown")).alias("time_raw"), F.col("seq").cast("long").alias("seq"))
+    return keyed.groupBy("bucket").applyInPandasWithState(settle, FIRST_TIMES, "firsts string", "append", GroupStateTimeout.NoTimeout)
 
 
 def write_first_times(rows: DataFrame, first_path: str, conflict_path: str, checkpoint: str) -> StreamingQuery:

@@ -57,3 +57,20 @@ def test_first_times(spark, tmp_path):
     assert first == [("a", "1.0.0", "t1"), ("a", "2.0.0", "t9"), ("b", "1.0.0", "unknown")]
     other = spark.read.parquet(f"{tmp_path}/conflicts").select("name", "version", "time_raw", "other", F.col("n").cast("int")).collect()
     assert sorted(map(tuple, other)) == [("a", "1.0.0", "t1", "t0", 1), ("a", "1.0.0", "t1", "t2", 1), ("b", "1.0.0", "unknown", "t3", 2)]
+
+
+def test_first_times_keep_state_for_buckets_of_names(spark, tmp_path, monkeypatch):
+    """Many versions take few calls, whatever their number, and stay apart within a bucket."""
+    monkeypatch.setattr(registry, "BUCKETS", 3)
+    schema = "name string, version string, time_raw string, seq long"
+    rows = [(f"n{k % 40}", f"1.{k % 120}.0", f"t{k}", k) for k in range(240)]
+    for part in (rows[:120], rows[120:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        run = registry.write_first_times(registry.first_times(stream), f"{tmp_path}/first", f"{tmp_path}/conflicts", f"{tmp_path}/c")
+        run.awaitTermination()
+        assert run.lastProgress["stateOperators"][0]["numRowsTotal"] < 20  # a few for each bucket, not one for each of 120 versions
+    first = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/first").select("name", "version", "time_raw").collect())
+    assert first == sorted((n, v, t) for n, v, t, _ in rows[:120])
+    other = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/conflicts").select("name", "version", "other").collect())
+    assert other == sorted((n, v, t) for n, v, t, _ in rows[120:])
