@@ -13,7 +13,7 @@ from tessera.functions.automaton import Automaton, as_pattern, joined, literal_p
 #: Bytes of names that one automaton holds; more names take more automata, each a pass over the comments.
 BLOCK_BYTES = 1 << 17
 #: Bytes of comments that are searched at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 
 
 def _blocks(names: DataFrame, name: str, most: int) -> list[list[str]]:
@@ -98,13 +98,16 @@ class _Used:
     def __call__(self, own, texts):
         data, gaps = joined(texts)
         part, last = own.find(data, gaps)
-        seen = set(zip((np.searchsorted(gaps, last, side="right") - 1).tolist(), part.tolist(), strict=True))
+        # Places are reduced to pairs as arrays: as Python numbers they would take many times the texts' size.
+        width = max(1, len(own.names))
+        found = np.unique((np.searchsorted(gaps, last, side="right") - 1) * width + part)
+        seen = zip((found // width).tolist(), (found % width).tolist(), strict=True)
         rows, numbers = [], []
         for row, text in enumerate(texts):
             for k in own.everywhere if text else ():
                 if own.patterns[k] and own.patterns[k].search(text):
                     rows.append(row), numbers.append(k)
-        for row, p in sorted(seen):
+        for row, p in seen:
             for k in own.of_part[p]:
                 if own.patterns[k] and own.patterns[k].search(texts[row]):
                     rows.append(row), numbers.append(k)

@@ -69,3 +69,18 @@ def test_names_used(spark):
             if t and pattern.search(t):
                 want.add((f, n))
     assert {(r.file, r.name) for r in got} == want and ("f", "lodash.get") in want and ("g", "b.c") in want
+
+
+def test_names_used_holds_no_lists_of_places():
+    """Very many places of a name's plain part: 8 MB of texts take a small multiple of the bytes searched at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    own = mentions._Used.build(["ab.cd", "x.y"])
+    b = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([b" ab" * 700 + b" ab-cd "] * 4000)], ["key", "text"])
+    tracemalloc.start()
+    found = sum(len(mentions._Used()(own, part.column(1).to_pylist())[0]) for part in mentions._pieces(b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 4000 and peak < 80e6
