@@ -21,6 +21,10 @@ def bag_key(tokens: str) -> Column:
     return F.array_sort(F.col(tokens))
 
 
+#: So many files with one name meet its libraries in one task.
+NAME_FILES = 1 << 16
+
+
 def digest(df: DataFrame, value: str) -> Column:
     """A text or an array of texts as half of its SHA-256, which shuffles and sorts carry in place of the whole; others as they are."""
     kind = df.schema[value].dataType.simpleString()
@@ -67,9 +71,16 @@ def first_by_name(df: DataFrame, keys: list[str], name: str = "name", index: str
 
 
 def match_names(unknown: DataFrame, lib: DataFrame, file: str, lib_key: str, method: str = "our", name: str = "name", index: str = "idx") -> tuple[DataFrame, DataFrame]:
-    """(mapping, scores) by equal distinct names: jaccard over the union of names, our over the library's names."""
+    """(mapping, scores) by equal distinct names: jaccard over the union of names, our over the library's names.
+
+    The files of a name that over NAME_FILES have are dealt over several tasks, each with the libraries of that name; there
+    are at most as many such names as NAME_FILES goes into the rows of unknown, so they are broadcast.
+    """
     u, b = first_by_name(unknown, [file], name, index), first_by_name(lib, [lib_key], name, index)
-    mapping = u.withColumnRenamed(index, "unknown_idx").join(b.withColumnRenamed(index, "lib_idx"), name).select(file, lib_key, "unknown_idx", "lib_idx", certain().alias("prob"))
+    many = u.groupBy(name).agg(F.ceil(F.count("*") / NAME_FILES).cast("int").alias("_parts")).filter("_parts > 1")
+    dealt = u.withColumnRenamed(index, "unknown_idx").join(F.broadcast(many), name, "left").withColumn("_part", F.pmod(F.xxhash64(file), F.coalesce("_parts", F.lit(1))).cast("int"))
+    each = b.withColumnRenamed(index, "lib_idx").join(F.broadcast(many), name, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    mapping = dealt.join(each, [name, "_part"]).select(file, lib_key, "unknown_idx", "lib_idx", certain().alias("prob"))
     return mapping, match_scores(mapping, u, b, file, lib_key, "v5" if method == "jaccard" else "v6")
 
 

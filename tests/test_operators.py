@@ -335,3 +335,15 @@ def test_equal_values_are_paired_by_digest(spark):
     for kind in ("string", "array<string>"):
         key = frame(spark, [], f"v {kind}").select(pairing.digest(frame(spark, [], f"v {kind}"), "v").alias("k"))
         assert key.schema["k"].dataType.simpleString() == "binary"
+
+
+def test_a_name_in_most_files_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "NAME_FILES", 16)
+    u = frame(spark, [(f, i, n) for f in range(100) for i, n in enumerate(["hot", f"n{f % 7}", "hot"])] + [(7, 9, None)], "f int, idx int, name string")
+    b = frame(spark, [(k, i, n) for k in range(5) for i, n in enumerate(["n1", "hot", f"n{k}"])] + [(0, 8, None)], "l int, idx int, name string")
+    mapping, scores = pairing.match_names(u, b, "f", "l", "jaccard")
+    assert "_part" in mapping._jdf.queryExecution().optimizedPlan().toString()
+    libs = {k: {"n1": 0, "hot": 1} | ({f"n{k}": 2} if k != 1 else {}) for k in range(5)}
+    want = sorted((f, k, i, libs[k][n]) for f in range(100) for k in range(5) for i, n in enumerate(["hot", f"n{f % 7}"]) if n in libs[k])
+    assert sorted((r.f, r.l, r.unknown_idx, r.lib_idx) for r in mapping.collect()) == want
+    assert scores.count() == 500
