@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix-filtered candidates, verified, then components."""
+"""Near copies by word shingles: candidates of a SimHash index and of prefix-filtered posting lists, verified by exact Jaccard similarity, then components."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import lookup, materialise, release, unit_hash
 from tessera.llm.components import components
+from tessera.llm.simhash import majority, near_links
 
 #: Words of a shingle, and the least similarity of two near copies in percent.
 SHINGLE_WORDS, SIMILAR = 5, 80
@@ -21,10 +22,12 @@ LONG_LIST = 50
 #: Sets of lists up to this length meet in pairs. Those of longer ones are indexed again, by how common shingles are among them.
 SHORT_LIST = 64
 #: Rounds in which the sets of lists that are long even then meet 4, 16 and 64 of them, before they meet in pairs, as long
-#: as there would be more pairs than PAIRS_A_SET for each set.
+#: as there would be more pairs than PAIRS_A_SET for each set; pairs with sketches too far apart don't count.
 HUB_ROUNDS, PAIRS_A_SET = 3, 4
 #: Pairs of one set that meet it in one task.
 HUB_PAIRS = 4096
+#: Bits of a set's parity sketch, and sets of a list that meet one another in one task; longer lists meet in blocks.
+SKETCH_BITS, LIST_BLOCK = 2048, 4096
 #: Up to so many names of candidates are broadcast to the texts.
 BROADCAST_ROWS = 1 << 20
 
@@ -39,6 +42,15 @@ def shingle_set(text: bytes | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A bit for each residue of hashes: whether an odd number of them has it.
+
+    Two sketches differ in no more bits than the sets do in members, so a pair whose sketches differ too much is none.
+    """
+    odd = np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
 def prefix_size(n: int, similar: int = SIMILAR) -> int:
     """So many first shingles of n, in an order common to all sets, hold one of any set that is similar enough."""
     return n - -(-similar * n // 100) + 1 if n else 0
@@ -62,7 +74,7 @@ def _common(texts: DataFrame, words: int, least: int) -> tuple[np.ndarray, np.nd
 
 
 def _prefixed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, similar: int) -> DataFrame:
-    """(doc_id, named, node, size, prefix) of each row: texts with the same shingles are one node; named is the text's hash.
+    """(doc_id, named, node, size, fp, sketch, prefix) of each row: texts with the same shingles are one node; named is the text's hash, fp the SimHash of its shingles.
 
     The prefix holds the rarest shingles, equally rare ones by their hash. Whole shingle sets aren't stored: they are
     several times the size of the texts, from which candidates' sets are made again.
@@ -74,19 +86,21 @@ def _prefixed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                nodes, sizes, prefixes = [], [], []
+                nodes, sizes, fps, sketches, prefixes = [], [], [], [], []
                 for t in part.column(2).cast(pa.binary()).to_pylist():
                     own = shingle_set(t, words)
                     nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                     sizes.append(len(own))
+                    fps.append(majority(own))
+                    sketches.append(sketch(own))
                     own = own.view(np.int64)
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                         own = own[np.lexsort((own, np.where(keys[at] == own, counts[at], 0)))]
                     prefixes.append(own[: prefix_size(len(own), similar)].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "named", "node", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "named", "node", "size", "fp", "sketch", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, named bigint, node bigint, size int, prefix binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, named bigint, node bigint, size int, fp bigint, sketch binary, prefix binary")
 
 
 def _posts(prefixes: DataFrame) -> DataFrame:
@@ -114,6 +128,10 @@ class _Law:
         """Whether a shingle can be the first that two similar sets share: what is left in either set from it on must do."""
         return (100 + self.similar) * F.least(f"{a}.left", f"{b}.left") >= self.similar * (F.col(f"{a}.size") + F.col(f"{b}.size"))
 
+    def near(self, differ: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Whether sets of n and m shingles that differ in so many, or in more, can be similar."""
+        return (100 + self.similar) * differ <= (100 - self.similar) * (n + m)
+
     def leads(self):
         """Whether a shingle can be the first that a set shares with one of its size or larger; without such a set a list has no pairs."""
         return (100 + self.similar) * F.col("left") >= 2 * self.similar * F.col("size")
@@ -217,10 +235,15 @@ class _Search:
         self.links, self.tried = self.links.unionByName(links), self.tried.unionByName(pairs)
 
     def in_pairs(self, rest: DataFrame) -> DataFrame:
-        """(a, b) of the sets of a list that are in different components and can have their first shared shingle there."""
-        side = [rest.select("key", F.struct("node", "size", "left", "root").alias(s)) for s in "ab"]
-        met = side[0].join(side[1], "key").filter((F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & self.law.meet("a", "b"))
-        return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        """(a, b) of the sets of a list that are in different components, can have their first shared shingle there, and whose sketches are near.
+
+        A task takes one list, or two blocks of a long one, after another: only the pairs that are left become rows.
+        """
+        blocks, own, law = F.ceil(F.col("n") / LIST_BLOCK).cast("int"), F.col("own"), self.law
+        dealt = rest.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+        dealt = dealt.select("key", F.least(own, "other").alias("lo"), F.greatest(own, "other").alias("hi"), "own", "node", "size", "left", "root")
+        dealt = dealt.join(self.groups.select("node", "sketch"), "node").select("key", "lo", "hi", "own", "node", "size", "left", "root", "sketch")
+        return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: _near_pairs(batches, law), "a bigint, b bigint")
 
     def with_hubs(self, rest: DataFrame, r: int, total: int) -> DataFrame:
         """(a, b): each set of a list with one of 4^r sets of it, which the list's key picks."""
@@ -230,6 +253,55 @@ class _Search:
         return found.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
 
 
+def _near_pairs(batches, law: _Law):
+    """Sorted (key, lo, hi, own, node, size, left, root, sketch) batches to pairs (a, b); a list that goes on in the next batch is kept back until it is whole."""
+
+    def pairs(part: pa.Table) -> pa.RecordBatch:
+        key, lo, hi, own, node, size, left, root = (part.column(k).to_numpy().astype(np.int64) for k in range(8))
+        bits = np.frombuffer(b"".join(part.column(8).to_pylist()), np.uint64).reshape(len(key), -1)
+        end = np.flatnonzero(_ends(key, lo, hi)) + 1
+        end = np.repeat(end, np.diff(np.r_[0, end]))
+        i, d, found = np.arange(len(key)), 0, [np.zeros((2, 0), np.int64)]
+        while len(i := i[i + (d := d + 1) < end[i]]):
+            j = i + d
+            can = (root[i] != root[j]) & ((lo[i] == hi[i]) | (own[i] != own[j])) & ((100 + law.similar) * np.minimum(left[i], left[j]) >= law.similar * (size[i] + size[j]))
+            x, y = i[can], j[can]
+            near = law.near(np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64), size[x], size[y])
+            found.append(np.stack([node[x[near]], node[y[near]]]))
+        a, b = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    kept = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = part if kept is None else pa.concat_tables([kept, part]).combine_chunks()
+        ends = np.flatnonzero(_ends(*(part.column(k).to_numpy() for k in range(3))))
+        cut = int(ends[-2]) + 1 if len(ends) > 1 else 0
+        if cut:
+            yield pairs(part.slice(0, cut))
+        kept = part.slice(cut)
+    if kept is not None and kept.num_rows:
+        yield pairs(kept)
+
+
+def _ends(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row is the last of a run of rows with equal columns."""
+    if not len(columns[0]):
+        return np.zeros(0, bool)
+    return np.r_[np.any([c[1:] != c[:-1] for c in columns], axis=0), True]
+
+
+def _simhash_pairs(groups: DataFrame) -> DataFrame:
+    """(a, b) that connect all nodes of groups (node, fp, size) whose fingerprints are equal or differ in simhash.MAX_BITS bits at most; blank texts aside."""
+    nodes = groups.filter("size > 0").select("fp", "node")
+    first = materialise(nodes.groupBy("fp").agg(F.count("*").alias("n"), F.min("node").alias("first")), "fingerprints")
+    total = first.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    same = lookup(nodes, first, "fp", "n", "node", max(1, total[1])).filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+    near = near_links(first.select("fp"), max(1, total[0])).join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return same.unionByName(near)
+
+
 def _lists(posts: DataFrame, law: _Law) -> DataFrame:
     """posts of lists that can hold a pair, with n, their length, and hub, the first set for which the shingle can be the first shared one."""
     by = Window.partitionBy("key")
@@ -241,12 +313,13 @@ def _links(groups: DataFrame, docs: DataFrame, common: tuple[np.ndarray, np.ndar
     """The search whose ``links`` (a, b) connect all nodes that chains of similar pairs connect.
 
     Similar sets share a shingle of their prefixes, so they meet in its posting list; they can only meet where enough of
-    both is left, and where a list has no set that could meet one of its size, it is dropped. First each set of a list
-    meets one of them. Sets of a short list that are still in different components then meet in pairs. Those of long
+    both is left, and where a list has no set that could meet one of its size, it is dropped. First sets with near
+    SimHash fingerprints meet, and each set of a list meets one of them. Sets of a short list that are still in different components then meet in pairs. Those of long
     lists (a family of texts from one template, say, or with one passage) are indexed again, by counts of shingles among
     them: what they have in common is then behind what is a text's own, so that sets which differ too much don't meet at
-    all. Lists that are long even then meet up to 4, 16 and 64 of their sets before they meet in pairs.
-    Pairs that share too few shingles of their prefixes aren't verified.
+    all. Lists that are long even then meet up to 4, 16 and 64 of their sets before they meet in pairs, if too many pairs
+    would be left. Pairs whose sketches differ too much aren't made, those that share too few shingles of their prefixes
+    aren't verified.
     """
     # Posting lists that the sample knows to be long are counted with partial sums, others by a window over each.
     search, hot = _Search(groups, docs, words, similar), common[0][common[1] >= LONG_LIST]
@@ -258,13 +331,13 @@ def _links(groups: DataFrame, docs: DataFrame, common: tuple[np.ndarray, np.ndar
     posts = materialise(cold.unionByName(warm), "posts")
     release()  # the shuffle of all posts has served
     met = posts.select("*", F.struct("size", "left").alias("own")).filter((F.col("hub.node") != F.col("node")) & search.law.meet("hub", "own"))
-    search.verify(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
+    search.verify(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).unionByName(_simhash_pairs(groups)))
     roots = components(search.links, "a", "b")
     rest = _open(posts, roots, max(1, posts.count()))
     release(posts)
     pairs = search.in_pairs(rest.filter(F.col("n") <= SHORT_LIST))
     apart = materialise(rest.filter(F.col("n") > SHORT_LIST).select("node").distinct(), "apart")
-    more = None
+    more, most = None, PAIRS_A_SET * groups.count()
     if not apart.isEmpty():
         texts = materialise(_texts(apart, groups, docs).select(F.lit(None).cast("bigint").alias("doc_id"), F.col("node").alias("named"), "text"), "texts")
         again = materialise(_prefixed(texts, _common(texts.select("text"), words, SHORT_LIST // 4), words, similar), "prefixes")
@@ -273,22 +346,19 @@ def _links(groups: DataFrame, docs: DataFrame, common: tuple[np.ndarray, np.ndar
         total = max(1, posts.count())
         more = _open(posts, roots, total)
         release(posts)
-        pairs = pairs.unionByName(search.in_pairs(more.filter(F.col("n") <= SHORT_LIST)))
+        few = search.in_pairs(more.filter(F.col("n") > SHORT_LIST)).count() <= most
+        pairs = pairs.unionByName(search.in_pairs(more if few else more.filter(F.col("n") <= SHORT_LIST)))
+        more = None if few else more
     search.verify(pairs)
     release(rest, apart)
     if more is None:
         return search
-    most = PAIRS_A_SET * groups.count()
     for r in range(1, HUB_ROUNDS + 1):
-        long = more.filter(F.col("n") > SHORT_LIST)
-        if not (many := long.groupBy("key").count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0))).first()[0]):
-            release(more)
-            return search
-        if many <= most:
-            break
-        before, more = more, _open(long, components(search.links, "a", "b"), total)
+        before, more = more, _open(more.filter(F.col("n") > SHORT_LIST), components(search.links, "a", "b"), total)
         search.verify(search.with_hubs(more, r, total))
         release(before)
+        if search.in_pairs(more).count() <= most:
+            break
     before, more = more, _open(more, components(search.links, "a", "b"), total)
     search.verify(search.in_pairs(more))
     release(before, more)
@@ -306,7 +376,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = slim.filter(unit_hash("text") < ORDER_TEXTS / max(slim.count(), 1)).select("text").distinct()
     common = _common(some, words, COMMON)
     all_ = materialise(_prefixed(slim, common, words, similar), "prefixes")
-    groups = materialise(all_.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min("named").alias("named"), F.min("size").alias("size"), F.min("prefix").alias("prefix")), "nodes")
+    groups = materialise(all_.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min("named").alias("named"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("prefix").alias("prefix")), "nodes")
     rows = materialise(all_.select("doc_id", "node"), "members")
     release(all_)
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -25,6 +25,15 @@ LONG_LIST = 4096
 SMALL_BUCKET = 48
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: a bit is 1 if set in over half the hashes; 0 without hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        part = hashes[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, BYTES)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: bytes | None) -> int:
     """64-bit SimHash of the 3-word shingles (repeats included) of the whole text: a bit is 1 if set in over half the hashes.
 
@@ -35,12 +44,7 @@ def fingerprint(text: bytes | None) -> int:
         return 0
     join, digest = b" ".join, xxhash.xxh64_intdigest
     shingles = map(join, zip(words, words[1:], words[2:], strict=False)) if len(words) >= SHINGLE_WORDS else [join(words)]
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), CHUNK):
-        part = hashes[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, BYTES)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

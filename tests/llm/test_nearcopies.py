@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tessera.llm import nearcopies
@@ -109,3 +110,73 @@ def test_a_family_that_does_not_link_gives_no_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(family(400, 30, 4, 7))], DOC)
     assert len({r.component_id for r in nearcopies.near_groups(df).collect()}) == 400
     assert sum(pairs) < 40 * 400
+
+
+def test_sketches_lose_no_pair():
+    """Sketches differ in no more bits than sets in members, so no similar pair is ruled out; sets far apart are."""
+    rng, law = np.random.default_rng(5), nearcopies._Law(80)
+    for n in (1, 30, 200, 9000):
+        whole = rng.integers(0, 1 << 63, 2 * n, np.int64).astype(np.uint64)
+        for cut in {0, n // 20, n // 10, n // 9, n // 5, n}:
+            a, b = np.unique(whole[:n]), np.unique(whole[cut : n + cut])
+            bits = [np.frombuffer(nearcopies.sketch(x), np.uint8) for x in (a, b)]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum()
+            assert differ <= len(np.setxor1d(a, b))
+            if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                assert law.near(differ, len(a), len(b))
+            elif n == 200 and cut == n:
+                assert not law.near(differ, len(a), len(b))
+
+
+def test_pairs_of_lists_in_batches():
+    """Lists that go over several batches, and blocks of a long one, give the pairs of a plain loop."""
+    rng, law, rows = np.random.default_rng(6), nearcopies._Law(80), []
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(30)]
+    for key, lo, hi in [(1, 0, 0), (2, 0, 1), (3, 0, 0), (9, 1, 1)]:
+        for node in rng.choice(30, 12 if key != 3 else 1, replace=False).tolist():
+            rows.append((key, lo, hi, node % 2 if hi > lo else lo, node, len(sets[node]), len(sets[node]) - int(rng.integers(0, 4)), node % 7, nearcopies.sketch(sets[node])))
+    want = set()
+    for x in rows:
+        for y in rows:
+            shared = np.bitwise_count(np.frombuffer(x[8], np.uint8) ^ np.frombuffer(y[8], np.uint8)).sum()
+            if x[:3] == y[:3] and x[4] < y[4] and x[7] != y[7] and (x[1] == x[2] or x[3] != y[3]) and 180 * min(x[6], y[6]) >= 80 * (x[5] + y[5]) and 180 * shared <= 20 * (x[5] + y[5]):
+                want.add((x[4], y[4]))
+    table = pa.table([pa.array(c) for c in zip(*rows, strict=True)], ["key", "lo", "hi", "own", "node", "size", "left", "root", "sketch"])
+    for size in (1, 5, 100):
+        got = pa.Table.from_batches(nearcopies._near_pairs(table.to_batches(size), law), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        assert set(zip(*(got.column(k).to_pylist() for k in (0, 1)), strict=True)) == want
+    assert not list(nearcopies._near_pairs(table.slice(0, 0).to_batches(), law))
+
+
+def test_near_fingerprints_are_candidates(spark, monkeypatch):
+    """The SimHash index finds near copies of long texts, and its pairs are among those that are verified."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join([*base, "more"]), *family(3, 5, 60, 11)]
+    tried = []
+    monkeypatch.setattr(nearcopies, "_simhash_pairs", lambda groups, f=nearcopies._simhash_pairs: tried.extend((found := f(groups)).collect()) or found)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: (r.node, r.component_id) for r in nearcopies.near_groups(df).collect()}
+    near = {got[i][0] for i in range(3)}
+    assert len(tried) >= 2 and {x for r in tried for x in (r.a, r.b)} == near
+    assert [got[i][1] for i in range(6)] == [0, 0, 0, 3, 4, 5]
+
+
+def test_a_family_just_below_the_threshold_gives_few_pairs(spark, monkeypatch):
+    """Texts that lack and add words at different places share most of their shingles, but aren't paired one with each other."""
+    rng, chosen = random.Random(12), []
+    for _ in range(20_000):
+        spots = set(rng.sample(range(36), 3))
+        if len(chosen) < 110 and all(len(spots & x) < 2 for x in chosen):
+            chosen.append(spots)
+    texts = []
+    for spots in chosen:
+        text = [f"b{k}" for k in range(184)]
+        for s in spots:
+            text[4 + 5 * s] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(text))
+    rows, pairs = list(enumerate(texts)), []
+    monkeypatch.setattr(nearcopies, "_plausible", lambda found, *a, f=nearcopies._plausible: pairs.append(found.count()) or f(found, *a))
+    got = sorted((str(r.doc_id), r.component_id) for r in nearcopies.near_groups(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)).collect())
+    assert got == slow_groups(rows) and len({c for _, c in got}) == len(rows)
+    assert sum(pairs) < 10 * len(rows)
