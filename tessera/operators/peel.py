@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.assign import DEFAULT_METHOD, EXACT_METHODS, TASK_FUNCTIONS, Fn, functions_of, match_pairs, method
+from tessera.operators.pairing import bag_key
 from tessera.sources.scratch import dropped, stored
 
 #: Fixed value: matches kept for each candidate.
@@ -61,7 +62,7 @@ def peel_files(files: DataFrame, candidates: DataFrame, libs: DataFrame, file: s
     candidates keeps all its functions.
     """
     method(name)
-    candidates = candidates.select(file, F.col("lib").cast("string").alias("lib"), "val")
+    candidates = stored(candidates.select(file, F.col("lib").cast("string").alias("lib"), "val"), "candidates")  # they are read several times
     libs = libs.withColumns({"lib": F.col("lib").cast("string"), "pos": F.col("pos").cast("int")})
     own = files.groupBy(file).agg(F.count("*").alias("_n"))
     theirs = candidates.join(libs.groupBy("lib").agg(F.count("*").alias("_m")), "lib").groupBy(file).agg(F.sum("_m").alias("_m"))
@@ -80,8 +81,10 @@ def _in_tasks(files: DataFrame, candidates: DataFrame, libs: DataFrame, file: st
     idle = None
     if (name or DEFAULT_METHOD) in EXACT_METHODS:
         # An exact method scores above 0 only where a bag is equal: other files keep all, and other pairs need no functions.
-        own_bags = files.select(file, F.array_sort("tokens").alias("bag")).distinct()
-        live = candidates.join(own_bags, file).join(libs.select("lib", F.array_sort("tokens").alias("bag")).distinct(), ["lib", "bag"]).select(file, "lib").distinct()
+        # Bags that no library has go first: a file's candidates never meet all its functions.
+        lib_bags = libs.select("lib", bag_key("tokens").alias("bag")).distinct()
+        own_bags = files.select(file, bag_key("tokens").alias("bag")).join(lib_bags.select("bag").distinct(), "bag", "left_semi").distinct()
+        live = stored(candidates.join(own_bags, file).join(lib_bags, ["lib", "bag"]).select(file, "lib").distinct(), "live")
         busy = live.select(file).distinct()
         alone = files.join(busy, file, "left_anti").groupBy(file).agg(F.array_sort(F.collect_list("idx")).cast("array<int>").alias("mapped"))
         idle = alone.select(file, F.lit("remaining").alias("phase"), *[F.lit(None).cast(t).alias(c) for c, t in OUT[1:-1]], "mapped")

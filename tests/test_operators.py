@@ -114,6 +114,24 @@ def test_peeling(spark):
     assert (report.exact, report.partial, report.ex_part) == (["exact@1.0.0"], ["partly@1.0.0"], ["exact@1.0.0", "partly@1.0.0"])
 
 
+def test_peeling_computes_candidates_once(spark):
+    """Candidates come from a search over all files, which isn't repeated for each place that reads them."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    kind = "idx int, name string, tokens array<string>, types array<string>"
+    files = frame(spark, [(7, 0, "", ["a", "b"], []), (7, 1, "", ["c"], []), (8, 0, "", ["x"], [])], f"file_key int, {kind}")
+    libs = frame(spark, [("p", "1", "0", 0, 0, "", ["b", "a"], []), ("q", "1", "0", 0, 0, "", ["y"], [])], f"lib string, version string, lib_file string, pos int, {kind}")
+    chosen = frame(spark, [(7, "p", 0.9), (7, "q", 0.5), (8, "q", 0.4)], "file_key int, lib string, val double").mapInArrow(counted, "file_key int, lib string, val double")
+    out = {(r.file_key, r.phase, r.lib, tuple(r.mapped)) for r in peel.peel_files(files, chosen, libs).collect()}
+    assert out == {(7, "rank", "p", (0,)), (7, "remaining", None, (1,)), (8, "remaining", None, (0,))}
+    assert rows.value == 3
+
+
 def test_truth_and_status_and_precision(spark):
     truth = frame(spark, [("a", "1", False), ("a", "9", None), ("z", "1", False), ("a", "1", True), (None, None, False), ("a", None, False)], "name string, version string, is_guess boolean")
     known = frame(spark, [("a", "1"), ("a", "1"), ("b", "9")], "name string, version string")
