@@ -54,13 +54,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options: int) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
 
+    options go to the writer.
     The table is removed by ``release``, or when the driver process ends.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -35,8 +35,10 @@ HISTORY_BITS = 20
 TOKENS_A_BUCKET, LEAST_BITS, MOST_BITS = 8192, 10, 16
 #: Rounds of gradients, each over one of so many equal shares of the training documents.
 ROUNDS, SMOOTH, STEP = 4, 5.0, 0.35
-#: Tokens of a block (one row of the block table), at most, unless a single text is longer.
-BLOCK_TOKENS = 2 << 20
+#: Tokens of a block, and of a row of it, at most, unless a single text is longer. The JVM takes rows of over half a megabyte for huge objects.
+BLOCK_TOKENS, ROW_TOKENS = 2 << 20, 1 << 17
+#: Row groups and pages of the coded table: Spark's reader holds the bytes of a whole group in one array, and the writer looks at sizes every hundred rows else.
+SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 4, "parquet.page.size.row.check.min": 4}
 SLICES, FAN_IN = 16, 64
 #: Tokens read at once (unless a single text is longer), and tokens whose probabilities are worked out at once.
 PIECE, CHUNK = 1 << 18, 1 << 13
@@ -148,27 +150,32 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, kind: str) -> DataFrame:
-    """Rows of two sorts: a block with its documents and tokens (numbers of the block's own words), and a word of a block."""
+    """Rows of two sorts: a run of a block's documents with their tokens (numbers of the block's own words), and a word of a block.
+
+    A run holds about ROW_TOKENS tokens, and as large a part of the numbers in histories of the block's words as the other runs.
+    """
 
     def run(batches):
         ids, held, sizes, stream = [], [], [], []
         local: defaultdict[bytes, int] = defaultdict()
         local.default_factory = local.__len__  # a new word gets the next number
         id_type, tokens_in = pa.int64(), 0
-        columns = ["part", "ids", "held", "sizes", "stream", "histories", "lid", "word", "n"]
-        kinds = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+        columns = ["part", "run", "ids", "held", "sizes", "stream", "histories", "lid", "word", "n"]
+        kinds = [pa.int64(), pa.int32(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
         part = 0
 
         def flush():
             nonlocal part
-            tokens = np.concatenate(stream)
-            train = np.repeat(~np.array(held), sizes)
-            n = np.bincount(tokens[train], minlength=len(local))
-            words = list(local)
-            none = [pa.nulls(len(words), k) for k in kinds[1:6]]  # these columns are a block's, not a word's
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([part, list(ids), list(held), list(sizes), packed(tokens), packed(np.fromiter(map(history_of, words), np.uint32, len(words))), *[None] * 3], kinds, strict=True)], columns)
+            n, words = np.zeros(len(local), np.int64), list(local)
+            own = runs(np.array(sizes), ROW_TOKENS)
+            histories = np.array_split(np.fromiter(map(history_of, words), np.uint32, len(words)), len(own))
+            for k, (i, j) in enumerate(own):
+                tokens = np.concatenate(stream[i:j])
+                n += np.bincount(tokens[np.repeat(~np.array(held[i:j]), sizes[i:j])], minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part, k, ids[i:j], held[i:j], sizes[i:j], packed(tokens), packed(histories[k]), *[None] * 3], kinds, strict=True)], columns)
+            none = [pa.nulls(len(words), k) for k in kinds[1:7]]  # these columns are a run's, not a word's
             rows = [pa.array(np.full(len(words), part)), *none, pa.array(np.arange(len(words)), pa.int32()), pa.array(words, pa.binary()), pa.array(n)]
-            del words, tokens, train
+            del words, tokens, histories
             for i in range(0, len(rows[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([v.slice(i, 1 << 16) for v in rows], columns)
             part += 1
@@ -178,7 +185,7 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
 
         for b in batches:
             id_type = b.column(0).type
-            kinds[1] = pa.list_(id_type)
+            kinds[2] = pa.list_(id_type)
             for doc, out, text in zip(b.column(0), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
                 words = tokens_of(text.as_py())
                 words.append(b" ")  # the end; no word holds a space
@@ -191,7 +198,7 @@ def _blocks(docs: DataFrame, kind: str) -> DataFrame:
         if ids:
             yield from flush()
 
-    schema = f"part bigint, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, histories binary, lid int, word binary, n bigint"
+    schema = f"part bigint, run int, ids array<{kind}>, held array<boolean>, sizes array<int>, stream binary, histories binary, lid int, word binary, n bigint"
     out = docs.mapInArrow(run, schema)
     return out.select((F.spark_partition_id().cast("long") * (1 << 24) + F.col("part")).alias("block"), *[c for c in out.columns if c != "part"])
 
@@ -225,14 +232,13 @@ CODED = "held array<boolean>, sizes array<int>, tokens binary, known array<bigin
 
 
 def _encode(stats: dict):
-    """Blocks and the global counts of their words to coded tokens (history number and cell), base sums and within-cell sums."""
+    """The runs of a block and the global counts of its words to coded tokens (history number and cell), base sums and within-cell sums."""
     norm = np.log10(stats["n"] + ADD * (stats["v"] + 1))
     unseen, mass = stats["unseen"], np.maximum(np.array(stats["mass"], float), 1)
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        tokens = unpacked(block["stream"][0].as_py())
-        sizes = np.asarray(block["sizes"][0].values, np.int64)
-        history = unpacked(block["histories"][0].as_py()).astype(np.int64)
+        block = block.sort_by("run")
+        history = np.concatenate([unpacked(x) for x in block["histories"].to_pylist()]).astype(np.int64)
         c, cell = np.zeros(len(history), np.int64), np.zeros(len(history), np.int64)
         for blobs in zip(*(words[k].to_pylist() for k in ("lids", "low", "high", "cells")), strict=True):
             lid, low, high, own = (unpacked(x).astype(np.int64) for x in blobs)
@@ -244,16 +250,15 @@ def _encode(stats: dict):
         within[rare & (c == 0)] = np.log10(unseen)
         history[rare] = cell[rare]
         cell[rare] = RARE
-        base, starts = np.log10(c + ADD) - norm, np.cumsum(sizes) - sizes
-        return pa.table({
-            "ids": pa.array([block["ids"][0].as_py()], block["ids"].type),
-            "held": pa.array([block["held"][0].as_py()], pa.list_(pa.bool_())),
-            "sizes": pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())),
-            "tokens": pa.array([packed((history << 10 | cell).astype(np.uint32)[tokens])], pa.binary()),
-            "known": pa.array([np.add.reduceat((c > 0)[tokens].astype(np.int64), starts)], pa.list_(pa.int64())),
-            "base": pa.array([np.add.reduceat(base[tokens], starts)], pa.list_(pa.float64())),
-            "within": pa.array([np.add.reduceat(within[tokens], starts)], pa.list_(pa.float64())),
-        })
+        base, own, out = np.log10(c + ADD) - norm, (history << 10 | cell).astype(np.uint32), {k: [] for k in ("tokens", "known", "base", "within")}
+        for stream, sizes in zip(block["stream"], block["sizes"], strict=True):
+            tokens, sizes = unpacked(stream.as_py()), np.asarray(sizes.values, np.int64)
+            starts = np.cumsum(sizes) - sizes
+            out["tokens"].append(packed(own[tokens]))
+            for k, v in (("known", (c > 0).astype(np.int64)), ("base", base), ("within", within)):
+                out[k].append(np.add.reduceat(v[tokens], starts))
+        kinds = {"tokens": pa.binary(), "known": pa.list_(pa.int64()), "base": pa.list_(pa.float64()), "within": pa.list_(pa.float64())}
+        return pa.table({k: block[k] for k in ("ids", "held", "sizes")} | {k: pa.array(out[k], t) for k, t in kinds.items()})
 
     return run
 
@@ -271,9 +276,9 @@ def _pieces(sizes: np.ndarray, tokens: bytes, takes: np.ndarray | None = None):
         yield i, j, past, cell
 
 
-def runs(sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of documents, each of PIECE tokens or a little more."""
-    number = (np.cumsum(sizes) - sizes) // PIECE
+def runs(sizes: np.ndarray, tokens: int = PIECE) -> list[tuple[int, int]]:
+    """Runs of documents, each of so many tokens or a little more."""
+    number = (np.cumsum(sizes) - sizes) // tokens
     at = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
     return list(zip(at.tolist(), [*at[1:].tolist(), len(sizes)], strict=True))
 
@@ -382,7 +387,7 @@ def bucket_bits(tokens: int) -> int:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> tuple[DataFrame, dict]:
-    """Coded blocks of all documents (a row each), and the statistics of the training words.
+    """Coded runs of all documents (a row each), and the statistics of the training words.
 
     Counts are exact and over all documents: a block sends its distinct words once, they are counted by word with a
     partial aggregation, and the counts come back by block through ``lookup``, so a word that every block has is no
@@ -407,8 +412,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     release()  # the shuffle of the counts has served
     back = lookup(words.select("block", "lid", "word"), celled, "word", "rows", "block", sum(r.rows for r in stats)).select("block", F.col("lid").cast("long"), "c", F.col("cell").cast("long"))
     back = back.mapInArrow(_bundled, "block bigint, lids binary, low binary, high binary, cells binary")
-    left = blocks.filter("lid is null").select(F.col("block").alias("own"), "ids", "held", "sizes", "stream", "histories")
-    coded = materialise(left.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_encode(known), f"ids array<{kind}>, {CODED}"), "lm-coded")
+    left = blocks.filter("lid is null").select(F.col("block").alias("own"), "run", "ids", "held", "sizes", "stream", "histories")
+    coded = materialise(left.groupBy("own").cogroup(back.groupBy("block")).applyInArrow(_encode(known), f"ids array<{kind}>, {CODED}"), "lm-coded", **SMALL_GROUPS)
     release(blocks, groups)
     return coded, known
 

@@ -47,6 +47,24 @@ def test_language_model_base_scores_match_brute_force(spark):
     assert {r.train_tokens for r in none} == {0} and all(math.isfinite(r.score) for r in none)
 
 
+def test_language_model_rows_are_small(spark, monkeypatch):
+    """A block is dealt over rows of few tokens, whatever its size, which give the sums of one row."""
+    rows = [(i, f"{t} x{i % 97}", g) for i, t, g in corpus(60)] + EDGES
+
+    def coded():
+        out = maxent.encode(docs(spark, rows).coalesce(1))[0].collect()
+        sums = sorted((str(i), h, n, k, round(b, 6), round(w, 6)) for r in out for i, h, n, k, b, w in zip(r.ids, r.held, r.sizes, r.known, r.base, r.within, strict=True))
+        tokens = {str(r.ids[k]): maxent.unpacked(r.tokens)[sum(r.sizes[:k]) :][: r.sizes[k]].tolist() for r in out for k in range(len(r.ids))}
+        return out, sums, tokens
+
+    whole = coded()
+    monkeypatch.setattr(maxent, "ROW_TOKENS", 500, raising=False)
+    out, sums, tokens = coded()
+    longest = max(max(r.sizes) for r in out)
+    assert len(whole[0]) == 1 and len(out) > 5 and all(sum(r.sizes) <= 500 + longest for r in out)
+    assert (sums, tokens) == whole[1:]
+
+
 def test_language_model_scores_match_brute_force(spark, monkeypatch):
     """The score of every text, worked out token by token from the plain definition and the fitted weights."""
     fitted = []
