@@ -21,9 +21,12 @@ ORDER_TEXTS, ORDER_SHINGLES, COMMON = 40_000, 1 << 20, 3
 LONG_LIST = 50
 #: Sets of lists up to this length meet in pairs. Those of longer ones are indexed again, by how common shingles are among them.
 SHORT_LIST = 64
-#: Rounds in which the sets of lists that are long even then meet 4, 16 and 64 of them, before they meet in pairs, as long
-#: as there would be more pairs than PAIRS_A_SET for each set; pairs with sketches too far apart don't count.
-HUB_ROUNDS, PAIRS_A_SET = 3, 4
+#: Rounds in which each set of lists that are long even then meets the one with the nearest sketch, before they meet in
+#: pairs, as long as there would be more pairs than PAIRS_A_SET for each set; pairs with sketches too far apart don't count.
+#: A pair counts once, though it meets in many lists, unless there are REPEATS times as many with all repeats.
+NEAREST_ROUNDS, PAIRS_A_SET, REPEATS = 3, 4, 16
+#: Pairs of a list that a task gathers before it sends them.
+PAIRS_AT_ONCE = 1 << 19
 #: Pairs of one set that meet it in one task.
 HUB_PAIRS = 4096
 #: Bits of a set's parity sketch, and sets of a list that meet one another in one task; longer lists meet in blocks.
@@ -234,42 +237,52 @@ class _Search:
         self.kept += [links, pairs]
         self.links, self.tried = self.links.unionByName(links), self.tried.unionByName(pairs)
 
-    def in_pairs(self, rest: DataFrame) -> DataFrame:
+    def in_pairs(self, rest: DataFrame, nearest: bool = False) -> DataFrame:
         """(a, b) of the sets of a list that are in different components, can have their first shared shingle there, and whose sketches are near.
 
-        A task takes one list, or two blocks of a long one, after another: only the pairs that are left become rows.
+        A task takes one list, or two blocks of a long one, after another: only the pairs that are left become rows; with
+        nearest, only that of each set and the one with the nearest sketch, so at most a row for each set of a list or block.
         """
         blocks, own, law = F.ceil(F.col("n") / LIST_BLOCK).cast("int"), F.col("own"), self.law
         dealt = rest.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
         dealt = dealt.select("key", F.least(own, "other").alias("lo"), F.greatest(own, "other").alias("hi"), "own", "node", "size", "left", "root")
         dealt = dealt.join(self.groups.select("node", "sketch"), "node").select("key", "lo", "hi", "own", "node", "size", "left", "root", "sketch")
-        return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: _near_pairs(batches, law), "a bigint, b bigint")
+        return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: _near_pairs(batches, law, nearest), "a bigint, b bigint")
 
-    def with_hubs(self, rest: DataFrame, r: int, total: int) -> DataFrame:
-        """(a, b): each set of a list with one of 4^r sets of it, which the list's key picks."""
-        pick = F.min_by(F.struct("node", "size", "left", "root"), F.xxhash64("node", F.pmod("key", F.lit(4**r)), F.lit(r)))
-        found = lookup(rest.drop("n"), rest.groupBy("key").agg(F.count("*").alias("n"), pick.alias("hub")), "key", "n", "node", total)
-        found = found.select("*", F.struct("size", "left").alias("own")).filter((F.col("hub.root") != F.col("root")) & self.law.meet("hub", "own"))
-        return found.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
 
+def _near_pairs(batches, law: _Law, nearest: bool = False):
+    """Sorted (key, lo, hi, own, node, size, left, root, sketch) batches to pairs (a, b), with nearest only each set's nearest; a list that goes on in the next batch is kept back until it is whole."""
 
-def _near_pairs(batches, law: _Law):
-    """Sorted (key, lo, hi, own, node, size, left, root, sketch) batches to pairs (a, b); a list that goes on in the next batch is kept back until it is whole."""
+    def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def pairs(part: pa.Table) -> pa.RecordBatch:
+    def pairs(part: pa.Table):
         key, lo, hi, own, node, size, left, root = (part.column(k).to_numpy().astype(np.int64) for k in range(8))
         bits = np.frombuffer(b"".join(part.column(8).to_pylist()), np.uint64).reshape(len(key), -1)
         end = np.flatnonzero(_ends(key, lo, hi)) + 1
         end = np.repeat(end, np.diff(np.r_[0, end]))
-        i, d, found = np.arange(len(key)), 0, [np.zeros((2, 0), np.int64)]
+        i, d, found, held = np.arange(len(key)), 0, [np.zeros((2, 0), np.int64)], 0
+        least, other = np.full(len(key), 8 * bits.itemsize * bits.shape[1] + 1), np.full(len(key), -1)
         while len(i := i[i + (d := d + 1) < end[i]]):
             j = i + d
             can = (root[i] != root[j]) & ((lo[i] == hi[i]) | (own[i] != own[j])) & ((100 + law.similar) * np.minimum(left[i], left[j]) >= law.similar * (size[i] + size[j]))
             x, y = i[can], j[can]
-            near = law.near(np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64), size[x], size[y])
-            found.append(np.stack([node[x[near]], node[y[near]]]))
-        a, b = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            near = law.near(differ, size[x], size[y])
+            x, y, differ = x[near], y[near], differ[near]
+            if nearest:
+                for u, v in ((x, y), (y, x)):  # no set twice in u
+                    less = differ < least[u]
+                    least[u[less]], other[u[less]] = differ[less], v[less]
+                continue
+            found.append(np.stack([node[x], node[y]]))
+            held += len(x)
+            if held >= PAIRS_AT_ONCE:
+                yield rows(found)
+                found, held = [np.zeros((2, 0), np.int64)], 0
+        x = np.flatnonzero(other >= 0)
+        yield rows([*found, np.stack([node[x], node[other[x]]])])
 
     kept = None
     for batch in batches:
@@ -278,10 +291,10 @@ def _near_pairs(batches, law: _Law):
         ends = np.flatnonzero(_ends(*(part.column(k).to_numpy() for k in range(3))))
         cut = int(ends[-2]) + 1 if len(ends) > 1 else 0
         if cut:
-            yield pairs(part.slice(0, cut))
+            yield from pairs(part.slice(0, cut))
         kept = part.slice(cut)
     if kept is not None and kept.num_rows:
-        yield pairs(kept)
+        yield from pairs(kept)
 
 
 def _ends(*columns: np.ndarray) -> np.ndarray:
@@ -317,8 +330,8 @@ def _links(groups: DataFrame, docs: DataFrame, common: tuple[np.ndarray, np.ndar
     SimHash fingerprints meet, and each set of a list meets one of them. Sets of a short list that are still in different components then meet in pairs. Those of long
     lists (a family of texts from one template, say, or with one passage) are indexed again, by counts of shingles among
     them: what they have in common is then behind what is a text's own, so that sets which differ too much don't meet at
-    all. Lists that are long even then meet up to 4, 16 and 64 of their sets before they meet in pairs, if too many pairs
-    would be left. Pairs whose sketches differ too much aren't made, those that share too few shingles of their prefixes
+    all. In lists that are long even then each set meets its nearest of another component, a few times, before they meet
+    in pairs, if too many different pairs would be left. Pairs whose sketches differ too much aren't made, those that share too few shingles of their prefixes
     aren't verified.
     """
     # Posting lists that the sample knows to be long are counted with partial sums, others by a window over each.
@@ -337,8 +350,8 @@ def _links(groups: DataFrame, docs: DataFrame, common: tuple[np.ndarray, np.ndar
     release(posts)
     pairs = search.in_pairs(rest.filter(F.col("n") <= SHORT_LIST))
     apart = materialise(rest.filter(F.col("n") > SHORT_LIST).select("node").distinct(), "apart")
-    more, most = None, PAIRS_A_SET * groups.count()
-    if not apart.isEmpty():
+    more, most = None, PAIRS_A_SET * apart.count()
+    if most:
         texts = materialise(_texts(apart, groups, docs).select(F.lit(None).cast("bigint").alias("doc_id"), F.col("node").alias("named"), "text"), "texts")
         again = materialise(_prefixed(texts, _common(texts.select("text"), words, SHORT_LIST // 4), words, similar), "prefixes")
         posts = materialise(_lists(_posts(again), search.law).drop("hub"), "posts")
@@ -346,25 +359,32 @@ def _links(groups: DataFrame, docs: DataFrame, common: tuple[np.ndarray, np.ndar
         total = max(1, posts.count())
         more = _open(posts, roots, total)
         release(posts)
-        few = search.in_pairs(more.filter(F.col("n") > SHORT_LIST)).count() <= most
-        pairs = pairs.unionByName(search.in_pairs(more if few else more.filter(F.col("n") <= SHORT_LIST)))
-        more = None if few else more
+        long = more.filter(F.col("n") > SHORT_LIST)
+        few = _few(search.in_pairs(long), most)
+        pairs = pairs.unionByName(search.in_pairs(more.filter(F.col("n") <= SHORT_LIST))).unionByName(search.in_pairs(long, nearest=True) if few is None else few)
+        more = more if few is None else None
     search.verify(pairs)
     release(rest, apart)
     if more is None:
         return search
-    for r in range(1, HUB_ROUNDS + 1):
+    for r in range(1, NEAREST_ROUNDS + 1):
         before, more = more, _open(more.filter(F.col("n") > SHORT_LIST), components(search.links, "a", "b"), total)
-        search.verify(search.with_hubs(more, r, total))
         release(before)
-        if search.in_pairs(more).count() <= most:
+        few = search.in_pairs(more) if r == NEAREST_ROUNDS else _few(search.in_pairs(more), most)
+        search.verify(search.in_pairs(more, nearest=True) if few is None else few)
+        if few is not None:
             break
-    before, more = more, _open(more, components(search.links, "a", "b"), total)
-    search.verify(search.in_pairs(more))
-    release(before, more)
+    release(more)
     return search
 
 
+def _few(pairs: DataFrame, most: int) -> DataFrame | None:
+    """The different ones of the pairs (a, b), if there are so many at most; their number is found without storing many more."""
+    if pairs.count() <= REPEATS * most and (found := materialise(pairs.distinct(), "near")).count() <= most:
+        return found
+    return None
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, node, component_id) for each row of docs; component_id is the smallest doc_id that links reach.
 

@@ -180,3 +180,46 @@ def test_a_family_just_below_the_threshold_gives_few_pairs(spark, monkeypatch):
     got = sorted((str(r.doc_id), r.component_id) for r in nearcopies.near_groups(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)).collect())
     assert got == slow_groups(rows) and len({c for _, c in got}) == len(rows)
     assert sum(pairs) < 10 * len(rows)
+
+
+def test_a_family_is_joined_by_its_nearest(spark, monkeypatch):
+    """A large family that is linked in chains is joined by the nearest of each text: few pairs are verified, and its lists are opened once more only."""
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(150)]
+    texts = []
+    for _ in range(90):  # two places of each text differ: those with a place in common are near copies
+        text = list(base)
+        for k in rng.sample(range(4, 150, 5), 2):
+            text[k] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(text))
+    rows, opened, pairs = list(enumerate(texts)), [], []
+    monkeypatch.setattr(nearcopies, "_open", lambda posts, *a, f=nearcopies._open: opened.append(posts.count()) or f(posts, *a))
+    monkeypatch.setattr(nearcopies, "_plausible", lambda found, *a, f=nearcopies._plausible: pairs.append(found.count()) or f(found, *a))
+    monkeypatch.setattr(nearcopies, "SHORT_LIST", 8)
+    monkeypatch.setattr(nearcopies, "PAIRS_A_SET", 2)
+    got = sorted((str(r.doc_id), r.component_id) for r in nearcopies.near_groups(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)).collect())
+    assert got == slow_groups(rows) and len({c for _, c in got}) == 1
+    assert len(opened) <= 3 and sum(pairs) < 4 * len(rows), (opened, pairs)
+
+
+def test_nearest_pairs_of_lists():
+    """With nearest, a list gives each set's nearest of another component, and no more; pairs that are sent in parts are the same."""
+    rng, law = np.random.default_rng(7), nearcopies._Law(80)
+    base = rng.integers(0, 1 << 63, 60, np.int64).astype(np.uint64)
+    sets = [np.unique(np.r_[base[: 60 - k % 6], rng.integers(0, 1 << 63, k % 4, np.int64).astype(np.uint64)]) for k in range(40)]
+    rows = [(1, 0, 0, 0, k, len(x), len(x), k % 3, nearcopies.sketch(x)) for k, x in enumerate(sets)]
+    table = pa.table([pa.array(c) for c in zip(*rows, strict=True)], ["key", "lo", "hi", "own", "node", "size", "left", "root", "sketch"])
+    differ = lambda a, b: int(np.bitwise_count(np.frombuffer(rows[a][8], np.uint8) ^ np.frombuffer(rows[b][8], np.uint8)).sum())
+    near = {(a, b): differ(a, b) for a in range(40) for b in range(40) if a % 3 != b % 3 and 180 * differ(a, b) <= 20 * (len(sets[a]) + len(sets[b]))}
+    got = [tuple(x) for b in nearcopies._near_pairs(table.to_batches(), law, True) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(got) <= 40 and set(got) <= set(near)
+    for k in range(40):
+        least = min((v for (a, _), v in near.items() if a == k), default=None)
+        assert least is None or any(k in pair and near[pair] == least for pair in got)
+    whole = [set(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in nearcopies._near_pairs(table.to_batches(), law)]
+    was, nearcopies.PAIRS_AT_ONCE = nearcopies.PAIRS_AT_ONCE, 50
+    try:
+        parts = [set(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in nearcopies._near_pairs(table.to_batches(), law)]
+    finally:
+        nearcopies.PAIRS_AT_ONCE = was
+    assert len(parts) > 1 == len(whole) and set().union(*parts) == whole[0] == {p for p in near if p[0] < p[1]}
