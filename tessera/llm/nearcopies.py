@@ -243,11 +243,29 @@ class _Search:
         A task takes one list, or two blocks of a long one, after another: only the pairs that are left become rows; with
         nearest, only that of each set and the one with the nearest sketch, so at most a row for each set of a list or block.
         """
-        blocks, own, law = F.ceil(F.col("n") / LIST_BLOCK).cast("int"), F.col("own"), self.law
+        law = self.law
+        return self._dealt(rest).mapInArrow(lambda batches: _near_pairs(batches, law, nearest), "a bigint, b bigint")
+
+    def few(self, rest: DataFrame, most: int) -> DataFrame | None:
+        """The different ones of in_pairs, if there are so many at most; tasks only send the numbers of pairs before that is sure to be so."""
+        law = self.law
+        number = self._dealt(rest).mapInArrow(lambda batches: _number(_near_pairs(batches, law)), "n bigint").agg(F.sum("n")).first()[0]
+        if (number or 0) <= REPEATS * most and (found := materialise(self.in_pairs(rest).distinct(), "near")).count() <= most:
+            return found
+        return None
+
+    def _dealt(self, rest: DataFrame) -> DataFrame:
+        """The sets of lists with their sketches, those of a list, or of two blocks of it, one after another in one task."""
+        blocks, own = F.ceil(F.col("n") / LIST_BLOCK).cast("int"), F.col("own")
         dealt = rest.withColumns({"own": F.pmod(F.xxhash64("node"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
         dealt = dealt.select("key", F.least(own, "other").alias("lo"), F.greatest(own, "other").alias("hi"), "own", "node", "size", "left", "root")
         dealt = dealt.join(self.groups.select("node", "sketch"), "node").select("key", "lo", "hi", "own", "node", "size", "left", "root", "sketch")
-        return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lambda batches: _near_pairs(batches, law, nearest), "a bigint, b bigint")
+        return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _number(batches):
+    """The rows of all batches."""
+    yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)], pa.int64())], ["n"])
 
 
 def _near_pairs(batches, law: _Law, nearest: bool = False):
@@ -359,32 +377,23 @@ def _links(groups: DataFrame, docs: DataFrame, common: tuple[np.ndarray, np.ndar
         total = max(1, posts.count())
         more = _open(posts, roots, total)
         release(posts)
-        long = more.filter(F.col("n") > SHORT_LIST)
-        few = _few(search.in_pairs(long), most)
-        pairs = pairs.unionByName(search.in_pairs(more.filter(F.col("n") <= SHORT_LIST))).unionByName(search.in_pairs(long, nearest=True) if few is None else few)
-        more = more if few is None else None
+        pairs = pairs.unionByName(search.in_pairs(more.filter(F.col("n") <= SHORT_LIST))).unionByName(search.in_pairs(more.filter(F.col("n") > SHORT_LIST), nearest=True))
     search.verify(pairs)
     release(rest, apart)
-    if more is None:
-        return search
     for r in range(1, NEAREST_ROUNDS + 1):
-        before, more = more, _open(more.filter(F.col("n") > SHORT_LIST), components(search.links, "a", "b"), total)
+        if more is None or (long := more.filter(F.col("n") > SHORT_LIST)).isEmpty():
+            break
+        before, more = more, _open(long, components(search.links, "a", "b"), total)
         release(before)
-        few = search.in_pairs(more) if r == NEAREST_ROUNDS else _few(search.in_pairs(more), most)
-        search.verify(search.in_pairs(more, nearest=True) if few is None else few)
-        if few is not None:
+        last = r == NEAREST_ROUNDS
+        found = search.in_pairs(more) if last else search.few(more, most)
+        search.verify(search.in_pairs(more, nearest=True) if found is None else found)
+        if last or found is not None:
             break
-    release(more)
+    release(*([more] if more is not None else []))
     return search
 
 
-def _few(pairs: DataFrame, most: int) -> DataFrame | None:
-    """The different ones of the pairs (a, b), if there are so many at most; their number is found without storing many more."""
-    if pairs.count() <= REPEATS * most and (found := materialise(pairs.distinct(), "near")).count() <= most:
-        return found
-    return None
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, node, component_id) for each row of docs; component_id is the smallest doc_id that links reach.
 
