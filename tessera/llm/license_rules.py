@@ -64,7 +64,7 @@ ncsa | spdx ncsa | <tag> ncsa
 NOTICES = """
 agpl-3.0-or-later | gnu affero later | <under> gnu affero general public license<~12> <v3> (?:of the license )?or (?:at your option )?any later(?: version)?
 agpl-3.0 | gnu affero | <under> gnu affero general public license <v3>
-agpl | affero | <under>(?: gnu)? affero general public license
+agpl | affero | <under> (?:gnu )?affero general public license
 lgpl-2.1-or-later | gnu lesser later | <under> gnu lesser general public license<~12> <v2.1> (?:of the license )?or (?:at your option )?any later(?: version)?
 lgpl-3.0-or-later | gnu lesser later | <under> gnu lesser general public license<~12> <v3> (?:of the license )?or (?:at your option )?any later(?: version)?
 lgpl-2.1 | gnu lesser | <under> gnu lesser general public license <v2.1>

@@ -94,3 +94,11 @@ def test_spans_and_bad_bytes(spark):
     df = spark.range(1).selectExpr("'a' as doc_id", "cast(X'FF204D4954206C6963656E7365' as string) as text")
     (r,) = licenses.detections(df).collect()
     assert r.n_words == 3 and {h.label for h in r.hits} == {"mit"}
+
+
+@pytest.mark.parametrize("text", ["Licensed under Affero General Public License.", "released under the terms of the GNU Affero General Public License"])
+def test_a_grant_of_the_affero_license(text):
+    """The rule for a grant takes words with one space between them, as texts are flattened; only a mention was found before."""
+    _, found = licenses.scan(text.encode())
+    (h,) = [h for h, *_ in found if licenses.RULES[h.rule].label == "agpl"]
+    assert h.start == 0 and licenses.RULES[h.rule].priority == 90
