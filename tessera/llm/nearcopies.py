@@ -106,8 +106,12 @@ def _prefixed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, named bigint, node bigint, size int, fp bigint, sketch binary, prefix binary")
 
 
-def _posts(prefixes: DataFrame) -> DataFrame:
-    """(key, node, size, left) of the prefix (node, size, prefix) of each node; left counts the shingle and those after it."""
+def _posts(prefixes: DataFrame, hot: np.ndarray | None = None, inside: bool = False) -> DataFrame:
+    """(key, node, size, left) of the prefix (node, size, prefix) of each node; left counts the shingle and those after it.
+
+    With hot, ascending shingles, only those that are among them (inside) or aren't.
+    """
+    sent = None if hot is None else prefixes.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for b in batches:
@@ -116,7 +120,13 @@ def _posts(prefixes: DataFrame) -> DataFrame:
                 keys = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
                 counts, sizes = [len(k) for k in keys], part.column(1).to_numpy()
                 left = np.concatenate([n - np.arange(c) for n, c in zip(sizes.tolist(), counts, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(part.column(0).to_numpy(), counts)), pa.array(np.repeat(sizes, counts)), pa.array(left.astype(np.int32))], ["key", "node", "size", "left"])
+                posts = [np.concatenate(keys), np.repeat(part.column(0).to_numpy(), counts), np.repeat(sizes, counts), left.astype(np.int32)]
+                if sent is not None:
+                    is_hot = np.zeros(len(posts[0]), bool)
+                    if len(sent.value):
+                        is_hot = sent.value[np.minimum(np.searchsorted(sent.value, posts[0]), len(sent.value) - 1)] == posts[0]
+                    posts = [x[is_hot == inside] for x in posts]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in posts], ["key", "node", "size", "left"])
 
     return prefixes.filter("size > 0").select("node", "size", "prefix").mapInArrow(run, "key bigint, node bigint, size int, left int")
 
@@ -354,15 +364,15 @@ def _links(groups: DataFrame, docs: DataFrame, common: tuple[np.ndarray, np.ndar
     """
     # Posting lists that the sample knows to be long are counted with partial sums, others by a window over each.
     search, hot = _Search(groups, docs, words, similar), common[0][common[1] >= LONG_LIST]
-    long = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in hot.tolist()], "key bigint"))  # ORDER_SHINGLES rows at most
-    cold = _lists(_posts(groups).join(long, "key", "left_anti"), search.law)
-    warm = _posts(groups).join(long, "key", "left_semi")
+    cold, warm = _lists(_posts(groups, hot), search.law), _posts(groups, hot, inside=True)
     hub = F.min(F.when(search.law.leads(), F.struct("node", "size", "left"))).alias("hub")
-    warm = warm.join(F.broadcast(warm.groupBy("key").agg(F.count("*").alias("n"), hub).filter("n > 1 and hub is not null").drop("n")), "key")  # as many rows
-    posts = materialise(cold.unionByName(warm), "posts")
-    release()  # the shuffle of all posts has served
+    hubs = materialise(warm.groupBy("key").agg(F.count("*").alias("n"), hub).filter("n > 1 and hub is not null").drop("n"), "hubs")  # ORDER_SHINGLES rows at most
+    posts = materialise(cold.unionByName(warm.join(F.broadcast(hubs), "key")), "posts")
+    release(hubs)  # and the shuffle of all posts
+    near = materialise(_simhash_pairs(groups), "near")
     met = posts.select("*", F.struct("size", "left").alias("own")).filter((F.col("hub.node") != F.col("node")) & search.law.meet("hub", "own"))
-    search.verify(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).unionByName(_simhash_pairs(groups)))
+    search.verify(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).unionByName(near))
+    release(near)
     roots = components(search.links, "a", "b")
     rest = _open(posts, roots, max(1, posts.count()))
     release(posts)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from tessera.llm import nearcopies
+from tessera.llm import components, nearcopies, simhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -223,3 +223,40 @@ def test_nearest_pairs_of_lists():
     finally:
         nearcopies.PAIRS_AT_ONCE = was
     assert len(parts) > 1 == len(whole) and set().union(*parts) == whole[0] == {p for p in near if p[0] < p[1]}
+
+
+def test_no_plan_is_large(spark, monkeypatch):
+    """Spark's driver keeps a plan whole and rewrites it after each stage: no table that is written takes more than a few shuffles and broadcasts."""
+    plans = []
+
+    def seen(df, label, f=nearcopies.materialise, **options):
+        plans.append((df._jdf.queryExecution().executedPlan().toString().count("Exchange "), label))
+        return f(df, label, **options)
+
+    for module in (nearcopies, components, simhash):
+        monkeypatch.setattr(module, "materialise", seen)
+    monkeypatch.setattr(nearcopies, "SHORT_LIST", 8)
+    texts = [*family(40, 40, 2, 5), *family(30, 30, 4, 6)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOC)
+    assert len({r.component_id for r in nearcopies.near_groups(df).collect()}) == 31
+    assert {"edges", "posts", "hubs", "pairs"} <= {label for _, label in plans}
+    assert max(plans)[0] <= 13, sorted(plans)[-5:]
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Edges that are stars around their smallest nodes take no round, chains as many as they need, with the roots of a plain search."""
+    steps = []
+    monkeypatch.setattr(components, "_star", lambda *a, f=components._star: steps.append(a[1]) or f(*a))
+    rng = random.Random(2)
+    stars = [(1, 9), (8, 1), (1, 5), (20, 30), (30, 20), (7, 7), (None, 3)]
+    loose = [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(k, k + 1) for k in range(200, 240)]
+    for edges in (stars, [], loose, [(2, 3), (1, 3)]):
+        steps.clear()
+        root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+        for _ in root:
+            for a, b in edges:
+                if a in root and b in root:
+                    root[a] = root[b] = min(root[a], root[b])
+        got = components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+        assert len(got) == len(root) and {r.node: r.root for r in got} == root
+        assert bool(steps) == (edges in (loose, [(2, 3), (1, 3)]))
